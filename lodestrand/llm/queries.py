@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import digest_index, hash_tree, source_mix
+from . import chat_format, digest_index, hamming_search, hash_tree, source_mix, token_count
 
 QUERIES = {
+    "op1_token_counts": token_count.op1_token_counts,
     "op2_hash_tree_shards": hash_tree.op2_hash_tree_shards,
+    "op3_chat_format": chat_format.op3_chat_format,
+    "op7_hamming_topk": hamming_search.op7_hamming_topk,
     "op8_exact_dedup": digest_index.op8_exact_dedup,
     "op10_source_mix": source_mix.op10_source_mix,
 }
 
 SQL = {
     "op2_hash_tree_shards": hash_tree.oracle(),
+    "op3_chat_format": chat_format.oracle(),
+    "op7_hamming_topk": hamming_search.OP7_SQL,
     "op8_exact_dedup": digest_index.OP8_SQL,
     "op10_source_mix": source_mix.OP10_SQL,
 }
