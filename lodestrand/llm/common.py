@@ -61,3 +61,43 @@ def unit_hash(*parts: Column) -> Column:
 def long_hash(*parts: Column) -> Column:
     """A whole number below 2**60, from the MD5 of the parts joined by ':'."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
+
+
+#: A key is hot if at least one row in so many has it; so there are at most so many hot keys.
+HOT_SHARE = 2000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join of rows with `counted`, which has each key once, with its number of rows in `size`.
+
+    A hot key has rows without bound on the left but one on the right. The at
+    most HOT_SHARE keys that own that share of all rows are broadcast; all
+    others meet by a sort-merge join, where no key is large.
+    """
+    total = counted.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) * HOT_SHARE >= F.lit(max(total, 2 * HOT_SHARE))
+    others = [c for c in counted.columns if c not in keys]
+    hot = F.broadcast(counted.where(is_hot).withColumn("_hot", F.lit(True)))
+    tagged = rows.join(hot, keys, "left")
+    cold = tagged.where("_hot is null").drop("_hot", *others).hint("merge").join(counted.where(~is_hot), keys)
+    return tagged.where("_hot").drop("_hot").unionByName(cold)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) for the nodes of edges (a, b): label is the smallest node that can be reached.
+
+    Each round takes the smallest label among neighbours and then follows
+    labels of labels, so that rounds grow with the logarithm of a component's
+    width. Nothing is collected; each round is a table in the shared folder.
+    """
+    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = staged(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("node"), F.least("a", "_m").alias("label")), "labels")
+    while True:
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, labels.node == near.a, "left").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        step = staged(step, "labels")
+        jump = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        after = staged(step.join(jump, "label", "left").select("node", F.coalesce("root", "label").alias("label"), "old"), "labels")
+        if after.where("label <> old").limit(1).count() == 0:
+            return after.select("node", "label")
+        labels = after.select("node", "label")

@@ -14,10 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, staged, whole_text
-
-#: A digest is hot if at least one row in so many has it; so there are at most so many hot digests.
-HOT_SHARE = 2000
+from .common import fresh_path, join_counted, staged, whole_text
 
 
 def text_digest(name: str = "text") -> Column:
@@ -61,21 +58,6 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def look_up(digests: DataFrame, index: DataFrame) -> DataFrame:
-    """Each row of digests with keep_id and group_size of its digest.
-
-    A hot digest has rows without bound on the left but one on the right. The
-    at most HOT_SHARE digests that own that share of all rows are broadcast;
-    all others meet by a sort-merge join, where no key is large.
-    """
-    total = index.agg(F.sum("group_size")).first()[0] or 0
-    is_hot = F.col("group_size") * HOT_SHARE >= F.lit(max(total, 2 * HOT_SHARE))
-    hot = F.broadcast(index.where(is_hot).withColumn("is_hot", F.lit(True)))
-    tagged = digests.join(hot, "digest", "left")
-    cold = tagged.where("is_hot is null").drop("keep_id", "group_size", "is_hot").hint("merge").join(index.where(~is_hot), "digest")
-    return tagged.where("is_hot").drop("is_hot").unionByName(cold)
-
-
 def exact_duplicates(docs: DataFrame, path: str | None = None, buckets: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -89,7 +71,7 @@ def exact_duplicates(docs: DataFrame, path: str | None = None, buckets: int = 64
     digests = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest")), "digests")
     index = DigestIndex(spark, path or fresh_path(spark, "digest-index"), buckets)
     index.ingest(digests)
-    return look_up(digests, index.rows()).select(
+    return join_counted(digests, index.rows(), ["digest"], "group_size").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
