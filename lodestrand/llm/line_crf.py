@@ -222,6 +222,11 @@ def scored(docs: DataFrame, model: LineCrf, text: str = "text", out: str = "scor
     return docs.select(*keep).mapInArrow(run, schema)
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose quality is at least the threshold; same columns as docs."""
+    return scored(docs, train(docs, labels), out="_line_crf_score").where(F.col("_line_crf_score") >= threshold).drop("_line_crf_score")
+
+
 def op6_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -215,15 +215,17 @@ def _blocks(column: pa.Array):
         yield block
 
 
-def encoded(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "token_ids") -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "token_ids", check: str | None = None) -> DataFrame:
     """docs with the ids of each whole text in an array column `out`.
 
+    check: name of a further column that tells whether decoding gives the text back.
+
     path: the model file on every executor (default: the installed
     piece_bpe_32k.model, whose scores serve as log scores). Null and empty
     texts have no ids. A column that is named like `out` is replaced.
     """
-    keep = [c for c in docs.columns if c != out]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    keep = [c for c in docs.columns if c not in (out, check)]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.IntegerType()))] + [T.StructField(check, T.BooleanType())] * bool(check))
 
     def run(batches):
         c = codec(path or model_path())
@@ -233,7 +235,8 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text", out: s
                 ids = c.encode_all(block)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(block)).columns, lists], names=[*keep, out])
+                same = [pa.array([c.decode(x.tolist()) == t for x, t in zip(ids, block)], pa.bool_())] * bool(check)
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(block)).columns, lists, *same], names=schema.fieldNames())
                 at += len(block)
 
     return docs.select(*keep).mapInArrow(run, schema)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, digest_index, hamming_search, hash_tree, line_crf, ngram_join, piece_codec, source_mix, token_count
+from . import chat_format, digest_index, hamming_search, hash_tree, line_crf, ngram_join, piece_codec, source_mix, suffix_dedup, token_count
 
 QUERIES = {
     "op1_token_counts": token_count.op1_token_counts,
     "op2_hash_tree_shards": hash_tree.op2_hash_tree_shards,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_line_crf_quality": line_crf.op6_line_crf_quality,
     "op7_hamming_topk": hamming_search.op7_hamming_topk,
     "op8_exact_dedup": digest_index.op8_exact_dedup,

@@ -105,6 +105,20 @@ def mixed(docs: DataFrame, entropy_share: float | None = 0.97, max_repeat: float
     )
 
 
+def mix_rows(docs: DataFrame, max_repeat: float = 2.0, **options) -> DataFrame:
+    """docs with every row as often as the mix draws it, same columns; by default each row once at least.
+
+    Rows are told apart by source, doc_id and text; rows that are equal in all
+    three are drawn together.
+    """
+    options = {"entropy_share": None, "budget_share": None} | options
+    key = F.sha2(F.concat_ws(":", F.coalesce("source", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), whole_text()), 256)
+    keyed = docs.withColumn("_key", key)
+    sizes = keyed.select(F.col("_key").alias("row_key"), "source", n_words().alias("n_tokens")).groupBy("row_key", "source").agg(F.sum("n_tokens").alias("n_tokens"))
+    drawn = mixed(sizes, max_repeat=max_repeat, **options).groupBy(F.col("row_key").alias("_key")).agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    return keyed.join(drawn, "_key").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mixed(docs.select(F.col("doc_id").alias("row_key"), "source", n_words().alias("n_tokens"))).select(F.col("row_key").alias("doc_id"), F.col("src").alias("source"), "epoch", "n_tokens", "start_token", "mix_block")
