@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, join_counted, staged
+from .common import components, join_counted, release, staged
 from .token_count import text_buffer
 from .words import U, mixed, shingles, word_hashes
 
@@ -129,20 +129,22 @@ def profiles(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def prefix_entries(docs: DataFrame, n: int, percent: int, orders: TokenOrders) -> DataFrame:
-    """(doc_id, n_shingles, token): prefix tokens under the first order."""
+    """(doc_id, k, token): prefix tokens under each order k."""
 
     def run(batches):
         for batch in batches:
+            ids = batch.column(0).to_numpy()
             for i, j, b, offsets in _blocks(batch.column(1)):
                 tokens, bounds = shingle_sets(b, offsets, n)
-                first, at = orders.prefix(tokens, bounds, 0, percent)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), _list(first, at)], names=["doc_id", "n_shingles", "tokens"])
+                for k in range(ORDERS):
+                    first, at = orders.prefix(tokens, bounds, k, percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], np.diff(at))), pa.array(np.full(len(first), k, np.int8)), pa.array(first.view(np.int64))], names=["doc_id", "k", "token"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, k byte, token long")
 
 
-def needed_sets(docs: DataFrame, ids: DataFrame, n: int, percent: int, orders: TokenOrders) -> DataFrame:
-    """(doc_id, tokens, prefixes) of the documents in ids: all tokens, and the prefix under each further order.
+def needed_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(doc_id, tokens) of the documents in ids.
 
     A filter of fixed size spares most other documents' texts; those that pass
     it are dropped by the join with ids.
@@ -163,21 +165,26 @@ def needed_sets(docs: DataFrame, ids: DataFrame, n: int, percent: int, orders: T
                 continue
             batch = batch.filter(pa.array(want))
             for i, j, b, offsets in _blocks(batch.column(1)):
-                tokens, bounds = shingle_sets(b, offsets, n)
-                more = [_list(*orders.prefix(tokens, bounds, k, percent)) for k in range(1, ORDERS)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _list(tokens, bounds), *more], names=["doc_id", "tokens", *(f"p{k}" for k in range(1, ORDERS))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _list(*shingle_sets(b, offsets, n))], names=["doc_id", "tokens"])
 
-    schema = "doc_id long, tokens array<long>, " + ", ".join(f"p{k} array<long>" for k in range(1, ORDERS))
-    found = docs.select(F.col("doc_id").cast("long"), "text", bit.alias("bit")).mapInArrow(run, schema)
-    return found.join(ids.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = docs.select(F.col("doc_id").cast("long"), "text").withColumn("bit", bit).mapInArrow(run, "doc_id long, tokens array<long>")
+    return found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets share prefix tokens under all further orders and are similar."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in sets.columns if c != "doc_id"])
+def in_all_orders(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share a prefix token under every order; prefixes: (doc_id, p0, p1, ...)."""
+    side = lambda x: prefixes.select(F.col("doc_id").alias(x), *[F.col(f"p{k}").alias(f"p{k}_{x}") for k in range(ORDERS)])
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    for k in range(1, ORDERS):
+    for k in range(ORDERS):
         met = met.where(F.arrays_overlap(f"p{k}_a", f"p{k}_b"))
+    return met.select("a", "b")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least percent / 100."""
+    sets = staged(needed_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n), "sets")
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"tokens_{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return met.where(both * 100 >= percent * (F.size("tokens_a") + F.size("tokens_b") - both)).select("a", "b")
 
@@ -201,51 +208,62 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     orders = TokenOrders(counts)
     some = rows.where("n_shingles > 0")
     groups = staged(some.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "groups")
-    nodes = groups.select(F.col("node").alias("doc_id"))
-    entries = prefix_entries(docs, n, percent, orders).join(nodes, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), F.explode("tokens").alias("token")).distinct()
-    bucket = Window.partitionBy("token")
-    entries = staged(entries.withColumn("_c", F.count(F.lit(1)).over(bucket)).where("_c > 1").select("doc_id", "n", "token"), "entries")
+    copies = some.join(groups.where("copies > 1"), ["fp1", "fp2"]).where("doc_id <> node").select("doc_id").distinct()
+    firsts = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(staged(copies, "copies"), "doc_id", "left_anti")
+    bucket = Window.partitionBy("k", "token")
+    entries = prefix_entries(firsts, n, percent, orders).withColumn("_c", F.count(F.lit(1)).over(bucket)).where("_c > 1").drop("_c")
+    entries = staged(entries, "entries")
+    release(docs.sparkSession)
     if entries.isEmpty():
-        labels = nodes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")).limit(0)
+        labels = groups.select("node", F.col("node").alias("label")).limit(0)
     else:
-        labels = _linked(docs, entries, n, percent, orders)
+        sizes = some.select("doc_id", F.col("n_shingles").alias("n")).dropDuplicates(["doc_id"])
+        labels = _linked(firsts, entries, sizes, n, percent)
     named = groups.join(labels, "node", "left").select("fp1", "fp2", "copies", F.coalesce("label", "node").alias("component_id"))
     linked = join_counted(some, named, ["fp1", "fp2"], "copies").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _linked(docs: DataFrame, entries: DataFrame, n: int, percent: int, orders: TokenOrders) -> DataFrame:
+def _linked(docs: DataFrame, entries: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, label) over all links between the entries' documents."""
-    sets = staged(needed_sets(docs, entries.select("doc_id").distinct(), n, percent, orders), "sets")
-    nodes = entries.select("doc_id").distinct()
-    comp = staged(nodes.select("doc_id", F.col("doc_id").alias("comp")), "components")
-
-    def merge(links: DataFrame) -> DataFrame:
-        """Components after further links between documents."""
+    spark = docs.sparkSession
+    lists = [F.collect_set(F.when(F.col("k") == k, F.col("token"))).alias(f"p{k}") for k in range(ORDERS)]
+    prefixes = entries.groupBy("doc_id").agg(*lists)
+    for k in range(ORDERS):  # who shares nothing under some order has no links
+        prefixes = prefixes.where(F.size(f"p{k}") > 0)
+    prefixes = staged(prefixes.join(sizes, "doc_id"), "prefixes")
+    comp = staged(prefixes.select("doc_id", F.col("doc_id").alias("comp")), "components")
+    tokens = prefixes.select("doc_id", "n", F.explode("p0").alias("token"))
+
+    def merge(pairs: DataFrame) -> DataFrame:
+        """Components after the links among the pairs."""
+        pairs = staged(in_all_orders(pairs, prefixes), "pairs")
+        links = staged(similar(pairs, docs, n, percent), "links")
         of = lambda x: comp.select(F.col("doc_id").alias(x), F.col("comp").alias(f"c{x}"))
         edges = links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
         to = components(edges).select(F.col("node").alias("comp"), "label")
-        return staged(comp.join(to, "comp", "left").select("doc_id", F.coalesce("label", "comp").alias("comp")), "components")
+        after = staged(comp.join(to, "comp", "left").select("doc_id", F.coalesce("label", "comp").alias("comp")), "components")
+        release(spark)
+        return after
 
     def mixed_buckets() -> DataFrame:
-        """Entries in buckets that still hold different components."""
+        """Tokens of the first order whose documents are of different components still."""
         w = Window.partitionBy("token")
-        now = entries.join(comp, "doc_id").withColumns({"_lo": F.min("comp").over(w), "_hi": F.max("comp").over(w)})
+        now = tokens.join(comp, "doc_id").withColumns({"_lo": F.min("comp").over(w), "_hi": F.max("comp").over(w)})
         return now.where("_lo < _hi").drop("_lo", "_hi")
 
     for k in range(LEADER_ROUNDS):
-        # the leader of a bucket: its first document by a hash that differs by round
+        # the leader of a bucket: its first document, later by a hash that differs by round
         order = F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "n", "comp") if k else F.struct("doc_id", "n", "comp")
         led = mixed_buckets().withColumn("_l", F.min(order).over(Window.partitionBy("token")))
         led = led.where(F.col("comp") != F.col("_l.comp")).select(F.col("doc_id").alias("b"), "n", F.col("_l.doc_id").alias("a"), F.col("_l.n").alias("m"))
         led = led.where(_near_size("n", "m", percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
         best = led.withColumn("_r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))).where("_r = 1").select("a", "b")
-        comp = merge(staged(verified(best, sets, percent), "links"))
+        comp = merge(best)
     rest = staged(mixed_buckets(), "rest")
     x = rest.select("token", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("ca"))
     y = rest.select("token", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("cb"))
-    pairs = staged(x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_size("n_a", "n_b", percent)).select("a", "b").distinct(), "pairs")
-    comp = merge(staged(verified(pairs, sets, percent), "links"))
+    comp = merge(x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_size("n_a", "n_b", percent)).select("a", "b").distinct())
     return comp.select(F.col("doc_id").alias("node"), F.col("comp").alias("label"))
 
 
