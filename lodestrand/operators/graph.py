@@ -103,15 +103,15 @@ def transitive_closure(is_a: DataFrame, checkpoint: bool = True) -> DataFrame:
 
         sc.setCheckpointDir(is_a.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrand-"))
     cut = (lambda df: df.checkpoint()) if checkpoint else (lambda df: df)
-    edges = is_a.select("child_id", "parent_id").where("child_id is not null and parent_id is not null").distinct()
-    known = delta = cut(edges)
-    step = edges.select(F.col("child_id").alias("parent_id"), F.col("parent_id").alias("_up"))
+    edges = cut(is_a.select("child_id", "parent_id").where("child_id is not null and parent_id is not null").distinct())
+    step = edges.select(F.col("child_id").alias("_at"), F.col("parent_id").alias("_up"))
+    known = delta = edges
     while True:
-        far = delta.join(step, "parent_id").select("child_id", F.col("_up").alias("parent_id")).distinct()
-        delta = cut(far.join(known, ["child_id", "parent_id"], "left_anti"))
+        far = delta.join(step, F.col("parent_id") == F.col("_at")).select("child_id", F.col("_up").alias("parent_id")).distinct()
+        delta = cut(far.join(known, ["child_id", "parent_id"], "left_anti").select("child_id", "parent_id"))
         if delta.isEmpty():
             return known
-        known = cut(known.unionByName(delta))
+        known = cut(known.union(delta).distinct())
 
 
 def fan_in(is_a: DataFrame) -> DataFrame:

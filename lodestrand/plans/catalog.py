@@ -1,4 +1,578 @@
-"""Queries of the knowledge-graph operators and their SQL."""
+"""Queries of the knowledge-graph operators over the driver's tables, and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import analysis, chunking, extract, graph, mapping, tiers, vectors
+from ..sources import readers
+from ..streaming import incremental
+from . import bindings as B
+from . import pipeline
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+NATIONS, MIN_SPECIES = 25, 12
+#: Cosine bounds for vectors that are far less alike than a model's.
+SIMILAR, ACCEPT, REJECT = 0.30, 0.45, 0.32
+
+
+def query(sql: str | None = None, graph_tables: bool = False):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = (B.SQL if graph_tables else "") + sql
+        return f
+
+    return register
+
+
+# ---- convergence -----------------------------------------------------------
+
+
+def _candidates(spark, d):
+    is_a = B.is_a(spark, d)
+    return tiers.tier1_candidates(B.mentions(spark, d), B.chunks(spark, d), B.entities(spark, d), B.mapped(spark, d), is_a, _fan_in(spark, d), MIN_SPECIES, blocked=[B.ROOT])
+
+
+def _fan_in(spark, d):
+    """The edges are flat already: an ancestor's descendants are the ends of its own edges."""
+    return B.is_a(spark, d).groupBy(F.col("parent_id").alias("term_id")).agg(F.count_distinct("child_id").alias("fan_in"))
+
+
+_TIER1 = """
+, up AS (SELECT DISTINCT term_id, term_id AS ancestor FROM mapped UNION SELECT child_id, parent_id FROM is_a),
+cand AS (
+  SELECT ancestor AS term_id, count(DISTINCT s.species_norm) AS n_species, count(DISTINCT surface_form) AS n_forms
+  FROM mapped JOIN up USING (term_id) JOIN species_of s USING (entity_id) JOIN entities USING (entity_id)
+  WHERE ancestor <> 'ROOT' GROUP BY ancestor HAVING count(DISTINCT s.species_norm) >= 12 AND count(DISTINCT surface_form) <= 200
+), full_cand AS (SELECT cand.*, coalesce(fan_in, -1) AS fan_in FROM cand LEFT JOIN fan USING (term_id))
+"""
+
+
+@query(_TIER1 + """
+SELECT term_id, n_species, n_forms, fan_in,
+       round(n_species / 25 * CASE WHEN fan_in >= 0 THEN ln(((SELECT coalesce(max(fan_in) FILTER (WHERE fan_in >= 0), 1) FROM full_cand) + 1) / (fan_in + 1)) ELSE 2.0 END, 6) AS score
+FROM full_cand ORDER BY score DESC, term_id LIMIT 20
+""", graph_tables=True)
+def tier1_convergence(spark, d):
+    return tiers.tier1_ranked(_candidates(spark, d), NATIONS)
+
+
+@query(_TIER1 + "SELECT term_id, n_species, n_forms FROM full_cand ORDER BY n_species DESC, n_forms, term_id LIMIT 20", graph_tables=True)
+def tier1_fallback_rank(spark, d):
+    return tiers.tier1_fallback(_candidates(spark, d))
+
+
+@query("""
+, up AS (SELECT DISTINCT term_id, term_id AS ancestor FROM mapped UNION SELECT child_id, parent_id FROM is_a),
+reach AS (SELECT DISTINCT entity_id, ancestor, surface_form FROM mapped JOIN up USING (term_id) JOIN entities USING (entity_id) WHERE ancestor <> 'ROOT')
+SELECT replace(lower(relation_type), ' ', '_') AS rel_type, x.ancestor AS anc1_id, y.ancestor AS anc2_id, array_to_string(list_sort(list(DISTINCT species_norm)), ',') AS species,
+       count(DISTINCT species_norm) AS n_species, count(DISTINCT x.surface_form) AS n_subj, count(DISTINCT y.surface_form) AS n_obj
+FROM related JOIN reach x ON subj_id = x.entity_id JOIN reach y ON obj_id = y.entity_id WHERE x.ancestor <> y.ancestor
+GROUP BY 1, 2, 3 HAVING count(DISTINCT species_norm) >= 8 ORDER BY n_species DESC, n_subj DESC, rel_type, anc1_id, anc2_id LIMIT 50
+""", graph_tables=True)
+def tier1_relational(spark, d):
+    out = tiers.tier1_relational(B.related(spark, d), B.entities(spark, d), B.mapped(spark, d), B.is_a(spark, d), 8, blocked=[B.ROOT])
+    return out.select("rel_type", "anc1_id", "anc2_id", F.array_join("species_list", ",").alias("species"), "n_species", "n_subj", "n_obj")
+
+
+@query("SELECT DISTINCT term_id, term_id AS ancestor FROM mapped UNION SELECT child_id, parent_id FROM is_a", graph_tables=True)
+def isa_closure_0_3(spark, d):
+    return graph.closure_within(B.is_a(spark, d), B.mapped(spark, d).select("term_id"), 3)
+
+
+@query("""
+, e(c, p) AS (SELECT child_id, parent_id FROM is_a UNION SELECT parent_id, 'TOP' FROM is_a WHERE parent_id <> 'TOP' UNION SELECT 'TOP', 'ROOT'),
+closed(c, p) AS (SELECT c, p FROM e UNION SELECT closed.c, e.p FROM closed JOIN e ON closed.p = e.c)
+SELECT p AS term_id, count(DISTINCT c) AS fan_in FROM closed WHERE c <> p GROUP BY p
+""", graph_tables=True)
+def fan_in(spark, d):
+    """With a cycle: the root lies under TOP, and TOP under the root."""
+    flat = B.is_a(spark, d)
+    more = flat.select(F.col("parent_id").alias("child_id"), F.lit("TOP").alias("parent_id")).union(spark.sql("select 'TOP', 'ROOT'"))
+    return graph.fan_in(flat.unionByName(more).distinct())
+
+
+@query("SELECT entity_id, species_norm, surface_form, entity_type, count(*) AS mention_count FROM mentions JOIN entities USING (entity_id) GROUP BY ALL", graph_tables=True)
+def mention_counts(spark, d):
+    return graph.mention_counts(B.mentions(spark, d), B.chunks(spark, d), B.entities(spark, d))
+
+
+@query("SELECT species_norm, count(DISTINCT entity_id) AS n_entities FROM mentions GROUP BY 1", graph_tables=True)
+def species_entity_counts(spark, d):
+    return graph.species_entity_counts(B.mentions(spark, d), B.chunks(spark, d))
+
+
+def _triples(spark, d):
+    return graph.surface_triples(B.related(spark, d), B.mentions(spark, d), B.chunks(spark, d), B.entities(spark, d))
+
+
+_TRIPLES = """
+, triples AS (
+  SELECT DISTINCT s.species_norm, a.surface_form AS subject, relation_type AS relation, b.surface_form AS object
+  FROM related r JOIN species_of s ON r.subj_id = s.entity_id JOIN entities a ON a.entity_id = subj_id JOIN entities b ON b.entity_id = obj_id
+), counts AS (SELECT species_norm, entity_id, surface_form, entity_type, count(*) AS n FROM mentions JOIN entities USING (entity_id) GROUP BY ALL)
+"""
+
+
+@query(_TRIPLES + "SELECT * FROM triples", graph_tables=True)
+def subgraph_triples(spark, d):
+    return _triples(spark, d)
+
+
+@query("""
+SELECT DISTINCT species_norm, a.surface_form AS subject, relation_type AS relation, b.surface_form AS object
+FROM related JOIN entities a ON a.entity_id = subj_id JOIN entities b ON b.entity_id = obj_id
+""", graph_tables=True)
+def subgraph_triples_own(spark, d):
+    return graph.surface_triples(B.related(spark, d), B.mentions(spark, d), B.chunks(spark, d), B.entities(spark, d), cross_species=False)
+
+
+@query(_TRIPLES + """
+SELECT species_norm, min(entity_id) AS entity_id, CASE WHEN count(*) > 1 THEN min(term_name) || '  (merged ' || count(*) || ' forms)' ELSE min(surface_form) END AS surface_form,
+       arg_max(entity_type, (n, entity_id)) AS entity_type, CAST(sum(n) AS BIGINT) AS mention_count, count(*) AS n_forms
+FROM counts JOIN mapped USING (entity_id) GROUP BY species_norm, term_id
+""", graph_tables=True)
+def entity_collapse(spark, d):
+    counts = graph.mention_counts(B.mentions(spark, d), B.chunks(spark, d), B.entities(spark, d))
+    return graph.collapsed_entities(counts, B.mapped(spark, d))
+
+
+@query(_TRIPLES + """
+, names AS (
+  SELECT species_norm, surface_form, max(term_name) AS name FROM (SELECT *, count(*) OVER (PARTITION BY species_norm, term_id) AS k FROM counts JOIN mapped USING (entity_id)) WHERE k > 1 GROUP BY 1, 2
+)
+SELECT DISTINCT t.species_norm, coalesce(s.name, subject) AS subject, relation, coalesce(o.name, object) AS object
+FROM triples t LEFT JOIN names s ON s.species_norm = t.species_norm AND s.surface_form = subject LEFT JOIN names o ON o.species_norm = t.species_norm AND o.surface_form = object
+""", graph_tables=True)
+def triple_rewrite(spark, d):
+    counts = graph.mention_counts(B.mentions(spark, d), B.chunks(spark, d), B.entities(spark, d))
+    return graph.rewritten_triples(_triples(spark, d), counts, B.mapped(spark, d))
+
+
+@query("""
+SELECT entity_id, surface_form, entity_type FROM (SELECT *, CASE entity_type WHEN 'STANDARD' THEN 'Anatomy' WHEN 'SMALL' THEN 'Gene' ELSE 'Species' END AS kind FROM entities)
+WHERE kind <> 'Species' AND entity_id IN (SELECT entity_id FROM mentions) AND surface_form < 'm'
+""", graph_tables=True)
+def entities_to_map(spark, d):
+    e = B.entities(spark, d).withColumn("kind", F.when(F.col("entity_type") == "STANDARD", "Anatomy").when(F.col("entity_type") == "SMALL", "Gene").otherwise("Species"))
+    e = e.select("entity_id", "surface_form", F.col("kind").alias("entity_type"), (F.col("surface_form") >= "m").alias("upheno_enriched"), F.col("entity_type").alias("own"))
+    return graph.entities_to_map(B.mentions(spark, d), B.chunks(spark, d), e).join(e.select("entity_id", "own"), "entity_id").select("entity_id", "surface_form", F.col("own").alias("entity_type"))
+
+
+# ---- vectors ---------------------------------------------------------------
+
+
+@query("""
+SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.vector, y.vector), 4) AS score FROM vectors x JOIN vectors y ON x.id < y.id AND x.label <> y.label
+WHERE list_cosine_similarity(x.vector, y.vector) >= 0.3
+""", graph_tables=True)
+def similar_pairs(spark, d):
+    return vectors.similar_pairs(B.vectors(spark, d).select("id", "vector", "groups"), SIMILAR)
+
+
+def _tier2(spark, d, limit=500):
+    v = B.vectors(spark, d)
+    e = v.select(F.col("id").alias("entity_id"), F.concat(F.lit("v"), "id").alias("surface_form"), F.lit("Anatomy").alias("entity_type"))
+    sp = v.select(F.col("id").alias("entity_id"), F.concat(F.lit("L"), "label").alias("species_norm"))
+    return tiers.tier2_pairs(vectors.both_directions(similar_pairs(spark, d)), e, sp, SIMILAR, limit=limit)
+
+
+_PAIRS = """
+, sim AS (
+  SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.vector, y.vector), 4) AS score, 'L' || x.label AS sp1, 'L' || y.label AS sp2
+  FROM vectors x JOIN vectors y ON x.label <> y.label WHERE list_cosine_similarity(x.vector, y.vector) >= 0.3
+)
+"""
+
+
+@query(_PAIRS + "SELECT a AS eid1, 'v' || a AS sf1, b AS eid2, 'v' || b AS sf2, score, sp1, sp2 FROM sim ORDER BY score DESC, a, b, sp1, sp2 LIMIT 500", graph_tables=True)
+def tier2_pairs(spark, d):
+    return _tier2(spark, d)
+
+
+@query(_PAIRS + "SELECT least(a, b) AS eid_a, greatest(a, b) AS eid_b, max(score) AS score, 2 AS n_species FROM sim GROUP BY 1, 2", graph_tables=True)
+def tier2_unordered(spark, d):
+    return tiers.unordered_pairs(_tier2(spark, d, None), 2).select("eid_a", "eid_b", "score", F.size("species").alias("n_species"))
+
+
+@query(_PAIRS + ", r(n, m) AS (SELECT a, b FROM sim UNION SELECT r.n, sim.b FROM r JOIN sim ON r.m = sim.a) SELECT n AS entity_id, least(min(m), n) AS component FROM r GROUP BY n", graph_tables=True)
+def tier2_components(spark, d):
+    return tiers.tier2_components(_tier2(spark, d, None), 2)
+
+
+@query()
+def tier2_clusters(spark, d):
+    return tiers.tier2_clusters(_tier2(spark, d).withColumns({"eid1": F.col("eid1").cast("string"), "eid2": F.col("eid2").cast("string")}), 2)
+
+
+def _hits(spark, d, k=10, metric="cosine"):
+    v = B.vectors(spark, d)
+    return vectors.nearest(v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), v.select("id", "vector", "label"), k, metric)
+
+
+_HITS = """
+, hits AS (
+  SELECT * FROM (
+    SELECT q.id AS query_id, v.id, v.label, round(list_cosine_similarity(q.vector, v.vector), 6) AS score,
+           row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.vector, v.vector), 6) DESC, v.id) AS rank
+    FROM vectors q, vectors v WHERE q.id % 50 = 0) WHERE rank <= 10
+)
+"""
+
+
+@query(_HITS + "SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM hits", graph_tables=True)
+def topk_candidates(spark, d):
+    return _hits(spark, d)
+
+
+@query(_HITS + "SELECT query_id, score AS top_score, CASE WHEN score >= 0.45 THEN 'accept' WHEN score < 0.32 THEN 'reject' ELSE 'verify' END AS outcome FROM hits WHERE rank = 2", graph_tables=True)
+def cascade_outcome(spark, d):
+    """The nearest other vector stands for the best candidate."""
+    return _hits(spark, d).where("rank = 2").select("query_id", F.col("score").alias("top_score"), mapping.decision(F.col("score"), ACCEPT, REJECT).alias("outcome"))
+
+
+@query(_HITS + "SELECT query_id, id, round(1 - score, 6) AS distance FROM hits h WHERE rank > 1 AND round(1 - score, 6) <= (SELECT min(round(1 - score, 6)) FROM hits g WHERE g.query_id = h.query_id AND rank > 1) + 0.1", graph_tables=True)
+def score_margin(spark, d):
+    rows = _hits(spark, d).where("rank > 1").select("query_id", "id", F.round(1 - F.col("score"), 6).alias("distance"))
+    return vectors.within_margin(rows, "query_id", 0.1)
+
+
+@query(_HITS + "SELECT query_id, id, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS r FROM hits) WHERE r <= 2", graph_tables=True)
+def per_doc_cap(spark, d):
+    rows = _hits(spark, d).join(B.vectors(spark, d).select("id", "label"), "id").withColumn("distance", -F.col("score"))
+    return vectors.per_document(rows, ["query_id"], "label", 2).select("query_id", "id", "label")
+
+
+@query(_HITS + "SELECT query_id, id FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM hits) WHERE rank <= greatest(1, ceil(0.6 * n))", graph_tables=True)
+def nearest_share(spark, d):
+    return vectors.nearest_share(_hits(spark, d).withColumn("distance", -F.col("score")), "query_id").select("query_id", "id")
+
+
+@query("""
+, q AS (SELECT id AS query_id, vector FROM vectors WHERE id IN (0, 1)),
+h AS (SELECT * FROM (SELECT query_id, v.id, v.label, round(list_distance(q.vector, v.vector) ** 2, 4) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(list_distance(q.vector, v.vector) ** 2, 6), v.id) AS r FROM q, vectors v) WHERE r <= 50)
+SELECT id, label, min(distance) AS distance FROM h GROUP BY 1, 2
+""", graph_tables=True)
+def dual_query_union(spark, d):
+    v = B.vectors(spark, d)
+    hits = [vectors.nearest(v.where(F.col("id") == i).select(F.col("id").alias("query_id"), "vector"), v.select("id", "vector"), 50, "l2").join(v.select("id", "label"), "id").select("id", "label", F.round("score", 4).alias("distance")) for i in (0, 1)]
+    return vectors.united_candidates(*hits, ["id", "label"])
+
+
+@query()
+def mmr_select(spark, d):
+    v = B.vectors(spark, d)
+    hits = vectors.nearest(v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), v.select("id", "vector"), 100, "l2")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    rows = hits.join(v.select("id", "vector"), "id").join(q, "query_id").select("query_id", "id", F.col("score").alias("distance"), "vector", "query")
+    return vectors.mmr(rows, "query_id", 20).select("query_id", "place", "id")
+
+
+@query()
+def dual_retrieval(spark, d):
+    v = B.vectors(spark, d).select("id", F.col("label").alias("specie"), (F.col("id") % 20).alias("doc_id"), "vector")
+    q1, q2 = (r.vector for r in v.where("id in (0, 1)").orderBy("id").collect())  # two rows
+    return vectors.retrieve(v, q1, q2, margin=40.0).select("specie", "id", F.round("distance", 4).alias("distance"))
+
+
+# ---- text ------------------------------------------------------------------
+
+_WORDS = "len(regexp_extract_all({}, '\\S+'))"
+
+
+@query("SELECT doc_id, substr(sha256(lang || '|' || source || '|' || doc_id), 1, 16) AS chunk_id FROM documents")
+def chunk_ids(spark, d):
+    return B.documents(spark, d).select("doc_id", T.chunk_id("lang", "source", "doc_id").alias("chunk_id"))
+
+
+@query("SELECT p_partkey, entity_id FROM parts", graph_tables=True)
+def entity_ids(spark, d):
+    return B.parts(spark, d).select("p_partkey", "entity_id")
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'doi:' || lower('10.1/' || upper(lang) || doc_id) WHEN doc_id % 4 = 1 THEN 'oa:W' || doc_id
+  WHEN doc_id % 4 = 2 THEN 'title:' || sha256(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) END AS canonical_id FROM documents
+""")
+def canonical_doc_id(spark, d):
+    k = F.col("doc_id") % 4
+    doi, oa = F.when(k == 0, F.concat(F.lit("10.1/"), F.upper("lang"), "doc_id")).otherwise(""), F.when(k == 1, F.concat(F.lit("W"), "doc_id"))
+    return B.documents(spark, d).select("doc_id", T.canonical_doc_id(doi, oa, F.when(k == 2, F.substring("text", 1, 60))).alias("canonical_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 200")
+def min_len_filter(spark, d):
+    return B.documents(spark, d).where(T.long_enough("text", 200)).select("doc_id")
+
+
+_JUNK = f"""
+WITH p AS (SELECT doc_id, regexp_replace(part, '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'Figure ' || doc_id ELSE substr(text, 1, 150) END AS part FROM documents)),
+c AS (SELECT doc_id, t, {_WORDS.format('t')} AS w, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM p)
+SELECT doc_id, w < 20 AS s1, w < 50 AND regexp_matches(t, '(?i)^(fig(ure)?s?\\.?|table|supplementary\\s+(fig(ure)?|table)|supp\\.)\\s*[0-9a-z_]') AS s2,
+  length(t) > 0 AND len(regexp_extract_all(t, '[0-9]')) > 0.30 * length(t) AS s3,
+  len(l) >= 3 AND len(list_filter(l, lambda x: regexp_matches(x, '^[0-9\\[{{]'))) >= 0.40 * len(l) AS s4,
+  len(regexp_extract_all(t, '[.!?]\\s')) + CAST(right(t, 1) IN ('.', '!', '?') AS INT) < 2 AND w < 40 AS s5 FROM c
+"""
+
+
+@query(f"SELECT *, CAST(s1 AS INT) + CAST(s2 AS INT) + CAST(s3 AS INT) + CAST(s4 AS INT) + CAST(s5 AS INT) >= 2 AS junk FROM ({_JUNK})")
+def junk_chunk(spark, d):
+    part = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("Figure "), "doc_id")).otherwise(F.substring("text", 1, 150))
+    rows = B.documents(spark, d).select("doc_id", part.alias("part"))
+    return rows.select("doc_id", *[s.alias(k) for k, s in T.junk_signals("part").items()], T.is_junk_chunk("part").alias("junk"))
+
+
+_FORMS = "CASE doc_id % 8 WHEN 0 THEN lang WHEN 1 THEN 'Park et al. 2017' WHEN 2 THEN 'Park and Smith 20' || (10 + doc_id % 80) WHEN 3 THEN doc_id || ' C' WHEN 4 THEN 'XM_' || doc_id WHEN 5 THEN 'Müller cell ' || doc_id ELSE 'low body temperature (' || doc_id || ' C)' END"
+
+
+@query(f"""
+SELECT doc_id, f AS form, CASE WHEN length(f) < 3 THEN 'too_short' WHEN regexp_matches(f, '(?i)\\bet\\s+al\\b') THEN 'citation_et_al' WHEN regexp_matches(f, '^[A-Z][a-z]+(?:\\s+and\\s+[A-Z][a-z]+)?\\s+[0-9]{{4}}$') THEN 'author_year'
+  WHEN regexp_matches(f, '^[0-9]') THEN 'starts_with_digit' WHEN regexp_matches(f, '(?i)^(?:XM_|XP_|NM_|NP_|contig)[0-9]+') THEN 'accession_id' WHEN regexp_matches(f, '[^\\x00-\\x7F]') THEN 'non_ascii' END AS reason
+FROM (SELECT doc_id, {_FORMS} AS f FROM documents)
+""")
+def junk_entity(spark, d):
+    return B.documents(spark, d).select("doc_id", F.expr(_FORMS).alias("form")).withColumn("reason", T.junk_entity_reason("form"))
+
+
+@query("""
+SELECT doc_id, length(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || '  Literature  cited ' || chr(10) || 'x' || chr(10) || 'References' || chr(10) ELSE text || ' References' END,
+  '(?is)\\n\\s*(References|Bibliography|Literature\\s+Cited|Works\\s+Cited|Acknowledgements?)\\s*\\n.*', '')) AS n FROM documents
+""")
+def strip_references(spark, d):
+    t = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\n  Literature  cited \nx\nReferences\n"))).otherwise(F.concat("text", F.lit(" References")))
+    return B.documents(spark, d).select("doc_id", F.length(T.strip_references(t)).cast("long").alias("n"))
+
+
+@query("""
+SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY r) - 1 AS chunk_index FROM (
+  SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents)
+WHERE 2 * greatest(1, round_even(n * 0.05, 0)) >= n OR r <= greatest(1, round_even(n * 0.05, 0)) OR r > n - greatest(1, round_even(n * 0.05, 0))
+""")
+def chunk_cap(spark, d):
+    rows = chunking.numbered(B.documents(spark, d).select("source", "doc_id"), ["source"], "doc_id")
+    return chunking.capped(rows, ["source"], 0.05).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+@query()
+def splitter(spark, d):
+    out = chunking.chunk_documents(B.documents(spark, d), "lang", "source", "doc_id", cap=0.4, drop_junk=True)
+    return out.select("chunk_id", "species_norm", "doc_id", "chunk_index", F.length("content").alias("n_chars"))
+
+
+@query("""
+SELECT doc_id, '[source: ' || source || '|chunk:' || doc_id || ']' AS tag, source AS cited, CAST(doc_id AS INT) AS chunk_index, regexp_replace(lower(lang || ' ' || source), '[^a-z0-9]', '_', 'g') AS slug,
+  regexp_replace(trim(lower(replace(lang || '__' || source, '_', ' '))), '\\s+', ' ', 'g') AS name, regexp_replace(lower(' ' || source || ' - ' || lang), '^\\s+|\\s+$', '', 'g') AS low FROM documents
+""")
+def names_and_tags(spark, d):
+    tag = T.citation("source", "doc_id")
+    p = T.parse_citation(tag)
+    return B.documents(spark, d).select("doc_id", tag.alias("tag"), p["doc_id"].alias("cited"), p["chunk_index"].alias("chunk_index"), T.slug(F.concat_ws(" ", "lang", "source")).alias("slug"), T.scientific_name(F.concat_ws("__", "lang", "source")).alias("name"), F.lower(T.strip(F.concat(F.lit(" "), "source", F.lit(" - "), "lang"))).alias("low"))
+
+
+@query("""
+SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'HP:' || n_nationkey WHEN 1 THEN 'GO:' || n_nationkey END AS curie, CASE n_nationkey % 3 WHEN 0 THEN 'HP' WHEN 1 THEN 'GO' ELSE 'UNKNOWN' END AS prefix,
+  n_name || CASE WHEN n_nationkey % 2 = 0 THEN '. a | b. def' ELSE '' END AS rich FROM nation
+""")
+def term_names(spark, d):
+    k = F.col("n_nationkey")
+    iri = F.when(k % 3 == 0, F.concat(F.lit("http://x.org/obo/HP_"), k)).when(k % 3 == 1, F.concat(F.lit("http://x.org/GO/"), k)).otherwise(F.concat(F.lit("http://x.org/obo/CL_"), k))
+    c = T.iri_to_curie(iri)
+    even = k % 2 == 0
+    return B.load(spark, d, "nation").select("n_nationkey", c.alias("curie"), T.term_prefix(F.coalesce(c, F.lit(""))).alias("prefix"), T.rich_text("n_name", F.when(even, F.array(F.lit("a"), F.lit("b"))), F.when(even, F.lit("def")), F.lit("")).alias("rich"))
+
+
+@query("""
+SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(html, '(?is)<(?:script\\b.*?</script>|style\\b.*?</style>)', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS text FROM pages
+""")
+def page_text(spark, d):
+    return B.load(spark, d, "pages").select("page_id", readers.html_text("html").alias("text"))
+
+
+@query("""
+SELECT name, title, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY greatest(s, -1) DESC, rank) AS r FROM (
+    SELECT c_mktsegment AS name, p_name AS title, p_partkey AS rank,
+      CASE WHEN lower(p_name) = lower(c_mktsegment) THEN 5 ELSE 0 END + CASE WHEN contains(lower(p_name), lower(c_mktsegment)) THEN 5 ELSE 0 END + CASE WHEN contains(lower(p_type || ' ' || c_mktsegment || p_brand), lower(c_mktsegment)) AND p_size % 7 = 3 THEN 1 ELSE 0 END
+      - CASE WHEN contains(lower(p_name), 'genus') THEN 2 ELSE 0 END AS s
+    FROM part, (SELECT DISTINCT c_mktsegment FROM customer))) WHERE r = 1
+""")
+def best_hit(spark, d):
+    seg = B.load(spark, d, "customer").select(F.col("c_mktsegment").alias("name")).distinct()
+    hits = B.load(spark, d, "part").join(F.broadcast(seg)).select("name", F.col("p_name").alias("title"), F.when(F.col("p_size") % 7 == 3, F.concat("p_type", F.lit(" "), "name", "p_brand")).alias("snippet"), F.col("p_partkey").cast("int").alias("rank"))
+    return vectors.best_hits(hits)
+
+
+# ---- mapping statistics ----------------------------------------------------
+
+_MAPROWS = """
+, m AS (SELECT entity_id, surface_form, entity_type, term_id, length(surface_form) % 4 <> 0 AS mapped, CASE WHEN length(surface_form) % 4 = 3 THEN 0 ELSE (length(surface_form) * 7 % 50) / 64.0 END AS cosine_score FROM entities JOIN mapped USING (entity_id))
+"""
+
+
+def _maprows(spark, d):
+    n = F.length("surface_form")
+    return B.entities(spark, d).join(B.mapped(spark, d).select("entity_id", "term_id"), "entity_id").withColumns({"mapped": n % 4 != 0, "cosine_score": F.when(n % 4 == 3, F.lit(0.0)).otherwise((n * 7 % 50) / 64.0)})
+
+
+@query(_MAPROWS + """
+SELECT entity_type, count(*) AS seen, count(*) FILTER (WHERE mapped) AS mapped, count(*) FILTER (WHERE NOT mapped) AS no_match, round(count(*) FILTER (WHERE mapped) / count(*), 3) AS map_rate,
+  round(avg(nullif(cosine_score, 0)) FILTER (WHERE mapped), 3) AS avg_cosine FROM m GROUP BY 1
+""", graph_tables=True)
+def type_map_stats(spark, d):
+    return mapping.type_stats(_maprows(spark, d))
+
+
+@query(_MAPROWS + """
+SELECT count(*) AS n_terms, round(avg(n), 3) AS forms_per_term, count(*) FILTER (WHERE n > 1) AS n_shared, CAST(sum(n - 1) AS BIGINT) AS n_redundant, round(avg(s) FILTER (WHERE n > 1), 3) AS avg_spread
+FROM (SELECT term_id, count(DISTINCT surface_form) AS n, max(cosine_score) - min(cosine_score) AS s FROM m WHERE mapped GROUP BY 1)
+""", graph_tables=True)
+def dedup_stats(spark, d):
+    return mapping.merge_stats(_maprows(spark, d).where("mapped"))
+
+
+# ---- runs and summaries ----------------------------------------------------
+
+
+@query("SELECT p_type AS trait, count(DISTINCT o_orderpriority) AS n_runs FROM lines GROUP BY 1", graph_tables=True)
+def trait_frequency(spark, d):
+    return analysis.trait_frequency(B.cited(spark, d))
+
+
+@query("""
+, c AS (SELECT o_orderpriority AS run, p_type AS trait, CASE WHEN l_suppkey % 4 = 0 THEN CAST(l_suppkey AS VARCHAR) END AS source FROM lines),
+s AS (SELECT trait, run, coalesce(list(DISTINCT source) FILTER (WHERE source IS NOT NULL), []) AS cited FROM c GROUP BY 1, 2),
+u AS (SELECT trait, list_distinct(flatten(list(cited))) AS u, count(*) AS runs_present FROM s GROUP BY 1),
+p AS (SELECT x.trait, avg(CASE WHEN len(x.cited) + len(y.cited) = 0 THEN 1.0 ELSE len(list_intersect(x.cited, y.cited)) / len(list_distinct(list_concat(x.cited, y.cited))) END) AS p FROM s x JOIN s y ON x.trait = y.trait AND x.run < y.run GROUP BY 1)
+SELECT trait, runs_present, CAST(len(u) AS BIGINT) AS citation_union_size, round(coalesce(any_value(p), 1.0), 3) AS mean_pairwise_jaccard, round(avg(len(cited) / len(u)), 3) AS mean_vs_union_jaccard
+FROM s JOIN u USING (trait) LEFT JOIN p USING (trait) WHERE len(u) > 0 GROUP BY trait, runs_present, u
+""", graph_tables=True)
+def citation_drift(spark, d):
+    return analysis.citation_drift(B.cited(spark, d).withColumn("source", F.when(F.col("source").cast("int") % 4 == 0, F.col("source"))))
+
+
+@query("SELECT p_type AS trait, CAST(l_suppkey AS VARCHAR) AS source, count(DISTINCT o_orderpriority) AS n_runs FROM lines GROUP BY 1, 2", graph_tables=True)
+def citation_counts(spark, d):
+    return analysis.source_counts(B.cited(spark, d))
+
+
+@query("""
+SELECT "group", CAST(sum(n) AS BIGINT) AS n FROM (SELECT DISTINCT p_brand AS "group", p_type || p_size AS trait FROM part) g
+LEFT JOIN (SELECT p_type || p_size AS trait, count(*) AS n FROM part WHERE p_size > 10 GROUP BY 1) USING (trait) GROUP BY 1
+""")
+def group_counts(spark, d):
+    p = B.load(spark, d, "part").select(F.col("p_brand").alias("group"), F.concat("p_type", "p_size").alias("trait"), "p_size")
+    return analysis.group_counts(p.select("group", "trait").distinct(), p.where("p_size > 10").groupBy("trait").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("SELECT lang, count(DISTINCT source) AS n_sources, count(DISTINCT source) FILTER (WHERE source < 'src2') AS n_wiki, count(DISTINCT source) FILTER (WHERE source >= 'src2') AS n_pdf FROM documents GROUP BY 1")
+def species_source_counts(spark, d):
+    return analysis.source_usage(B.documents(spark, d), "lang", "source", F.col("source") < "src2")
+
+
+@query("SELECT lang AS species_norm, array_to_string(list_sort(list(DISTINCT CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 7 AS VARCHAR) ELSE source END)), ',') AS sources FROM documents GROUP BY 1")
+def ingested_sources(spark, d):
+    rows = B.documents(spark, d).select(F.col("lang").alias("species_norm"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("source_path"), (F.col("doc_id") % 7).cast("string").alias("doc_id"))
+    return analysis.ingested_sources(rows).select("species_norm", F.array_join("sources", ",").alias("sources"))
+
+
+@query("""
+SELECT lang, count(v) AS n, round(avg(v), 4) AS mean, round(stddev(v), 4) AS std, min(v) AS least, round(quantile_cont(v, 0.25), 4) AS q1, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS q3, max(v) AS most,
+  round(max(v) / nullif(min(v), 0), 4) AS ratio FROM (SELECT lang, length(text) AS v FROM documents) GROUP BY 1
+""")
+def describe_groups(spark, d):
+    return analysis.described(B.documents(spark, d).select("lang", F.length("text").cast("long").alias("v")), "v", "lang")
+
+
+@query("SELECT v, n, round(sum(n) OVER (ORDER BY v) / sum(n) OVER (), 6) AS cdf FROM (SELECT CAST(length(text) // 500 AS BIGINT) AS v, count(*) AS n FROM documents GROUP BY 1)")
+def describe_cdf(spark, d):
+    return analysis.distribution(B.documents(spark, d).select(F.floor(F.length("text") / 500).alias("v")), "v")
+
+
+@query("SELECT CASE WHEN k < 100 THEN '<100' WHEN k < 1000 THEN '100-999' WHEN k < 5000 THEN '1000-4999' ELSE '>=5000' END AS bracket, count(*) AS n FROM (SELECT length(text) AS k FROM documents) GROUP BY 1")
+def bracket_counts(spark, d):
+    return B.documents(spark, d).select(F.length("text").alias("k")).groupBy(analysis.bracket("k", [100, 1000, 5000]).alias("bracket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT source, count(*) AS n, round(count(*) / 10 * 100, 2) AS share FROM documents GROUP BY 1")
+def theme_share(spark, d):
+    return analysis.theme_share(B.documents(spark, d), "source")
+
+
+@query("SELECT s_name AS src, t.s_name2 AS dst FROM supplier JOIN (SELECT s_suppkey AS k2, s_name AS s_name2, s_nationkey AS n2, s_suppkey % 20 AS g2 FROM supplier) t ON s_suppkey % 20 = g2 AND s_suppkey <> k2 AND s_nationkey <> n2 GROUP BY 1, 2")
+def synonym_pairs(spark, d):
+    return graph.synonym_pairs(B.load(spark, d, "supplier").select((F.col("s_suppkey") % 20).alias("group_id"), F.col("s_suppkey").alias("pos"), F.col("s_nationkey").alias("species"), F.col("s_name").alias("raw_trait")))
+
+
+@query("SELECT lang, count(DISTINCT source) FILTER (WHERE doc_id % 2 = 1) AS kept, count(*) AS seen FROM documents GROUP BY 1")
+def allowed_citations(spark, d):
+    b = B.documents(spark, d).groupBy("lang").agg(F.array_sort(F.collect_list("source")).alias("tags"), F.count(F.lit(1)).alias("seen"))
+    ok = B.documents(spark, d).where("doc_id % 2 = 1").select(F.concat_ws("|", "lang", "source").alias("tag"))
+    tagged = b.select(F.col("lang").alias("id"), F.col("lang").alias("trait"), F.transform("tags", lambda t: F.concat_ws("|", "lang", t)).alias("tags"))
+    return vectors.allowed_citations(tagged, ok).select(F.col("id").alias("lang"), F.size("tags").cast("long").alias("kept")).join(b.select("lang", "seen"), "lang")
+
+
+# ---- increments and streams ------------------------------------------------
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2 DESC, ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def keyed_upsert(spark, d):
+    e = B.load(spark, d, "events").select("user_id", "event_id", "ts", "value")
+    old = graph.first_of(e.where("event_id % 2 = 0"), ["user_id"], [F.desc("ts"), F.desc("event_id")])
+    return graph.keep_latest(old, e.where("event_id % 2 = 1"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "value")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND source NOT IN (SELECT source FROM documents WHERE doc_id % 3 = 0 AND doc_id < 10)")
+def not_ingested(spark, d):
+    rows = B.documents(spark, d).select("doc_id", F.col("source").alias("source_path"))
+    known = rows.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") < 10, F.col("source_path")).alias("source_path"))
+    return incremental.not_ingested(rows, known).select("doc_id")
+
+
+@query(f"""
+SELECT CASE WHEN doc_id % 5 = 0 THEN 'skipped' WHEN junk THEN 'junk' ELSE 'indexed' END AS status, count(*) AS n FROM (
+  SELECT *, CAST(s1 AS INT) + CAST(s2 AS INT) + CAST(s3 AS INT) + CAST(s4 AS INT) + CAST(s5 AS INT) >= 2 AS junk FROM ({_JUNK})) GROUP BY 1
+""")
+def run_status(spark, d):
+    part = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("Figure "), "doc_id")).otherwise(F.substring("text", 1, 150))
+    rows = B.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), part.alias("content"))
+    return incremental.run_status(rows, rows.where("chunk_id % 5 = 0").select("chunk_id"))
+
+
+@query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def json_props(spark, d):
+    return B.load(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").alias("k")).groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_counts(spark, d):
+    return incremental.tumbling_counts(B.load(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("""
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s
+""")
+def session_windows(spark, d):
+    return incremental.sessions(B.load(spark, d, "events"))
+
+
+@query()
+def whole_flow(spark, d):
+    """Documents to convergence with the offline defaults: words of the source names' sections stand for terms."""
+    docs = B.documents(spark, d)
+    words = ["the", "and", "that", "with", "der", "und", "les", "des", "los", "una"]
+    kinds = ["Anatomy", "Phenotype", "Process", "Habitat", "Gene"]
+    models = pipeline.Models(extract.dictionary_extractor({w: kinds[k % 5] for k, w in enumerate(words)}))
+    terms = extract.embedded(spark.createDataFrame([(f"HP:{k}", w, "HP", [], "", ["HP:100"], w) for k, w in enumerate(words)] + [("HP:100", "word", "HP", [], "", [], "word")], "id string, name string, ontology string, synonyms array<string>, definition string, parents array<string>, rich_text string"), "rich_text", models.embedder, "embedding")
+    tables = pipeline.index_chunks(chunking.chunk_documents(docs, "source", "source", "doc_id"), models)
+    out = pipeline.converge(pipeline.enrich(tables, terms, models), docs.select("source").distinct().count(), 2)
+    return out["tier1"]
