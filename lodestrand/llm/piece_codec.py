@@ -225,7 +225,7 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text", out: s
     texts have no ids. A column that is named like `out` is replaced.
     """
     keep = [c for c in docs.columns if c not in (out, check)]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.IntegerType()))] + [T.StructField(check, T.BooleanType())] * bool(check))
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.IntegerType()))] + ([T.StructField(check, T.BooleanType())] if check else []))
 
     def run(batches):
         c = codec(path or model_path())
@@ -235,7 +235,7 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text", out: s
                 ids = c.encode_all(block)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
-                same = [pa.array([c.decode(x.tolist()) == t for x, t in zip(ids, block)], pa.bool_())] * bool(check)
+                same = [pa.array([c.decode(x.tolist()) == t for x, t in zip(ids, block)], pa.bool_())] if check else []
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(block)).columns, lists, *same], names=schema.fieldNames())
                 at += len(block)
 
