@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,14 @@ from .. import schemas as S
 from ..functions import text as T
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once: its lineage is cut by checkpoint() into the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrand-"))
+    return df.checkpoint()
+
+
 def keep_latest(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """An upsert by key; of several new rows of a key the first by `order` stays."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
@@ -91,27 +101,17 @@ def closure_within(is_a: DataFrame, terms: DataFrame, hops: int) -> DataFrame:
     return out.distinct()
 
 
-def transitive_closure(is_a: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """H3: all (child_id, parent_id) over one or more edges, cycles included.
-
-    Each round extends only the pairs that are new; lineage is cut by
-    checkpoint() into the shared folder.
-    """
-    sc = is_a.sparkSession.sparkContext
-    if checkpoint and sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(is_a.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrand-"))
-    cut = (lambda df: df.checkpoint()) if checkpoint else (lambda df: df)
-    edges = cut(is_a.select("child_id", "parent_id").where("child_id is not null and parent_id is not null").distinct())
+def transitive_closure(is_a: DataFrame) -> DataFrame:
+    """H3: all (child_id, parent_id) over one or more edges, cycles included. Each round extends only the pairs that are new."""
+    edges = settled(is_a.select("child_id", "parent_id").where("child_id is not null and parent_id is not null").distinct())
     step = edges.select(F.col("child_id").alias("_at"), F.col("parent_id").alias("_up"))
     known = delta = edges
     while True:
         far = delta.join(step, F.col("parent_id") == F.col("_at")).select("child_id", F.col("_up").alias("parent_id")).distinct()
-        delta = cut(far.join(known, ["child_id", "parent_id"], "left_anti").select("child_id", "parent_id"))
+        delta = settled(far.join(known, ["child_id", "parent_id"], "left_anti").select("child_id", "parent_id"))
         if delta.isEmpty():
             return known
-        known = cut(known.union(delta).distinct())
+        known = settled(known.union(delta).distinct())
 
 
 def fan_in(is_a: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .extract import Embedder, Normalizer, Verifier, embedded, keep_as_is
-from .graph import keep_latest
+from .graph import keep_latest, settled
 from .vectors import nearest
 
 
@@ -83,12 +83,14 @@ def map_forms(forms: DataFrame, terms: DataFrame, embedder: Embedder, verifier:
     traits = embedded(normalized(forms, normalizer), "normalized_trait", embedder)
     rows = traits.join(top_candidates(traits, terms, k), "raw_trait", "left").select("raw_trait", "normalized_trait", "candidates")
     top = F.col("candidates")[0]
-    rows = rows.withColumns({"score": top["cosine_score"], "decision": decision(top["cosine_score"])}).cache()
+    rows = rows.withColumns({"score": top["cosine_score"], "decision": decision(top["cosine_score"])})
+    rows = settled(rows)
     none = F.lit(None).cast("string")
     accept = rows.where("decision = 'accept'").select("raw_trait", "normalized_trait", top["id"].alias("term_id"), F.lit("high").alias("confidence"), F.col("score").alias("cosine_score"), F.lit("accepted by score").alias("reasoning"), F.lit(False).alias("broadened"), F.lit(True).alias("clean"))
     reject = rows.where("decision = 'reject'").select("raw_trait", "normalized_trait", none, F.lit("no_match"), F.lit(None).cast("double"), F.lit("rejected by score"), F.lit(False), F.lit(True))
     asked = rows.where("decision = 'verify'")
-    first = asked.join(_verified(asked, verifier), "raw_trait").cache()
+    first = asked.join(_verified(asked, verifier), "raw_trait")
+    first = settled(first)
     own = F.get(F.transform(F.filter("candidates", lambda c: c["id"] == F.col("verdict_id")), lambda c: c["cosine_score"]), F.lit(0))
     sure = F.col("verdict").isin("high", "medium")
     up = first.where((F.col("verdict") == "low") & F.col("verdict_id").isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as T
-from .graph import closure_within, entity_species
+from .graph import closure_within, entity_species, settled
 
 
 def default_min_species(n: Column | int) -> Column:
@@ -132,18 +132,19 @@ def tier2_clusters(pairs: DataFrame, min_species: int) -> DataFrame:
     return one.groupBy("_all").applyInPandas(run, "cluster int, members array<string>, species array<string>, n_pairs int")
 
 
-def tier2_components(pairs: DataFrame, min_species: int, rounds: int = 20) -> DataFrame:
-    """H4's membership at any scale: (entity_id, component), the smallest id that pairs reach."""
-    e = unordered_pairs(pairs, min_species).select("eid_a", "eid_b").cache()
-    both = e.unionByName(e.select(F.col("eid_b").alias("eid_a"), F.col("eid_a").alias("eid_b")))
-    labels = both.groupBy("eid_a").agg(F.least(F.min("eid_b"), F.first("eid_a")).alias("label")).select(F.col("eid_a").alias("entity_id"), "label")
-    spark = pairs.sparkSession
-    for _ in range(rounds):
+def tier2_components(pairs: DataFrame, min_species: int) -> DataFrame:
+    """H4's membership at any scale: (entity_id, component), the smallest id that pairs reach.
+
+    Each round takes the least label among neighbours, then that label's own.
+    """
+    e = unordered_pairs(pairs, min_species).select("eid_a", "eid_b")
+    both = settled(e.union(e.select("eid_b", "eid_a")))
+    labels = settled(both.groupBy(F.col("eid_a").alias("entity_id")).agg(F.min("eid_b").alias("_m")).select("entity_id", F.least("entity_id", "_m").alias("label")))
+    while True:
         near = both.join(labels, F.col("eid_b") == F.col("entity_id")).groupBy("eid_a").agg(F.min("label").alias("near"))
-        after = labels.join(near, F.col("entity_id") == F.col("eid_a"), "left").select("entity_id", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
-        after = after.checkpoint() if spark.sparkContext.getCheckpointDir() else after.cache()
-        done = after.where("moved").isEmpty()
+        step = settled(labels.join(near, F.col("entity_id") == F.col("eid_a")).select("entity_id", F.least("label", "near").alias("label"), F.col("label").alias("old")))
+        jump = step.select(F.col("entity_id").alias("_at"), F.col("label").alias("_to"))
+        after = settled(step.join(jump, F.col("label") == F.col("_at")).select("entity_id", F.col("_to").alias("label"), "old"))
         labels = after.select("entity_id", "label")
-        if done:
-            break
-    return labels.withColumnRenamed("label", "component")
+        if after.where("label <> old").isEmpty():
+            return labels.withColumnRenamed("label", "component")

@@ -34,9 +34,14 @@ def query(sql: str | None = None, graph_tables: bool = False):
 # ---- convergence -----------------------------------------------------------
 
 
-def _candidates(spark, d):
+def _candidates(spark, d, least=MIN_SPECIES):
     is_a = B.is_a(spark, d)
-    return tiers.tier1_candidates(B.mentions(spark, d), B.chunks(spark, d), B.entities(spark, d), B.mapped(spark, d), is_a, _fan_in(spark, d), MIN_SPECIES, blocked=[B.ROOT])
+    return tiers.tier1_candidates(B.mentions(spark, d), B.chunks(spark, d), B.entities(spark, d), B.mapped(spark, d), is_a, _fan_in(spark, d), least, blocked=[B.ROOT])
+
+
+def tier1_small(spark, d):
+    """The ranking where few species are enough, for small tables."""
+    return tiers.tier1_ranked(_candidates(spark, d, 2), NATIONS)
 
 
 def _fan_in(spark, d):
@@ -94,8 +99,10 @@ SELECT p AS term_id, count(DISTINCT c) AS fan_in FROM closed WHERE c <> p GROUP
 def fan_in(spark, d):
     """With a cycle: the root lies under TOP, and TOP under the root."""
     flat = B.is_a(spark, d)
-    more = flat.select(F.col("parent_id").alias("child_id"), F.lit("TOP").alias("parent_id")).union(spark.sql("select 'TOP', 'ROOT'"))
-    return graph.fan_in(flat.unionByName(more).distinct())
+    edge = lambda a, b: F.struct(a.alias("child_id"), b.alias("parent_id"))
+    top, root = F.lit("TOP"), F.lit(B.ROOT)
+    edges = flat.select(F.explode(F.array(edge(F.col("child_id"), F.col("parent_id")), edge(F.col("parent_id"), top), edge(top, root))).alias("e")).select("e.*")
+    return graph.fan_in(edges.distinct())
 
 
 @query("SELECT entity_id, species_norm, surface_form, entity_type, count(*) AS mention_count FROM mentions JOIN entities USING (entity_id) GROUP BY ALL", graph_tables=True)
@@ -256,12 +263,12 @@ def nearest_share(spark, d):
 
 @query("""
 , q AS (SELECT id AS query_id, vector FROM vectors WHERE id IN (0, 1)),
-h AS (SELECT * FROM (SELECT query_id, v.id, v.label, round(list_distance(q.vector, v.vector) ** 2, 4) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(list_distance(q.vector, v.vector) ** 2, 6), v.id) AS r FROM q, vectors v) WHERE r <= 50)
+h AS (SELECT * FROM (SELECT query_id, v.id, v.label, round(list_distance(q.vector, v.vector) ** 2, 2) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(list_distance(q.vector, v.vector) ** 2, 6), v.id) AS r FROM q, vectors v) WHERE r <= 50)
 SELECT id, label, min(distance) AS distance FROM h GROUP BY 1, 2
 """, graph_tables=True)
 def dual_query_union(spark, d):
     v = B.vectors(spark, d)
-    hits = [vectors.nearest(v.where(F.col("id") == i).select(F.col("id").alias("query_id"), "vector"), v.select("id", "vector"), 50, "l2").join(v.select("id", "label"), "id").select("id", "label", F.round("score", 4).alias("distance")) for i in (0, 1)]
+    hits = [vectors.nearest(v.where(F.col("id") == i).select(F.col("id").alias("query_id"), "vector"), v.select("id", "vector"), 50, "l2").join(v.select("id", "label"), "id").select("id", "label", F.round("score", 2).alias("distance")) for i in (0, 1)]
     return vectors.united_candidates(*hits, ["id", "label"])
 
 

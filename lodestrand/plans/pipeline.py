@@ -25,20 +25,24 @@ class Models:
 
 def index_chunks(chunks: DataFrame, models: Models, triple_index_mode: str = "original") -> dict[str, DataFrame]:
     """chunks: (chunk_id, species_norm, content, ...) to entity, mention and relation tables."""
-    out = extract.parsed(extract.extracted(chunks.where(~T.is_junk_chunk("content")), models.extractor)).cache()
-    ent = extract.valid_entities(out)
+    out = extract.parsed(extract.extracted(chunks.where(~T.is_junk_chunk("content")), models.extractor))
+    out = graph.settled(out)
+    ent = graph.settled(extract.valid_entities(out))
     entities = graph.first_of(ent, ["entity_id"], ["chunk_id", "pos"]).select("entity_id", "surface_form", "entity_type", "species_norm", F.lower("surface_form").alias("canonical"))
-    return {"doc_chunk": chunks, "doc_entity": entities, "mentions": ent.select("chunk_id", "entity_id", "species_norm").distinct(), "related_to": extract.valid_triples(out, ent, triple_index_mode)}
+    known = chunks.select("chunk_id", "species_norm", "source_path", "chunk_index", "text_snippet")
+    return {"doc_chunk": graph.settled(known), "doc_entity": graph.settled(entities), "mentions": ent.select("chunk_id", "entity_id", "species_norm").distinct(), "related_to": extract.valid_triples(out, ent, triple_index_mode)}
 
 
 def enrich(tables: dict[str, DataFrame], terms: DataFrame, models: Models, threshold: float = S.SIMILAR) -> dict[str, DataFrame]:
     """Maps entities to terms, lays IS_A flat, counts fan-in and pairs similar entities."""
+    terms = graph.settled(terms)
     e = tables["doc_entity"].withColumn("upheno_enriched", F.lit(False))
     todo = graph.entities_to_map(tables["mentions"], tables["doc_chunk"], e)
-    done = mapping.fan_out(todo, mapping.map_forms(todo.select(F.col("surface_form").alias("raw_trait")), terms, models.embedder, models.verifier, models.normalizer)).cache()
+    done = mapping.fan_out(todo, mapping.map_forms(todo.select(F.col("surface_form").alias("raw_trait")), terms, models.embedder, models.verifier, models.normalizer))
+    done = graph.settled(done)
     mapped = done.where("mapped").select("entity_id", "term_id", "term_name", "cosine_score", "confidence", "broadened")
     parents = terms.select(F.col("id").alias("child_id"), F.explode("parents").alias("parent_id"))
-    is_a = graph.flattened(mapped.select("term_id").distinct(), parents)
+    is_a = graph.settled(graph.flattened(mapped.select("term_id").distinct(), parents))
     sets = graph.entity_species(tables["mentions"], tables["doc_chunk"]).groupBy("entity_id").agg(F.array_sort(F.collect_set("species_norm")).alias("groups"))
     similar_in = extract.embedded(e.where(F.col("entity_type").isin(S.SIMILARITY_TYPES)).select("entity_id", "surface_form"), "surface_form", models.embedder).join(sets, "entity_id").select(F.col("entity_id").alias("id"), "vector", "groups")
     return tables | {"mapping": done, "doc_mapped_to": mapped, "is_a": is_a, "fan_in": graph.fan_in(is_a), "doc_similar_to": vectors.both_directions(vectors.similar_pairs(similar_in, threshold))}
