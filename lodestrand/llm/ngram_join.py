@@ -5,9 +5,10 @@ they share one of their first tokens, whatever global order the tokens are put
 in. Candidates come from a shared prefix token under the first order, and must
 share prefix tokens under every other order before their sets are compared.
 
-The orders differ in how they arrange tokens of like frequency, but all put
-frequent tokens last: frequencies come from a sketch of fixed size over all
-documents, which steers the orders but cannot change which pairs are found.
+Each order goes by its own sketch of the tokens' frequencies over all
+documents, of fixed size: all put frequent tokens last, and differ in how they
+arrange rare ones. Sketches steer the orders but cannot change which pairs are
+found.
 
 Only what can change components is compared. Equal sets are one node. First
 every node is held against leaders of the buckets that it is in, which joins
@@ -26,7 +27,7 @@ from .common import components, join_counted, release, staged
 from .token_count import text_buffer
 from .words import U, mixed, shingles, word_hashes
 
-#: Counters of the frequency sketch, and rows that carry it.
+#: Counters of each order's frequency sketch, and rows that carry the sketches.
 SKETCH, SKETCH_ROWS = 1 << 20, 64
 ORDERS = 3
 LEADER_ROUNDS = 2
@@ -60,21 +61,29 @@ def _sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
 
 
-def _slots(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> U(40)).astype(np.int64) & (SKETCH - 1)
+def _slots(tokens: np.ndarray, order: int) -> np.ndarray:
+    return (mixed(tokens + U((order + 1) * 0xA24BAED4963EE407 % (1 << 64))) >> U(64 - SKETCH.bit_length() + 1)).astype(np.int64)
 
 
 class TokenOrders:
-    """Ranks of tokens under each order, from the sketch of their frequencies."""
+    """Ranks of tokens under each order: by the order's own sketch of frequencies, then by hash.
+
+    Every order puts frequent tokens last. Among rare tokens chance collisions
+    decide, which differ from sketch to sketch.
+    """
 
     def __init__(self, counts: np.ndarray):
-        middle = float(np.median(counts))
-        above = counts - middle - 6 * middle**0.5 - 2
-        # the usual number of collisions tells nothing; beyond it frequencies go by powers of two
-        self.level = np.where(above > 0, np.log2(np.maximum(counts - middle, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
+        self.level = np.stack([self._levels(c) for c in counts])
+
+    @staticmethod
+    def _levels(counts: np.ndarray) -> np.ndarray:
+        """Frequencies in 256 steps: even shares up to the 99th percentile, then by powers of two."""
+        steps = np.quantile(counts, np.linspace(0, 0.99, 200))
+        top = np.log2(np.maximum(counts, 1) / max(steps[-1], 1)) * 4 + 200
+        return np.where(counts > steps[-1], np.clip(top, 200, 255), np.searchsorted(steps, counts)).astype(np.uint8)
 
     def rank(self, tokens: np.ndarray, order: int) -> np.ndarray:
-        return self.level[_slots(tokens)].astype(U) << U(58) | mixed(tokens + U((order + 1) * 0xA24BAED4963EE407 % (1 << 64))) >> U(6)
+        return self.level[order][_slots(tokens, order)].astype(U) << U(56) | mixed(tokens ^ U((order + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) >> U(8)
 
     def prefix(self, tokens: np.ndarray, bounds: np.ndarray, order: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """The first tokens of each set, as many as must hold one that a similar set shares."""
@@ -91,18 +100,19 @@ def _list(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def profiles(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """One row per document (doc_id, n_shingles, fp1, fp2), and the sketch of all shingles' frequencies.
+    """One row per document (doc_id, n_shingles, fp1, fp2), and a sketch of all shingles' frequencies for each order.
 
     fp1, fp2: 128 bits that equal sets have in common.
     """
-    per_row = SKETCH // SKETCH_ROWS
+    per_row = ORDERS * SKETCH // SKETCH_ROWS
 
     def run(batches):
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros((ORDERS, SKETCH), np.int64)
         for batch in batches:
             for i, j, b, offsets in _blocks(batch.column(1)):
                 tokens, bounds = shingle_sets(b, offsets, n)
-                counts += np.bincount(_slots(tokens), minlength=SKETCH)
+                for k in range(ORDERS):
+                    counts[k] += np.bincount(_slots(tokens, k), minlength=SKETCH)
                 m = pa.nulls(j - i, pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(_sums(mixed(tokens ^ U(0x5851F42D4C957F2D)), bounds)), pa.array(_sums(mixed(tokens ^ U(0x14057B7EF767814F)), bounds)), m, pa.nulls(j - i, pa.binary())], names=names)
         if counts.any():
@@ -125,7 +135,7 @@ def profiles(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     # SKETCH_ROWS parts of fixed size, whatever the input
     for r in rows.where("part is not null").select("part", "blob").repartition("part").mapInArrow(add, "part int, blob binary").collect():
         counts[r.part] += np.frombuffer(r.blob, np.int64)
-    return rows.where("part is null").drop("part", "blob"), counts.reshape(-1)
+    return rows.where("part is null").drop("part", "blob"), counts.reshape(ORDERS, SKETCH)
 
 
 def prefix_entries(docs: DataFrame, n: int, percent: int, orders: TokenOrders) -> DataFrame:
