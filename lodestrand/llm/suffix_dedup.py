@@ -293,7 +293,7 @@ def repeated_suffixes(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFr
         if found:
             yield ranges(found)
 
-    listed = marks.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "lo", "hi")).alias("marks"))
+    listed = marks.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("marks"))
     texts = docs.select("doc_id", "text").join(listed, "doc_id").select("doc_id", "text", "marks")
     schema = "bucket int, anchor long, at int, context binary, doc_id long, lo int, hi int"
     return texts.mapInArrow(gather, schema).repartition(buckets, "bucket").mapInArrow(resolve, _RANGES)
@@ -330,10 +330,12 @@ def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     is_copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
     total = sized.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = int(min(max(total // BUCKET_BYTES, 32), 100_000))
-    firsts = docs.where(F.octet_length("text") >= LENGTH).join(sized.where(is_copy).select("doc_id"), "doc_id", "left_anti")
-    marks = staged(shared_anchors(firsts, buckets).distinct(), "marks")
+    copies = staged(sized.where(is_copy).select("doc_id").distinct(), "copies")
+    firsts = docs.where(F.octet_length("text") >= LENGTH).join(copies, "doc_id", "left_anti")
+    marks = staged(shared_anchors(firsts, buckets), "marks")
     release(spark)
-    found = staged(repeated_suffixes(firsts, marks, buckets), "ranges")
+    # copies have no marks, so all documents may be asked
+    found = staged(repeated_suffixes(docs, marks, buckets), "ranges")
     release(spark)
 
     def cut(batches):
