@@ -13,6 +13,7 @@ from .. import schemas as S
 from ..functions import text as T
 from ..functions import vectors as V
 
+#: Rows of a block.
 BLOCK = 512
 
 
@@ -158,7 +159,6 @@ def retrieve(chunks: DataFrame, query1, query2, group: str = "specie", fetch: in
 
     chunks: (id, group, doc_id, vector). query1, query2: vectors; the balance is against their mean.
     """
-    spark = chunks.sparkSession
     names = chunks.select(group).distinct()
 
     def search(vector):
@@ -168,7 +168,6 @@ def retrieve(chunks: DataFrame, query1, query2, group: str = "specie", fetch: in
 
     mean = [(float(x) + float(y)) / 2 for x, y in zip(query1, query2)]
     both = united_candidates(search(query1), search(query2), ["id", group]).withColumn("query", F.array(*[F.lit(x) for x in mean]))
-    del spark
     chosen = mmr(both, group, final).drop("query")
     return per_document(within_margin(chosen, group, margin, threshold=threshold), [group])
 

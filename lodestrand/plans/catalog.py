@@ -574,7 +574,7 @@ def session_windows(spark, d):
 
 @query()
 def whole_flow(spark, d):
-    """Documents to convergence with the offline defaults: words of the source names' sections stand for terms."""
+    """Documents to convergence with the offline defaults; sources are the species, ten common words the terms."""
     docs = B.documents(spark, d)
     words = ["the", "and", "that", "with", "der", "und", "les", "des", "los", "una"]
     kinds = ["Anatomy", "Phenotype", "Process", "Habitat", "Gene"]
