@@ -4,6 +4,9 @@ A document is the set of its word n-grams (shingles). If two sets are similar,
 they share one of their first tokens, whatever global order the tokens are put
 in. Candidates come from a shared prefix token under the first order, and must
 share prefix tokens under every other order before their sets are compared.
+How far a prefix reaches depends on the pair: with sizes x and y and a needed
+overlap of o, the first common token is among the first x - o + 1 of one and
+the first y - o + 1 of the other.
 
 Each order goes by its own sketch of the tokens' frequencies over all
 documents, of fixed size: all put frequent tokens last, and differ in how they
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, join_counted, release, staged
@@ -85,14 +88,15 @@ class TokenOrders:
     def rank(self, tokens: np.ndarray, order: int) -> np.ndarray:
         return self.level[order][_slots(tokens, order)].astype(U) << U(56) | mixed(tokens ^ U((order + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) >> U(8)
 
-    def prefix(self, tokens: np.ndarray, bounds: np.ndarray, order: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first tokens of each set, as many as must hold one that a similar set shares."""
+    def prefix(self, tokens: np.ndarray, bounds: np.ndarray, order: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first tokens of each set, as many as must hold one that a similar set shares; their places in it; how many there are of each set."""
         size = np.diff(bounds)
         keep = np.where(size > 0, size - (size * percent + 99) // 100 + 1, 0)
         doc = np.repeat(np.arange(len(size)), size)
         by = np.lexsort((self.rank(tokens, order), doc))
         place = np.arange(len(tokens)) - bounds[doc]
-        return tokens[by][place < keep[doc]], np.concatenate([[0], np.cumsum(keep)])
+        first = place < keep[doc]
+        return tokens[by][first], place[first], keep
 
 
 def _list(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -139,18 +143,20 @@ def profiles(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def prefix_entries(docs: DataFrame, n: int, percent: int, orders: TokenOrders) -> DataFrame:
-    """(doc_id, k, token): prefix tokens under each order k."""
+    """(doc_id, n, k, token, pos): prefix tokens under each order k and their places in it, and the set's size n."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for i, j, b, offsets in _blocks(batch.column(1)):
                 tokens, bounds = shingle_sets(b, offsets, n)
+                size = np.diff(bounds).astype(np.int32)
                 for k in range(ORDERS):
-                    first, at = orders.prefix(tokens, bounds, k, percent)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], np.diff(at))), pa.array(np.full(len(first), k, np.int8)), pa.array(first.view(np.int64))], names=["doc_id", "k", "token"])
+                    first, pos, keep = orders.prefix(tokens, bounds, k, percent)
+                    columns = np.repeat(ids[i:j], keep), np.repeat(size, keep), np.full(len(first), k, np.int8), first.view(np.int64), pos.astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "n", "k", "token", "pos"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, k byte, token long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, k byte, token long, pos int")
 
 
 def needed_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -181,12 +187,18 @@ def needed_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def in_all_orders(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under every order; prefixes: (doc_id, p0, p1, ...)."""
-    side = lambda x: prefixes.select(F.col("doc_id").alias(x), *[F.col(f"p{k}").alias(f"p{k}_{x}") for k in range(ORDERS)])
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+def overlap(x: str, y: str, percent: int) -> Column:
+    """The common tokens that sets of x and y tokens need."""
+    return F.expr(f"((cast({x} as long) + {y}) * {percent} + {99 + percent}) div {100 + percent}")
+
+
+def in_all_orders(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share a token of the pair's prefixes under every order; prefixes: (doc_id, n, p0, p1, ...)."""
+    side = lambda x: prefixes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(f"p{k}").alias(f"p{k}_{x}") for k in range(ORDERS)])
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", overlap("n_a", "n_b", percent))
+    first = lambda k, x: F.transform(F.filter(f"p{k}_{x}", lambda e: e["pos"] <= F.col(f"n_{x}") - F.col("o")), lambda e: e["token"])
     for k in range(ORDERS):
-        met = met.where(F.arrays_overlap(f"p{k}_a", f"p{k}_b"))
+        met = met.where(F.arrays_overlap(first(k, "a"), first(k, "b")))
     return met.select("a", "b")
 
 
@@ -200,7 +212,13 @@ def similar(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
 
 
 def _near_size(x: str, y: str, percent: int):
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    return F.least(x, y).cast("long") * 100 >= F.greatest(x, y).cast("long") * percent
+
+
+def _early(x: str, x_pos: str, y: str, y_pos: str, percent: int):
+    """Whether a token at these places of sets of x and y tokens can be their first common one, if they are similar."""
+    o = overlap(x, y, percent)
+    return (F.col(x_pos) <= F.col(x) - o) & (F.col(y_pos) <= F.col(y) - o)
 
 
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -227,27 +245,26 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     if entries.isEmpty():
         labels = groups.select("node", F.col("node").alias("label")).limit(0)
     else:
-        sizes = some.select("doc_id", F.col("n_shingles").alias("n")).dropDuplicates(["doc_id"])
-        labels = _linked(firsts, entries, sizes, n, percent)
+        labels = _linked(firsts, entries, n, percent)
     named = groups.join(labels, "node", "left").select("fp1", "fp2", "copies", F.coalesce("label", "node").alias("component_id"))
     linked = join_counted(some, named, ["fp1", "fp2"], "copies").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _linked(docs: DataFrame, entries: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
+def _linked(docs: DataFrame, entries: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, label) over all links between the entries' documents."""
     spark = docs.sparkSession
-    lists = [F.collect_set(F.when(F.col("k") == k, F.col("token"))).alias(f"p{k}") for k in range(ORDERS)]
-    prefixes = entries.groupBy("doc_id").agg(*lists)
+    lists = [F.collect_set(F.when(F.col("k") == k, F.struct("pos", "token"))).alias(f"p{k}") for k in range(ORDERS)]
+    prefixes = entries.groupBy("doc_id").agg(F.first("n").alias("n"), *lists)
     for k in range(ORDERS):  # who shares nothing under some order has no links
         prefixes = prefixes.where(F.size(f"p{k}") > 0)
-    prefixes = staged(prefixes.join(sizes, "doc_id"), "prefixes")
+    prefixes = staged(prefixes, "prefixes")
     comp = staged(prefixes.select("doc_id", F.col("doc_id").alias("comp")), "components")
-    tokens = prefixes.select("doc_id", "n", F.explode("p0").alias("token"))
+    tokens = prefixes.select("doc_id", "n", F.inline("p0"))
 
     def merge(pairs: DataFrame) -> DataFrame:
         """Components after the links among the pairs."""
-        pairs = staged(in_all_orders(pairs, prefixes), "pairs")
+        pairs = staged(in_all_orders(pairs, prefixes, percent), "pairs")
         links = staged(similar(pairs, docs, n, percent), "links")
         of = lambda x: comp.select(F.col("doc_id").alias(x), F.col("comp").alias(f"c{x}"))
         edges = links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
@@ -264,16 +281,20 @@ def _linked(docs: DataFrame, entries: DataFrame, sizes: DataFrame, n: int, perce
 
     for k in range(LEADER_ROUNDS):
         # the leader of a bucket: its first document, later by a hash that differs by round
-        order = F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "n", "comp") if k else F.struct("doc_id", "n", "comp")
+        order = F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "n", "comp", "pos") if k else F.struct("doc_id", "n", "comp", "pos")
         led = mixed_buckets().withColumn("_l", F.min(order).over(Window.partitionBy("token")))
-        led = led.where(F.col("comp") != F.col("_l.comp")).select(F.col("doc_id").alias("b"), "n", F.col("_l.doc_id").alias("a"), F.col("_l.n").alias("m"))
-        led = led.where(_near_size("n", "m", percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+        led = led.where(F.col("comp") != F.col("_l.comp")).select(F.col("doc_id").alias("b"), "n", "pos", F.col("_l.doc_id").alias("a"), F.col("_l.n").alias("m"), F.col("_l.pos").alias("at"))
+        led = led.where(_near_size("n", "m", percent) & _early("n", "pos", "m", "at", percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
         best = led.withColumn("_r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))).where("_r = 1").select("a", "b")
         comp = merge(best)
     rest = staged(mixed_buckets(), "rest")
-    x = rest.select("token", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("ca"))
-    y = rest.select("token", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("cb"))
-    comp = merge(x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_size("n_a", "n_b", percent)).select("a", "b").distinct())
+    # a is the smaller set: as a similar one is no smaller, its own prefix is short
+    side = lambda x: [F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "comp")]]
+    x = rest.where(F.col("pos") <= F.col("n") - overlap("n", "n", percent)).select("token", *side("a"))
+    y = rest.select("token", *side("b"))
+    smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))
+    close = _near_size("n_a", "n_b", percent) & _early("n_a", "pos_a", "n_b", "pos_b", percent)
+    comp = merge(x.join(y, "token").where(smaller & (F.col("comp_a") != F.col("comp_b")) & close).select("a", "b").distinct())
     return comp.select(F.col("doc_id").alias("node"), F.col("comp").alias("label"))
 
 
