@@ -7,10 +7,12 @@ suffixes; the order is never built as a whole:
 1. Of documents with equal texts only the first takes part.
 2. Suffixes fall into buckets by their anchor: of the K-byte strings within
    their first LENGTH bytes, the one with the smallest hash. Equal suffixes
-   have equal anchors. An anchor that only one document has is done.
-3. The texts around anchors that are left meet by bucket. Equal surroundings
-   are one entry with its smallest doc_id (already where they are read, so a
-   passage in very many documents arrives once from each batch).
+   have equal anchors. Anchors meet first as hashes of themselves and of the
+   text around them: equal surroundings repeat as a whole in all documents but
+   the first, already where they are read, so a passage in very many documents
+   goes on once from each batch. An anchor with one document is done.
+3. Only anchors with different surroundings in different documents are left;
+   the texts around them meet by bucket, once from each first document.
 4. A bucket with different surroundings is sorted, one batch of buckets at a
    time: by a suffix's first V bytes, and ties by the precomputed rank of the
    difference-cover sample that follows both suffixes at the same distance.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import join_counted, release, staged
 from .digest_index import text_digest
 from .token_count import text_buffer
-from .words import U, mixed, prefix_hashes, Powers
+from .words import BASE, Powers, U, mixed, prefix_hashes, span_hashes
 
 LENGTH, K = 50, 16
 WINDOW = LENGTH - K + 1
@@ -44,14 +46,17 @@ SORT_SUFFIXES, GATHER = 1 << 19, 1 << 17
 BUCKET_BYTES = 8 << 20
 
 
-def anchors(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, anchor position, first suffix, last suffix, anchor hash) for each run of suffixes with one anchor.
+def anchors(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text number, anchor position, first suffix, last suffix, anchor hash, surroundings' hash) for each run of suffixes with one anchor.
+
+    A run's surroundings are the bytes from its first suffix to the end of the
+    LENGTH bytes of its last; their hash also tells where in them the anchor is.
 
     Suffixes are those with LENGTH bytes left in their text; positions count from the text's start.
     """
     none = np.zeros(0, np.int64)
     if len(b) < LENGTH:
-        return none, none, none, none, none.astype(U)
+        return none, none, none, none, none.astype(U), none.astype(U)
     h = prefix_hashes(b)
     _, down = Powers.get(len(h))
     g = mixed((h[K:] - h[:-K]) * down[: len(h) - K])
@@ -71,7 +76,10 @@ def anchors(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new[1:] = (pos[1:] != pos[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
-    return doc[first], pos[first] - offsets[doc[first]], start[first], start[last], g[pos[first]]
+    base = offsets[doc[first]]
+    around = span_hashes(h, base + start[first], base + start[last] + LENGTH)
+    around = mixed(around + (pos[first] - base - start[first]).astype(U) * U(BASE))
+    return doc[first], pos[first] - base, start[first], start[last], g[pos[first]], around
 
 
 def _blocks(column: pa.Array):
@@ -95,71 +103,79 @@ def _unpack(blob: bytes, *types: type) -> list[np.ndarray]:
     return out
 
 
-#: An anchor seen in one document of a batch: hash, doc_id (low and high half), position, distances to the first and last suffix.
-SEEN = (np.uint32, np.uint32, np.int32, np.uint32, np.uint8, np.uint8)
+#: A run of suffixes: hash of the surroundings and of the anchor, doc_id (low and high half), anchor's position, distances to the first and last suffix.
+SEEN = (np.uint64, np.uint32, np.uint32, np.int32, np.uint32, np.uint8, np.uint8)
 _MARKS = "doc_id long, pos int, lo int, hi int"
 
 
+def _firsts(h: np.ndarray, around: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by anchor, surroundings and document; in it, where anchors begin and who has each surroundings' smallest doc_id."""
+    by = np.lexsort((doc, around, h))
+    h, around, doc = h[by], around[by], doc[by]
+    anchor = np.ones(len(h), bool)
+    anchor[1:] = h[1:] != h[:-1]
+    own = anchor.copy()
+    own[1:] |= around[1:] != around[:-1]
+    return by, anchor, doc == doc[own][np.cumsum(own) - 1]
+
+
 def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, pos, lo, hi): runs of suffixes whose anchor another document has too.
+    """(doc_id, pos, lo, hi): runs of suffixes that repeat as a whole (pos null), and runs whose anchor also has other surroundings in another document.
 
     Anchors meet by 32 bits of hash and a bucket; a chance meeting only adds a
-    run that later proves unique. Where one batch shows an anchor in several
-    documents, its runs are settled there and one note of it goes on.
+    run that later proves unique. Surroundings are equal if another 64 bits
+    are.
     """
 
+    def rows(doc, p, lo, hi):
+        ints = [pa.nulls(len(doc), pa.int32()) if p is None else pa.array(p.astype(np.int32)), *(pa.array(x.astype(np.int32)) for x in (lo, hi))]
+        return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), *ints], names=["doc_id", "pos", "lo", "hi"])
+
     def see(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             parts = []
             for i, _, b, offsets in _blocks(batch.column(1)):
-                d, p, lo, hi, h = anchors(b, offsets)
-                parts.append((ids[i + d], p, lo, hi, h))
+                d, p, lo, hi, h, around = anchors(b, offsets)
+                parts.append((ids[i + d], p, lo, hi, h, around))
             if not parts:
                 continue
-            doc, p, lo, hi, h = (np.concatenate(c) for c in zip(*parts))
-            bucket = (h >> U(32)).astype(np.int64) % buckets
-            h = (h & U(0xFFFFFFFF)).astype(np.uint32)
-            by = np.lexsort((doc, h, bucket))
-            doc, p, lo, hi, h, bucket = (x[by] for x in (doc, p, lo, hi, h, bucket))
-            head = np.ones(len(h), bool)
-            head[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
-            group = np.cumsum(head) - 1
-            edge = np.append(np.flatnonzero(head), len(h))
-            many = (doc[edge[1:] - 1] != doc[edge[:-1]])[group]
-            # what goes on: all runs of an anchor with one document here, one note (distances 255) of any other
-            go = ~many | head
-            cut = np.searchsorted(bucket[go], np.arange(buckets + 1))
-            d, q, note = doc[go].astype(np.int64), p[go], many[go]
-            cols = [(h[go], SEEN[0]), (d & 0xFFFFFFFF, SEEN[1]), (d >> 32, SEEN[2]), (q, SEEN[3]), (np.where(note, 255, q - lo[go]), SEEN[4]), (np.where(note, 255, q - hi[go]), SEEN[5])]
+            doc, p, lo, hi, h, around = (np.concatenate(c) for c in zip(*parts))
+            h = ((h >> U(32)) % U(buckets)) << U(32) | h & U(0xFFFFFFFF)
+            by, _, least = _firsts(h, around, doc)
+            go, done = by[least], by[~least]
+            cut = np.searchsorted((h[go] >> U(32)).astype(np.int64), np.arange(buckets + 1))
+            d, q = doc[go].astype(np.int64), p[go]
+            cols = [x.astype(t) for x, t in zip((around[go], h[go] & U(0xFFFFFFFF), d & 0xFFFFFFFF, d >> 32, q, q - lo[go], q - hi[go]), SEEN)]
             used = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([_pack(*((c[cut[k] : cut[k + 1]], t) for c, t in cols)) for k in used], pa.binary()), pa.nulls(len(used), pa.binary())], names=["bucket", "seen", "settled"])
-            if many.any():
-                m, step = np.flatnonzero(many), 1 << 16
-                blobs = [_pack((doc[k], np.int64), (p[k], np.int32), (lo[k], np.int32), (hi[k], np.int32)) for k in (m[a : a + step] for a in range(0, len(m), step))]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([_pack(*((c[cut[k] : cut[k + 1]], t) for c, t in zip(cols, SEEN))) for k in used], pa.binary()), pa.nulls(len(used), pa.binary())], names=["bucket", "seen", "settled"])
+            if len(done):
+                step = 1 << 16
+                blobs = [_pack((doc[k], np.int64), (lo[k], np.int32), (hi[k], np.int32)) for k in (done[a : a + step] for a in range(0, len(done), step))]
                 yield pa.RecordBatch.from_arrays([pa.array([(int(ids[0]) + k) % buckets for k in range(len(blobs))], pa.int32()), pa.nulls(len(blobs), pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "seen", "settled"])
 
     def meet(batches):
-        def rows(doc, p, lo, hi):
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (p, lo, hi))], names=["doc_id", "pos", "lo", "hi"])
-
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             for bucket, seen, settled in zip(*(c.to_pylist() for c in batch.columns)):
                 if seen is not None:
                     held.setdefault(bucket, []).append(seen)
                 else:
-                    yield rows(*_unpack(settled, np.int64, np.int32, np.int32, np.int32))
+                    doc, lo, hi = _unpack(settled, np.int64, np.int32, np.int32)
+                    yield rows(doc, None, lo, hi)
         for bucket in list(held):
-            h, d0, d1, p, to_lo, to_hi = (np.concatenate(c) for c in zip(*(_unpack(x, *SEEN) for x in held.pop(bucket))))
-            doc, note = d1.astype(np.int64) << 32 | d0, to_lo == 255
-            by = np.lexsort((doc, h))
-            h, doc, p, to_lo, to_hi, note = (x[by] for x in (h, doc, p.astype(np.int64), to_lo, to_hi, note))
-            head = np.ones(len(h), bool)
-            head[1:] = h[1:] != h[:-1]
-            edge = np.append(np.flatnonzero(head), len(h))
-            shared = (doc[edge[1:] - 1] != doc[edge[:-1]]) | np.maximum.reduceat(note, edge[:-1])
-            k = np.flatnonzero(shared[np.cumsum(head) - 1] & ~note)
+            around, h, d0, d1, p, to_lo, to_hi = (np.concatenate(c) for c in zip(*(_unpack(x, *SEEN) for x in held.pop(bucket))))
+            doc = d1.astype(np.int64) << 32 | d0
+            by, anchor, least = _firsts(h, around, doc)
+            around, doc, p, to_lo, to_hi = around[by], doc[by], p[by].astype(np.int64), to_lo[by], to_hi[by]
+            if not least.all():
+                k = np.flatnonzero(~least)
+                yield rows(doc[k], None, p[k] - to_lo[k], p[k] - to_hi[k])
+            k = np.flatnonzero(least)
+            group = (np.cumsum(anchor) - 1)[k]
+            edge = np.flatnonzero(np.diff(group, prepend=-1))
+            differ = (np.minimum.reduceat(doc[k], edge) < np.maximum.reduceat(doc[k], edge)) & (np.minimum.reduceat(around[k], edge) < np.maximum.reduceat(around[k], edge))
+            k = k[differ[group]]
             if len(k):
                 yield rows(doc[k], p[k], p[k] - to_lo[k], p[k] - to_hi[k])
 
@@ -293,10 +309,11 @@ def repeated_suffixes(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFr
         if found:
             yield ranges(found)
 
-    listed = marks.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("marks"))
+    whole = marks.where("pos is null").select("doc_id", "lo", "hi")
+    listed = marks.where("pos is not null").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("marks"))
     texts = docs.select("doc_id", "text").join(listed, "doc_id").select("doc_id", "text", "marks")
     schema = "bucket int, anchor long, at int, context binary, doc_id long, lo int, hi int"
-    return texts.mapInArrow(gather, schema).repartition(buckets, "bucket").mapInArrow(resolve, _RANGES)
+    return texts.mapInArrow(gather, schema).repartition(buckets, "bucket").mapInArrow(resolve, _RANGES).unionByName(whole)
 
 
 def _cut(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, bytes]:
