@@ -52,9 +52,11 @@ def remove(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of data that nothing refers to any more.
 
-    They would stay until the driver's JVM happens to collect its garbage.
+    They would stay until the driver's JVM happens to collect its garbage. A
+    last query is referred to until another one runs, so an empty one does.
     """
     gc.collect()
+    spark.range(1).write.format("noop").mode("overwrite").save()
     spark.sparkContext._jvm.System.gc()
 
 
