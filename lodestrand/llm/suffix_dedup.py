@@ -39,9 +39,10 @@ WINDOW = LENGTH - K + 1
 V, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Distance from a residue to the next sample that two suffixes of that residue share.
 NEXT_SAMPLE = np.array([min(d for d in range(V) if (r + d) % V in COVER) for r in range(V)])
-BLOCK_BYTES = 2 << 20
+#: Text bytes looked at in one go, and text bytes whose anchors are sorted in one go.
+BLOCK_BYTES, SETTLE_BYTES = 1 << 20, 6 << 20
 #: Suffixes sorted at a time, and surroundings gathered before equal ones are merged.
-SORT_SUFFIXES, GATHER = 1 << 19, 1 << 17
+SORT_SUFFIXES, GATHER = 1 << 18, 1 << 16
 #: Input bytes for each bucket of anchors.
 BUCKET_BYTES = 8 << 20
 
@@ -131,28 +132,33 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         ints = [pa.nulls(len(doc), pa.int32()) if p is None else pa.array(p.astype(np.int32)), *(pa.array(x.astype(np.int32)) for x in (lo, hi))]
         return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), *ints], names=["doc_id", "pos", "lo", "hi"])
 
+    def settle(parts, salt):
+        doc, p, lo, hi, h, around = (np.concatenate(c) for c in zip(*parts))
+        h = ((h >> U(32)) % U(buckets)) << U(32) | h & U(0xFFFFFFFF)
+        by, _, least = _firsts(h, around, doc)
+        go, done = by[least], by[~least]
+        cut = np.searchsorted((h[go] >> U(32)).astype(np.int64), np.arange(buckets + 1))
+        d, q = doc[go].astype(np.int64), p[go]
+        cols = [x.astype(t) for x, t in zip((around[go], h[go] & U(0xFFFFFFFF), d & 0xFFFFFFFF, d >> 32, q, q - lo[go], q - hi[go]), SEEN)]
+        used = np.flatnonzero(np.diff(cut))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([_pack(*((c[cut[k] : cut[k + 1]], t) for c, t in zip(cols, SEEN))) for k in used], pa.binary()), pa.nulls(len(used), pa.binary())], names=["bucket", "seen", "settled"])
+        if len(done):
+            step = 1 << 16
+            blobs = [_pack((doc[k], np.int64), (lo[k], np.int32), (hi[k], np.int32)) for k in (done[a : a + step] for a in range(0, len(done), step))]
+            yield pa.RecordBatch.from_arrays([pa.array([(salt + k) % buckets for k in range(len(blobs))], pa.int32()), pa.nulls(len(blobs), pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "seen", "settled"])
+
     def see(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            parts = []
+            ids, parts, size = batch.column(0).to_numpy(), [], 0
             for i, _, b, offsets in _blocks(batch.column(1)):
-                d, p, lo, hi, h, around = anchors(b, offsets)
-                parts.append((ids[i + d], p, lo, hi, h, around))
-            if not parts:
-                continue
-            doc, p, lo, hi, h, around = (np.concatenate(c) for c in zip(*parts))
-            h = ((h >> U(32)) % U(buckets)) << U(32) | h & U(0xFFFFFFFF)
-            by, _, least = _firsts(h, around, doc)
-            go, done = by[least], by[~least]
-            cut = np.searchsorted((h[go] >> U(32)).astype(np.int64), np.arange(buckets + 1))
-            d, q = doc[go].astype(np.int64), p[go]
-            cols = [x.astype(t) for x, t in zip((around[go], h[go] & U(0xFFFFFFFF), d & 0xFFFFFFFF, d >> 32, q, q - lo[go], q - hi[go]), SEEN)]
-            used = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([_pack(*((c[cut[k] : cut[k + 1]], t) for c, t in zip(cols, SEEN))) for k in used], pa.binary()), pa.nulls(len(used), pa.binary())], names=["bucket", "seen", "settled"])
-            if len(done):
-                step = 1 << 16
-                blobs = [_pack((doc[k], np.int64), (lo[k], np.int32), (hi[k], np.int32)) for k in (done[a : a + step] for a in range(0, len(done), step))]
-                yield pa.RecordBatch.from_arrays([pa.array([(int(ids[0]) + k) % buckets for k in range(len(blobs))], pa.int32()), pa.nulls(len(blobs), pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "seen", "settled"])
+                d, *found = anchors(b, offsets)
+                parts.append((ids[i + d], *found))
+                size += len(b)
+                if size >= SETTLE_BYTES:
+                    yield from settle(parts, int(ids[i]))
+                    parts, size = [], 0
+            if parts:
+                yield from settle(parts, int(ids[0]))
 
     def meet(batches):
         held: dict[int, list[bytes]] = {}
