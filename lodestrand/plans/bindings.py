@@ -1,9 +1,8 @@
 """The graph's tables, bound to the order and text tables that the queries run over.
 
-Species are nations (by customer), chunks are orders (those whose key is a
-multiple of 64, so that terms differ in how many nations they cover), entities
-are parts, mentions are lines, relations join consecutive lines of an order,
-terms are brand and type of a part, over the brand, the type and a root.
+Species are nations (by customer), chunks are orders, entities are parts,
+mentions are lines, relations join consecutive lines of an order, terms are
+brand and type of a part, over the brand, the type and a root.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = load(spark, sf_dir, "orders").where("o_orderkey % 64 = 0").select(F.col("o_orderkey").alias("chunk_id"), "o_custkey", "o_orderpriority")
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), "o_custkey", "o_orderpriority")
     who = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(load(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     return orders.join(who, F.col("o_custkey") == F.col("c_custkey")).select("chunk_id", F.col("n_name").alias("species_norm"), "o_orderpriority")
 
@@ -36,7 +35,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the chunks with their species and entity, numbered within the order."""
-    li = load(spark, sf_dir, "lineitem").where("l_orderkey % 64 = 0").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag")
     at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     numbered = li.withColumn("pos", F.row_number().over(at))
     ids = parts(spark, sf_dir).select("p_partkey", "p_type", "entity_id")
@@ -79,7 +78,7 @@ def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select(F.col("o_orderpriority").alias("run"), F.col("p_type").alias("trait"), F.col("l_suppkey").cast("string").alias("source"))
 
 
-#: The same tables for DuckDB.
+#: The same tables for DuckDB, but with those orders only whose key is a multiple of 64.
 SQL = """
 WITH RECURSIVE chunks AS (
   SELECT o_orderkey AS chunk_id, n_name AS species_norm, o_orderpriority FROM orders
