@@ -318,6 +318,7 @@ def min_len_filter(spark, d):
     return B.documents(spark, d).where(T.long_enough("text", 200)).select("doc_id")
 
 
+#: Over the first 150 characters, and over a caption for every tenth document; the queries take whole texts.
 _JUNK = f"""
 WITH p AS (SELECT doc_id, regexp_replace(part, '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'Figure ' || doc_id ELSE substr(text, 1, 150) END AS part FROM documents)),
 c AS (SELECT doc_id, t, {_WORDS.format('t')} AS w, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM p)
@@ -330,9 +331,7 @@ SELECT doc_id, w < 20 AS s1, w < 50 AND regexp_matches(t, '(?i)^(fig(ure)?s?\\.?
 
 @query(f"SELECT *, CAST(s1 AS INT) + CAST(s2 AS INT) + CAST(s3 AS INT) + CAST(s4 AS INT) + CAST(s5 AS INT) >= 2 AS junk FROM ({_JUNK})")
 def junk_chunk(spark, d):
-    part = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("Figure "), "doc_id")).otherwise(F.substring("text", 1, 150))
-    rows = B.documents(spark, d).select("doc_id", part.alias("part"))
-    return rows.select("doc_id", *[s.alias(k) for k, s in T.junk_signals("part").items()], T.is_junk_chunk("part").alias("junk"))
+    return B.documents(spark, d).select("doc_id", *[s.alias(k) for k, s in T.junk_signals("text").items()], T.is_junk_chunk("text").alias("junk"))
 
 
 _FORMS = "CASE doc_id % 8 WHEN 0 THEN lang WHEN 1 THEN 'Park et al. 2017' WHEN 2 THEN 'Park and Smith 20' || (10 + doc_id % 80) WHEN 3 THEN doc_id || ' C' WHEN 4 THEN 'XM_' || doc_id WHEN 5 THEN 'Müller cell ' || doc_id ELSE 'low body temperature (' || doc_id || ' C)' END"
@@ -548,8 +547,7 @@ SELECT CASE WHEN doc_id % 5 = 0 THEN 'skipped' WHEN junk THEN 'junk' ELSE 'index
   SELECT *, CAST(s1 AS INT) + CAST(s2 AS INT) + CAST(s3 AS INT) + CAST(s4 AS INT) + CAST(s5 AS INT) >= 2 AS junk FROM ({_JUNK})) GROUP BY 1
 """)
 def run_status(spark, d):
-    part = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("Figure "), "doc_id")).otherwise(F.substring("text", 1, 150))
-    rows = B.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), part.alias("content"))
+    rows = B.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     return incremental.run_status(rows, rows.where("chunk_id % 5 = 0").select("chunk_id"))
 
 

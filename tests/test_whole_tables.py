@@ -28,3 +28,23 @@ def test_all_orders_and_lines(spark):
 def test_over_all_orders(spark, db, name):  # noqa: F811
     assert catalog.SQL[name].count(EVERY_64TH) <= 1
     same(spark, db, name, catalog.SQL[name].replace(EVERY_64TH, ""))
+
+
+HEADS = "CASE WHEN doc_id % 10 = 0 THEN 'Figure ' || doc_id ELSE substr(text, 1, 150) END"
+
+
+@pytest.mark.parametrize("name", ["junk_chunk", "run_status"])
+def test_over_whole_texts(spark, db, name):  # noqa: F811
+    same(spark, db, name, catalog.SQL[name].replace(HEADS, "text"))
+
+
+def test_junk_after_150_characters(spark, tmp_path):
+    good = "Moles dig long tunnels in the soil. They live there. " * 20
+    late = "Moles dig long tunnels in the soil and live there " * 4 + "\n[1] a\n[2] b\n(3) c\n" + "17 " * 400
+    texts = {0: good, 1: "x" * 150 + " " + good, 2: late, 3: "Figure 3", 10: "Figure 10", 20: good}
+    spark.createDataFrame([(k, t, "en", "src0") for k, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in catalog.junk_chunk(spark, str(tmp_path)).collect()}
+    assert {k for k, r in rows.items() if r.junk} == {2, 3, 10}
+    assert rows[2].s3 and rows[2].s4
+    assert rows[3].s1 and rows[3].s2 and rows[3].s5 and not rows[1].s1 and not rows[1].s5
+    assert {r.status: r.n for r in catalog.run_status(spark, str(tmp_path)).collect()} == {"skipped": 3, "junk": 2, "indexed": 1}
