@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, join_counted, release, staged
+from .digest_index import keyed_rows
 from .token_count import text_buffer
 from .words import U, mixed, shingles, word_hashes
 
@@ -229,9 +230,20 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     and texts without words have an empty set and are linked with nothing.
     component_id is the smallest doc_id that links reach, itself included.
     One row comes back for each row of docs; a doc_id that occurs twice should
-    have one text. Other columns are ignored.
+    have one text. A row without a doc_id is a document of its own, after all
+    others; component_id is null where links reach no doc_id. Other columns
+    are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    docs, first = keyed_rows(docs.select("doc_id", "text"))
+    out = _key_components(docs.select(F.col("_key").alias("doc_id"), "text"), n, percent)
+    if first is None:
+        return out
+    own = lambda c: F.when(F.col(c) < first, F.col(c)).alias(c)
+    return out.select(own("doc_id"), "n_shingles", own("component_id"))
+
+
+def _key_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """similar_components() of docs whose doc_ids are not null."""
     rows, counts = profiles(docs, n)
     orders = TokenOrders(counts)
     some = rows.where("n_shingles > 0")
@@ -299,9 +311,13 @@ def _linked(docs: DataFrame, entries: DataFrame, n: int, percent: int) -> DataFr
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near copies: of each component the smallest doc_id stays. Same columns as docs."""
-    kept = similar_components(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.withColumn("_id", F.col("doc_id").cast("long")).join(kept, "_id", "left_semi").drop("_id")
+    """The documents without near copies: of each component the smallest doc_id stays. Same columns as docs.
+
+    A row without a doc_id is a document of its own, after all others.
+    """
+    docs, _ = keyed_rows(docs)
+    kept = _key_components(docs.select(F.col("_key").alias("doc_id"), "text"), n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.join(kept, "_key", "left_semi").drop("_key")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_counted, release, staged
-from .digest_index import text_digest
+from .digest_index import keyed_rows, text_digest
 from .token_count import text_buffer
 from .words import BASE, Powers, U, mixed, prefix_hashes, span_hashes
 
@@ -342,11 +342,18 @@ def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
     Texts are UTF-8 bytes, null counts as empty, and strings that repeat only
     within a document stay. doc_id is taken to identify a text; rows that
-    repeat both give equal rows. Texts of less than LENGTH bytes are kept.
-    Other columns are ignored.
+    repeat both give equal rows. A row without a doc_id is a document of its
+    own, after all others. Texts of less than LENGTH bytes are kept. Other
+    columns are ignored.
     """
+    docs, first = keyed_rows(docs.select("doc_id", "text"))
+    out = _without_repeats(docs.select(F.col("_key").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), keep_text)
+    return out if first is None else out.withColumn("doc_id", F.when(F.col("doc_id") < first, F.col("doc_id")))
+
+
+def _without_repeats(docs: DataFrame, keep_text: bool) -> DataFrame:
+    """without_repeats() of docs (doc_id, text) without nulls."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sized = staged(docs.select("doc_id", text_digest().alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "sized")
     groups = sized.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     sized = staged(join_counted(sized, groups, ["digest"], "copies"), "sized")
