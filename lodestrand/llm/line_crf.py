@@ -19,9 +19,8 @@ from pyspark.sql import types as T
 from .token_count import text_buffer
 from .words import find_words, prefix_hashes, span_hashes
 
-#: Labelled documents that a model is fitted on at most, taken by a hash of the doc_id,
-#: and the lines of each that are used.
-TRAIN_DOCS, TRAIN_LINES = 4000, 60
+#: Labelled documents that a model is fitted on at most, taken by a hash of the doc_id.
+TRAIN_DOCS = 4000
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 BLOCK_BYTES = 2 << 20
@@ -179,15 +178,15 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_lines: int = TRAIN_LINES) -> LineCrf:
-    """Fits a model on at most max_docs labelled documents outside the held-out fold, and max_lines lines of each.
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> LineCrf:
+    """Fits a model on at most max_docs labelled documents outside the held-out fold, and all their lines.
 
     The sample is drawn by a hash of the doc_id, so it does not depend on how
     the rows lie. Rows without a label or text teach nothing.
     """
     known = labels.where(F.col("quality").isNotNull() & (fold() != HELD_OUT)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    sample = docs.select("doc_id", F.array_join(F.slice(F.split("text", "\n"), 1, max_lines), "\n").alias("text")).where("text is not null").join(F.broadcast(drawn), "doc_id")  # max_docs rows at most
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id")  # max_docs rows at most
 
     def run(batches):
         for batch in batches:
