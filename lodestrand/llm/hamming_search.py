@@ -46,14 +46,15 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
 
     Equal codes are indexed once, with their k + 1 smallest ids, as no more can
     be among the k nearest of a query; so a code with very many rows costs as
-    much as any other. Fewer than k results come back only if there are fewer
-    rows. Queries with equal codes share one search.
+    much as any other. Rows that repeat an id and its code count once, among
+    rows and among queries. Fewer than k results come back only if there are
+    fewer such rows. Queries with equal codes share one search.
     """
     last = Window.partitionBy("code").orderBy("id")
-    ids = binary_codes(rows, key, embedding).withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= k + 1)
+    ids = binary_codes(rows, key, embedding).distinct().withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= k + 1)
     codes = staged(ids.groupBy("code").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("ids")), "codes")
     index = in_segments(codes.select("code", "least", "n"), "code")
-    asked = staged(binary_codes(queries, key, embedding).withColumnRenamed("id", "query_id").withColumnRenamed("code", "q"), "queries")
+    asked = staged(binary_codes(queries, key, embedding).distinct().withColumnRenamed("id", "query_id").withColumnRenamed("code", "q"), "queries")
     open_ = asked.select("q").distinct()
     masks = rows.sparkSession.range(1 << WIDTH)
     best = done = None

@@ -1,5 +1,8 @@
 """Cases where less than the whole job was done."""
 
+from collections import Counter
+
+from lodestrand.llm import hamming_search as hs
 from lodestrand.llm import line_crf as lc
 
 
@@ -10,3 +13,11 @@ def test_training_sees_late_lines(spark):
     model = lc.train(docs, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int"))
     score = {r.doc_id: r.score for r in lc.scored(docs, model).collect()}
     assert min(score[k] for k in range(1, 60, 2)) > max(score[k] for k in range(0, 60, 2)) + 0.3
+
+
+def test_repeated_vectors(spark):
+    v = lambda n: [1.0] * n + [-1.0] * (64 - n)
+    rows = [(0, v(20))] * 8 + [(k, v(20 + k)) for k in range(1, 6)] + [(3, v(23))] * 4
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hs.top_k(df, df.where("vec_id = 0"), 4).collect()
+    assert Counter((r.rank, r.id, r.distance) for r in got) == Counter((k, k, k) for k in range(1, 5))
