@@ -81,7 +81,8 @@ def mixed(docs: DataFrame, entropy_share: float | None = 0.97, max_repeat: float
     docs: (row_key, source, n_tokens). A null source is the source ''. A copy
     is drawn if it starts below its source's quota, counted over all epochs;
     documents without tokens follow the same rule, and so does a source without
-    any token (read once). No window holds more than one block of documents,
+    any token (read once). Under the least budget (budget_share=None) the first
+    pass draws every document, also those without tokens at its end. No window holds more than one block of documents,
     about block_rows of them, or the list of a source's blocks. mix_block
     deals each source evenly over blocks of about mix_tokens, so that every
     block has the target weights. Copies of one row_key share their places.
@@ -94,11 +95,12 @@ def mixed(docs: DataFrame, entropy_share: float | None = 0.97, max_repeat: float
     rows = rows.join(plan.select("src", "_blocks"), "src").withColumn("_block", F.pmod(long_hash(F.lit(str(seed)), F.lit("block"), F.col("row_key")), F.col("_blocks")))
     blocks = rows.groupBy("src", "_block").agg(F.sum("n_tokens").alias("_size"))
     passes = blocks.join(plan, "src").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
+    drawn = "{} < quota or epoch = 0 and quota >= tokens" if budget_share is None else "{} < quota"
     in_pass = Window.partitionBy("src", "epoch").orderBy(long_hash(F.lit(str(seed)), F.col("epoch"), F.col("src"), F.lit("block"), F.col("_block")), "_block").rowsBetween(Window.unboundedPreceding, -1)
-    passes = passes.withColumn("_offset", F.col("epoch") * F.col("tokens") + F.coalesce(F.sum("_size").over(in_pass), F.lit(0))).where("_offset < quota")
-    copies = rows.select("row_key", "src", "n_tokens", "_block").join(passes.select("src", "_block", "epoch", "_offset", "quota"), ["src", "_block"])
+    passes = passes.withColumn("_offset", F.col("epoch") * F.col("tokens") + F.coalesce(F.sum("_size").over(in_pass), F.lit(0))).where(drawn.format("_offset"))
+    copies = rows.select("row_key", "src", "n_tokens", "_block").join(passes.select("src", "_block", "epoch", "_offset", "quota", "tokens"), ["src", "_block"])
     in_block = Window.partitionBy("src", "_block", "epoch").orderBy(long_hash(F.lit(str(seed)), F.col("epoch"), F.col("row_key")), "row_key").rowsBetween(Window.unboundedPreceding, -1)
-    copies = copies.withColumn("start_token", F.col("_offset") + F.coalesce(F.sum("n_tokens").over(in_block), F.lit(0))).where("start_token < quota")
+    copies = copies.withColumn("start_token", F.col("_offset") + F.coalesce(F.sum("n_tokens").over(in_block), F.lit(0))).where(drawn.format("start_token"))
     total = plan.agg(F.greatest(F.lit(1), F.ceil(F.sum("quota") / mix_tokens)).alias("_mix_blocks"))
     return copies.join(F.broadcast(total)).select(  # total is one row
         "row_key", "src", "epoch", "n_tokens", "start_token", F.least(F.floor(F.col("start_token").cast("double") / F.col("quota") * F.col("_mix_blocks")), F.col("_mix_blocks") - 1).cast("long").alias("mix_block")

@@ -4,6 +4,7 @@ from collections import Counter
 
 from lodestrand.llm import hamming_search as hs
 from lodestrand.llm import line_crf as lc
+from lodestrand.llm import source_mix as sm
 
 
 def test_training_sees_late_lines(spark):
@@ -15,6 +16,12 @@ def test_training_sees_late_lines(spark):
     assert min(score[k] for k in range(1, 60, 2)) > max(score[k] for k in range(0, 60, 2)) + 0.3
 
 
+def test_documents_without_words_stay(spark):
+    rows = [(0, "some words here", "a")] + [(k, " " * (k % 3), "a") for k in range(1, 21)] + [(30, None, "a"), (31, "b", "b")]
+    out = sm.mix_rows(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r.doc_id for r in out.collect()} == {r[0] for r in rows}
+
+
 def test_repeated_vectors(spark):
     v = lambda n: [1.0] * n + [-1.0] * (64 - n)
     rows = [(0, v(20))] * 8 + [(k, v(20 + k)) for k in range(1, 6)] + [(3, v(23))] * 4
