@@ -24,12 +24,12 @@ def segment(embedding: str, k: int) -> Column:
 
 
 def binary_codes(rows: DataFrame, key: str, embedding: str) -> DataFrame:
-    """(id, code): the signs of up to 64 dimensions. Rows without an embedding have no code."""
+    """(id, code): the signs of up to 64 dimensions; longer vectors are an error. Rows without an embedding have no code."""
     parts = [segment("_e", k).cast("long") for k in range(SEGMENTS)]
     code = parts[0]
     for k, p in enumerate(parts[1:], 1):
         code = code.bitwiseOR(F.shiftleft(p, k * WIDTH))
-    return rows.select(F.col(key).cast("long").alias("id"), F.col(embedding).alias("_e")).where("_e is not null and id is not null").select("id", code.alias("code"))
+    return rows.select(F.col(key).cast("long").alias("id"), F.col(embedding).alias("_e")).where("_e is not null and id is not null").select("id", F.when(F.size("_e") > SEGMENTS * WIDTH, F.raise_error(F.lit("more than 64 dimensions"))).otherwise(code).alias("code"))
 
 
 def part_of(code: str, k: int) -> Column:

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 from lodestrand.llm import hamming_search as hs
 from lodestrand.llm import line_crf as lc
 from lodestrand.llm import source_mix as sm
@@ -28,3 +30,9 @@ def test_repeated_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = hs.top_k(df, df.where("vec_id = 0"), 4).collect()
     assert Counter((r.rank, r.id, r.distance) for r in got) == Counter((k, k, k) for k in range(1, 5))
+
+
+def test_long_vectors_are_an_error(spark):
+    df = spark.createDataFrame([(k, [1.0] * 64 + [float(k)]) for k in range(3)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 dimensions"):
+        hs.top_k(df, df, 2).collect()
