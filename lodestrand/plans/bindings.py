@@ -78,11 +78,11 @@ def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select(F.col("o_orderpriority").alias("run"), F.col("p_type").alias("trait"), F.col("l_suppkey").cast("string").alias("source"))
 
 
-#: The same tables for DuckDB, but with those orders only whose key is a multiple of 64.
+#: The same tables for DuckDB.
 SQL = """
 WITH RECURSIVE chunks AS (
   SELECT o_orderkey AS chunk_id, n_name AS species_norm, o_orderpriority FROM orders
-  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 64 = 0
+  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 ), parts AS (
   SELECT *, substr(sha256(upper(p_type) || ':' || lower(trim(p_name))), 1, 16) AS entity_id FROM part
 ), entities AS (

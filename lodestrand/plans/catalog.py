@@ -318,9 +318,8 @@ def min_len_filter(spark, d):
     return B.documents(spark, d).where(T.long_enough("text", 200)).select("doc_id")
 
 
-#: Over the first 150 characters, and over a caption for every tenth document; the queries take whole texts.
 _JUNK = f"""
-WITH p AS (SELECT doc_id, regexp_replace(part, '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'Figure ' || doc_id ELSE substr(text, 1, 150) END AS part FROM documents)),
+WITH p AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
 c AS (SELECT doc_id, t, {_WORDS.format('t')} AS w, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM p)
 SELECT doc_id, w < 20 AS s1, w < 50 AND regexp_matches(t, '(?i)^(fig(ure)?s?\\.?|table|supplementary\\s+(fig(ure)?|table)|supp\\.)\\s*[0-9a-z_]') AS s2,
   length(t) > 0 AND len(regexp_extract_all(t, '[0-9]')) > 0.30 * length(t) AS s3,
