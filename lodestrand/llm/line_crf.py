@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .token_count import text_buffer
-from .words import find_words, prefix_hashes, span_hashes
+from .words import find_words, span_hashes
 
 #: Labelled documents that a model is fitted on at most, taken by a hash of the doc_id.
 TRAIN_DOCS = 4000
@@ -57,8 +57,7 @@ def line_features(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         f[:, k] = (total[ends] - total[starts]) / length
     k = len(CLASSES)
     ws, we = find_words(b, offsets)
-    h = prefix_hashes(b)
-    wh = span_hashes(h, ws, we)
+    wh = span_hashes(b, ws, we)
     first, last = np.searchsorted(ws, starts), np.searchsorted(ws, ends)
     words = np.maximum(last - first, 1).astype(np.float32)
     same = np.zeros(len(wh) + 1, np.int32)
@@ -67,7 +66,7 @@ def line_features(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         hit[gap:] = wh[gap:] == wh[:-gap]
         same[1:] = np.cumsum(hit)
         f[:, k + col] = np.maximum(same[last] - same[np.minimum(first + gap, last)], 0) / words
-    lh = span_hashes(h, starts, ends)
+    lh = span_hashes(b, starts, ends)
     by = np.lexsort((lh, doc))
     again = np.zeros(len(lh), bool)
     again[by[1:]] = (lh[by[1:]] == lh[by[:-1]]) & (doc[by[1:]] == doc[by[:-1]]) & (size[by[1:]] > 1)

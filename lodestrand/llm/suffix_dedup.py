@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_counted, release, staged
+from .common import join_counted, staged
 from .digest_index import keyed_rows, text_digest
 from .token_count import text_buffer
-from .words import BASE, Powers, U, mixed, prefix_hashes, span_hashes
+from .words import BASE, U, eights, mixed, span_hashes
 
 LENGTH, K = 50, 16
 WINDOW = LENGTH - K + 1
@@ -47,6 +47,12 @@ SORT_SUFFIXES, GATHER = 1 << 18, 1 << 16
 BUCKET_BYTES = 8 << 20
 
 
+def gram_hashes(b: np.ndarray) -> np.ndarray:
+    """A hash of the K bytes from each place on."""
+    lanes = eights(b)
+    return mixed(mixed(lanes[: len(b) - K + 1]) ^ lanes[K - 8 : len(b) - K + 1 + K - 8])
+
+
 def anchors(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text number, anchor position, first suffix, last suffix, anchor hash, surroundings' hash) for each run of suffixes with one anchor.
 
@@ -58,9 +64,7 @@ def anchors(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(b) < LENGTH:
         return none, none, none, none, none.astype(U), none.astype(U)
-    h = prefix_hashes(b)
-    _, down = Powers.get(len(h))
-    g = mixed((h[K:] - h[:-K]) * down[: len(h) - K])
+    g = gram_hashes(b)
     low = (g >> U(32) << U(32)) | np.arange(len(g), dtype=U)
     size = 1
     while size * 2 <= WINDOW:
@@ -78,7 +82,7 @@ def anchors(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
     base = offsets[doc[first]]
-    around = span_hashes(h, base + start[first], base + start[last] + LENGTH)
+    around = span_hashes(b, base + start[first], base + start[last] + LENGTH)
     around = mixed(around + (pos[first] - base - start[first]).astype(U) * U(BASE))
     return doc[first], pos[first] - base, start[first], start[last], g[pos[first]], around
 
@@ -266,10 +270,8 @@ def repeated_suffixes(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFr
             ids, done = batch.column(0).to_pylist(), 0
             for d, n in enumerate(per.tolist()):
                 b = data[offsets[d] : offsets[d + 1]]
-                h, raw = prefix_hashes(b), b.tobytes()
-                _, down = Powers.get(len(h))
-                at = pos[done : done + n]
-                keys = (mixed((h[at + K] - h[at]) * down[at]) >> U(1)).astype(np.int64)
+                raw, at = b.tobytes(), pos[done : done + n]
+                keys = (gram_hashes(b)[at] >> U(1)).astype(np.int64)
                 for anchor, p, x, y in zip(keys.tolist(), at.tolist(), lo[done : done + n].tolist(), hi[done : done + n].tolist()):
                     held.setdefault((anchor, p - x, raw[x : y + LENGTH]), []).append((ids[d], x, y))
                 done += n
@@ -363,10 +365,8 @@ def _without_repeats(docs: DataFrame, keep_text: bool) -> DataFrame:
     copies = staged(sized.where(is_copy).select("doc_id").distinct(), "copies")
     firsts = docs.where(F.octet_length("text") >= LENGTH).join(copies, "doc_id", "left_anti")
     marks = staged(shared_anchors(firsts, buckets), "marks")
-    release(spark)
     # copies have no marks, so all documents may be asked
     found = staged(repeated_suffixes(docs, marks, buckets), "ranges")
-    release(spark)
 
     def cut(batches):
         for batch in batches:

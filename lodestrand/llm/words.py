@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 
@@ -21,42 +21,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    return mixed(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+#: Spans of more bytes are hashed one by one.
+LONG = 128
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
-class Powers:
-    """Powers of BASE and of its inverse modulo 2**64, as far as they were needed."""
+def eights(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of b on as one number; zeros follow the end."""
+    held = np.concatenate([b, np.zeros(8, np.uint8)])
+    return np.ndarray((len(b) + 1,), "<u8", held, strides=(1,))
 
-    up = np.ones(1, U)
-    down = np.ones(1, U)
 
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, x in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                p = np.full(size, x, U)
-                p[0] = 1
-                setattr(cls, name, np.multiply.accumulate(p))
-        return cls.up[:n], cls.down[:n]
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each b[start:end] that depends on its bytes alone.
 
-
-def prefix_hashes(b: np.ndarray) -> np.ndarray:
-    """h with h[j] - h[i] the hash of b[i:j], times BASE**i."""
-    up, _ = Powers.get(len(b) + 1)
-    h = np.zeros(len(b) + 1, U)
-    np.cumsum(_byte_values()[b] * up[:-1], out=h[1:])
+    Eight bytes at a time are mixed in, with a full mix between them: unlike a
+    polynomial modulo 2**64 it has no family of texts that always meet. Spans
+    of more than LONG bytes are hashed by BLAKE2.
+    """
+    size, lanes = ends - starts, eights(b)
+    h = mixed(size.astype(U) + U(BASE))
+    live, k = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - k
+        h[live] = mixed(h[live] ^ (lanes[starts[live] + k] & _MASK[np.minimum(left, 8)]))
+        live, k = live[left > 8], k + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(b[starts[i] : ends[i]], digest_size=8).digest(), "little")
     return h
 
 
-def span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each b[start:end] that depends on its bytes alone."""
-    _, down = Powers.get(len(h))
-    return mixed((h[ends] - h[starts]) * down[starts] + (ends - starts).astype(U))
-
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, bool)
@@ -77,7 +71,7 @@ def find_words(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def word_hashes(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words with A-Z lower-cased, and the number of words before each text and in all."""
     starts, ends = find_words(b, offsets)
-    return span_hashes(prefix_hashes(_LOWER[b]), starts, ends), np.searchsorted(starts, offsets)
+    return span_hashes(_LOWER[b], starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
