@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,32 +32,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestrand/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting that deletes a query's shuffle files when it ends; what is staged needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: the lineage ends there."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    PATHS[id(out)] = weakref.ref(out, lambda _, k=id(out): PATHS.pop(k, None)), path
+    return out
 
 
-def remove(df: DataFrame) -> None:
-    """Deletes what staged() wrote, once nothing will read it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Where staged tables lie, as long as they are referred to.
+PATHS: dict[int, tuple] = {}
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of data that nothing refers to any more.
-
-    They would stay until the driver's JVM happens to collect its garbage. A
-    last query is referred to until another one runs, so an empty one does.
-    """
-    gc.collect()
-    spark.range(1).write.format("noop").mode("overwrite").save()
-    spark.sparkContext._jvm.System.gc()
+def removed(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing will read any more; others are left alone."""
+    for df in tables:
+        if id(df) in PATHS:
+            spark, path = df.sparkSession, df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(PATHS[id(df)][1])
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def whole_text(name: str = "text") -> Column:
@@ -96,7 +99,7 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], size: str
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for the nodes of edges (a, b): label is the smallest node that can be reached.
+    """(node, label, old) for the nodes of edges (a, b): label is the smallest node that can be reached.
 
     Each round takes the smallest label among neighbours and then follows
     labels of labels, so that rounds grow with the logarithm of a component's
@@ -106,10 +109,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = staged(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("node"), F.least("a", "_m").alias("label")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.a, "left").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        step = staged(step, "labels")
+        step = staged(labels.join(near, labels.node == near.a, "left").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old")), "labels")
+        # every label has one row on the right, so a join can deal out a label with very many rows on the left
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
         after = staged(step.join(jump, "label", "left").select("node", F.coalesce("root", "label").alias("label"), "old"), "labels")
+        removed(labels, step)
         if after.where("label <> old").limit(1).count() == 0:
-            return after.select("node", "label")
-        labels = after.select("node", "label")
+            removed(both)
+            return after
+        labels = after

@@ -1,10 +1,11 @@
 """Exact deduplication against a persistent index of text digests.
 
 The index is a Parquet table, bucketed and sorted by the SHA-256 digest of the
-text, with one row for each distinct text. New data is first reduced to one row
-for each digest (so a text with a million copies costs one row), then compared
-with the index by a sort-merge anti-join over the buckets, and what is new is
-appended.
+text. New data comes in batches. A batch is first reduced to one row for each
+digest (so a text with a million copies costs one row), then compared with the
+index by a sort-merge anti-join over the buckets, and what is new is appended.
+Of digests that the index holds already, the batch's count and largest doc_id
+are appended as a further row, so that they are right over all batches.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, join_counted, staged, whole_text
+from .common import fresh_path, join_counted, removed, staged, whole_text
+
+#: Batches that a table is ingested in.
+BATCHES = 2
 
 
 def text_digest(name: str = "text") -> Column:
@@ -23,7 +27,10 @@ def text_digest(name: str = "text") -> Column:
 
 
 class DigestIndex:
-    """Digests seen so far: (digest, keep_id, group_size), bucketed and sorted by digest.
+    """Digests seen so far: (digest, keep_id, group_size, first), bucketed and sorted by digest.
+
+    A digest has one row with `first`, from the batch that brought it, and one
+    more for each later batch that has it.
 
     path: folder of the index, in storage that all executors reach. An index
     that exists there is opened, else an empty one is made.
@@ -33,24 +40,27 @@ class DigestIndex:
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
+            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT, first BOOLEAN) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
-    def rows(self) -> DataFrame:
+    def _table(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.table)
         return self.spark.table(self.table)
 
+    def rows(self) -> DataFrame:
+        """(digest, keep_id, group_size) over all batches; the buckets spare a shuffle."""
+        return self._table().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
     def ingest(self, digests: DataFrame) -> DataFrame:
-        """Adds the digests that the index hasn't got; returns the rows added.
-
-        digests: (digest, doc_id). Of equal texts in one batch the largest
-        doc_id stays; a text that an earlier batch brought keeps its row.
-        """
-        batch = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        new = batch.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
-        new = staged(new, "digest-batch")
-        new.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+        """Adds a batch (digest, doc_id); returns (digest, keep_id, group_size) of the digests that the index didn't have."""
+        batch = staged(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "digest-batch")
+        known = self._table().where("first").select("digest")
+        new = staged(batch.hint("merge").join(known, "digest", "left_anti"), "digest-new")
+        again = batch.hint("merge").join(known, "digest", "left_semi")
+        rows = new.withColumn("first", F.lit(True)).unionByName(again.withColumn("first", F.lit(False)))
+        rows.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+        removed(batch)
         return new
 
     def close(self) -> None:
@@ -58,42 +68,60 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def exact_duplicates(docs: DataFrame, path: str | None = None, buckets: int = 64) -> DataFrame:
+def ingested(digests: DataFrame, path: str | None, buckets: int, batches: int) -> DataFrame:
+    """(digest, keep_id, group_size) of all texts after the staged rows (digest, doc_id, batch) went in, a batch at a time. Without a path the index is left in the shared folder."""
+    index = DigestIndex(digests.sparkSession, path or fresh_path(digests.sparkSession, "digest-index"), buckets)
+    try:
+        for k in range(batches):
+            removed(index.ingest(digests.where(F.col("batch") == k)))
+        return staged(index.rows(), "digest-rows")
+    finally:
+        index.close()
+
+
+def _batch(doc_id: str, batches: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(batches)).alias("batch")
+
+
+def exact_duplicates(docs: DataFrame, path: str | None = None, buckets: int = 64, batches: int = BATCHES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; null counts as empty. Of equal texts the
-    largest doc_id stays; rows that repeat one doc_id and text are all "kept"
-    here (keep_rows() leaves one). With a path, the index there is used and
-    extended: a text that it already holds belongs to the row that brought it.
-    An empty table gives an empty result; other columns are ignored.
+    largest doc_id stays (null ids only if there is no other); rows that repeat
+    one doc_id and text are all "kept" here (keep_rows() leaves one). All rows
+    go in, split into `batches` by a hash of the doc_id. With a path, the index
+    there is used and extended: keep_id and group_size then count what it held
+    before, too. An empty table gives an empty result; other columns are
+    ignored.
     """
-    spark = docs.sparkSession
-    digests = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest")), "digests")
-    index = DigestIndex(spark, path or fresh_path(spark, "digest-index"), buckets)
-    index.ingest(digests)
-    return join_counted(digests, index.rows(), ["digest"], "group_size").select(
+    digests = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), _batch("doc_id", batches)), "digests")
+    rows = ingested(digests, path, buckets, batches)
+    if path is not None:  # what earlier calls brought is of no use here
+        rows = rows.join(digests.select("digest"), "digest", "left_semi")
+    return join_counted(digests.drop("batch"), rows, ["digest"], "group_size").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
-def keep_rows(docs: DataFrame) -> DataFrame:
+def keep_rows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """The documents without exact copies; same columns as docs.
 
     The rows are found by (doc_id, digest), so that copies of one text don't
     meet in one task with their texts. Rows that repeat doc_id and text are
-    reduced to one.
+    reduced to one; a row without a doc_id stays if no row with one has its
+    text. Columns of any name pass through.
     """
-    spark = docs.sparkSession
-    digests = staged(docs.select(F.col("doc_id").cast("long").alias("_id"), text_digest().alias("_digest")), "digests")
-    index = DigestIndex(spark, fresh_path(spark, "digest-index"))
-    index.ingest(digests.select(F.col("_digest").alias("digest"), F.col("_id").alias("doc_id")))
-    keep = index.rows().select(F.col("digest").alias("_digest"), F.coalesce("keep_id", F.lit(-1)).alias("_id"), F.col("keep_id").isNull().alias("_null"))
-    same = ["_id", "_null", "_digest"]
-    held = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_null": F.col("doc_id").isNull(), "_digest": text_digest()})
-    held = held.join(keep, same, "left_semi")
-    if digests.groupBy("_id", "_digest").count().where("count > 1").limit(1).count():
-        held = held.dropDuplicates(same)
-    return held.drop(*same)
+    digests = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), _batch("doc_id", batches)), "digests")
+    keep = ingested(digests, None, 64, batches)
+    own = F.struct(F.col("doc_id").cast("long").alias("id"), text_digest().alias("digest"))
+    # the row goes along in a struct, so that no column's name can clash
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("key"))
+    keep = keep.select(F.struct(F.coalesce("keep_id", F.lit(-1)).alias("id"), F.col("keep_id").isNull().alias("none"), "digest").alias("key"))
+    held = held.withColumn("key", F.struct(F.coalesce("key.id", F.lit(-1)).alias("id"), F.col("key.id").isNull().alias("none"), F.col("key.digest").alias("digest")))
+    held = held.join(keep, "key", "left_semi")
+    if digests.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
+        held = held.groupBy("key").agg(F.first("row").alias("row"))
+    return held.select("row.*")
 
 
 def keyed_rows(docs: DataFrame) -> tuple[DataFrame, int | None]:

@@ -2,16 +2,22 @@
 
 A document is the set of its word n-grams (shingles). If two sets are similar,
 they share one of their first tokens, whatever global order the tokens are put
-in. Candidates come from a shared prefix token under the first order, and must
-share prefix tokens under every other order before their sets are compared.
-How far a prefix reaches depends on the pair: with sizes x and y and a needed
-overlap of o, the first common token is among the first x - o + 1 of one and
-the first y - o + 1 of the other.
-
-Each order goes by its own sketch of the tokens' frequencies over all
-documents, of fixed size: all put frequent tokens last, and differ in how they
-arrange rare ones. Sketches steer the orders but cannot change which pairs are
-found.
+in. Candidates must share prefix tokens under several orders, which are
+intersected before sets are compared: in the join itself where a token has
+many documents, after it elsewhere. How far a prefix reaches depends on the
+pair: with sizes x and y and a needed overlap of o, the first common token is
+among the first x - o + 1 of one and the first y - o + 1 of the other.
+
+All orders put frequent tokens last and differ in how they arrange tokens that
+are equally frequent. Frequencies are counted over all documents: packs of
+texts send their tokens to the range of hashes that a task counts, and get back
+those that occur more than once. A token that occurs once can't be shared, so
+only its place in a prefix counts. The number of ranges follows the number of
+tokens, so no task or broadcast grows with the input.
+
+Tokens are named by a range and 32 bits of hash. Where two tokens of a set
+have one name, both keep their places, and the first name that two similar
+sets share is still in both prefixes; sets are compared by 64-bit hashes.
 
 Only what can change components is compared. Equal sets are one node. First
 every node is held against leaders of the buckets that it is in, which joins
@@ -23,21 +29,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, join_counted, release, staged
+from .common import components, join_counted, removed, staged
 from .digest_index import keyed_rows
 from .token_count import text_buffer
 from .words import U, mixed, shingles, word_hashes
 
-#: Counters of each order's frequency sketch, and rows that carry the sketches.
-SKETCH, SKETCH_ROWS = 1 << 20, 64
 ORDERS = 3
-LEADER_ROUNDS = 2
-BLOCK_BYTES = 2 << 20
-#: Bits of the filter that tells which documents' sets are needed; others may pass it.
-FILTER_BITS = 1 << 23
+#: Tokens that one task counts, on average.
+RANGE_TOKENS = 1 << 21
+#: Rounds against leaders, and pairs for each entry below which there is no further one.
+LEADER_ROUNDS, FEW_PAIRS = 6, 4
+#: Documents that share a token above which they must share one under the second order too to be joined.
+LARGE_BUCKET = 32
+BLOCK_BYTES = 4 << 20
+#: Bits of the filter that tells which documents' sets are needed, for each of them and at most; others may pass it.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 
 
 def _blocks(column: pa.Array):
@@ -65,119 +75,185 @@ def _sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
 
 
-def _slots(tokens: np.ndarray, order: int) -> np.ndarray:
-    return (mixed(tokens + U((order + 1) * 0xA24BAED4963EE407 % (1 << 64))) >> U(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+def _list(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
 
 
-class TokenOrders:
-    """Ranks of tokens under each order: by the order's own sketch of frequencies, then by hash.
+def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many first tokens of a set must hold one that a similar set shares."""
+    return np.where(size > 0, size - (size * percent + 99) // 100 + 1, 0)
 
-    Every order puts frequent tokens last. Among rare tokens chance collisions
-    decide, which differ from sketch to sketch.
-    """
 
-    def __init__(self, counts: np.ndarray):
-        self.level = np.stack([self._levels(c) for c in counts])
+def profiles(docs: DataFrame, n: int) -> DataFrame:
+    """One row per document: doc_id, n_shingles, fp1, fp2; equal sets have these 128 bits in common."""
 
-    @staticmethod
-    def _levels(counts: np.ndarray) -> np.ndarray:
-        """Frequencies in 256 steps: even shares up to the 99th percentile, then by powers of two."""
-        steps = np.quantile(counts, np.linspace(0, 0.99, 200))
-        top = np.log2(np.maximum(counts, 1) / max(steps[-1], 1)) * 4 + 200
-        return np.where(counts > steps[-1], np.clip(top, 200, 255), np.searchsorted(steps, counts)).astype(np.uint8)
+    def run(batches):
+        for batch in batches:
+            for i, j, b, offsets in _blocks(batch.column(1)):
+                tokens, bounds = shingle_sets(b, offsets, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(_sums(mixed(tokens ^ U(0x5851F42D4C957F2D)), bounds)), pa.array(_sums(mixed(tokens ^ U(0x14057B7EF767814F)), bounds))], names=["doc_id", "n_shingles", "fp1", "fp2"])
 
-    def rank(self, tokens: np.ndarray, order: int) -> np.ndarray:
-        return self.level[order][_slots(tokens, order)].astype(U) << U(56) | mixed(tokens ^ U((order + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) >> U(8)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long")
 
-    def prefix(self, tokens: np.ndarray, bounds: np.ndarray, order: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The first tokens of each set, as many as must hold one that a similar set shares; their places in it; how many there are of each set."""
-        size = np.diff(bounds)
-        keep = np.where(size > 0, size - (size * percent + 99) // 100 + 1, 0)
-        doc = np.repeat(np.arange(len(size)), size)
-        by = np.lexsort((self.rank(tokens, order), doc))
-        place = np.arange(len(tokens)) - bounds[doc]
-        first = place < keep[doc]
-        return tokens[by][first], place[first], keep
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2**32 byte by byte, so that high bytes, which are mostly zero, compress."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
-def _list(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
 
+def _from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
-def profiles(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """One row per document (doc_id, n_shingles, fp1, fp2), and a sketch of all shingles' frequencies for each order.
 
-    fp1, fp2: 128 bits that equal sets have in common.
-    """
-    per_row = ORDERS * SKETCH // SKETCH_ROWS
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
 
-    def run(batches):
-        counts = np.zeros((ORDERS, SKETCH), np.int64)
-        for batch in batches:
-            for i, j, b, offsets in _blocks(batch.column(1)):
-                tokens, bounds = shingle_sets(b, offsets, n)
-                for k in range(ORDERS):
-                    counts[k] += np.bincount(_slots(tokens, k), minlength=SKETCH)
-                m = pa.nulls(j - i, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(_sums(mixed(tokens ^ U(0x5851F42D4C957F2D)), bounds)), pa.array(_sums(mixed(tokens ^ U(0x14057B7EF767814F)), bounds)), m, pa.nulls(j - i, pa.binary())], names=names)
-        if counts.any():
-            parts = [c.tobytes() for c in counts.reshape(SKETCH_ROWS, per_row).astype(np.uint32)]
-            gap = pa.nulls(SKETCH_ROWS, pa.int64())
-            yield pa.RecordBatch.from_arrays([gap, gap, gap, gap, pa.array(range(SKETCH_ROWS), pa.int32()), pa.array(parts)], names=names)
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(blob, np.uint32).astype(np.int64)
-                total[part] = total[part] + x if part in total else x
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()])], names=["part", "blob"])
 
-    names = ["doc_id", "n_shingles", "fp1", "fp2", "part", "blob"]
-    rows = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, part int, blob binary"), "profiles")
-    counts = np.zeros((SKETCH_ROWS, per_row), np.int64)
-    # SKETCH_ROWS parts of fixed size, whatever the input
-    for r in rows.where("part is not null").select("part", "blob").repartition("part").mapInArrow(add, "part int, blob binary").collect():
-        counts[r.part] += np.frombuffer(r.blob, np.int64)
-    return rows.where("part is null").drop("part", "blob"), counts.reshape(ORDERS, SKETCH)
+_PACKED = "part int, pack long, name binary, owner binary, level binary, docs binary"
+_NAMES = [c.split()[0] for c in _PACKED.split(", ")]
+_KINDS = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
 
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
 
-def prefix_entries(docs: DataFrame, n: int, percent: int, orders: TokenOrders) -> DataFrame:
-    """(doc_id, n, k, token, pos): prefix tokens under each order k and their places in it, and the set's size n."""
+
+def packs(docs: DataFrame, n: int, ranges: int) -> DataFrame:
+    """A block of texts is a pack: a row (part, pack, name, owner) for each range that its tokens fall into, and one with its documents' ids and set sizes."""
 
     def run(batches):
+        pack = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for i, j, b, offsets in _blocks(batch.column(1)):
                 tokens, bounds = shingle_sets(b, offsets, n)
-                size = np.diff(bounds).astype(np.int32)
-                for k in range(ORDERS):
-                    first, pos, keep = orders.prefix(tokens, bounds, k, percent)
-                    columns = np.repeat(ids[i:j], keep), np.repeat(size, keep), np.full(len(first), k, np.int8), first.view(np.int64), pos.astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "n", "k", "token", "pos"])
+                size = np.diff(bounds)
+                owner = np.repeat(np.arange(j - i), size)
+                part = (tokens >> U(32)) * U(ranges) >> U(32)
+                name = part << U(32) | tokens & U(0xFFFFFFFF)
+                by = np.argsort(name)
+                name, owner, part = name[by], owner[by], part[by].astype(np.int64)
+                used = np.unique(part)
+                cut = np.searchsorted(part, np.append(used, ranges))
+                low = (name & U(0xFFFFFFFF)).astype(np.uint32)
+                rows = [(p, pack, _planes(_steps(low[x:y])), _planes(owner[x:y]), None, None) for p, x, y in zip(used.tolist(), cut, cut[1:])]
+                rows.append((pack % ranges, pack, None, None, None, np.concatenate([ids[i:j], size]).astype("<i8").tobytes()))
+                yield _packed(rows)
+                pack += 1
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PACKED)
+
+
+def counted(sent: DataFrame, ranges: int) -> DataFrame:
+    """The packs' tokens that occur more than once, with their frequency (`level`: eight steps for each doubling)."""
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, k byte, token long, pos int")
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            passed = []
+            for part, pack, name, owner, _, docs in zip(*(c.to_pylist() for c in batch.columns)):
+                if docs is None:
+                    held.setdefault(part, []).append((pack, name, owner))
+                else:
+                    passed.append((part, pack, None, None, None, docs))
+            if passed:
+                yield _packed(passed)
+        for part in list(held):
+            rows = held.pop(part)
+            names = [np.cumsum(_from_planes(x), dtype=np.uint32) for _, x, _ in rows]
+            every = np.concatenate(names)
+            by = np.argsort(every)
+            new = np.ones(len(every), bool)
+            new[1:] = every[by[1:]] != every[by[:-1]]
+            start = np.flatnonzero(new)
+            count = np.empty(len(every), np.int64)
+            count[by] = np.repeat(np.diff(np.append(start, len(every))), np.diff(np.append(start, len(every))))
+            level = np.minimum(np.log2(count) * 8, 255).astype(np.uint8)
+            at, out = 0, []
+            for (pack, _, owner), own in zip(rows, names):
+                k = np.flatnonzero(count[at : at + len(own)] > 1)
+                if len(k):
+                    out.append((part, pack, _planes(_steps(own[k])), _planes(_from_planes(owner)[k]), level[at + k].tobytes(), None))
+                at += len(own)
+            if out:
+                yield _packed(out)
+
+    return sent.repartition(ranges, "part").mapInArrow(run, _PACKED)
+
+
+_PREFIXES = "doc_id long, n int, " + ", ".join(f"p{k} array<struct<pos:int,token:long>>" for k in range(ORDERS))
+
+
+def prefixes(found: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, p0, p1, ...): a document's set size and, under each order, the tokens of its prefix that other documents have too, with their places. Documents without such a token under some order can't be similar to any and have no row."""
+
+    def of_pack(rows: list[tuple]):
+        docs = next(r[5] for r in rows if r[5] is not None)
+        ids, size = np.frombuffer(docs, "<i8").reshape(2, -1)
+        rows = [r for r in rows if r[5] is None]
+        if not rows:
+            return
+        name = np.concatenate([np.cumsum(_from_planes(r[2]), dtype=np.uint32).astype(U) | U(r[0]) << U(32) for r in rows])
+        owner = np.concatenate([_from_planes(r[3]) for r in rows]).astype(np.int64)
+        level = np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows]).astype(U)
+        shared = np.bincount(owner, minlength=len(ids))
+        keep, before = prefix_length(size, percent), np.cumsum(shared) - shared
+        lists, there = [], np.ones(len(ids), bool)
+        for k in range(ORDERS):
+            rank = level << U(56) | mixed(name ^ U((k + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) >> U(8)
+            by = np.lexsort((name, rank, owner))
+            doc = owner[by]
+            # tokens that occur once come first under every order
+            pos = size[doc] - shared[doc] + np.arange(len(by)) - before[doc]
+            first = pos < keep[doc]
+            lists.append((name[by][first], pos[first], np.bincount(doc[first], minlength=len(ids)), doc[first]))
+            there &= lists[-1][2] > 0
+        if not there.any():
+            return
+        columns = [pa.array(ids[there]), pa.array(size[there].astype(np.int32))]
+        for token, pos, many, doc in lists:
+            mine = there[doc]
+            values = pa.StructArray.from_arrays([pa.array(pos[mine].astype(np.int32)), pa.array(token[mine].astype(np.int64))], names=["pos", "token"])
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many[there])]), pa.int32()), values))
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", *(f"p{k}" for k in range(ORDERS))])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[1] != held[0][1]:
+                    yield from of_pack(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from of_pack(held)
+
+    return found.repartition("pack").sortWithinPartitions("pack").mapInArrow(run, _PREFIXES)
 
 
 def needed_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(doc_id, tokens) of the documents in ids.
 
-    A filter of fixed size spares most other documents' texts; those that pass
-    it are dropped by the join with ids.
+    A filter of bounded size spares most other documents' texts; those that
+    pass it are dropped by the join with ids.
     """
-    bits = np.zeros(FILTER_BITS, bool)
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    size = 1 << 16
+    while size < min(ids.count() * FILTER_BITS, MOST_FILTER_BITS):
+        size *= 2
+    bits = np.zeros(size, bool)
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(size))
     # Spark numbers a bitmap's values from 1
     maps = ids.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
-    for r in maps.collect():  # FILTER_BITS / 8 bytes at most
+    for r in maps.toLocalIterator():  # MOST_FILTER_BITS / 8 bytes at most
         part = np.unpackbits(np.frombuffer(r["map"], np.uint8), bitorder="little")
         at = (r["bucket"] - 1) * 32768
         bits[at : at + len(part)] = part
+    packed = np.packbits(bits, bitorder="little")
 
     def run(batches):
         for batch in batches:
-            want = bits[batch.column(2).to_numpy()]
+            at = batch.column(2).to_numpy()
+            want = (packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             if not want.any():
                 continue
             batch = batch.filter(pa.array(want))
@@ -185,7 +261,7 @@ def needed_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _list(*shingle_sets(b, offsets, n))], names=["doc_id", "tokens"])
 
     found = docs.select(F.col("doc_id").cast("long"), "text").withColumn("bit", bit).mapInArrow(run, "doc_id long, tokens array<long>")
-    return found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return found.join(ids, "doc_id", "left_semi")
 
 
 def overlap(x: str, y: str, percent: int) -> Column:
@@ -193,9 +269,9 @@ def overlap(x: str, y: str, percent: int) -> Column:
     return F.expr(f"((cast({x} as long) + {y}) * {percent} + {99 + percent}) div {100 + percent}")
 
 
-def in_all_orders(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share a token of the pair's prefixes under every order; prefixes: (doc_id, n, p0, p1, ...)."""
-    side = lambda x: prefixes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(f"p{k}").alias(f"p{k}_{x}") for k in range(ORDERS)])
+def in_all_orders(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share a token of the pair's prefixes under every order; rows: prefixes()."""
+    side = lambda x: rows.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(f"p{k}").alias(f"p{k}_{x}") for k in range(ORDERS)])
     met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", overlap("n_a", "n_b", percent))
     first = lambda k, x: F.transform(F.filter(f"p{k}_{x}", lambda e: e["pos"] <= F.col(f"n_{x}") - F.col("o")), lambda e: e["token"])
     for k in range(ORDERS):
@@ -203,9 +279,8 @@ def in_all_orders(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFr
     return met.select("a", "b")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of at least percent / 100."""
-    sets = staged(needed_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n), "sets")
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets (doc_id, tokens) have a Jaccard similarity of at least percent / 100."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"tokens_{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
@@ -229,10 +304,11 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     fewer than n words has its whole word sequence as one shingle. Null texts
     and texts without words have an empty set and are linked with nothing.
     component_id is the smallest doc_id that links reach, itself included.
-    One row comes back for each row of docs; a doc_id that occurs twice should
-    have one text. A row without a doc_id is a document of its own, after all
-    others; component_id is null where links reach no doc_id. Other columns
-    are ignored.
+    One row comes back for each row of docs. A doc_id that occurs with several
+    texts is one document: its component joins those of all its texts. A row
+    without a doc_id is a document of its own, after all others; component_id
+    is null where links reach no doc_id. Other columns are ignored, an empty
+    table gives an empty result, and texts of any length are read whole.
     """
     docs, first = keyed_rows(docs.select("doc_id", "text"))
     out = _key_components(docs.select(F.col("_key").alias("doc_id"), "text"), n, percent)
@@ -244,69 +320,95 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
 def _key_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """similar_components() of docs whose doc_ids are not null."""
-    rows, counts = profiles(docs, n)
-    orders = TokenOrders(counts)
+    rows = staged(profiles(docs, n), "profiles")
     some = rows.where("n_shingles > 0")
-    groups = staged(some.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "groups")
-    copies = some.join(groups.where("copies > 1"), ["fp1", "fp2"]).where("doc_id <> node").select("doc_id").distinct()
-    firsts = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(staged(copies, "copies"), "doc_id", "left_anti")
-    bucket = Window.partitionBy("k", "token")
-    entries = prefix_entries(firsts, n, percent, orders).withColumn("_c", F.count(F.lit(1)).over(bucket)).where("_c > 1").drop("_c")
-    entries = staged(entries, "entries")
-    release(docs.sparkSession)
-    if entries.isEmpty():
-        labels = groups.select("node", F.col("node").alias("label")).limit(0)
-    else:
-        labels = _linked(firsts, entries, n, percent)
+    groups = staged(some.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")), "groups")
+    # of equal sets one document speaks; a doc_id with several texts speaks for each of them
+    speaks = groups.select(F.col("node").alias("doc_id")).distinct()
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    ranges = max(int(total // RANGE_TOKENS), 16)
+    alone = staged(rows.join(speaks, "doc_id", "left_anti").select("doc_id").distinct(), "copies")
+    firsts = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(alone, "doc_id", "left_anti")
+    found = staged(counted(packs(firsts, n, ranges), ranges), "shared")
+    entries = staged(prefixes(found, percent), "prefixes")
+    removed(found)
+    labels = _linked(firsts, entries, n, percent)
+    removed(entries)
     named = groups.join(labels, "node", "left").select("fp1", "fp2", "copies", F.coalesce("label", "node").alias("component_id"))
     linked = join_counted(some, named, ["fp1", "fp2"], "copies").select("doc_id", "n_shingles", "component_id")
+    if rows.groupBy("doc_id").agg(F.count_distinct("fp1", "fp2").alias("c")).where("c > 1").limit(1).count():
+        linked = _joined_by_id(staged(linked, "linked"))
     return linked.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _joined_by_id(linked: DataFrame) -> DataFrame:
+    """Components that share a doc_id, because it has several texts, become one."""
+    parts = linked.select("doc_id", "component_id").distinct()
+    least = parts.groupBy("doc_id").agg(F.min("component_id").alias("a"))
+    to = components(parts.join(least, "doc_id").where("component_id > a").select("a", F.col("component_id").alias("b")))
+    to = to.select(F.col("node").alias("component_id"), "label")
+    return linked.join(to, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "component_id").alias("component_id"))
+
+
 def _linked(docs: DataFrame, entries: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, label) over all links between the entries' documents."""
-    spark = docs.sparkSession
-    lists = [F.collect_set(F.when(F.col("k") == k, F.struct("pos", "token"))).alias(f"p{k}") for k in range(ORDERS)]
-    prefixes = entries.groupBy("doc_id").agg(F.first("n").alias("n"), *lists)
-    for k in range(ORDERS):  # who shares nothing under some order has no links
-        prefixes = prefixes.where(F.size(f"p{k}") > 0)
-    prefixes = staged(prefixes, "prefixes")
-    comp = staged(prefixes.select("doc_id", F.col("doc_id").alias("comp")), "components")
-    tokens = prefixes.select("doc_id", "n", F.inline("p0"))
-
-    def merge(pairs: DataFrame) -> DataFrame:
-        """Components after the links among the pairs."""
-        pairs = staged(in_all_orders(pairs, prefixes, percent), "pairs")
-        links = staged(similar(pairs, docs, n, percent), "links")
+    comp = staged(entries.select("doc_id", F.col("doc_id").alias("comp")).distinct(), "components")
+    tokens = entries.select("doc_id", "n", F.inline("p0"))
+    # only documents that meet others under the first order can be candidates
+    met = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    asked = staged(tokens.join(met, "token", "left_semi").select("doc_id").distinct(), "asked")
+    sets = staged(needed_sets(docs, asked, n), "sets")
+    removed(asked)
+
+    def merge(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """Components after the links among the pairs, and how many were joined to others."""
+        pairs = staged(in_all_orders(pairs, entries, percent), "pairs")
+        links = staged(similar(pairs, sets, percent), "links")
         of = lambda x: comp.select(F.col("doc_id").alias(x), F.col("comp").alias(f"c{x}"))
-        edges = links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        to = components(edges).select(F.col("node").alias("comp"), "label")
-        after = staged(comp.join(to, "comp", "left").select("doc_id", F.coalesce("label", "comp").alias("comp")), "components")
-        release(spark)
-        return after
-
-    def mixed_buckets() -> DataFrame:
-        """Tokens of the first order whose documents are of different components still."""
-        w = Window.partitionBy("token")
-        now = tokens.join(comp, "doc_id").withColumns({"_lo": F.min("comp").over(w), "_hi": F.max("comp").over(w)})
-        return now.where("_lo < _hi").drop("_lo", "_hi")
+        edges = staged(links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "edges")
+        new = edges.count()
+        removed(pairs, links)
+        if not new:
+            removed(edges)
+            return comp, 0
+        to = components(edges)
+        after = staged(comp.join(to.select(F.col("node").alias("comp"), "label"), "comp", "left").select("doc_id", F.coalesce("label", "comp").alias("comp")), "components")
+        removed(edges, to, comp)
+        return after, new
+
+    def mixed_buckets(leader: Column) -> DataFrame:
+        """Tokens of the first order whose documents are of different components still: how many there are, and their leader."""
+        now = tokens.join(comp, "doc_id").groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("many"), F.min(leader).alias("lead"))
+        return now.where("lo < hi").drop("lo", "hi")
 
     for k in range(LEADER_ROUNDS):
         # the leader of a bucket: its first document, later by a hash that differs by round
-        order = F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "n", "comp", "pos") if k else F.struct("doc_id", "n", "comp", "pos")
-        led = mixed_buckets().withColumn("_l", F.min(order).over(Window.partitionBy("token")))
-        led = led.where(F.col("comp") != F.col("_l.comp")).select(F.col("doc_id").alias("b"), "n", "pos", F.col("_l.doc_id").alias("a"), F.col("_l.n").alias("m"), F.col("_l.pos").alias("at"))
+        leader = F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "n", "comp", "pos") if k else F.struct("doc_id", "n", "comp", "pos")
+        open_ = staged(mixed_buckets(leader), "buckets")
+        pairs, rows = open_.agg(F.sum(F.col("many").cast("double") * F.col("many")), F.sum("many")).first()
+        if k > 1 and (not rows or pairs <= FEW_PAIRS * rows):
+            break
+        led = tokens.join(open_, "token").join(comp, "doc_id").where(F.col("comp") != F.col("lead.comp")).select(F.col("doc_id").alias("b"), "n", "pos", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("at"))
         led = led.where(_near_size("n", "m", percent) & _early("n", "pos", "m", "at", percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-        best = led.withColumn("_r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))).where("_r = 1").select("a", "b")
-        comp = merge(best)
-    rest = staged(mixed_buckets(), "rest")
+        best = led.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+        comp, new = merge(best)
+        removed(open_)
+        if k and not new:
+            break
+    open_ = staged(mixed_buckets(F.lit(None)).select("token", "many"), "buckets")
+    rest = tokens.join(open_, "token").join(comp, "doc_id").join(entries.select("doc_id", "p1"), "doc_id")
+    # where many share a token, they meet by it and a token of the second order; elsewhere by it alone
+    own = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("token")))
+    rest = rest.withColumn("_t", F.explode(F.when(F.col("many") > LARGE_BUCKET, F.col("p1")).otherwise(own))).select("token", "doc_id", "n", "pos", "comp", F.col("_t.token").alias("also"), F.col("_t.pos").alias("at"))
+    rest = staged(rest, "rest")
     # a is the smaller set: as a similar one is no smaller, its own prefix is short
-    side = lambda x: [F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "comp")]]
-    x = rest.where(F.col("pos") <= F.col("n") - overlap("n", "n", percent)).select("token", *side("a"))
-    y = rest.select("token", *side("b"))
+    side = lambda x: [F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "at", "comp")]]
+    x = rest.where(F.col("pos") <= F.col("n") - overlap("n", "n", percent)).select("token", "also", *side("a"))
+    y = rest.select("token", "also", *side("b"))
     smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))
-    close = _near_size("n_a", "n_b", percent) & _early("n_a", "pos_a", "n_b", "pos_b", percent)
-    comp = merge(x.join(y, "token").where(smaller & (F.col("comp_a") != F.col("comp_b")) & close).select("a", "b").distinct())
+    close = _near_size("n_a", "n_b", percent) & _early("n_a", "pos_a", "n_b", "pos_b", percent) & _early("n_a", "at_a", "n_b", "at_b", percent)
+    comp, _ = merge(x.join(y, ["token", "also"]).where(smaller & (F.col("comp_a") != F.col("comp_b")) & close).select("a", "b").distinct())
+    removed(open_, rest, sets)
     return comp.select(F.col("doc_id").alias("node"), F.col("comp").alias("label"))
 
 

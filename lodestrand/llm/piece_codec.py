@@ -12,6 +12,7 @@ into spaces.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from functools import lru_cache
 
@@ -24,10 +25,10 @@ from pyspark.sql import types as T
 MARK = "▁"
 #: What a character outside all pieces scores below the worst piece, as unigram models have it.
 UNKNOWN_PENALTY = 10.0
-#: Distinct units whose pieces are kept by a worker.
-MEMO = 300_000
-#: Characters of text that are encoded at once, if one text isn't longer.
-BLOCK_CHARS = 1 << 21
+#: Bytes of distinct units whose pieces are kept by a worker, each counted with what a dictionary needs for it.
+MEMO_BYTES, ENTRY_BYTES = 12 << 20, 120
+#: Characters of text that are encoded at once, and bytes of a unit that is segmented on its own, a window at a time.
+BLOCK_CHARS, LONG_UNIT, WINDOW = 1 << 19, 256, 1 << 15
 
 
 class DoubleArray:
@@ -86,6 +87,7 @@ class PieceCodec:
         self.has_bytes = None not in self.byte_ids
         self.unknown_score = min((self.score[i] for i in own.values()), default=0.0) - UNKNOWN_PENALTY
         self.trie = DoubleArray(own)
+        self.longest = max(map(len, own), default=1)
         self.bytes = [bytes([int(p[1:-1], 16)]) if kind == "byte" else p.encode() if kind == "piece" else b"" for p, _, kind in pieces]
         texts = [p for p, _, kind in pieces if kind == "piece"]
         # cuts that no piece reaches across
@@ -93,6 +95,7 @@ class PieceCodec:
         self.cut_line = not any("\n" in p and len(p) > 1 for p in texts)
         self.units = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if self.cut_line else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.memo: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     @classmethod
     def load(cls, path: str) -> PieceCodec:
@@ -102,34 +105,132 @@ class PieceCodec:
         kind = lambda i: "byte" if m.is_byte(i) else "unknown" if m.is_unknown(i) else "control" if m.is_control(i) or m.is_unused(i) else "piece"
         return cls([(m.id_to_piece(i), m.get_score(i), kind(i)) for i in range(m.get_piece_size())])
 
-    def split(self, text: str) -> list[str]:
-        marked = MARK + text.replace(" ", MARK)
+    def split(self, text: str, whole: bool = True) -> list[str]:
+        """The units of a text, or of a part of one that starts with a space."""
+        marked = (MARK if whole else "") + text.replace(" ", MARK)
         if not self.cut_mark:
             return [marked]
-        if "  " in text or text[0] == " " or MARK in text:
+        if not whole or "  " in text or text[0] == " " or MARK in text:
             return self.units.findall(marked)
         marked = marked.replace(MARK, " " + MARK)
         return (marked.replace("\n", " \n ") if self.cut_line else marked).split(" ")
 
+    def slices(self, text: str) -> list[str]:
+        """The text in parts of about BLOCK_CHARS, cut where units end."""
+        out, at = [], 0
+        while self.cut_mark and len(text) - at > BLOCK_CHARS:
+            cut = text.find(" ", at + BLOCK_CHARS)
+            while cut >= 0 and text[cut - 1] in " " + MARK:
+                cut = text.find(" ", cut + 1)
+            if cut < 0:
+                break
+            out.append(text[at:cut])
+            at = cut
+        return [*out, text[at:] if at else text]
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as int32; an empty text has none."""
-        units = [self.split(t) if t else [] for t in texts]
+        parts = [self.slices(t) if t else [] for t in texts]
+        if all(len(p) < 2 for p in parts):
+            return self._encode([(t, True) for t in texts])
+        out = []
+        for part in parts:
+            ids = [self._encode([(x, not k)])[0] for k, x in enumerate(part)]
+            out.append(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+        return out
+
+    def _encode(self, texts: list[tuple[str, bool]]) -> list[np.ndarray]:
+        units = [self.split(t, whole) if t else [] for t, whole in texts]
         new = set().union(*units) - self.memo.keys() if units else set()
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {"": b""}
+        size = sum(map(len, new)) * 2 + ENTRY_BYTES * len(new)
+        if self.held + size > MEMO_BYTES:
+            self.memo, self.held = {"": b""}, 0
             new = set().union(*units) - {""}
-        new = list(new)
-        self.memo.update(zip(new, self.segment(new)))
+            size = sum(map(len, new)) * 2 + ENTRY_BYTES * len(new)
+        listed = list(new)
+        self.memo.update(zip(listed, self.segment(listed)))
+        self.held += size
         out = [np.frombuffer(b"".join(map(self.memo.__getitem__, u)), np.int32) for u in units]
-        if len(self.memo) > MEMO:
-            self.memo = {"": b""}
+        if self.held > MEMO_BYTES:
+            self.memo, self.held = {"": b""}, 0
         return out
 
     def segment(self, units: list[str]) -> list[bytes]:
         """Viterbi over each unit; of equal scores the one whose last piece is longest wins."""
-        if not units:
-            return []
         raw = [u.encode() for u in units]
+        short = [i for i, r in enumerate(raw) if len(r) <= LONG_UNIT]
+        out = [b"" if len(r) <= LONG_UNIT else self.segment_long(r) for r in raw]
+        for i, ids in zip(short, self._side_by_side([raw[i] for i in short])):
+            out[i] = ids
+        return out
+
+    def matches(self, text: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces that begin at the first `last` bytes of text: where, their bytes and their ids, by place and length."""
+        row, s, d = np.arange(last), np.zeros(last, np.int64), 0
+        found = []
+        while len(row):
+            t = self.trie.base[s] + text[row + d]
+            ok = self.trie.check[t] == s
+            row, s, d = row[ok], t[ok].astype(np.int64), d + 1
+            v = self.trie.value[s]
+            hit = v >= 0
+            found.append((row[hit], np.full(int(hit.sum()), d), v[hit]))
+            ok = row + d < len(text)
+            row, s = row[ok], s[ok]
+        at, size, ids = (np.concatenate(c) for c in zip(*found))
+        by = np.lexsort((size, at))
+        return at[by], size[by], ids[by]
+
+    def segment_long(self, raw: bytes) -> bytes:
+        """Viterbi over one long unit. Pieces are looked up a window at a time, so beyond the unit and four bytes for each of its bytes no memory grows with it."""
+        text, n = np.frombuffer(raw, np.uint8), len(raw)
+        reach = max(self.longest, 4) + 1
+        best = [-math.inf] * (WINDOW + reach)  # of the places from the window's first on
+        best[0] = 0.0
+        step = np.zeros(n + 1, np.int32)  # bytes of the last piece (below 0: a character without one)
+        piece = np.full(n + 1, -1, np.int32)
+        score, unknown = self.score, self.unknown_score
+        for lo in range(0, n, WINDOW):
+            last = min(WINDOW, n - lo)
+            at, size, ids = self.matches(text[lo : lo + last + self.longest], last)
+            worth = score[ids].tolist()
+            begin = np.searchsorted(at, np.arange(last + 1)).tolist()
+            size_, ids_ = size.tolist(), ids.tolist()
+            steps, pieces = [0] * (last + reach), [-1] * (last + reach)
+            steps[: min(reach, n + 1 - lo)] = step[lo : lo + reach].tolist()
+            pieces[: min(reach, n + 1 - lo)] = piece[lo : lo + reach].tolist()
+            for k in range(last):
+                x = raw[lo + k]
+                if x & 0xC0 == 0x80:
+                    continue
+                here, width = best[k], 1 if x < 0xC0 else 2 if x < 0xE0 else 3 if x < 0xF0 else 4
+                whole = False
+                for e in range(begin[k], begin[k + 1]):
+                    d = size_[e]
+                    new = here + worth[e]
+                    if new > best[k + d]:
+                        best[k + d], steps[k + d], pieces[k + d] = new, d, ids_[e]
+                    whole |= d == width
+                if not whole and here + unknown > best[k + width]:
+                    best[k + width], steps[k + width], pieces[k + width] = here + unknown, -width, -1
+            end = min(n + 1, lo + last + reach)
+            step[lo:end], piece[lo:end] = steps[: end - lo], pieces[: end - lo]
+            best = best[last : last + reach] + [-math.inf] * WINDOW
+        out, p = [], n
+        while p > 0:
+            d = int(step[p])
+            if d > 0:
+                out.append(int(piece[p]))
+            else:
+                d = -d
+                out += [self.byte_ids[x] for x in reversed(raw[p - d : p])] if self.has_bytes else [self.unknown]
+            p -= d
+        return np.array(out[::-1], np.int32).tobytes()
+
+    def _side_by_side(self, raw: list[bytes]) -> list[bytes]:
+        """Viterbi over many units, the bytes of which are walked together."""
+        if not raw:
+            return []
         size = np.array([len(r) for r in raw])
         order = np.argsort(-size, kind="stable")
         size = size[order]
@@ -170,7 +271,7 @@ class PieceCodec:
             to, new = start[r] + w[r], score[r] + self.unknown_score
             better = new > best[to]
             best[to[better]], piece[to[better]], came[to[better]] = new[better], -1, start[r][better]
-        out: list[bytes] = [b""] * len(units)
+        out: list[bytes] = [b""] * len(raw)
         piece_of, came_from, ends, begins = piece.tolist(), came.tolist(), (node0 + size).tolist(), node0.tolist()
         for i, (p, begin) in enumerate(zip(ends, begins)):
             ids = []
@@ -187,7 +288,9 @@ class PieceCodec:
 
     def decode(self, ids) -> str:
         """The text of ids. Bytes that are no UTF-8 become U+FFFD; control pieces are left out."""
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+        ids = np.asarray(ids, np.int64)
+        parts = [b"".join(map(self.bytes.__getitem__, ids[k : k + WINDOW].tolist())) for k in range(0, len(ids), WINDOW)]
+        text = b"".join(parts).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -235,7 +338,7 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text", out: s
                 ids = c.encode_all(block)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
-                same = [pa.array([c.decode(x.tolist()) == t for x, t in zip(ids, block)], pa.bool_())] if check else []
+                same = [pa.array([c.decode(x) == t for x, t in zip(ids, block)], pa.bool_())] if check else []
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(block)).columns, lists, *same], names=schema.fieldNames())
                 at += len(block)
 
@@ -275,7 +378,7 @@ def encoding_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(block)), pa.array([len(t.encode()) for t in block], pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), pa.array([c.decode(x.tolist()) == t for x, t in zip(ids, block)]),
+                        pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), pa.array([c.decode(x) == t for x, t in zip(ids, block)]),
                     ],
                     names=["doc_id", "n_bytes", "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip"],
                 )

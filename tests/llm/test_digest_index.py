@@ -1,3 +1,5 @@
+import random
+
 from lodestrand.llm import digest_index as di
 
 
@@ -11,6 +13,39 @@ def test_rows(spark):
     assert di.exact_duplicates(df.limit(0)).count() == 0 and di.keep_rows(df.limit(0)).count() == 0
 
 
+def test_batches_against_brute_force(spark, tmp_path):
+    rnd, path = random.Random(2), str(tmp_path / "index")
+    every = []
+    for call in range(3):
+        rows = [(rnd.randrange(1000), rnd.choice(["", None, *"abcdefgh"]) if rnd.random() < 0.7 else str(rnd.random())) for _ in range(120)]
+        every += rows
+        groups = {}
+        for i, t in every:
+            groups.setdefault(t or "", []).append(i)
+        want = sorted((i, max(groups[t or ""]), len(groups[t or ""])) for i, t in rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        for batches in (1, 3):
+            own = path if batches == 3 else None
+            got = sorted((r.doc_id, r.keep_id, r.group_size) for r in di.exact_duplicates(df, own, 4, batches).collect())
+            assert got == (want if own or not call else sorted((i, max(j for j, u in rows if (u or "") == (t or "")), sum((u or "") == (t or "") for _, u in rows)) for i, t in rows))
+
+
+def test_later_batches_meet_the_index(spark):
+    """The anti-join drops what the index holds."""
+    path_of = di.fresh_path(spark, "test-index")
+    index = di.DigestIndex(spark, path_of, 4)
+    rows = spark.range(300).selectExpr("id as doc_id", "cast(id % 50 as string) as text").select("doc_id", di.text_digest().alias("digest"), di._batch("doc_id", 2))
+    assert index.ingest(rows.where("batch = 0")).count() > 0 and index.ingest(rows.where("batch = 1")).count() < 50
+    assert index.rows().count() == 50 and index.rows().where("group_size = 6").count() == 50
+    index.close()
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", "x", 1), (2, "a", "y", 2), (None, "b", None, 3), (None, "b", None, 4)], "doc_id long, text string, key string, digest int")
+    kept = di.keep_rows(df)
+    assert kept.columns == df.columns and sorted((r.doc_id is None, r.text) for r in kept.collect()) == [(False, "a"), (True, "b")]
+
+
 def test_hot_digest(spark):
     df = spark.range(9000).selectExpr("id as doc_id", "if(id % 3 = 0, 'same', cast(id as string)) as text")
     out = di.exact_duplicates(df)
@@ -26,6 +61,7 @@ def test_persistent_index(spark, tmp_path):
     first.close()
     again = di.DigestIndex(spark, path, 4)
     assert again.ingest(text((3, "b"), (4, "c"), (5, "c"))).select("keep_id", "group_size").collect() == [(5, 2)]
-    assert sorted(r.keep_id for r in again.rows().collect()) == [1, 2, 5]
+    # of equal texts the largest doc_id stays, over all batches
+    assert sorted((r.keep_id, r.group_size) for r in again.rows().collect()) == [(1, 1), (3, 2), (5, 2)]
     plan = again.rows()._jdf.queryExecution().executedPlan().toString()
     assert "bucket" in plan.lower()

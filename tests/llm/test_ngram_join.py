@@ -74,3 +74,42 @@ def test_empty_and_repeated_rows(spark):
     assert got == [(1, 1), (1, 1), (2, 1), (3, 3)]
     kept = nj.keep_one(twice)
     assert kept.columns == ["doc_id", "text"] and sorted({r.doc_id for r in kept.collect()}) == [1, 3]
+
+
+def thue_morse(k, x="a", y="b"):
+    a, b = x, y
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    one, two = thue_morse(10)
+    check(spark, [(1, f"x {one} y"), (2, f"x {two} y"), (3, f"x {one} y z"), (4, f"x {two[:100]} y"), (5, f"x {one[:100]} y")], 3, 90)
+
+
+def test_several_texts_of_one_id(spark):
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "red green blue grey")
+    rows = [(0, a), (1, a), (1, b), (2, b), (3, c)]
+    got = sorted((r.doc_id, r.component_id) for r in nj.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
+    assert got == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 3)]
+
+
+def test_crowd_below_and_above_the_threshold(spark):
+    """Many documents share most of their words with all others, and are similar to few of them."""
+    rnd = random.Random(5)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for i in range(150):
+        own = random.Random(i // 3)
+        cut = own.randrange(10, 40)
+        rows.append((i, " ".join(base[:cut] + [f"f{i // 3}x{k}" for k in range(16)] + base[cut:] + [f"t{rnd.randrange(9)}"])))
+    check(spark, rows, 3, 80)
+    check(spark, rows, 5, 60)
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = " ".join(f"v{k % 5000}q{k % 7}" for k in range(60_000))
+    rows = [(1, long, "x", 1), (2, long + " tail", "y", 2), (3, "a b c d e f", None, None), (4, None, "z", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _c string, copies int")
+    kept = nj.keep_one(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2], rows[3]]

@@ -1,5 +1,6 @@
+import hashlib
 import random
-from functools import lru_cache
+import time
 
 import pytest
 
@@ -63,12 +64,50 @@ def test_trie(codec):
 
 
 def test_small_memo(codec, monkeypatch):
-    monkeypatch.setattr(pc, "MEMO", 5)
+    monkeypatch.setattr(pc, "MEMO_BYTES", 500)
     texts = ["one two three four five six seven", "one two"]
     fresh = pc.PieceCodec.load(pc.model_path())
     assert [x.tolist() for x in fresh.encode_all(texts)] == [x.tolist() for x in codec.encode_all(texts)]
 
 
+def test_long_units(codec, monkeypatch):
+    """A unit segmented on its own, a window at a time, as among others."""
+    rnd = random.Random(7)
+    units = ["".join(rnd.choice("abcdeéß中😀tionsing") for _ in range(rnd.randint(1, 300))).encode() for _ in range(100)]
+    for window in (50, 64, 1 << 15):
+        monkeypatch.setattr(pc, "WINDOW", window)
+        assert [codec.segment_long(u) for u in units] == codec._side_by_side(units)
+    text = "a" * 3_000 + "é" * 300 + "hello" * 100
+    assert codec.encode_all([text])[0].tolist() == brute(codec, text)
+
+
+def test_slices(codec, monkeypatch):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(f" ab{pc.MARK}\n.") for _ in range(rnd.randint(0, 200))) for _ in range(100)]
+    whole = [x.tolist() for x in codec.encode_all(texts)]
+    monkeypatch.setattr(pc, "BLOCK_CHARS", 7)
+    assert [x.tolist() for x in codec.encode_all(texts)] == whole
+
+
+def test_ten_megabytes_of_one_letter():
+    fresh, start = pc.PieceCodec.load(pc.model_path()), time.process_time()
+    ids = fresh.encode_all(["a" * 10_000_000])[0]
+    assert fresh.decode(ids) == "a" * 10_000_000 and time.process_time() - start < 60
+
+
+def test_digests(spark, codec):
+    rnd = random.Random(9)
+    rows = [(k, "".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 12)))) for k in range(40)] + [(40, None), (41, f"a{pc.MARK}b")]
+    got = {r.doc_id: r for r in pc.encoding_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        t = t or ""
+        ids = brute(codec, t) if pc.MARK not in t else codec.encode_all([t])[0].tolist()
+        r = got[k]
+        assert (r.n_bytes, r.n_tokens, r.n_byte_tokens) == (len(t.encode()), len(ids), sum(i in codec.byte_ids for i in ids))
+        assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+        assert r.round_trip == (pc.MARK not in t)
+
+
 def test_operator_cases(spark):
     rows = [(1, None, 3), (2, "", 3), (3, "Hello  wörld", 3), (3, "Hello  wörld", 3), (4, "much text " * 20000, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, token_ids int")
