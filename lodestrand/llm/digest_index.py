@@ -125,18 +125,18 @@ def keep_rows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 
 def keyed_rows(docs: DataFrame) -> tuple[DataFrame, int | None]:
-    """docs with a column _key, and the first key that is no doc_id (None if there is none).
+    """(_key, text, row) for each row of docs, and the first key that is no doc_id (None if there is none).
 
-    _key is the doc_id. Each row without one has a key of its own, larger than
-    all doc_ids, by text; these rows are staged with their keys.
+    row holds all columns. _key is the doc_id. Each row without one has a key
+    of its own, larger than all doc_ids, by text; these are staged with their
+    keys.
     """
-    docs = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("_key"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     most, nulls = docs.agg(F.max("_key"), F.count_if(F.isnull("_key"))).first()
     if not nulls:
         return docs, None
     first = 0 if most is None else most + 1
-    plain = [c for c, t in docs.dtypes if "map<" not in t]
-    rows = docs.where("_key is null").withColumns({"_digest": text_digest(), "_other": F.xxhash64(*plain), "_at": F.monotonically_increasing_id()})
+    rows = docs.where("_key is null").withColumns({"_digest": text_digest(), "_other": F.xxhash64(F.to_json("row")), "_at": F.monotonically_increasing_id()})
     rows = rows.orderBy("_digest", "_other", "_at").drop("_digest", "_other", "_at").withColumn("_key", F.lit(first) + F.monotonically_increasing_id())
     return docs.where("_key is not null").unionByName(staged(rows, "null-ids")), first
 

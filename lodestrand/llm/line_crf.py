@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
 from .token_count import text_buffer
 from .words import find_words, span_hashes
 
@@ -221,8 +222,14 @@ def scored(docs: DataFrame, model: LineCrf, text: str = "text", out: str = "scor
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose quality is at least the threshold; same columns as docs."""
-    return scored(docs, train(docs, labels), out="_line_crf_score").where(F.col("_line_crf_score") >= threshold).drop("_line_crf_score")
+    """The documents whose quality is at least the threshold; same columns as docs, whatever their names.
+
+    Every row is judged by its own text, also rows that repeat or have no
+    doc_id; null and empty texts have the quality of an empty line. An empty
+    table gives an empty result.
+    """
+    score = free_name(docs, "score")
+    return scored(docs, train(docs, labels), out=score).where(F.col(score) >= threshold).drop(score)
 
 
 def op6_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

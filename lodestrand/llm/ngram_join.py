@@ -3,8 +3,7 @@
 A document is the set of its word n-grams (shingles). If two sets are similar,
 they share one of their first tokens, whatever global order the tokens are put
 in. Candidates must share prefix tokens under several orders, which are
-intersected before sets are compared: in the join itself where a token has
-many documents, after it elsewhere. How far a prefix reaches depends on the
+intersected before sets are compared. How far a prefix reaches depends on the
 pair: with sizes x and y and a needed overlap of o, the first common token is
 among the first x - o + 1 of one and the first y - o + 1 of the other.
 
@@ -22,7 +21,9 @@ sets share is still in both prefixes; sets are compared by 64-bit hashes.
 Only what can change components is compared. Equal sets are one node. First
 every node is held against leaders of the buckets that it is in, which joins
 large groups of near copies with a number of pairs in proportion to their
-size; then all remaining candidates in different components are compared.
+size; then all remaining candidates in different components are compared. Where
+many documents share a token, as copies of one text do that are not similar to
+each other, they meet by what sets them apart from one of them (around_pivots).
 """
 
 from __future__ import annotations
@@ -41,10 +42,9 @@ from .words import U, mixed, shingles, word_hashes
 ORDERS = 3
 #: Tokens that one task counts, on average.
 RANGE_TOKENS = 1 << 21
-#: Rounds against leaders, and pairs for each entry below which there is no further one.
-LEADER_ROUNDS, FEW_PAIRS = 6, 4
-#: Documents that share a token above which they must share one under the second order too to be joined.
-LARGE_BUCKET = 32
+LEADER_ROUNDS = 2
+#: Documents that share a token above which they meet by their differences from one of them.
+LARGE_BUCKET = 8
 BLOCK_BYTES = 4 << 20
 #: Bits of the filter that tells which documents' sets are needed, for each of them and at most; others may pass it.
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
@@ -360,21 +360,20 @@ def _linked(docs: DataFrame, entries: DataFrame, n: int, percent: int) -> DataFr
     sets = staged(needed_sets(docs, asked, n), "sets")
     removed(asked)
 
-    def merge(pairs: DataFrame) -> tuple[DataFrame, int]:
-        """Components after the links among the pairs, and how many were joined to others."""
+    def merge(pairs: DataFrame) -> DataFrame:
+        """Components after the links among the pairs."""
         pairs = staged(in_all_orders(pairs, entries, percent), "pairs")
         links = staged(similar(pairs, sets, percent), "links")
         of = lambda x: comp.select(F.col("doc_id").alias(x), F.col("comp").alias(f"c{x}"))
         edges = staged(links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "edges")
-        new = edges.count()
         removed(pairs, links)
-        if not new:
+        if edges.isEmpty():
             removed(edges)
-            return comp, 0
+            return comp
         to = components(edges)
         after = staged(comp.join(to.select(F.col("node").alias("comp"), "label"), "comp", "left").select("doc_id", F.coalesce("label", "comp").alias("comp")), "components")
         removed(edges, to, comp)
-        return after, new
+        return after
 
     def mixed_buckets(leader: Column) -> DataFrame:
         """Tokens of the first order whose documents are of different components still: how many there are, and their leader."""
@@ -384,34 +383,96 @@ def _linked(docs: DataFrame, entries: DataFrame, n: int, percent: int) -> DataFr
     for k in range(LEADER_ROUNDS):
         # the leader of a bucket: its first document, later by a hash that differs by round
         leader = F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "n", "comp", "pos") if k else F.struct("doc_id", "n", "comp", "pos")
-        open_ = staged(mixed_buckets(leader), "buckets")
-        pairs, rows = open_.agg(F.sum(F.col("many").cast("double") * F.col("many")), F.sum("many")).first()
-        if k > 1 and (not rows or pairs <= FEW_PAIRS * rows):
-            break
-        led = tokens.join(open_, "token").join(comp, "doc_id").where(F.col("comp") != F.col("lead.comp")).select(F.col("doc_id").alias("b"), "n", "pos", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("at"))
+        led = tokens.join(mixed_buckets(leader), "token").join(comp, "doc_id").where(F.col("comp") != F.col("lead.comp"))
+        led = led.select(F.col("doc_id").alias("b"), "n", "pos", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("at"))
         led = led.where(_near_size("n", "m", percent) & _early("n", "pos", "m", "at", percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-        best = led.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-        comp, new = merge(best)
-        removed(open_)
-        if k and not new:
-            break
-    open_ = staged(mixed_buckets(F.lit(None)).select("token", "many"), "buckets")
-    rest = tokens.join(open_, "token").join(comp, "doc_id").join(entries.select("doc_id", "p1"), "doc_id")
-    # where many share a token, they meet by it and a token of the second order; elsewhere by it alone
-    own = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("token")))
-    rest = rest.withColumn("_t", F.explode(F.when(F.col("many") > LARGE_BUCKET, F.col("p1")).otherwise(own))).select("token", "doc_id", "n", "pos", "comp", F.col("_t.token").alias("also"), F.col("_t.pos").alias("at"))
-    rest = staged(rest, "rest")
+        comp = merge(led.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"))
+    open_ = staged(mixed_buckets(F.struct(F.xxhash64("doc_id"), "doc_id")), "buckets")
+    crowd = staged(tokens.join(open_.where(F.col("many") > LARGE_BUCKET), "token").select(F.col("lead.doc_id").alias("pivot"), "doc_id").distinct(), "crowd")
+    apart = staged(from_pivots(crowd, sets), "apart")
+    close = F.col("nd") * (100 + percent) <= (F.col("n") + F.col("n_pivot")) * (100 - percent)
+    comp = merge(apart.where(close & (F.col("pivot") != F.col("doc_id"))).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
+    rest = staged(tokens.join(open_.where(F.col("many") <= LARGE_BUCKET).select("token"), "token").join(comp, "doc_id"), "rest")
     # a is the smaller set: as a similar one is no smaller, its own prefix is short
-    side = lambda x: [F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "at", "comp")]]
-    x = rest.where(F.col("pos") <= F.col("n") - overlap("n", "n", percent)).select("token", "also", *side("a"))
-    y = rest.select("token", "also", *side("b"))
+    side = lambda x: [F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "comp")]]
+    x = rest.where(F.col("pos") <= F.col("n") - overlap("n", "n", percent)).select("token", *side("a"))
+    y = rest.select("token", *side("b"))
     smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))
-    close = _near_size("n_a", "n_b", percent) & _early("n_a", "pos_a", "n_b", "pos_b", percent) & _early("n_a", "at_a", "n_b", "at_b", percent)
-    comp, _ = merge(x.join(y, ["token", "also"]).where(smaller & (F.col("comp_a") != F.col("comp_b")) & close).select("a", "b").distinct())
-    removed(open_, rest, sets)
+    near = _near_size("n_a", "n_b", percent) & _early("n_a", "pos_a", "n_b", "pos_b", percent)
+    few = x.join(y, "token").where(smaller & (F.col("comp_a") != F.col("comp_b")) & near).select("a", "b")
+    others = staged(differences(apart), "differences")
+    comp = merge(around_leaders(others, comp, percent).unionByName(few).distinct())
+    comp = merge(around_pivots(others, comp, percent).distinct())
+    removed(open_, crowd, apart, rest, others, sets)
     return comp.select(F.col("doc_id").alias("node"), F.col("comp").alias("label"))
 
 
+def from_pivots(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, doc_id, n, n_pivot, nd, d): d holds the nd tokens that are in one of the sets only."""
+    met = crowd.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("pivot"), F.col("tokens").alias("_p")), "pivot")
+    rows = met.select("pivot", "doc_id", F.size("tokens").alias("n"), F.size("_p").alias("n_pivot"), F.concat(F.array_except("tokens", "_p"), F.array_except("_p", "tokens")).alias("d"))
+    return rows.withColumn("nd", F.size("d"))
+
+
+def differences(apart: DataFrame) -> DataFrame:
+    """(pivot, token, doc_id, n, nd, pos): the tokens of differences from a pivot that another difference from it holds too, and their places; rare ones come first."""
+    each = apart.select("pivot", "doc_id", F.explode("d").alias("token"))
+    often = each.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    own = each.join(often, ["pivot", "token"]).groupBy("pivot", "doc_id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("shared"))
+    rows = apart.drop("d", "n_pivot").join(own, ["pivot", "doc_id"])
+    # tokens that no other difference holds come before all others
+    rows = rows.select("pivot", "doc_id", "n", "nd", (F.col("nd") - F.size("shared")).alias("_u"), F.posexplode("shared").alias("_i", "_t"))
+    return rows.select("pivot", F.col("_t.token").alias("token"), "doc_id", "n", "nd", (F.col("_u") + F.col("_i")).alias("pos"))
+
+
+def _met(rows: DataFrame, pairs: DataFrame, percent: int, on: list[str]) -> DataFrame:
+    """rows and pairs with the columns of sides a and b joined, where a token can be the first that the differences share."""
+    n, m, v, w = (F.col(c).cast("long") for c in ("n_a", "n_b", "nd_a", "nd_b"))
+    o = F.greatest(F.lit(1), _needed(n, m, v, w, percent))
+    near = _near_size("n_a", "n_b", percent) & (F.col("pos_a") <= F.col("nd_a") - o) & (F.col("pos_b") <= F.col("nd_b") - o)
+    return rows.join(pairs, on).where((F.col("comp_a") != F.col("comp_b")) & near)
+
+
+def _needed(n: Column, m: Column, v: Column, w: Column, percent: int) -> Column:
+    """Tokens that differences of v and w tokens share if sets of n and m tokens are similar: half of what v + w has beyond the tokens that may be in one set only."""
+    return F.ceil((v + w - F.floor((n + m) * (100 - percent) / (100 + percent))) / 2)
+
+
+def _side(x: str) -> list[Column]:
+    return [F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "nd", "pos", "comp")]]
+
+
+def around_leaders(others: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents with the first one that shares a token of their difference, one for each b."""
+    rows = others.join(comp, "doc_id")
+    first = rows.groupBy("pivot", "token").agg(F.min_by(F.struct("doc_id", "n", "nd", "pos", "comp"), F.struct(F.xxhash64("doc_id"), "doc_id")).alias("_l")).select("pivot", "token", "_l.*")
+    met = _met(rows.select("pivot", "token", *_side("b")), first.select("pivot", "token", *_side("a")), percent, ["pivot", "token"])
+    counts = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return counts.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def around_pivots(others: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) among the documents of a pivot, in different components.
+
+    Sets of x and y tokens are similar if at most s = (x + y) * (100 - percent)
+    / (100 + percent) tokens are in one of them only. These are the tokens in
+    which their differences from the pivot differ, so with differences of v and
+    w tokens they share o = (v + w - s) / 2 of them. If that is no more than 0,
+    both are similar to the pivot, with which they are linked already. Else
+    the first shared token, rare ones first, is among the first v - o + 1 and
+    w - o + 1. So documents that all share most of a text, but no more than
+    that, do not meet: what counts is what they share beyond it.
+    """
+    rows = others.join(comp, "doc_id")
+    # a has the smaller difference; the largest set that can be similar to one of n tokens has n * 100 / percent
+    n, v = F.col("n").cast("long"), F.col("nd").cast("long")
+    least = F.greatest(F.lit(1), _needed(n, F.floor(n * 100 / percent), v, v, percent))
+    x = rows.where(F.col("pos") <= v - least).select("pivot", "token", *_side("a"))
+    smaller = (F.col("nd_a") < F.col("nd_b")) | (F.col("nd_a") == F.col("nd_b")) & (F.col("a") < F.col("b"))
+    met = _met(x, rows.select("pivot", "token", *_side("b")), percent, ["pivot", "token"]).where(smaller)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near copies: of each component the smallest doc_id stays. Same columns as docs.
 
@@ -419,7 +480,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     docs, _ = keyed_rows(docs)
     kept = _key_components(docs.select(F.col("_key").alias("doc_id"), "text"), n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(kept, "_key", "left_semi").drop("_key")
+    return docs.join(kept, "_key", "left_semi").select("row.*")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
