@@ -108,6 +108,32 @@ def test_digests(spark, codec):
         assert r.round_trip == (pc.MARK not in t)
 
 
+def test_as_the_library_for_a_unigram_model(tmp_path):
+    """A unigram model put together by hand; scores are multiples of 1/8, so that sums are exact in any order."""
+    proto = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    import sentencepiece
+
+    rnd, alphabet = random.Random(3), "abcdeé中"
+    pieces = {c: -rnd.randint(24, 72) / 8 for c in alphabet[:-1] + pc.MARK}
+    while len(pieces) < 300:
+        t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 5)))
+        pieces.setdefault(pc.MARK + t if rnd.random() < 0.4 else t, -rnd.randint(32, 112) / 8)
+    m, kind = proto.ModelProto(), proto.ModelProto.SentencePiece
+    rows = [("<unk>", 0, kind.UNKNOWN), *((f"<0x{x:02X}>", 0, kind.BYTE) for x in range(256)), *((t, x, kind.NORMAL) for t, x in sorted(pieces.items()))]
+    for t, x, k in rows:
+        one = m.pieces.add()
+        one.piece, one.score, one.type = t, x, k
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.unk_id = proto.TrainerSpec.UNIGRAM, True, 0
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    path = tmp_path / "unigram.model"
+    path.write_bytes(m.SerializeToString())
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=str(path)), pc.PieceCodec.load(str(path))
+    for _ in range(3000):
+        t = "".join(rnd.choice(alphabet + "  \n😀") for _ in range(rnd.randint(0, 60)))
+        ids = lib.encode(t)
+        assert own.encode_all([t])[0].tolist() == ids and own.decode(ids) == lib.decode(ids)
+
+
 def test_operator_cases(spark):
     rows = [(1, None, 3), (2, "", 3), (3, "Hello  wörld", 3), (3, "Hello  wörld", 3), (4, "much text " * 20000, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, token_ids int")
