@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import long_hash, whole_text
+from .common import free_name, join_counted, long_hash, staged, whole_text
 
 STEPS = 50
 SEED = 17
@@ -87,12 +87,12 @@ def mixed(docs: DataFrame, entropy_share: float | None = 0.97, max_repeat: float
     deals each source evenly over blocks of about mix_tokens, so that every
     block has the target weights. Copies of one row_key share their places.
     """
-    rows = docs.select("row_key", F.coalesce("source", F.lit("")).alias("src"), "n_tokens")
-    sums = rows.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("_rows"))
+    rows = staged(docs.select("row_key", F.coalesce("source", F.lit("")).alias("src"), "n_tokens"), "sizes")
+    sums = staged(rows.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("_rows")), "sources")
     plan = source_weights(sums.where("tokens > 0").select("src", "tokens"), entropy_share, max_repeat, budget_share)
-    plan = sums.select("src", F.ceil(F.col("_rows") / block_rows).alias("_blocks")).join(plan, "src", "left").na.fill({"quota": 1, "epochs": 1, "tokens": 0})
-    # one row per source; Spark broadcasts it if it is small and else joins by key
-    rows = rows.join(plan.select("src", "_blocks"), "src").withColumn("_block", F.pmod(long_hash(F.lit(str(seed)), F.lit("block"), F.col("row_key")), F.col("_blocks")))
+    plan = sums.select("src", "_rows", F.ceil(F.col("_rows") / block_rows).alias("_blocks")).join(plan, "src", "left").na.fill({"quota": 1, "epochs": 1, "tokens": 0})
+    # one row per source; large sources are broadcast, of which there are few, the others meet by key
+    rows = join_counted(rows, sums.select("src", "_rows", F.ceil(F.col("_rows") / block_rows).alias("_blocks")), ["src"], "_rows").drop("_rows").withColumn("_block", F.pmod(long_hash(F.lit(str(seed)), F.lit("block"), F.col("row_key")), F.col("_blocks")))
     blocks = rows.groupBy("src", "_block").agg(F.sum("n_tokens").alias("_size"))
     passes = blocks.join(plan, "src").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     drawn = "{} < quota or epoch = 0 and quota >= tokens" if budget_share is None else "{} < quota"
@@ -111,14 +111,15 @@ def mix_rows(docs: DataFrame, max_repeat: float = 2.0, **options) -> DataFrame:
     """docs with every row as often as the mix draws it, same columns; by default each row once at least.
 
     Rows are told apart by source, doc_id and text; rows that are equal in all
-    three are drawn together.
+    three are drawn together. A null source is the source '', null and empty
+    texts have no words; an empty table gives an empty result.
     """
     options = {"entropy_share": None, "budget_share": None} | options
     key = F.sha2(F.concat_ws(":", F.coalesce("source", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), whole_text()), 256)
-    keyed = docs.withColumn("_key", key)
-    sizes = keyed.select(F.col("_key").alias("row_key"), "source", n_words().alias("n_tokens")).groupBy("row_key", "source").agg(F.sum("n_tokens").alias("n_tokens"))
-    drawn = mixed(sizes, max_repeat=max_repeat, **options).groupBy(F.col("row_key").alias("_key")).agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    return keyed.join(drawn, "_key").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    name, times = free_name(docs, "row_key"), free_name(docs, "times")
+    sizes = docs.select(key.alias("row_key"), "source", n_words().alias("n_tokens")).groupBy("row_key", "source").agg(F.sum("n_tokens").alias("n_tokens"))
+    drawn = mixed(sizes, max_repeat=max_repeat, **options).groupBy(F.col("row_key").alias(name)).agg(F.count(F.lit(1)).cast("int").alias(times))
+    return docs.withColumn(name, key).join(drawn, name).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
