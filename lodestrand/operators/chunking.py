@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,23 +27,26 @@ def split_text(text: str, size: int = S.CHUNK_SIZE, overlap: int = S.CHUNK_OVERL
     # a separator stays with the piece that it precedes
     pieces = list(text) if sep == "" else [p if i == 0 else sep + p for i, p in enumerate(text.split(sep))]
     chunks: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
+    length = 0  # of what is held
 
     def close(keep: int) -> None:
         """Ends a chunk; its last pieces of `keep` characters at most begin the next."""
+        nonlocal length
         if joined := "".join(held).strip():
             chunks.append(joined)
-        while held and sum(map(len, held)) > keep:
-            del held[0]
+        while held and length > keep:
+            length -= len(held.popleft())
 
     for p in filter(None, pieces):
         if len(p) > size and finer:
             close(0)
             chunks += split_text(p, size, overlap, finer)
             continue
-        if held and sum(map(len, held)) + len(p) > size:
+        if held and length + len(p) > size:
             close(min(overlap, size - len(p)) if len(p) < size else 0)
         held.append(p)
+        length += len(p)
     close(0)
     return chunks
 

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as T
+from ..places import shared_dir
 
 
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once: its lineage is cut by checkpoint() into the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrand-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -111,7 +108,7 @@ def transitive_closure(is_a: DataFrame) -> DataFrame:
         delta = settled(far.join(known, ["child_id", "parent_id"], "left_anti").select("child_id", "parent_id"))
         if delta.isEmpty():
             return known
-        known = settled(known.union(delta).distinct())
+        known = known.union(delta)  # what is new is in no earlier round
 
 
 def fan_in(is_a: DataFrame) -> DataFrame:
@@ -164,13 +161,26 @@ def subgraphs(counts: DataFrame, triples: DataFrame, chunks: DataFrame, max_chun
     return out.withColumns({"n_entities": F.coalesce(F.size("entities"), F.lit(0)), "n_triples": F.coalesce(F.size("triples"), F.lit(0))})
 
 
-def legacy_edges(traits: DataFrame, is_a: DataFrame) -> DataFrame:
-    """H8: HAS_TRAIT, MAPPED_TO and IS_A edges (kind, src, dst, score) of mapped traits of species."""
+def legacy_edges(traits: DataFrame, is_a: DataFrame, similar: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
+    """HAS_TRAIT, MAPPED_TO and IS_A edges (kind, src, dst, score) of mapped traits of species, each once; with SIMILAR_TO of similar pairs (src, dst, score) and SYNONYM_OF of synonym_pairs()."""
     has = traits.select(F.lit("HAS_TRAIT").alias("kind"), F.col("species").alias("src"), F.col("raw_trait").alias("dst"), F.coalesce("cosine_score", F.lit(0.0)).alias("score"))
     usable = traits.where("mapped and term_id is not null")
     to = usable.select(F.lit("MAPPED_TO"), "raw_trait", "term_id", F.coalesce("cosine_score", F.lit(0.0)))
     up = usable.select("term_id").distinct().join(is_a, F.col("term_id") == F.col("child_id")).select(F.lit("IS_A"), "child_id", "parent_id", F.lit(None).cast("double"))
-    return has.union(to).union(up).distinct()
+    out = has.union(to).union(up)
+    if similar is not None:
+        out = out.union(similar.select(F.lit("SIMILAR_TO"), "src", "dst", "score"))
+    if synonyms is not None:
+        out = out.union(synonyms.select(F.lit("SYNONYM_OF"), "src", "dst", F.lit(None).cast("double")))
+    return out.distinct()
+
+
+def legacy_nodes(traits: DataFrame, is_a: DataFrame) -> DataFrame:
+    """(kind, id) of species, traits and terms, each once."""
+    terms = traits.where("mapped and term_id is not null").select("term_id").distinct()
+    up = terms.join(is_a, F.col("term_id") == F.col("child_id")).select(F.lit("Term").alias("kind"), F.col("parent_id").alias("id"))
+    each = traits.select(F.lit("Species").alias("kind"), F.col("species").alias("id")).union(traits.select(F.lit("Trait"), "raw_trait"))
+    return each.union(terms.select(F.lit("Term"), "term_id")).union(up).distinct()
 
 
 def synonym_pairs(members: DataFrame) -> DataFrame:

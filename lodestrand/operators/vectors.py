@@ -13,8 +13,8 @@ from .. import schemas as S
 from ..functions import text as T
 from ..functions import vectors as V
 
-#: Rows of a block.
-BLOCK = 512
+#: Rows of a block, and tasks for products of blocks.
+BLOCK, MOST_TASKS = 512, 20_000
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int = S.CANDIDATES, metric: str = "cosine", where=None) -> DataFrame:
@@ -71,7 +71,8 @@ def similar_pairs(rows: DataFrame, threshold: float = S.SIMILAR, exclude: str =
                     out.append((min(p["id"], q["id"]), max(p["id"], q["id"]), round(float(score[i, j]), digits)))
                 yield pd.DataFrame(out, columns=["a", "b", "score"])
 
-    return other.repartition(max(blocks * (blocks + 1) // 2, 1), "b1", "b2").mapInPandas(run, schema)
+    # a row is a product of two blocks; tasks hold many of them where there are very many
+    return other.repartition(max(1, min(blocks * (blocks + 1) // 2, MOST_TASKS)), "b1", "b2").mapInPandas(run, schema)
 
 
 def both_directions(pairs: DataFrame) -> DataFrame:

@@ -31,7 +31,12 @@ def species_entries(names: DataFrame, taxa: DataFrame, vernaculars: DataFrame) -
 
 
 class CallReader(DataSourceReader):
-    """Pages of a function call as partitions; a bad page gives no rows."""
+    """Pages of a function call as partitions.
+
+    A page that is no list of rows is empty. A call that fails is retried by
+    Spark and then fails the read; with the option `on_error` of `skip` it
+    gives no rows.
+    """
 
     def __init__(self, schema, options: dict, fetch: Callable[[str, int], list[dict]] | None):
         self.fields, self.options, self.fetch = schema.fieldNames(), options, fetch
@@ -43,6 +48,8 @@ class CallReader(DataSourceReader):
         try:
             rows = self.fetch(self.options.get("query", ""), partition.value) if self.fetch else []
         except Exception:
+            if self.options.get("on_error") != "skip":
+                raise
             rows = []
         for r in rows if isinstance(rows, list) else []:
             yield tuple(r.get(f) for f in self.fields)

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import keep_latest, without_run
@@ -22,7 +21,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """K8: writes beside the table and then swaps the folders, so that a reader never sees half of one."""
+    """K8: writes beside the table and then swaps the folders, so that a reader never sees half of one.
+
+    The swap is two renames; a reader between them finds no table, and after a
+    crash there the old one lies beside it under a name that ends in `.old`.
+    """
     spark = df.sparkSession
     side = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     w = df.write
@@ -74,14 +77,24 @@ def run_list(runs: DataFrame, path: str) -> None:
     runs.select(F.col(runs.columns[0]).cast("string")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def xml(c: str) -> Column:
+    """Text with XML's marks escaped; null is empty."""
+    out = F.coalesce(F.col(c).cast("string"), F.lit(""))
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
+def attr(c: str) -> Column:
+    return F.concat(F.lit('"'), xml(c), F.lit('"'))
+
+
 def graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """K7: a GraphML file, one part per partition between a head and a tail; of edges with equal ends the last by kind stays.
 
     nodes: (id, label); edges: (src, dst, kind).
     """
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="label" for="node" attr.name="label" attr.type="string"/><key id="kind" for="edge" attr.name="kind" attr.type="string"/><graph edgedefault="directed">'
-    xml = F.udf(lambda s: escape(s or ""))
-    attr = F.udf(lambda s: quoteattr(s or ""))
     n = nodes.dropDuplicates(["id"]).select(F.lit(1).alias("k"), F.concat(F.lit("<node id="), attr("id"), F.lit('><data key="label">'), xml("label"), F.lit("</data></node>")).alias("value"))
     e = edges.groupBy("src", "dst").agg(F.max("kind").alias("kind")).select(F.lit(2).alias("k"), F.concat(F.lit("<edge source="), attr("src"), F.lit(" target="), attr("dst"), F.lit('><data key="kind">'), xml("kind"), F.lit("</data></edge>")).alias("value"))
     ends = nodes.sparkSession.createDataFrame([(0, head), (3, "</graph></graphml>")], "k int, value string")

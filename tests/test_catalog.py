@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lodestrand.plans import catalog
+from lodestrand.plans import catalog, flows  # noqa: F401  flows adds to the catalogue
 
 from .conftest import SMALL
 
