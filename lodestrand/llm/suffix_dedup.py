@@ -2,36 +2,42 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a
 document with a smaller doc_id. Equal strings are neighbours in the order of
-suffixes; the order is never built as a whole:
+suffixes; the order is never built as a whole, but a bucket at a time:
 
-1. Of documents with equal texts only the first takes part.
-2. Suffixes fall into buckets by their anchor: of the K-byte strings within
+1. Suffixes fall into buckets by their anchor: of the K-byte strings within
    their first LENGTH bytes, the one with the smallest hash. Equal suffixes
-   have equal anchors. Anchors meet first as hashes of themselves and of the
-   text around them: equal surroundings repeat as a whole in all documents but
-   the first, already where they are read, so a passage in very many documents
-   goes on once from each batch. An anchor with one document is done.
-3. Only anchors with different surroundings in different documents are left;
-   the texts around them meet by bucket, once from each first document.
-4. A bucket with different surroundings is sorted, one batch of buckets at a
-   time: by a suffix's first V bytes, and ties by the precomputed rank of the
-   difference-cover sample that follows both suffixes at the same distance.
-   Neighbours that agree on LENGTH bytes get the smallest doc_id among them.
+   have equal anchors, at one distance. Neighbouring suffixes with one anchor
+   are a run. Anchors meet as hashes first, which only tells which of them are
+   in more than one document; no other bucket has anything to sort.
+2. For the runs of these anchors the bytes from the first suffix to the end of
+   the last (the run's surroundings) go to the anchor's bucket. Equal
+   surroundings are one entry, found by their bytes, already where they are
+   read, so a passage in very many documents goes on once from each batch.
+3. A bucket with different surroundings is sorted, some buckets at a time:
+   suffixes by their distance from the anchor and their first V bytes, and
+   ties by the precomputed rank of the difference-cover sample that follows
+   both suffixes at the same distance. How far neighbouring samples agree tells
+   how far the suffixes do; those that agree on LENGTH bytes get the smallest
+   doc_id among them.
+
+An anchor with very many runs is split: each of its suffixes goes alone, to a
+bucket of its distance and its first V bytes, a block of the order of suffixes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_counted, staged
-from .digest_index import keyed_rows, text_digest
+from .common import removed, staged
+from .digest_index import keyed_rows
 from .token_count import text_buffer
-from .words import BASE, U, eights, mixed, span_hashes
+from .words import U, eights, mixed
 
 LENGTH, K = 50, 16
 WINDOW = LENGTH - K + 1
@@ -43,8 +49,10 @@ NEXT_SAMPLE = np.array([min(d for d in range(V) if (r + d) % V in COVER) for r i
 BLOCK_BYTES, SETTLE_BYTES = 1 << 20, 6 << 20
 #: Suffixes sorted at a time, and surroundings gathered before equal ones are merged.
 SORT_SUFFIXES, GATHER = 1 << 18, 1 << 16
-#: Input bytes for each bucket of anchors.
-BUCKET_BYTES = 8 << 20
+#: Input bytes for each bucket of anchors that a task holds at a time, and tasks.
+BUCKET_BYTES, MOST_TASKS = 8 << 20, 50_000
+#: Runs from which an anchor is split, and anchors that are split at most (with more input the number of runs rises instead).
+SPLIT_RUNS, MOST_SPLIT = 1 << 14, 1 << 18
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -54,16 +62,13 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
 
 
 def anchors(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text number, anchor position, first suffix, last suffix, anchor hash, surroundings' hash) for each run of suffixes with one anchor.
-
-    A run's surroundings are the bytes from its first suffix to the end of the
-    LENGTH bytes of its last; their hash also tells where in them the anchor is.
+    """(text number, anchor position, first suffix, last suffix, anchor hash) for each run of suffixes with one anchor.
 
     Suffixes are those with LENGTH bytes left in their text; positions count from the text's start.
     """
     none = np.zeros(0, np.int64)
     if len(b) < LENGTH:
-        return none, none, none, none, none.astype(U), none.astype(U)
+        return none, none, none, none, none.astype(U)
     g = gram_hashes(b)
     low = (g >> U(32) << U(32)) | np.arange(len(g), dtype=U)
     size = 1
@@ -82,9 +87,7 @@ def anchors(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
     base = offsets[doc[first]]
-    around = span_hashes(b, base + start[first], base + start[last] + LENGTH)
-    around = mixed(around + (pos[first] - base - start[first]).astype(U) * U(BASE))
-    return doc[first], pos[first] - base, start[first], start[last], g[pos[first]], around
+    return doc[first], pos[first] - base, start[first], start[last], g[pos[first]]
 
 
 def _blocks(column: pa.Array):
@@ -108,48 +111,54 @@ def _unpack(blob: bytes, *types: type) -> list[np.ndarray]:
     return out
 
 
-#: A run of suffixes: hash of the surroundings and of the anchor, doc_id (low and high half), anchor's position, distances to the first and last suffix.
-SEEN = (np.uint64, np.uint32, np.uint32, np.int32, np.uint32, np.uint8, np.uint8)
-_MARKS = "doc_id long, pos int, lo int, hi int"
+#: What a batch says of an anchor: its hash, a doc_id (low and high half), and of a run the anchor's position and the distances to the first and last suffix; or how many runs an anchor has that the batch found in several documents (distances are ALL then).
+SEEN = (np.uint32, np.uint32, np.uint32, np.uint32, np.uint8, np.uint8)
+ALL = 255
+_MARKS = "doc_id long, pos int, lo int, hi int, anchor long"
 
 
-def _firsts(h: np.ndarray, around: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order by anchor, surroundings and document; in it, where anchors begin and who has each surroundings' smallest doc_id."""
-    by = np.lexsort((doc, around, h))
-    h, around, doc = h[by], around[by], doc[by]
-    anchor = np.ones(len(h), bool)
-    anchor[1:] = h[1:] != h[:-1]
-    own = anchor.copy()
-    own[1:] |= around[1:] != around[:-1]
-    return by, anchor, doc == doc[own][np.cumsum(own) - 1]
+def _by_document(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by anchor and document, where anchors begin in it, and which anchor each place belongs to."""
+    by = np.lexsort((doc, h))
+    new = np.ones(len(h), bool)
+    new[1:] = h[by[1:]] != h[by[:-1]]
+    return by, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, pos, lo, hi): runs of suffixes that repeat as a whole (pos null), and runs whose anchor also has other surroundings in another document.
+def shared_anchors(docs: DataFrame, buckets: int, split_runs: int) -> DataFrame:
+    """(doc_id, pos, lo, hi, anchor): the runs of suffixes whose anchor is in another document too; and with doc_id null the anchors of split_runs runs or more.
 
     Anchors meet by 32 bits of hash and a bucket; a chance meeting only adds a
-    run that later proves unique. Surroundings are equal if another 64 bits
-    are.
+    run that later proves unique. An anchor that a batch of texts holds in
+    several documents is sent on once from there.
     """
 
-    def rows(doc, p, lo, hi):
-        ints = [pa.nulls(len(doc), pa.int32()) if p is None else pa.array(p.astype(np.int32)), *(pa.array(x.astype(np.int32)) for x in (lo, hi))]
-        return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), *ints], names=["doc_id", "pos", "lo", "hi"])
+    def rows(doc, p, lo, hi, anchor=None):
+        ints = [pa.array(x.astype(np.int32)) for x in (p, lo, hi)]
+        last = pa.nulls(len(doc), pa.int64()) if anchor is None else pa.array(anchor)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()) if doc is p else pa.array(doc.astype(np.int64)), *ints, last], names=["doc_id", "pos", "lo", "hi", "anchor"])
 
     def settle(parts, salt):
-        doc, p, lo, hi, h, around = (np.concatenate(c) for c in zip(*parts))
-        h = ((h >> U(32)) % U(buckets)) << U(32) | h & U(0xFFFFFFFF)
-        by, _, least = _firsts(h, around, doc)
-        go, done = by[least], by[~least]
-        cut = np.searchsorted((h[go] >> U(32)).astype(np.int64), np.arange(buckets + 1))
-        d, q = doc[go].astype(np.int64), p[go]
-        cols = [x.astype(t) for x, t in zip((around[go], h[go] & U(0xFFFFFFFF), d & 0xFFFFFFFF, d >> 32, q, q - lo[go], q - hi[go]), SEEN)]
-        used = np.flatnonzero(np.diff(cut))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([_pack(*((c[cut[k] : cut[k + 1]], t) for c, t in zip(cols, SEEN))) for k in used], pa.binary()), pa.nulls(len(used), pa.binary())], names=["bucket", "seen", "settled"])
+        doc, p, lo, hi, h = (np.concatenate(c) for c in zip(*parts))
+        h = anchor_name(h, buckets)
+        by, first, group = _by_document(h, doc)
+        h, doc, p, lo, hi = h[by], doc[by], p[by], lo[by], hi[by]
+        last = np.append(first[1:], len(h)) - 1
+        several = doc[first] < doc[last]
+        here = several[group]
+        one, k = np.flatnonzero(~here), first[several]
+        runs = np.diff(np.append(first, len(h)))[several]
+        every = [np.concatenate(c) for c in ((h[one], h[k]), (doc[one], doc[k]), (p[one], runs), (p[one] - lo[one], np.full(len(k), ALL)), (p[one] - hi[one], np.full(len(k), ALL)))]
+        every = [x[np.argsort(every[0], kind="stable")] for x in every]
+        bucket, d = (every[0] >> U(32)).astype(np.int64), every[1].astype(np.int64)
+        cols = [x.astype(t) for x, t in zip((every[0] & U(0xFFFFFFFF), d & 0xFFFFFFFF, d >> 32, *every[2:]), SEEN)]
+        used = np.unique(bucket)
+        cut = np.searchsorted(bucket, np.append(used, buckets))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([_pack(*((c[x:y], t) for c, t in zip(cols, SEEN))) for x, y in zip(cut, cut[1:])], pa.binary()), pa.nulls(len(used), pa.binary())], names=["bucket", "seen", "settled"])
+        done, step = np.flatnonzero(here), 1 << 16
         if len(done):
-            step = 1 << 16
-            blobs = [_pack((doc[k], np.int64), (lo[k], np.int32), (hi[k], np.int32)) for k in (done[a : a + step] for a in range(0, len(done), step))]
-            yield pa.RecordBatch.from_arrays([pa.array([(salt + k) % buckets for k in range(len(blobs))], pa.int32()), pa.nulls(len(blobs), pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "seen", "settled"])
+            blobs = [_pack((doc[k], np.int64), *((c[k], np.int32) for c in (p, lo, hi))) for k in (done[a : a + step] for a in range(0, len(done), step))]
+            yield pa.RecordBatch.from_arrays([pa.array([(salt + k) % buckets for k in range(len(blobs))], pa.int64()), pa.nulls(len(blobs), pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "seen", "settled"])
 
     def see(batches):
         for batch in batches:
@@ -164,33 +173,44 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             if parts:
                 yield from settle(parts, int(ids[0]))
 
+    def met(bucket, blobs):
+        h, d0, d1, p, to_lo, to_hi = (np.concatenate(c) for c in zip(*(_unpack(x, *SEEN) for x in blobs)))
+        doc = d1.astype(np.int64) << 32 | d0
+        by, first, group = _by_document(h, doc)
+        h, doc, p, to_lo, to_hi = h[by], doc[by], p[by].astype(np.int64), to_lo[by].astype(np.int64), to_hi[by].astype(np.int64)
+        last = np.append(first[1:], len(h)) - 1
+        whole = to_lo == ALL
+        shared = (doc[first] < doc[last]) | np.logical_or.reduceat(whole, first)
+        k = np.flatnonzero(shared[group] & ~whole)
+        if len(k):
+            yield rows(doc[k], p[k], p[k] - to_lo[k], p[k] - to_hi[k])
+        many = first[np.add.reduceat(np.where(whole, p, 1), first) >= split_runs]
+        if len(many):
+            none = np.zeros(len(many), np.int64)
+            yield rows(none, none, none, none, h[many].astype(np.int64) | bucket << 32)
+
     def meet(batches):
-        held: dict[int, list[bytes]] = {}
+        held, at = [], None
         for batch in batches:
             for bucket, seen, settled in zip(*(c.to_pylist() for c in batch.columns)):
-                if seen is not None:
-                    held.setdefault(bucket, []).append(seen)
-                else:
-                    doc, lo, hi = _unpack(settled, np.int64, np.int32, np.int32)
-                    yield rows(doc, None, lo, hi)
-        for bucket in list(held):
-            around, h, d0, d1, p, to_lo, to_hi = (np.concatenate(c) for c in zip(*(_unpack(x, *SEEN) for x in held.pop(bucket))))
-            doc = d1.astype(np.int64) << 32 | d0
-            by, anchor, least = _firsts(h, around, doc)
-            around, doc, p, to_lo, to_hi = around[by], doc[by], p[by].astype(np.int64), to_lo[by], to_hi[by]
-            if not least.all():
-                k = np.flatnonzero(~least)
-                yield rows(doc[k], None, p[k] - to_lo[k], p[k] - to_hi[k])
-            k = np.flatnonzero(least)
-            group = (np.cumsum(anchor) - 1)[k]
-            edge = np.flatnonzero(np.diff(group, prepend=-1))
-            differ = (np.minimum.reduceat(doc[k], edge) < np.maximum.reduceat(doc[k], edge)) & (np.minimum.reduceat(around[k], edge) < np.maximum.reduceat(around[k], edge))
-            k = k[differ[group]]
-            if len(k):
-                yield rows(doc[k], p[k], p[k] - to_lo[k], p[k] - to_hi[k])
-
-    met = docs.select("doc_id", "text").mapInArrow(see, "bucket int, seen binary, settled binary").repartition(buckets, "bucket")
-    return met.mapInArrow(meet, _MARKS)
+                if seen is None:
+                    yield rows(*_unpack(settled, np.int64, np.int32, np.int32, np.int32))
+                    continue
+                if bucket != at and held:
+                    yield from met(at, held)
+                    held = []
+                at = bucket
+                held.append(seen)
+        if held:
+            yield from met(at, held)
+
+    sent = docs.select("doc_id", "text").mapInArrow(see, "bucket long, seen binary, settled binary")
+    return sent.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, _MARKS)
+
+
+def anchor_name(h: np.ndarray, buckets: int) -> np.ndarray:
+    """An anchor's bucket (upper half) and 32 bits of its hash."""
+    return ((h >> U(32)) % U(buckets)) << U(32) | h & U(0xFFFFFFFF)
 
 
 def suffix_minima(contexts: list[bytes], key: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
@@ -208,9 +228,16 @@ def suffix_minima(contexts: list[bytes], key: np.ndarray, anchor: np.ndarray, do
     text[inside] = np.frombuffer(b"".join(contexts), np.uint8)
     strings = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
     sample = inside[np.isin(inside % V, COVER)]
-    # ranks of the cover's samples by their LENGTH bytes; beyond its own, a text counts as zeros
+    # ranks of the cover's samples by their LENGTH bytes, and how far each agrees with the one before it; beyond its own, a text counts as zeros
+    order, place = np.unique(np.ascontiguousarray(strings[sample]).view(f"S{LENGTH}").ravel(), return_inverse=True)
     rank = np.zeros(len(text), np.int32)
-    rank[sample] = np.unique(np.ascontiguousarray(strings[sample]).view(f"S{LENGTH}").ravel(), return_inverse=True)[1]
+    rank[sample] = place
+    sorted_ = np.zeros((len(order), LENGTH + 1), np.uint8)
+    sorted_[:, :LENGTH] = np.frombuffer(order.tobytes(), np.uint8).reshape(-1, LENGTH)
+    differ = np.ones((len(order), LENGTH + 1), bool)
+    differ[1:] = sorted_[1:] != sorted_[:-1]
+    differ[:, LENGTH] = True
+    agree = np.argmax(differ, 1)
     n = size - LENGTH + 1
     owner = np.repeat(np.arange(len(n)), n)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
@@ -219,10 +246,18 @@ def suffix_minima(contexts: list[bytes], key: np.ndarray, anchor: np.ndarray, do
     first[:, :V] = strings[suffix][:, :V]
     words = first.view(">u8").astype(U)
     distance = anchor[owner] - offset  # to the anchor: suffixes at one distance have one residue
-    by = np.lexsort((rank[suffix + NEXT_SAMPLE[suffix % V]], words[:, 3], words[:, 2], words[:, 1], words[:, 0], distance, key[owner]))
-    s, o = strings[suffix[by]], owner[by]
+    ahead = NEXT_SAMPLE[suffix % V]
+    ranks = rank[suffix + ahead]
+    by = np.lexsort((ranks, words[:, 3], words[:, 2], words[:, 1], words[:, 0], distance, key[owner]))
+    ranks, ahead, o, far = ranks[by], ahead[by], owner[by], distance[by]
+    # suffixes that agree on V bytes agree on LENGTH if the samples `ahead` of them do on the rest: if no two samples between their ranks part before that
+    classes = np.zeros(len(by), np.int64)
+    for d in np.unique(ahead).tolist():
+        k = ahead == d
+        classes[k] = np.cumsum(agree < LENGTH - d)[ranks[k]]
+    w = words[by]
     same = np.zeros(len(by), bool)
-    same[1:] = (s[1:] == s[:-1]).all(1) & (key[o[1:]] == key[o[:-1]]) & (distance[by][1:] == distance[by][:-1])
+    same[1:] = (w[1:] == w[:-1]).all(1) & (classes[1:] == classes[:-1]) & (far[1:] == far[:-1]) & (key[o[1:]] == key[o[:-1]])
     heads = np.flatnonzero(~same)
     least = np.minimum.reduceat(doc[o], heads)[np.cumsum(~same) - 1]
     out = np.empty(len(by), np.int64)
@@ -238,14 +273,17 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 _RANGES = "doc_id long, lo int, hi int"
 
 
-def repeated_suffixes(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, lo, hi): runs of suffixes whose LENGTH bytes also start in an earlier document."""
+def repeated_suffixes(docs: DataFrame, marks: DataFrame, buckets: int, split: np.ndarray) -> DataFrame:
+    """(doc_id, lo, hi): runs of suffixes whose LENGTH bytes also start in an earlier document.
+
+    marks: runs by document. split: names of the anchors that are split, ascending.
+    """
 
     def ranges(found):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "lo", "hi"])
 
-    names = ["bucket", "anchor", "at", "context", "doc_id", "lo", "hi"]
-    types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+    names = ["part", "anchor", "at", "context", "doc_id", "lo", "hi"]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
 
     def gather(batches):
         held: dict[tuple, list] = {}
@@ -254,10 +292,10 @@ def repeated_suffixes(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFr
         def full():
             out = []
             for (anchor, at, context), found in held.items():
-                least = min(f[0] for f in found)
+                least = min(found)[0] if len(found) > 1 else found[0][0]
                 for doc, lo, hi in found:
-                    # a later document's run is settled: the same bytes are in an earlier one
-                    out.append((anchor % buckets, anchor, at, context, doc, lo, hi) if doc == least else (doc % buckets, None, None, None, doc, lo, hi))
+                    # the bytes of a later document's run are an earlier one's, so it goes as a whole
+                    out.append((anchor, anchor, at, context, doc, lo, hi) if doc == least else (doc, None, None, None, doc, lo, hi))
             held.clear()
             step = 1 << 14
             return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + step]), types)], names=names) for k in range(0, len(out), step)]
@@ -270,58 +308,72 @@ def repeated_suffixes(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFr
             ids, done = batch.column(0).to_pylist(), 0
             for d, n in enumerate(per.tolist()):
                 b = data[offsets[d] : offsets[d + 1]]
-                raw, at = b.tobytes(), pos[done : done + n]
-                keys = (gram_hashes(b)[at] >> U(1)).astype(np.int64)
-                for anchor, p, x, y in zip(keys.tolist(), at.tolist(), lo[done : done + n].tolist(), hi[done : done + n].tolist()):
-                    held.setdefault((anchor, p - x, raw[x : y + LENGTH]), []).append((ids[d], x, y))
+                raw, at, first, last, doc = b.tobytes(), pos[done : done + n], lo[done : done + n], hi[done : done + n], ids[d]
+                h = gram_hashes(b)[at]
+                keys = (h >> U(1)).astype(np.int64)
+                alone = np.isin(anchor_name(h, buckets).astype(np.int64), split) if len(split) else np.zeros(n, bool)
+                for anchor, p, x, y in zip(keys[~alone].tolist(), at[~alone].tolist(), first[~alone].tolist(), last[~alone].tolist()):
+                    held.setdefault((anchor, p - x, raw[x : y + LENGTH]), []).append((doc, x, y))
+                for i in np.flatnonzero(alone).tolist():
+                    for x in range(int(first[i]), int(last[i]) + 1):
+                        block = (int(keys[i]) ^ (zlib.crc32(raw[x : x + V]) << 31 | int(at[i]) - x) * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF
+                        held.setdefault((block, int(at[i]) - x, raw[x : x + LENGTH]), []).append((doc, x, x))
                 done += n
-                count += n
+                count += n + int((last[alone] - first[alone]).sum())
                 if count >= GATHER:
                     yield from full()
                     count = 0
         yield from full()
 
+    def sort(groups):
+        """Ranges found in some anchors' entries [{(anchor, distance, bytes): runs of the smallest document}]."""
+        entries = [(k, v) for g in groups for k, v in g.items()]
+        doc = np.array([v[0][0] for _, v in entries])
+        minima = suffix_minima([k[2] for k, _ in entries], np.array([k[0] for k, _ in entries]), np.array([k[1] for k, _ in entries]), doc)
+        return [(d, lo + a, lo + b) for (_, runs), least, own in zip(entries, minima, doc) for a, b in _runs(least < own) for d, lo, _ in runs]
+
     def resolve(batches):
-        held: dict[tuple, list] = {}
+        group: dict[tuple, list] = {}
+        groups, suffixes, out, now = [], 0, [], None
+
+        def close():
+            """Settles equal surroundings of an anchor; different ones are kept for sorting."""
+            nonlocal suffixes
+            for runs in group.values():
+                if len(runs) > 1:
+                    least = min(runs)[0]
+                    out.extend(r for r in runs if r[0] > least)
+                    runs[:] = [r for r in runs if r[0] == least]
+            if len(group) > 1 and len({runs[0][0] for runs in group.values()}) > 1:
+                groups.append(group)
+                suffixes += sum(len(k[2]) - LENGTH + 1 for k in group)
+
         for batch in batches:
-            out = []
             for _, anchor, at, context, doc, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
                 if anchor is None:
                     out.append((doc, lo, hi))
-                else:
-                    held.setdefault((anchor, at, context), []).append((doc, lo, hi))
-            if out:
-                yield ranges(out)
-        found, per_anchor = [], {}
-        for (anchor, _, _), seen in held.items():
-            least = min(s[0] for s in seen)
-            found += [s for s in seen if s[0] > least]
-            seen[:] = [s for s in seen if s[0] == least]
-            per_anchor[anchor] = per_anchor.get(anchor, 0) + 1
-        entries = sorted((k for k in held if per_anchor[k[0]] > 1), key=lambda k: k[0])
-        i = 0
-        while i < len(entries):  # whole buckets at a time
-            j, n = i, 0
-            while j < len(entries) and (n < SORT_SUFFIXES or entries[j][0] == entries[j - 1][0]):
-                n += len(entries[j][2]) - LENGTH + 1
-                j += 1
-            part = entries[i:j]
-            doc = np.array([held[k][0][0] for k in part])
-            for k, minima, own in zip(part, suffix_minima([k[2] for k in part], np.array([k[0] for k in part]), np.array([k[1] for k in part]), doc), doc):
-                for a, b in _runs(minima < own):
-                    found += [(d, lo + a, lo + b) for d, lo, _ in held[k]]
-            i = j
-            if len(found) > 1 << 15:
-                yield ranges(found)
-                found = []
-        if found:
-            yield ranges(found)
-
-    whole = marks.where("pos is null").select("doc_id", "lo", "hi")
-    listed = marks.where("pos is not null").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("marks"))
+                    continue
+                if anchor != now:
+                    close()
+                    group, now = {}, anchor
+                    if suffixes >= SORT_SUFFIXES:
+                        out += sort(groups)
+                        groups, suffixes = [], 0
+                    if len(out) > 1 << 15:
+                        yield ranges(out)
+                        out.clear()
+                group.setdefault((anchor, at, context), []).append((doc, lo, hi))
+        close()
+        if groups:
+            out += sort(groups)
+        if out:
+            yield ranges(out)
+
+    listed = marks.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("marks"))
     texts = docs.select("doc_id", "text").join(listed, "doc_id").select("doc_id", "text", "marks")
-    schema = "bucket int, anchor long, at int, context binary, doc_id long, lo int, hi int"
-    return texts.mapInArrow(gather, schema).repartition(buckets, "bucket").mapInArrow(resolve, _RANGES).unionByName(whole)
+    schema = "part long, anchor long, at int, context binary, doc_id long, lo int, hi int"
+    # an anchor's entries come together, so a task holds few anchors at a time
+    return texts.mapInArrow(gather, schema).repartition(min(buckets, MOST_TASKS), "part").sortWithinPartitions("anchor").mapInArrow(resolve, _RANGES)
 
 
 def _cut(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, bytes]:
@@ -355,18 +407,13 @@ def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
 def _without_repeats(docs: DataFrame, keep_text: bool) -> DataFrame:
     """without_repeats() of docs (doc_id, text) without nulls."""
-    spark = docs.sparkSession
-    sized = staged(docs.select("doc_id", text_digest().alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "sized")
-    groups = sized.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    sized = staged(join_counted(sized, groups, ["digest"], "copies"), "sized")
-    is_copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
-    total = sized.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = int(min(max(total // BUCKET_BYTES, 32), 100_000))
-    copies = staged(sized.where(is_copy).select("doc_id").distinct(), "copies")
-    firsts = docs.where(F.octet_length("text") >= LENGTH).join(copies, "doc_id", "left_anti")
-    marks = staged(shared_anchors(firsts, buckets), "marks")
-    # copies have no marks, so all documents may be asked
-    found = staged(repeated_suffixes(docs, marks, buckets), "ranges")
+    sized = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets, split_runs = max(int(total // BUCKET_BYTES), 32), max(SPLIT_RUNS, int(total // WINDOW // MOST_SPLIT))
+    marks = staged(shared_anchors(docs.where(F.octet_length("text") >= LENGTH), buckets, split_runs), "marks")
+    split = np.sort(np.array([r.anchor for r in marks.where("doc_id is null").select("anchor").distinct().collect()], np.int64))  # MOST_SPLIT times the runs of WINDOW bytes at most
+    found = staged(repeated_suffixes(docs, marks.where("doc_id is not null").drop("anchor"), buckets, split), "ranges")
+    removed(marks)
 
     def cut(batches):
         for batch in batches:
@@ -382,17 +429,13 @@ def _without_repeats(docs: DataFrame, keep_text: bool) -> DataFrame:
 
     listed = found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     cuts = docs.join(listed, "doc_id").select("doc_id", "text", "ranges").mapInArrow(cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["doc_id"])
-    nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    rows = sized.withColumn("_copy", is_copy).join(cuts, "doc_id", "left")
-    out = rows.select(
-        "doc_id", "n_bytes", F.when(F.col("_copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("_copy"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(F.col("_copy"), nothing).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"), "kept", "_copy",
-    )
+    out = sized.join(cuts, "doc_id", "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "kept"
+    )
     if not keep_text:
-        return out.drop("kept", "_copy")
+        return out.drop("kept")
     untouched = docs.withColumnRenamed("text", "_text").dropDuplicates(["doc_id"])
-    return out.join(untouched, "doc_id").withColumn("kept", F.when(F.col("_copy"), F.lit(b"")).otherwise(F.coalesce("kept", F.col("_text").cast("binary")))).drop("_copy", "_text")
+    return out.join(untouched, "doc_id").withColumn("kept", F.coalesce("kept", F.col("_text").cast("binary"))).drop("_text")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,31 @@ def test_empty_and_repeated_rows(spark):
     t = "0123456789" * 7
     got = sorted((r.doc_id, r.n_removed) for r in sd.without_repeats(spark.createDataFrame([(1, t), (1, t), (2, t)], "doc_id long, text string")).collect())
     assert got == [(1, 0), (1, 0), (2, 70)]
+
+
+def test_split_anchors(spark, monkeypatch):
+    """Anchors whose suffixes go alone, to blocks of the order of suffixes."""
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = {i: v[:4] for i, v in brute(rows).items()}
+    for runs in (1, 12):
+        monkeypatch.setattr(sd, "SPLIT_RUNS", runs)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.without_repeats(df, keep_text=False).collect()}
+        assert got == want
+
+
+def test_query_columns(spark, tmp_path):
+    rows = corpus(4)
+    spark.createDataFrame([(i, t, "de") for i, t in rows], "doc_id long, text string, anchor string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.op5_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: v[:4] for i, v in brute(rows).items()}
+
+
+def test_cover_decides():
+    """Suffixes that part only after V bytes, or only after LENGTH."""
+    base = bytes(range(65, 65 + 60)) * 2
+    contexts = [base[:80], base[:49] + b"!" + base[50:80], base[:50] + b"!" + base[51:80], base[:32] + b"?" + base[33:80]]
+    got = sd.suffix_minima(contexts, np.zeros(4, np.int64), np.full(4, 20), np.array([3, 2, 1, 0]))
+    for i, c in enumerate(contexts):
+        for k in range(len(c) - L + 1):
+            assert got[i][k] == min([3, 2, 1, 0][j] for j, o in enumerate(contexts) if o[k : k + L] == c[k : k + L])
