@@ -4,6 +4,7 @@ A byte goes if a string of LENGTH bytes that covers it also starts in a
 document with a smaller doc_id. Equal strings are neighbours in the order of
 suffixes; the order is never built as a whole, but a bucket at a time:
 
+0. A text that is, byte for byte, an earlier one goes as a whole.
 1. Suffixes fall into buckets by their anchor: of the K-byte strings within
    their first LENGTH bytes, the one with the smallest hash. Equal suffixes
    have equal anchors, at one distance. Neighbouring suffixes with one anchor
@@ -35,11 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import removed, staged
-from .digest_index import keyed_rows
+from .digest_index import keyed_rows, text_digest
 from .token_count import text_buffer
 from .words import U, eights, mixed
 
-LENGTH, K = 50, 16
+LENGTH, K = 50, 20
 WINDOW = LENGTH - K + 1
 #: A perfect difference set: every distance modulo V is a difference of two members (fixed values).
 V, COVER = 31, (0, 1, 3, 8, 12, 18)
@@ -57,8 +58,11 @@ SPLIT_RUNS, MOST_SPLIT = 1 << 14, 1 << 18
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
     """A hash of the K bytes from each place on."""
-    lanes = eights(b)
-    return mixed(mixed(lanes[: len(b) - K + 1]) ^ lanes[K - 8 : len(b) - K + 1 + K - 8])
+    lanes, n = eights(b), max(len(b) - K + 1, 0)
+    h = mixed(lanes[:n])
+    for at in [*range(8, K - 8, 8), K - 8]:
+        h = mixed(h ^ lanes[at : at + n])
+    return h
 
 
 def anchors(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -114,6 +118,8 @@ def _unpack(blob: bytes, *types: type) -> list[np.ndarray]:
 #: What a batch says of an anchor: its hash, a doc_id (low and high half), and of a run the anchor's position and the distances to the first and last suffix; or how many runs an anchor has that the batch found in several documents (distances are ALL then).
 SEEN = (np.uint32, np.uint32, np.uint32, np.uint32, np.uint8, np.uint8)
 ALL = 255
+#: What surroundings are sent with.
+CODEC = "zstd"
 _MARKS = "doc_id long, pos int, lo int, hi int, anchor long"
 
 
@@ -213,8 +219,8 @@ def anchor_name(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(32)) % U(buckets)) << U(32) | h & U(0xFFFFFFFF)
 
 
-def suffix_minima(contexts: list[bytes], key: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
-    """For each surroundings, the smallest doc_id that has each of its suffixes' LENGTH bytes.
+def suffix_minima(contexts: list[bytes], key: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each suffix of each surroundings, the smallest doc_id that has its LENGTH bytes; with the number of its surroundings and its place in them.
 
     key: the bucket of each, ascending; anchor: its anchor's offset; doc: its smallest doc_id.
     """
@@ -227,7 +233,15 @@ def suffix_minima(contexts: list[bytes], key: np.ndarray, anchor: np.ndarray, do
     inside = np.repeat(base - (np.cumsum(size) - size), size) + np.arange(size.sum())
     text[inside] = np.frombuffer(b"".join(contexts), np.uint8)
     strings = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
-    sample = inside[np.isin(inside % V, COVER)]
+    n = size - LENGTH + 1
+    owner = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    suffix = base[owner] + offset
+    ahead = NEXT_SAMPLE[suffix % V]
+    # the samples of the cover that follow a suffix, each once
+    used = np.zeros(len(text), bool)
+    used[suffix + ahead] = True
+    sample = np.flatnonzero(used)
     # ranks of the cover's samples by their LENGTH bytes, and how far each agrees with the one before it; beyond its own, a text counts as zeros
     order, place = np.unique(np.ascontiguousarray(strings[sample]).view(f"S{LENGTH}").ravel(), return_inverse=True)
     rank = np.zeros(len(text), np.int32)
@@ -238,15 +252,10 @@ def suffix_minima(contexts: list[bytes], key: np.ndarray, anchor: np.ndarray, do
     differ[1:] = sorted_[1:] != sorted_[:-1]
     differ[:, LENGTH] = True
     agree = np.argmax(differ, 1)
-    n = size - LENGTH + 1
-    owner = np.repeat(np.arange(len(n)), n)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    suffix = base[owner] + offset
     first = np.zeros((len(suffix), 32), np.uint8)
     first[:, :V] = strings[suffix][:, :V]
     words = first.view(">u8").astype(U)
     distance = anchor[owner] - offset  # to the anchor: suffixes at one distance have one residue
-    ahead = NEXT_SAMPLE[suffix % V]
     ranks = rank[suffix + ahead]
     by = np.lexsort((ranks, words[:, 3], words[:, 2], words[:, 1], words[:, 0], distance, key[owner]))
     ranks, ahead, o, far = ranks[by], ahead[by], owner[by], distance[by]
@@ -262,12 +271,7 @@ def suffix_minima(contexts: list[bytes], key: np.ndarray, anchor: np.ndarray, do
     least = np.minimum.reduceat(doc[o], heads)[np.cumsum(~same) - 1]
     out = np.empty(len(by), np.int64)
     out[by] = least
-    return np.split(out, np.cumsum(n)[:-1])
-
-
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()))
+    return out, owner, offset
 
 
 _RANGES = "doc_id long, lo int, hi int"
@@ -279,26 +283,46 @@ def repeated_suffixes(docs: DataFrame, marks: DataFrame, buckets: int, split: np
     marks: runs by document. split: names of the anchors that are split, ascending.
     """
 
-    def ranges(found):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "lo", "hi"])
+    def ranges(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int32, np.int32))], names=["doc_id", "lo", "hi"])
+
+    def packed(rows, columns):
+        """A row (bucket, entries, settled) for each bucket of rows, which come with their bucket first."""
+        rows.sort(key=lambda r: r[0])
+        at = np.array([r[0] for r in rows], np.int64)
+        used, first = np.unique(at, return_index=True)
+        for k in range(0, len(used), 512):
+            blobs = [columns(rows[x:y]) for x, y in zip(first[k : k + 512], np.append(first, len(rows))[k + 1 : k + 513])]
+            yield pa.RecordBatch.from_arrays([pa.array(used[k : k + 512]), *blobs_of(blobs)], names=["bucket", "entries", "settled"])
+
+    def entry_columns(rows):
+        _, anchor, at, context, doc, lo, hi = zip(*rows)
+        return _pack((np.array(anchor), np.int64), (np.array(doc), np.int64), (np.array(lo), np.int32), (np.array(hi), np.int32), (np.array(at), np.uint8), (np.array([len(c) for c in context]), np.uint8)) + b"".join(context), len(rows)
 
-    names = ["part", "anchor", "at", "context", "doc_id", "lo", "hi"]
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+    def blobs_of(blobs):
+        # the text makes most of it, and zstd takes it down further than what Spark does to a shuffle
+        data = [n.to_bytes(4, "little") + len(x).to_bytes(4, "little") + pa.compress(x, codec=CODEC, asbytes=True) for x, n in blobs]
+        return pa.array(data, pa.binary()), pa.nulls(len(data), pa.binary())
 
     def gather(batches):
         held: dict[tuple, list] = {}
         count = 0
 
         def full():
-            out = []
+            out, settled = [], []
             for (anchor, at, context), found in held.items():
                 least = min(found)[0] if len(found) > 1 else found[0][0]
                 for doc, lo, hi in found:
                     # the bytes of a later document's run are an earlier one's, so it goes as a whole
-                    out.append((anchor, anchor, at, context, doc, lo, hi) if doc == least else (doc, None, None, None, doc, lo, hi))
+                    if doc == least:
+                        out.append((anchor % buckets, anchor, at, context, doc, lo, hi))
+                    else:
+                        settled.append((doc, lo, hi))
             held.clear()
-            step = 1 << 14
-            return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + step]), types)], names=names) for k in range(0, len(out), step)]
+            yield from packed(out, entry_columns)
+            if settled:
+                doc, lo, hi = (np.array(c) for c in zip(*settled))
+                yield pa.RecordBatch.from_arrays([pa.array([int(doc[0]) % buckets], pa.int64()), pa.nulls(1, pa.binary()), pa.array([_pack((doc, np.int64), (lo, np.int32), (hi, np.int32))], pa.binary())], names=["bucket", "entries", "settled"])
 
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
@@ -325,55 +349,82 @@ def repeated_suffixes(docs: DataFrame, marks: DataFrame, buckets: int, split: np
                     count = 0
         yield from full()
 
-    def sort(groups):
-        """Ranges found in some anchors' entries [{(anchor, distance, bytes): runs of the smallest document}]."""
-        entries = [(k, v) for g in groups for k, v in g.items()]
-        doc = np.array([v[0][0] for _, v in entries])
-        minima = suffix_minima([k[2] for k, _ in entries], np.array([k[0] for k, _ in entries]), np.array([k[1] for k, _ in entries]), doc)
-        return [(d, lo + a, lo + b) for (_, runs), least, own in zip(entries, minima, doc) for a, b in _runs(least < own) for d, lo, _ in runs]
+    def resolved(blobs):
+        """Ranges found in one bucket's entries."""
+        parts, contexts = [], []
+        for blob in blobs:
+            n = int.from_bytes(blob[:4], "little")
+            raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[4:8], "little"), codec=CODEC, asbytes=True)
+            *columns, size = _unpack(raw[: n * 26], np.int64, np.int64, np.int32, np.int32, np.uint8, np.uint8)
+            parts.append(columns)
+            ends = n * 26 + np.cumsum(size, dtype=np.int64)
+            contexts += [raw[x:y] for x, y in zip((ends - size).tolist(), ends.tolist())]
+        anchor, doc, lo, hi, at = (np.concatenate(c) for c in zip(*parts))
+        entry: dict[tuple, int] = {}
+        own = np.array([entry.setdefault(k, len(entry)) for k in zip(anchor.tolist(), at.tolist(), contexts)])
+        # of equal surroundings the smallest document goes on; the others' runs go as a whole
+        by = np.lexsort((doc, own))
+        head = np.ones(len(by), bool)
+        head[1:] = own[by[1:]] != own[by[:-1]]
+        least = doc[by[head]]
+        gone = doc > least[own]
+        yield ranges(doc[gone], lo[gone], hi[gone])
+        # anchors with different surroundings in different documents are sorted
+        name = np.array([k[0] for k in entry])
+        order = np.argsort(name, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = name[order[1:]] != name[order[:-1]]
+        edge, group = np.flatnonzero(new), np.cumsum(new) - 1
+        differ = np.minimum.reduceat(least[order], edge) < np.maximum.reduceat(least[order], edge)
+        order, group = order[differ[group]], group[differ[group]]
+        if not len(order):
+            return
+        keys = list(entry)
+        size = np.array([len(keys[k][2]) for k in order.tolist()]) - LENGTH + 1
+        last = np.flatnonzero(np.append(group[1:] != group[:-1], True))  # of each anchor
+        cuts, total = [0], np.cumsum(size)
+        for x in last.tolist():
+            if total[x] - (total[cuts[-1] - 1] if cuts[-1] else 0) >= SORT_SUFFIXES or x == last[-1]:
+                cuts.append(x + 1)
+        stay = np.flatnonzero(~gone)
+        stay = stay[np.argsort(own[stay], kind="stable")]
+        runs_of = np.searchsorted(own[stay], np.arange(len(entry) + 1))
+        for x, y in zip(cuts, cuts[1:]):
+            k = order[x:y]
+            minima, owner, offset = suffix_minima([keys[i][2] for i in k.tolist()], group[x:y], np.array([keys[i][1] for i in k.tolist()]), least[k])
+            hit = np.flatnonzero(minima < least[k][owner])
+            if not len(hit):
+                continue
+            begins = np.ones(len(hit), bool)
+            begins[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])
+            a, z = hit[begins], hit[np.append(np.flatnonzero(begins)[1:], len(hit)) - 1]
+            # every run of these surroundings in the smallest document
+            mine = k[owner[a]]
+            many = runs_of[mine + 1] - runs_of[mine]
+            which = np.repeat(np.arange(len(a)), many)
+            run = stay[runs_of[mine][which] + np.arange(len(which)) - (np.cumsum(many) - many)[which]]
+            yield ranges(doc[run], lo[run] + offset[a][which], lo[run] + offset[z][which])
 
     def resolve(batches):
-        group: dict[tuple, list] = {}
-        groups, suffixes, out, now = [], 0, [], None
-
-        def close():
-            """Settles equal surroundings of an anchor; different ones are kept for sorting."""
-            nonlocal suffixes
-            for runs in group.values():
-                if len(runs) > 1:
-                    least = min(runs)[0]
-                    out.extend(r for r in runs if r[0] > least)
-                    runs[:] = [r for r in runs if r[0] == least]
-            if len(group) > 1 and len({runs[0][0] for runs in group.values()}) > 1:
-                groups.append(group)
-                suffixes += sum(len(k[2]) - LENGTH + 1 for k in group)
-
+        held, now = [], None
         for batch in batches:
-            for _, anchor, at, context, doc, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
-                if anchor is None:
-                    out.append((doc, lo, hi))
+            for bucket, entries, settled in zip(*(c.to_pylist() for c in batch.columns)):
+                if entries is None:
+                    yield ranges(*_unpack(settled, np.int64, np.int32, np.int32))
                     continue
-                if anchor != now:
-                    close()
-                    group, now = {}, anchor
-                    if suffixes >= SORT_SUFFIXES:
-                        out += sort(groups)
-                        groups, suffixes = [], 0
-                    if len(out) > 1 << 15:
-                        yield ranges(out)
-                        out.clear()
-                group.setdefault((anchor, at, context), []).append((doc, lo, hi))
-        close()
-        if groups:
-            out += sort(groups)
-        if out:
-            yield ranges(out)
+                if bucket != now and held:
+                    yield from resolved(held)
+                    held = []
+                now = bucket
+                held.append(entries)
+        if held:
+            yield from resolved(held)
 
     listed = marks.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("marks"))
     texts = docs.select("doc_id", "text").join(listed, "doc_id").select("doc_id", "text", "marks")
-    schema = "part long, anchor long, at int, context binary, doc_id long, lo int, hi int"
-    # an anchor's entries come together, so a task holds few anchors at a time
-    return texts.mapInArrow(gather, schema).repartition(min(buckets, MOST_TASKS), "part").sortWithinPartitions("anchor").mapInArrow(resolve, _RANGES)
+    # a bucket's entries come together, so a task holds one bucket at a time
+    sent = texts.mapInArrow(gather, "bucket long, entries binary, settled binary").repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(resolve, _RANGES)
 
 
 def _cut(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, bytes]:
@@ -407,10 +458,12 @@ def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
 def _without_repeats(docs: DataFrame, keep_text: bool) -> DataFrame:
     """without_repeats() of docs (doc_id, text) without nulls."""
-    sized = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    sized = staged(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), text_digest().alias("digest")), "sized")
+    total = sized.agg(F.sum("n_bytes")).first()[0] or 0
+    copies = staged(whole_copies(docs, sized), "copies")
+    firsts = docs.where(F.octet_length("text") >= LENGTH).join(copies, "doc_id", "left_anti")
     buckets, split_runs = max(int(total // BUCKET_BYTES), 32), max(SPLIT_RUNS, int(total // WINDOW // MOST_SPLIT))
-    marks = staged(shared_anchors(docs.where(F.octet_length("text") >= LENGTH), buckets, split_runs), "marks")
+    marks = staged(shared_anchors(firsts, buckets, split_runs), "marks")
     split = np.sort(np.array([r.anchor for r in marks.where("doc_id is null").select("anchor").distinct().collect()], np.int64))  # MOST_SPLIT times the runs of WINDOW bytes at most
     found = staged(repeated_suffixes(docs, marks.where("doc_id is not null").drop("anchor"), buckets, split), "ranges")
     removed(marks)
@@ -429,13 +482,30 @@ def _without_repeats(docs: DataFrame, keep_text: bool) -> DataFrame:
 
     listed = found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     cuts = docs.join(listed, "doc_id").select("doc_id", "text", "ranges").mapInArrow(cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["doc_id"])
-    out = sized.join(cuts, "doc_id", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "kept"
-    )
+    nothing = F.lit(hashlib.sha256(b"").hexdigest())
+    rows = sized.join(copies.withColumn("_copy", F.lit(True)), "doc_id", "left").join(cuts, "doc_id", "left")
+    out = rows.select(
+        "doc_id", "n_bytes", F.when(F.col("_copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("_copy"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(F.col("_copy"), nothing).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"), "kept", "_copy",
+    )
     if not keep_text:
-        return out.drop("kept")
+        return out.drop("kept", "_copy")
     untouched = docs.withColumnRenamed("text", "_text").dropDuplicates(["doc_id"])
-    return out.join(untouched, "doc_id").withColumn("kept", F.coalesce("kept", F.col("_text").cast("binary"))).drop("_text")
+    return out.join(untouched, "doc_id").withColumn("kept", F.when(F.col("_copy"), F.lit(b"")).otherwise(F.coalesce("kept", F.col("_text").cast("binary")))).drop("_copy", "_text")
+
+
+def whole_copies(docs: DataFrame, sized: DataFrame) -> DataFrame:
+    """(doc_id) of documents of LENGTH bytes or more whose text is, byte for byte, that of a document with a smaller doc_id.
+
+    Digests only tell whom to compare. All suffixes of such a text start in the
+    earlier document, so no bucket needs them.
+    """
+    groups = sized.where(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    keyed = sized.select("doc_id", "digest").distinct().join(groups, "digest")
+    texts = docs.join(keyed, "doc_id")  # of groups with copies only
+    first = texts.where("doc_id = first").select("digest", F.col("text").alias("_t")).dropDuplicates(["digest"])
+    return texts.where("doc_id > first").join(first, "digest").where("text = _t").select("doc_id").distinct()
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
