@@ -3,9 +3,8 @@
 A byte-level BPE tokenizer is compiled into two deterministic machines.
 
 1. The splitter reads UTF-8 bytes as character classes and marks where the
-   tokenizer's pattern starts a piece. It has eleven states, so the effect of
-   any chunk of text is one of a few hundred state maps, and the table of
-   their products is computed once. Chunks of a block are mapped side by side,
+   tokenizer's pattern starts a piece. It has twelve states, and the effect of
+   any chunk of text is one of 25 state maps, so the table of their products is computed once. Chunks of a block are mapped side by side,
    their maps are composed by a parallel prefix scan, and with every chunk's
    true start state known, a second pass marks the pieces.
 2. The merger reads the bytes of a piece through a deterministic automaton
@@ -14,12 +13,15 @@ A byte-level BPE tokenizer is compiled into two deterministic machines.
    is the longest of them that may follow the last token before it, and this
    fixes the encoding. The move then emits the change in the number of tokens
    (less than 0 where tokens merge). Its memory is the last token and the count
-   at each byte of the piece. All pieces of a block run side by side.
+   at each byte of the piece. All pieces of a block run side by side, but for
+   very long ones: what a chunk of a piece does depends on the tokens before
+   it in too many ways for a table of maps, so a piece is read from its start.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +35,8 @@ from pyspark.sql import types as T
 BLOCK_BYTES = 2 << 20
 #: Bytes of a chunk of a block.
 CHUNK = 64
+#: Bytes from which a piece is read on its own, without a step of all pieces for each of its bytes.
+LONG_PIECE = 256
 #: Pairs of tokens whose answer is kept; later ones take the place of earlier ones.
 PAIRS = 1 << 20
 
@@ -187,6 +191,7 @@ class Merger:
         sound = np.concatenate([np.ones(256, bool), self._apart(self.left[256:], self.right[256:], made)])
         self._automaton([(t, i) for i, t in enumerate(texts) if sound[i]])
         self.length = np.array([len(t) for t in texts], np.int32)
+        self.pairs: dict[int, bool] = {}
         self.known, self.known_ok = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
 
     def _automaton(self, tokens: list[tuple[bytes, int]]) -> None:
@@ -263,9 +268,37 @@ class Merger:
             self.known_ok[slot[new]] = np.where(self.known[slot[new]] == key[new], good, self.known_ok[slot[new]])
         return ok
 
+    def count_long(self, piece: np.ndarray) -> int:
+        """Tokens of one long piece: the same moves, a byte at a time. Its memory is the last token and the count at each byte."""
+        move, longest, shorter, length = (memoryview(x) for x in (self.next.reshape(-1), self.longest, self.shorter, self.length))
+        last, count, known, n, node = array("i", [-1]), array("i", [0]), self.pairs, self.n, 0  # at k + 1: after byte k
+        for k, x in enumerate(piece.tobytes()):
+            node = move[node << 8 | x]
+            token = longest[node]
+            while True:
+                before = k + 1 - length[token]
+                prior = last[before]
+                key = (prior + 1) * n + token
+                ok = known.get(key)
+                if ok is None:
+                    if len(known) >= PAIRS:
+                        known.clear()
+                    ok = known[key] = bool(self.may_follow(np.array([prior], np.int32), np.array([token], np.int32))[0])
+                if ok:
+                    break
+                token = shorter[token]
+            last.append(token)
+            count.append(count[before] + 1)
+        return count[-1]
+
     def counts(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each piece b[start:end]."""
         size = ends - starts
+        if len(size) and size.max() > LONG_PIECE:
+            out, far = np.empty(len(size), np.int64), size > LONG_PIECE
+            out[far] = [self.count_long(b[x:y]) for x, y in zip(starts[far].tolist(), ends[far].tolist())]
+            out[~far] = self.counts(b, starts[~far], ends[~far])
+            return out
         order = np.argsort(-size, kind="stable")
         first, size = starts[order], size[order]
         # how many pieces are longer than k bytes
@@ -407,5 +440,6 @@ def with_token_counts(docs: DataFrame, path: str | None = None, text: str = "tex
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """with_token_counts() of all documents, each row by itself, also repeated ones and those without a doc_id; null and empty texts have 0 tokens, an empty table no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return with_token_counts(docs, drop_text=True).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))

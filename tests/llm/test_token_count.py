@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -63,3 +64,26 @@ def test_operator_cases(spark):
     assert got[4][1] == library(["long word " * 20000])[0]
     assert tc.with_token_counts(docs.limit(0)).count() == 0
     assert tc.with_token_counts(docs.withColumn("text", F.lit(None).cast("string"))).agg(F.sum("n_tokens")).first()[0] == 0
+
+
+def test_long_pieces(machine):
+    rnd = random.Random(6)
+    texts = ["a" * 257, "ab" * 700, "é" * 900, "中" * 400, " " * 2000 + "x", "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5000)), "!" * 3000, "=" * 1000 + "word " + "z" * 300, "1" * 800]
+    assert counts(machine, texts).tolist() == library(texts)
+
+
+def test_ten_megabytes_of_one_letter(machine):
+    """The library's time grows with the square of a piece, so it is asked about a shorter one: a token takes a whole number of letters."""
+    start = time.process_time()
+    many = counts(machine, ["a" * 10_000_000])[0]
+    assert time.process_time() - start < 60
+    short = library(["a" * 10_240, "a" * 20_480])
+    assert short[1] == 2 * short[0] and many == short[0] * 10_000_000 // 10_240 + (0 if short[0] * 10_000_000 % 10_240 == 0 else library(["a" * (10_000_000 % 10_240)])[0] - (short[0] * (10_000_000 % 10_240)) // 10_240)
+
+
+def test_query_columns(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, "é" * 600), (4, "word " * 513), (5, "word " * 511), (5, "word " * 511), (None, "<|endoftext|> x")]
+    spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, n_tokens int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in tc.op1_token_counts(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()), key=str)
+    n = library([t or "" for _, t in rows])
+    assert got == sorted(((i, len((t or "").encode()), k, k > 512) for (i, t), k in zip(rows, n)), key=str)
