@@ -142,6 +142,7 @@ def keyed_rows(docs: DataFrame) -> tuple[DataFrame, int | None]:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_duplicates() of all documents, ingested into one new index in BATCHES batches."""
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

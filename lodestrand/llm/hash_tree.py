@@ -129,4 +129,5 @@ FROM sized, tab
 
 
 def op2_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """assign_shards() of all documents to 16 shards by the law `key`; null and empty texts have size 1, an empty table no rows."""
     return assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -233,6 +233,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def op6_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by a model of the labelled ones. Null and empty texts score as one empty line; held_out is null for a row without a doc_id; without labels all scores are one half."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored(docs, model).select("doc_id", (fold() == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

@@ -484,4 +484,5 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """similar_components() of all documents over three-word shingles, at 90 percent."""
     return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90)

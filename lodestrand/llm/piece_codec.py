@@ -388,4 +388,5 @@ def encoding_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encoding_digest() of all documents, each row by itself; null and empty texts have no pieces, an empty table no rows."""
     return encoding_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -123,6 +123,7 @@ def mix_rows(docs: DataFrame, max_repeat: float = 2.0, **options) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mixed() of all documents, with words as tokens, at 0.97 of the entropy of equal weights and a budget of all words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mixed(docs.select(F.col("doc_id").alias("row_key"), "source", n_words().alias("n_tokens"))).select(F.col("row_key").alias("doc_id"), F.col("src").alias("source"), "epoch", "n_tokens", "start_token", "mix_block")
 

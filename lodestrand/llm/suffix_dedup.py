@@ -509,4 +509,5 @@ def whole_copies(docs: DataFrame, sized: DataFrame) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """without_repeats() of all documents, as digests."""
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_text=False)

@@ -40,3 +40,20 @@ def test_segments(spark):
     assert [t for _, t in cf.ChatMachine().read(text)] == [f"t{k}" for k in range(9000)]
     assert "".join(s.text for s in segs if s.loss) == "".join(f"t{k}" for k in range(1, 9000, 2))
     assert cf.read_back(df).first().formatted_chars == len(text)
+
+
+def test_long_conversations_and_extra_columns(spark, tmp_path):
+    """Output that is read back in several parts, texts of megabytes, repeated rows, other columns, and the query's own conversation."""
+    rnd = random.Random(5)
+    turns = [("user" if k % 2 == 0 else "assistant", rnd.choice(["x" * 400_000, cf.SPOOF * 2000, "\\", ""])) for k in range(40)]
+    rows = [(1, k, r, t, k) for k, (r, t) in enumerate(turns)] + [(2, 0, "user", "same", 0)] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in cf.op3_chat_format(spark, str(tmp_path)).collect()}
+    want = {1: turns, 2: [("user", "same")] * 2, -7: [("user", cf.SPOOF), ("assistant", cf.SPOOF)]}
+    assert got.keys() == want.keys()
+    m = cf.ChatMachine()
+    for c, listed in want.items():
+        r = got[c]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == expected(listed)
+        assert r.formatted_chars == len(cf.TEMPLATE["begin"]) + len(cf.TEMPLATE["end"]) + sum(len(s.text) for role, t in listed for s in m.turn(role, t))

@@ -52,3 +52,31 @@ def test_cases(spark):
     none = lc.train(docs, labels.limit(0))
     assert {r.score for r in lc.scored(docs, none).collect()} == {0.5}
     assert lc.scored(docs.limit(0), model).count() == 0
+
+
+def test_query_against_enumeration(spark, tmp_path):
+    """Scores of the query as sums over all labelings of a document's lines; folds and threshold as the contract has them."""
+    import itertools
+    import zlib
+
+    rnd = np.random.default_rng(4)
+    word = lambda good: "mole" if good else "$$ 99"
+    texts = {k: "\n".join(f"Line {word(k % 2)} {word(rnd.random() < 0.8)} {j}." for j in range(rnd.integers(1, 7))) for k in range(80)}
+    texts |= {80: None, 81: "", 82: "\n", 83: texts[0]}
+    spark.createDataFrame([(k, t, "x") for k, t in texts.items()], "doc_id long, text string, score string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(0, 70)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = lc.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    got = {r.doc_id: r for r in lc.op6_line_crf_quality(spark, str(tmp_path)).collect()}
+    assert got.keys() == texts.keys()
+    for k, t in texts.items():
+        b = np.frombuffer((t or "").encode(), np.uint8)
+        f, size, _ = lc.line_features(b, np.array([0, len(b)]))
+        potential = model.potentials(f)
+        total, mass = 0.0, np.zeros(len(f))
+        for labels in itertools.product((0, 1), repeat=len(f)):
+            w = np.exp(sum(p for p, y in zip(potential, labels) if y) + sum(model.ties[a][z] for a, z in zip(labels, labels[1:])))
+            total, mass = total + w, mass + w * np.array(labels)
+        score = float((mass / total * size).sum() / size.sum())
+        r = got[k]
+        assert abs(r.score - score) < 1e-6 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0)
