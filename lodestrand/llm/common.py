@@ -41,8 +41,12 @@ def removed(*tables: DataFrame) -> None:
     """Deletes the files of staged tables that nothing will read any more; others are left alone."""
     for df in tables:
         if id(df) in PATHS:
-            spark, path = df.sparkSession, df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(PATHS[id(df)][1])
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            removed_path(df.sparkSession, PATHS[id(df)][1])
+
+
+def removed_path(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, digest_index, hamming_search, hash_tree, line_crf, ngram_join, piece_codec, source_mix, suffix_dedup, token_count
+from . import chat_format, digest_index, hamming_search, hash_tree, line_crf, ngram_join, part_codes, piece_codec, source_mix, suffix_dedup, token_alignment, token_count, warc_bundles
 
 QUERIES = {
     "op1_token_counts": token_count.op1_token_counts,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact_dedup": digest_index.op8_exact_dedup,
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_source_mix": source_mix.op10_source_mix,
+    "op11_warc_bundles": warc_bundles.op11_warc_bundles,
+    "op12_part_codes": part_codes.op12_part_codes,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
 SQL = {
@@ -23,4 +26,6 @@ SQL = {
     "op7_hamming_topk": hamming_search.OP7_SQL,
     "op8_exact_dedup": digest_index.OP8_SQL,
     "op10_source_mix": source_mix.OP10_SQL,
+    "op11_warc_bundles": warc_bundles.OP11_SQL,
+    "op12_part_codes": part_codes.oracle(),
 }
