@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,54 +89,12 @@ def unordered_pairs(pairs: DataFrame, min_species: int) -> DataFrame:
     return out.where((F.size("species") >= min_species) & ~T.plural_pair("sf_a", "sf_b"))
 
 
-def greedy_clusters(rows: list[dict], min_species: int, limit: int = S.MAX_CLUSTERS) -> list[dict]:
-    """H4: clusters from pairs in order of species and score.
-
-    A pair opens a cluster, adds its free end to one, or unites two; a pair
-    that unites two gives them neither itself nor its species.
-    """
-    ordered = sorted(rows, key=lambda r: (-len(r["species"]), -r["score"], r["eid_a"], r["eid_b"]))
-    home: dict[str, int] = {}
-    clusters: dict[int, dict] = {}
-    for n, r in enumerate(ordered):
-        homes = {home[e] for e in (r["eid_a"], r["eid_b"]) if e in home}
-        if len(homes) == 2:
-            keep, gone = sorted(homes)
-            other = clusters.pop(gone)
-            for k in ("members", "species"):
-                clusters[keep][k] |= other[k]
-            clusters[keep]["pairs"] += other["pairs"]
-            home.update(dict.fromkeys(other["members"], keep))
-            continue
-        if len(homes) == 1 and r["eid_a"] in home and r["eid_b"] in home:
-            continue
-        at = homes.pop() if homes else n
-        c = clusters.setdefault(at, {"members": set(), "species": set(), "pairs": []})
-        c["members"] |= {r["eid_a"], r["eid_b"]}
-        c["species"] |= set(r["species"])
-        c["pairs"].append((r["sf_a"], r["sf_b"], r["score"]))
-        home[r["eid_a"]] = home[r["eid_b"]] = at
-    kept = [c for c in clusters.values() if len(c["species"]) >= min_species]
-    return sorted(kept, key=lambda c: (-len(c["species"]), -len(c["pairs"])))[:limit]
-
-
-def tier2_clusters(pairs: DataFrame, min_species: int) -> DataFrame:
-    """H4: cluster, members, species, n_pairs. The pairs are those of tier2_pairs(), which limits them to MAX_PAIRS."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = greedy_clusters(frame.to_dict("records"), min_species)
-        return pd.DataFrame([(k, sorted(c["members"]), sorted(c["species"]), len(c["pairs"])) for k, c in enumerate(found)], columns=["cluster", "members", "species", "n_pairs"])
-
-    one = unordered_pairs(pairs, min_species).withColumn("_all", F.lit(1))
-    return one.groupBy("_all").applyInPandas(run, "cluster int, members array<string>, species array<string>, n_pairs int")
-
-
-def tier2_components(pairs: DataFrame, min_species: int) -> DataFrame:
-    """H4's membership at any scale: (entity_id, component), the smallest id that pairs reach.
+def components(edges: DataFrame) -> DataFrame:
+    """(entity_id, component) of all ends of edges (eid_a, eid_b): the smallest id that edges reach.
 
     Each round takes the least label among neighbours, then that label's own.
     """
-    e = unordered_pairs(pairs, min_species).select("eid_a", "eid_b")
+    e = edges.select("eid_a", "eid_b")
     both = settled(e.union(e.select("eid_b", "eid_a")))
     labels = settled(both.groupBy(F.col("eid_a").alias("entity_id")).agg(F.min("eid_b").alias("_m")).select("entity_id", F.least("entity_id", "_m").alias("label")))
     while True:
@@ -148,3 +105,45 @@ def tier2_components(pairs: DataFrame, min_species: int) -> DataFrame:
         labels = after.select("entity_id", "label")
         if after.where("label <> old").isEmpty():
             return labels.withColumnRenamed("label", "component")
+
+
+def tier2_clusters(edges: DataFrame, labels: DataFrame, min_species: int, limit: int | None = S.MAX_CLUSTERS) -> DataFrame:
+    """Clusters by species and pairs: cluster (from 0), component, n_members, species, n_pairs, score (the best one).
+
+    edges: unordered_pairs(); labels: components() of them. Pairs are taken in
+    order of species and score: one opens a cluster, adds its free end to one,
+    or unites two, and one that unites gives neither itself nor its species.
+    So clusters are the components, and a pair counts exactly if it is the
+    first pair of one of its ends. A component of any size is a group of sums.
+    Ties go to the component with the earliest pair.
+    """
+    order = F.struct((-F.size("species")).alias("k"), (-F.col("score")).alias("s"), F.col("eid_a").alias("a"), F.col("eid_b").alias("b"))
+    ends = edges.select(F.explode(F.array("eid_a", "eid_b")).alias("entity_id"), order.alias("place"), "species")
+    first = ends.groupBy("entity_id").agg(F.min(F.struct("place", "species")).alias("x")).join(labels, "entity_id")
+    counted = settled(first.select("component", "x.place", "x.species").dropDuplicates(["place"]))
+    pairs = counted.groupBy("component").agg(F.count(F.lit(1)).alias("n_pairs"), F.min("place").alias("_first"), F.max(-F.col("place.s")).alias("score"))
+    species = counted.select("component", F.explode("species").alias("sp")).groupBy("component").agg(F.array_sort(F.collect_set("sp")).alias("species"))
+    members = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n_members"))
+    kept = pairs.join(species.where(F.size("species") >= min_species), "component").join(members, "component")
+    by = [F.desc(F.size("species")), F.desc("n_pairs"), F.asc("_first")]
+    kept = kept.orderBy(*by).limit(limit) if limit else kept
+    # at most `limit` rows are numbered
+    return kept.select((F.row_number().over(Window.orderBy(*by)) - 1).alias("cluster"), "component", "n_members", "species", "n_pairs", "score")
+
+
+def cluster_members(clusters: DataFrame, labels: DataFrame) -> DataFrame:
+    """H4: (cluster, entity_id) of the clusters that were kept."""
+    return labels.join(clusters.select("cluster", "component"), "component").select("cluster", "entity_id")
+
+
+def with_shown_members(clusters: DataFrame, labels: DataFrame, names: DataFrame, shown: int) -> DataFrame:
+    """clusters with the first so many of their members' forms in `members`; names: (entity_id, surface_form)."""
+    at = Window.partitionBy("cluster").orderBy("entity_id")
+    few = cluster_members(clusters, labels).withColumn("_r", F.row_number().over(at)).where(F.col("_r") <= shown).join(names.select("entity_id", "surface_form"), "entity_id")
+    listed = few.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "surface_form"))), lambda x: x["surface_form"]).alias("members"))
+    return clusters.join(listed, "cluster", "left")
+
+
+def tier2_components(pairs: DataFrame, min_species: int) -> DataFrame:
+    """H4's membership from directed pairs: (entity_id, component)."""
+    return components(unordered_pairs(pairs, min_species))

@@ -1,125 +1,54 @@
-"""Nearest neighbours, similar pairs, diversified selection and retrieval."""
+"""Diversified selection and retrieval; nearest neighbours and similar pairs are in cells.py."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as T
 from ..functions import vectors as V
-
-#: Rows of a block, and tasks for products of blocks.
-BLOCK, MOST_TASKS = 512, 20_000
-
-
-def nearest(queries: DataFrame, rows: DataFrame, k: int = S.CANDIDATES, metric: str = "cosine", where=None) -> DataFrame:
-    """(query_id, id, score, rank): the k rows nearest to each query, ties by id.
-
-    queries: (query_id, vector), the smaller side; rows: (id, vector).
-    metric: `cosine` (higher is nearer) or `l2` (squared distance). where: a
-    condition between the sides, for filtered search. Each block of rows keeps
-    the k nearest of its own first, so what is shuffled grows with the number
-    of queries and blocks, not of rows. All queries are in memory of each task:
-    at most as many as Spark broadcasts.
-    """
-    q = queries.select("query_id", F.col("vector").alias("_q"), *[c for c in queries.columns if c not in ("query_id", "vector")])
-    score = V.cosine("_q", "vector") if metric == "cosine" else V.squared_distance("_q", "vector")
-    met = rows.join(q, where if where is not None else F.lit(True)).select("query_id", "id", F.round(score, 6).alias("score"))
-    key = F.desc("score") if metric == "cosine" else F.asc("score")
-    # row_number() <= k is taken before the shuffle too
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(key, "id"))).where(F.col("rank") <= k)
-
-
-def similar_pairs(rows: DataFrame, threshold: float = S.SIMILAR, exclude: str = "equal", blocks: int | None = None, digits: int = 4) -> DataFrame:
-    """(a, b, score) with a < b and cosine >= threshold.
-
-    rows: (id, vector, groups array). exclude `equal`: pairs whose sets of
-    groups are equal are left out, whatever they share; `overlap`: pairs that
-    share a group. Blocks of rows are dealt to each other, a task for every two
-    blocks; each is one product of two matrices.
-    """
-    n = rows.count()
-    blocks = blocks or max(1, math.ceil(n / BLOCK))
-    hashed = rows.select("id", "vector", F.array_sort("groups").alias("groups"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"))
-    packed = hashed.groupBy("blk").agg(F.collect_list(F.struct("id", "vector", "groups")).alias("rows"))  # BLOCK rows each
-    x, y = packed.select(F.col("blk").alias("b1"), F.col("rows").alias("r1")), packed.select(F.col("blk").alias("b2"), F.col("rows").alias("r2"))
-    other = x.select("b1", F.explode(F.sequence("b1", F.lit(blocks - 1))).alias("b2"), "r1").join(y, "b2").select("b1", "b2", "r1", "r2")
-    schema = f"a {dict(rows.dtypes)['id']}, b {dict(rows.dtypes)['id']}, score double"
-
-    def unit(items):
-        v = np.array([i["vector"] for i in items], np.float64)
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        return v / np.where(norm == 0, 1, norm)
-
-    def run(frames):
-        for frame in frames:
-            for b1, b2, r1, r2 in frame.itertuples(index=False):
-                score = np.round(unit(r1) @ unit(r2).T, 9)
-                out = []
-                for i, j in zip(*np.nonzero(score >= threshold)):
-                    p, q = r1[i], r2[j]
-                    if (b1 == b2 and i >= j) or p["id"] == q["id"]:
-                        continue
-                    g, h = set(p["groups"]), set(q["groups"])
-                    if g == h if exclude == "equal" else g & h:
-                        continue
-                    out.append((min(p["id"], q["id"]), max(p["id"], q["id"]), round(float(score[i, j]), digits)))
-                yield pd.DataFrame(out, columns=["a", "b", "score"])
-
-    # a row is a product of two blocks; tasks hold many of them where there are very many
-    return other.repartition(max(1, min(blocks * (blocks + 1) // 2, MOST_TASKS)), "b1", "b2").mapInPandas(run, schema)
+from .cells import nearest, similar_pairs  # noqa: F401  part of this module's offer
 
 
 def both_directions(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
 
 
-def mmr_order(query: np.ndarray, vectors: np.ndarray, k: int, weight: float = S.MMR_LAMBDA) -> list[int]:
-    """V3: indexes of k vectors, each the best balance of nearness to the query and distance from those chosen."""
-    if not len(vectors):
-        return []
-
-    def unit(m):
-        n = np.linalg.norm(m, axis=-1, keepdims=True)
-        return m / np.where(n == 0, 1, n)
-
-    v = unit(np.asarray(vectors, np.float64))
-    to_query, worst = v @ unit(np.asarray(query, np.float64)), np.full(len(v), -np.inf)
-    chosen: list[int] = []
-    for _ in range(min(k, len(v))):
-        value = weight * to_query - (1 - weight) * worst if chosen else to_query.copy()
-        value[chosen] = -np.inf
-        best = int(np.argmax(value))
-        chosen.append(best)
-        worst = np.maximum(worst, v @ v[best])
-    return chosen
-
-
 def mmr(candidates: DataFrame, group: str, k: int = S.FINAL_K, weight: float = S.MMR_LAMBDA) -> DataFrame:
     """V3 for each group: candidates (group, id, distance, vector, query) that are chosen, with their place.
 
-    A group holds the candidates of one query, which nearest() limits.
+    Each next one is the best balance of nearness to the query and distance
+    from those chosen; equal ones go by distance and id. A group holds the
+    candidates of one query, which nearest() limits; they are one array, and a
+    choice is a step over it that keeps for each candidate its greatest
+    likeness to any that is chosen. Likeness counts to nine digits. Candidates
+    without a vector come last, in order.
     """
+    like = lambda a, b: F.round(V.dot(a, b), 9)
+    low = F.lit(float("-inf"))
+    row = F.struct(*[F.col(f"`{c}`") for c in candidates.columns])
+    unit = V.normalized("vector")
+    each = candidates.select(F.col(group).alias("_group"), F.struct("distance", "id", like(unit, V.normalized("query")).alias("rel"), low.alias("worst"), unit.alias("v"), row.alias("row")).alias("x"))
+    packed = each.groupBy("_group").agg(F.array_sort(F.collect_list("x")).alias("left"))
+    start = F.struct(F.col("left"), F.slice(F.transform("left", lambda x: x["row"]), 1, 0).alias("chosen"))
+
+    def step(state, _):
+        first = F.size(state["chosen"]) == 0
+        value = lambda x: F.when(first, x["rel"]).otherwise(F.round(weight * x["rel"] - (1 - weight) * x["worst"], 9))
+        best = F.array_max(F.transform(state["left"], lambda x, i: F.struct(value(x).alias("value"), (-i).alias("i"))))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["distance", "id"], ignore_index=True)
-        try:
-            at = mmr_order(np.array(frame["query"][0]), np.stack(frame["vector"].map(np.asarray)), k, weight)
-        except Exception:
-            at = list(range(min(k, len(frame))))
-        out = frame.iloc[at].copy()
-        out["place"] = range(len(out))
-        return out
+        def taken(at, own):
+            rest = F.filter(state["left"], lambda x, i: i != at)
+            rest = F.transform(rest, lambda x: F.struct(x["distance"].alias("distance"), x["id"].alias("id"), x["rel"].alias("rel"), F.greatest(x["worst"], like(x["v"], own["v"])).alias("worst"), x["v"].alias("v"), x["row"].alias("row")))
+            return F.struct(rest.alias("left"), F.concat(state["chosen"], F.array(own["row"])).alias("chosen"))
 
-    import pyspark.sql.types as PT
+        # arrays of one element bind what is used for each candidate to a name, so that it is found once
+        one = F.transform(F.array(-best["i"]), lambda at: F.transform(F.array(F.get(state["left"], at)), lambda own: taken(at, own))[0])[0]
+        return F.when(F.size(state["left"]) > 0, one).otherwise(state)
 
-    schema = PT.StructType([*candidates.schema.fields, PT.StructField("place", PT.IntegerType())])
-    return candidates.groupBy(group).applyInPandas(run, schema)
+    chosen = F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step, lambda state: state["chosen"])
+    return packed.select(F.posexplode(chosen).alias("place", "_row")).select("_row.*", "place")
 
 
 def candidate_key(doc_id: str = "doc_id", source: str = "source_path", index: str = "chunk_index", content: str = "content"):
@@ -155,22 +84,17 @@ def nearest_share(rows: DataFrame, group: str, share: float = 0.6, distance: str
     return rows.withColumns({"_n": n, "_r": F.row_number().over(w.orderBy(distance, "id"))}).where(F.col("_r") <= F.col("_n")).drop("_n", "_r")
 
 
-def retrieve(chunks: DataFrame, query1, query2, group: str = "specie", fetch: int = S.FETCH_K, final: int = S.FINAL_K, margin: float = S.SCORE_MARGIN, threshold: float | None = None) -> DataFrame:
-    """Per group, two searches united, diversified, cut at the margin and by document.
+def retrieve(chunks: DataFrame, queries: DataFrame, group: str = "specie", fetch: int = S.FETCH_K, final: int = S.FINAL_K, margin: float = S.SCORE_MARGIN, threshold: float | None = None, per_doc: int = S.PER_DOC) -> DataFrame:
+    """(query_id, id, distance, place, ...): per query two searches among its group's chunks, united, diversified, cut at the margin and by document.
 
-    chunks: (id, group, doc_id, vector). query1, query2: vectors; the balance is against their mean.
+    chunks: (id, group, doc_id, vector), ids once each. queries: (query_id,
+    group, vector1, vector2); the balance is against their mean.
     """
-    names = chunks.select(group).distinct()
-
-    def search(vector):
-        q = names.select(F.concat_ws("|", F.lit("q"), F.col(group).cast("string")).alias("query_id"), F.col(group).alias("_g"), F.array(*[F.lit(float(x)) for x in vector]).alias("vector"))
-        hits = nearest(q, chunks.select("id", "vector", group), fetch, "l2", where=F.col(group) == F.col("_g"))
-        return hits.join(chunks, "id").select("id", group, "doc_id", "vector", F.col("score").alias("distance"))
-
-    mean = [(float(x) + float(y)) / 2 for x, y in zip(query1, query2)]
-    both = united_candidates(search(query1), search(query2), ["id", group]).withColumn("query", F.array(*[F.lit(x) for x in mean]))
-    chosen = mmr(both, group, final).drop("query")
-    return per_document(within_margin(chosen, group, margin, threshold=threshold), [group])
+    search = lambda n: nearest(queries.select("query_id", group, F.col(f"vector{n}").alias("vector")), chunks.select("id", "vector", group), fetch, "l2", by=group)
+    both = search(1).unionByName(search(2)).groupBy("query_id", "id").agg(F.min("score").alias("distance"))
+    mean = queries.select("query_id", F.zip_with("vector1", "vector2", lambda x, y: (x.cast("double") + y.cast("double")) / 2).alias("query"))
+    chosen = mmr(both.join(chunks.select("id", "doc_id", "vector"), "id").join(mean, "query_id"), "query_id", final).drop("query", "vector")
+    return per_document(within_margin(chosen, "query_id", margin, threshold=threshold), ["query_id"], limit=per_doc)
 
 
 def allowed_citations(bullets: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -12,13 +12,15 @@ from ..operators import analysis, chunking, extract, graph, mapping, tiers, vect
 from ..sources import readers
 from ..streaming import incremental
 from . import bindings as B
-from . import pipeline
+from . import context, pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 NATIONS, MIN_SPECIES = 25, 12
 #: Cosine bounds for vectors that are far less alike than a model's.
 SIMILAR, ACCEPT, REJECT = 0.30, 0.45, 0.32
+#: At this bound the similar vectors fall into many clusters.
+CLUSTERED = 0.38
 
 
 def query(sql: str | None = None, graph_tables: bool = False):
@@ -213,9 +215,37 @@ def tier2_components(spark, d):
     return tiers.tier2_components(_tier2(spark, d, None), 2)
 
 
-@query()
+def _clusters(spark, d):
+    edges = graph.settled(tiers.unordered_pairs(_tier2(spark, d, None).where(F.col("score") >= CLUSTERED), 2))
+    labels = tiers.components(edges)
+    return tiers.tier2_clusters(edges, labels, 2), labels
+
+
+_CLUSTERS = _PAIRS + """
+, near AS (SELECT * FROM sim WHERE score >= 0.38),
+u AS (SELECT least(a, b) AS eid_a, greatest(a, b) AS eid_b, max(score) AS score, list(DISTINCT sp1) AS species FROM near GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (ORDER BY len(species) DESC, score DESC, eid_a, eid_b) AS r FROM u),
+counted AS (SELECT * FROM o WHERE r IN (SELECT min(r) FROM (SELECT eid_a AS v, r FROM o UNION ALL SELECT eid_b, r FROM o) GROUP BY v)),
+reach(n, m) AS (SELECT a, b FROM near UNION SELECT reach.n, near.b FROM reach JOIN near ON reach.m = near.a),
+labels AS (SELECT n, least(min(m), n) AS component FROM reach GROUP BY n),
+per AS (SELECT component, count(*) AS n_pairs, list_sort(list_distinct(flatten(list(species)))) AS species, min(r) AS r, max(score) AS score FROM counted JOIN labels ON eid_a = n GROUP BY component),
+ranked AS (SELECT row_number() OVER (ORDER BY len(species) DESC, n_pairs DESC, r) - 1 AS cluster, * FROM per WHERE len(species) >= 2)
+"""
+
+
+@query(_CLUSTERS + """
+SELECT CAST(cluster AS INT) AS cluster, component, (SELECT count(*) FROM labels l WHERE l.component = k.component) AS n_members, array_to_string(species, ',') AS species, n_pairs, score
+FROM ranked k WHERE cluster < 30
+""", graph_tables=True)
 def tier2_clusters(spark, d):
-    return tiers.tier2_clusters(_tier2(spark, d).withColumns({"eid1": F.col("eid1").cast("string"), "eid2": F.col("eid2").cast("string")}), 2)
+    """H4: of all pairs, without a limit on them."""
+    clusters, _ = _clusters(spark, d)
+    return clusters.select("cluster", "component", "n_members", F.array_join("species", ",").alias("species"), "n_pairs", "score")
+
+
+@query(_CLUSTERS + "SELECT CAST(cluster AS INT) AS cluster, n AS entity_id FROM ranked JOIN labels USING (component) WHERE cluster < 30", graph_tables=True)
+def tier2_cluster_members(spark, d):
+    return tiers.cluster_members(*_clusters(spark, d))
 
 
 def _hits(spark, d, k=10, metric="cosine"):
@@ -261,31 +291,93 @@ def nearest_share(spark, d):
     return vectors.nearest_share(_hits(spark, d).withColumn("distance", -F.col("score")), "query_id").select("query_id", "id")
 
 
-@query("""
-, q AS (SELECT id AS query_id, vector FROM vectors WHERE id IN (0, 1)),
-h AS (SELECT * FROM (SELECT query_id, v.id, v.label, round(list_distance(q.vector, v.vector) ** 2, 2) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(list_distance(q.vector, v.vector) ** 2, 6), v.id) AS r FROM q, vectors v) WHERE r <= 50)
-SELECT id, label, min(distance) AS distance FROM h GROUP BY 1, 2
+_ASKS = """
+, asks AS (SELECT x.id AS query_id, x.label, x.vector AS v1, y.vector AS v2 FROM vectors x JOIN vectors y ON y.id = x.id + 1 WHERE x.id % 100 = 0)
+"""
+
+
+def _asks(spark, d):
+    """(query_id, specie, vector1, vector2): every vector with an id divisible by 100 and the one after it."""
+    v = B.vectors(spark, d).select("id", F.col("label").alias("specie"), "vector")
+    return v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "specie", F.col("vector").alias("vector1")).join(v.select((F.col("id") - 1).alias("query_id"), F.col("vector").alias("vector2")), "query_id")
+
+
+@query(_ASKS + """
+, pairs AS (SELECT query_id, v1 AS v FROM asks UNION ALL SELECT query_id, v2 FROM asks),
+h AS (SELECT * FROM (SELECT query_id, x.id, x.label, round(list_distance(v, x.vector) ** 2, 6) AS distance, row_number() OVER (PARTITION BY query_id, v ORDER BY round(list_distance(v, x.vector) ** 2, 6), x.id) AS r FROM pairs, vectors x) WHERE r <= 50)
+SELECT query_id, id, label, min(distance) AS distance FROM h GROUP BY 1, 2, 3
 """, graph_tables=True)
 def dual_query_union(spark, d):
-    v = B.vectors(spark, d)
-    hits = [vectors.nearest(v.where(F.col("id") == i).select(F.col("id").alias("query_id"), "vector"), v.select("id", "vector"), 50, "l2").join(v.select("id", "label"), "id").select("id", "label", F.round("score", 2).alias("distance")) for i in (0, 1)]
-    return vectors.united_candidates(*hits, ["id", "label"])
+    v, asks = B.vectors(spark, d), _asks(spark, d)
+    hits = [vectors.nearest(asks.select("query_id", F.col(f"vector{n}").alias("vector")), v.select("id", "vector"), 50, "l2").join(v.select("id", "label"), "id").select("query_id", "id", "label", F.col("score").alias("distance")) for n in (1, 2)]
+    return vectors.united_candidates(*hits, ["query_id", "id"]).select("query_id", "id", "label", "distance")
+
+
+def _mmr_sql(k: int) -> str:
+    """V3 over cand (query_id, id, distance, vector, query), a step of the recursion for each choice: picked (query_id, place, id)."""
+    unit = lambda v: f"list_transform({v}, lambda x: x / CASE WHEN list_inner_product({v}, {v}) = 0 THEN 1 ELSE sqrt(list_inner_product({v}, {v})) END)"
+    return f"""
+, own AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS pos, count(*) OVER (PARTITION BY query_id) AS n, {unit('vector')} AS v, {unit('query')} AS q FROM cand),
+mmr AS (
+  SELECT 0 AS step, query_id, id, pos, n, v, round(list_inner_product(v, q), 9) AS rel, CAST('-infinity' AS DOUBLE) AS worst, CAST(NULL AS BIGINT) AS got FROM own
+  UNION ALL
+  SELECT step + 1, query_id, id, pos, n, v, rel, CASE WHEN id = cid THEN CAST('infinity' AS DOUBLE) ELSE greatest(worst, round(list_inner_product(v, cv), 9)) END, cid FROM (
+    SELECT *, first_value(id) OVER w AS cid, first_value(v) OVER w AS cv FROM mmr WHERE step < least({k}, n)
+    WINDOW w AS (PARTITION BY query_id ORDER BY CASE WHEN step = 0 THEN rel ELSE round(0.5 * rel - 0.5 * worst, 9) END DESC, pos))
+),
+picked AS (SELECT DISTINCT query_id, CAST(step - 1 AS INT) AS place, got AS id FROM mmr WHERE step > 0)
+"""
 
 
-@query()
-def mmr_select(spark, d):
+def _diverse(spark, d):
     v = B.vectors(spark, d)
-    hits = vectors.nearest(v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), v.select("id", "vector"), 100, "l2")
-    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
-    rows = hits.join(v.select("id", "vector"), "id").join(q, "query_id").select("query_id", "id", F.col("score").alias("distance"), "vector", "query")
-    return vectors.mmr(rows, "query_id", 20).select("query_id", "place", "id")
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    hits = vectors.nearest(asked, v.select("id", "vector"), 100, "l2").select("query_id", "id", F.col("score").alias("distance"))
+    return hits.join(v.select("id", "vector"), "id").join(asked.withColumnRenamed("vector", "query"), "query_id")
 
 
-@query()
+@query("""
+, cand AS (
+  SELECT * FROM (SELECT q.id AS query_id, x.id, round(list_distance(q.vector, x.vector) ** 2, 6) AS distance, x.vector, q.vector AS query,
+    row_number() OVER (PARTITION BY q.id ORDER BY round(list_distance(q.vector, x.vector) ** 2, 6), x.id) AS r FROM vectors q, vectors x WHERE q.id % 50 = 0) WHERE r <= 100)
+""" + _mmr_sql(20) + "SELECT query_id, place, id FROM picked", graph_tables=True)
+def mmr_select(spark, d):
+    """V3: of the 100 nearest of each query 20 that differ."""
+    return vectors.mmr(_diverse(spark, d), "query_id", 20).select("query_id", "place", "id")
+
+
+@query(_ASKS + """
+, pairs AS (SELECT query_id, label, 1 AS n, v1 AS v FROM asks UNION ALL SELECT query_id, label, 2, v2 FROM asks),
+h AS (SELECT * FROM (SELECT query_id, x.id, round(list_distance(v, x.vector) ** 2, 6) AS distance, row_number() OVER (PARTITION BY query_id, n ORDER BY round(list_distance(v, x.vector) ** 2, 6), x.id) AS r FROM pairs JOIN vectors x USING (label)) WHERE r <= 100),
+best AS (SELECT query_id, id, min(distance) AS distance FROM h GROUP BY 1, 2),
+cand AS (SELECT query_id, best.id, distance, x.vector, list_transform(list_zip(v1, v2), lambda p: (p[1] + p[2]) / 2) AS query FROM best JOIN vectors x USING (id) JOIN asks USING (query_id))
+""" + _mmr_sql(50) + """
+, near AS (SELECT *, min(distance) OVER (PARTITION BY query_id) AS least FROM picked JOIN best USING (query_id, id)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY query_id, id % 20 ORDER BY distance, id) AS r FROM near WHERE distance <= least + 0.3)
+SELECT query_id, id, place, distance FROM kept WHERE r <= 2
+""", graph_tables=True)
 def dual_retrieval(spark, d):
+    """W8, whole: two searches of 100 within the group, united, 50 that differ, the margin, two of a document."""
     v = B.vectors(spark, d).select("id", F.col("label").alias("specie"), (F.col("id") % 20).alias("doc_id"), "vector")
-    q1, q2 = (r.vector for r in v.where("id in (0, 1)").orderBy("id").collect())  # two rows
-    return vectors.retrieve(v, q1, q2, margin=40.0).select("specie", "id", F.round("distance", 4).alias("distance"))
+    return vectors.retrieve(v, _asks(spark, d), per_doc=2).select("query_id", "id", "place", "distance")
+
+
+@query("""
+, asks AS (SELECT label, min(id) AS query_id FROM vectors GROUP BY label),
+h AS (SELECT * FROM (SELECT a.label, x.id, round(list_distance(q.vector, x.vector) ** 2, 6) AS distance, x.vector, q.vector AS query,
+  row_number() OVER (PARTITION BY a.label ORDER BY round(list_distance(q.vector, x.vector) ** 2, 6), x.id) AS r FROM asks a JOIN vectors q ON q.id = a.query_id JOIN vectors x ON x.label = a.label) WHERE r <= 100),
+cand AS (SELECT label AS query_id, id, distance, vector, query FROM h)
+""" + _mmr_sql(50) + """
+, ranked AS (SELECT query_id AS label, p.id, h.distance, row_number() OVER (PARTITION BY query_id ORDER BY h.distance, p.id) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM picked p JOIN h ON h.label = p.query_id AND h.id = p.id),
+once AS (SELECT *, row_number() OVER (PARTITION BY id % 150 ORDER BY label, distance, id) AS k FROM ranked WHERE r <= greatest(1, ceil(0.6 * n)))
+SELECT 'L' || label AS specie, id, distance FROM once WHERE k = 1
+""", graph_tables=True)
+def species_retrieval(spark, d):
+    """W7, D4, whole: 100 nearest of each species, 50 of them that differ, the nearest 60 % of these, a chunk of several species once."""
+    v = B.vectors(spark, d)
+    chunks = v.select("id", F.concat(F.lit("L"), "label").alias("specie"), F.col("label").cast("string").alias("doc_id"), (F.col("id") % 150).cast("string").alias("source_path"), F.lit(0).alias("chunk_index"), "vector")
+    first = chunks.groupBy("specie").agg(F.min_by("vector", "id").alias("vector"))
+    return context.species_candidates(chunks, first).select("specie", "id", "distance")
 
 
 # ---- text ------------------------------------------------------------------

@@ -157,8 +157,8 @@ def species_candidates(chunks: DataFrame, queries: DataFrame, fetch: int = S.FET
     chunks: (id, specie, doc_id, source_path, chunk_index, vector).
     queries: (specie, vector), one each.
     """
-    q = queries.select(F.col("specie").alias("query_id"), F.col("specie").alias("_g"), "vector")
-    hits = vectors.nearest(q, chunks.select("id", "vector", "specie"), fetch, "l2", where=F.col("specie") == F.col("_g"))
+    q = queries.select(F.col("specie").alias("query_id"), "specie", "vector")
+    hits = vectors.nearest(q, chunks.select("id", "vector", "specie"), fetch, "l2", by="specie")
     rows = hits.join(chunks, "id").join(queries.select("specie", F.col("vector").alias("query")), "specie").withColumnRenamed("score", "distance")
     chosen = vectors.mmr(rows.select("specie", "id", "doc_id", "source_path", "chunk_index", "distance", "vector", "query"), "specie", final)
     kept = vectors.nearest_share(chosen, "specie", share)

@@ -56,10 +56,14 @@ def converge(t: dict[str, DataFrame], n_species: int, min_species: int | None =
     species_of = graph.entity_species(t["mentions"], t["doc_chunk"])
     counts = graph.mention_counts(t["mentions"], t["doc_chunk"], t["doc_entity"])
     triples = graph.surface_triples(t["related_to"], t["mentions"], t["doc_chunk"], t["doc_entity"])
+    edges = graph.settled(tiers.unordered_pairs(tiers.tier2_pairs(t["doc_similar_to"], t["doc_entity"], species_of, tier2_threshold), least))
+    labels = tiers.components(edges)
+    clusters = tiers.tier2_clusters(edges, labels, least)
     return {
         "tier1": tiers.tier1_ranked(cand, n_species) if has_fan_in else tiers.tier1_fallback(cand),
         "tier1_relational": tiers.tier1_relational(t["related_to"], t["doc_entity"], t["doc_mapped_to"], t["is_a"], least),
-        "tier2": tiers.tier2_clusters(tiers.tier2_pairs(t["doc_similar_to"], t["doc_entity"], species_of, tier2_threshold), least),
+        "tier2": clusters,
+        "tier2_members": tiers.cluster_members(clusters, labels),
         "subgraphs": graph.subgraphs(graph.collapsed_entities(counts, t["doc_mapped_to"]), graph.rewritten_triples(triples, counts, t["doc_mapped_to"]), t["doc_chunk"]),
     }
 

@@ -2,6 +2,7 @@ import json
 import math
 
 from lodestrand.operators import extract, graph, mapping, tiers
+from lodestrand.plans import context
 
 
 def df(spark, schema, *rows):
@@ -63,12 +64,60 @@ def test_score(spark):  # W2, F17
     assert [t for t, _ in got] == ["b", "c", "d", "a"] and all(abs(s - want[t]) < 1e-5 for t, s in got)
 
 
-def test_clusters():  # H4
-    pair = lambda a, b, s, sp="xy": {"eid_a": a, "eid_b": b, "sf_a": a, "sf_b": b, "score": s, "species": list(sp)}
-    (c,) = tiers.greedy_clusters([pair("a", "b", 0.9), pair("c", "d", 0.8), pair("b", "c", 0.7, "xz")], 2)
-    assert c["members"] == set("abcd") and len(c["pairs"]) == 2 and c["species"] == {"x", "y"}
-    (t,) = tiers.greedy_clusters([pair("a", "b", 0.9), pair("b", "c", 0.8), pair("a", "c", 0.7)], 2)
-    assert len(t["pairs"]) == 2 and tiers.greedy_clusters([], 2) == []
+def greedy_clusters(rows, min_species, limit=30):
+    """H4 as a plain loop over the pairs in order."""
+    home, clusters = {}, {}
+    for n, r in enumerate(sorted(rows, key=lambda r: (-len(r["species"]), -r["score"], r["eid_a"], r["eid_b"]))):
+        a, b = home.get(r["eid_a"]), home.get(r["eid_b"])
+        if a is not None and b is not None:
+            if a != b:  # unites two, and gives nothing
+                keep, gone = min(a, b), max(a, b)
+                other = clusters.pop(gone)
+                clusters[keep] = tuple(x | y for x, y in zip(clusters[keep], other))
+                home |= dict.fromkeys(other[0], keep)
+            continue
+        at = n if a is None and b is None else a if a is not None else b
+        members, species, pairs = clusters.get(at, (set(), set(), set()))
+        clusters[at] = members | {r["eid_a"], r["eid_b"]}, species | set(r["species"]), pairs | {(r["eid_a"], r["eid_b"])}
+        home[r["eid_a"]] = home[r["eid_b"]] = at
+    kept = [c for _, c in sorted(clusters.items()) if len(c[1]) >= min_species]
+    return sorted(kept, key=lambda c: (-len(c[1]), -len(c[2])))[:limit]
+
+
+def clustered(spark, rows, min_species, limit=30):
+    edges = spark.createDataFrame([(r["eid_a"], r["eid_b"], r["score"], r["species"]) for r in rows], "eid_a string, eid_b string, score double, species array<string>")
+    labels = tiers.components(edges)
+    clusters = tiers.tier2_clusters(edges, labels, min_species, limit)
+    members = {}
+    for r in tiers.cluster_members(clusters, labels).collect():
+        members.setdefault(r.cluster, set()).add(r.entity_id)
+    return [(members[r.cluster], set(r.species), r.n_pairs, r.n_members) for r in clusters.orderBy("cluster").collect()]
+
+
+def test_clusters(spark):  # H4
+    pair = lambda a, b, s, sp="xy": {"eid_a": a, "eid_b": b, "score": s, "species": list(sp)}
+    assert clustered(spark, [pair("a", "b", 0.9), pair("c", "d", 0.8), pair("b", "c", 0.7, "xz"), pair("f", "g", 0.9), pair("g", "h", 0.8), pair("f", "h", 0.7)], 2) == [(set("abcd"), {"x", "y"}, 2, 4), (set("fgh"), {"x", "y"}, 2, 3)]
+    assert clustered(spark, [], 2) == []
+
+
+def test_clusters_of_random_graphs(spark):  # H4, W5
+    import random
+
+    rnd = random.Random(8)
+    for n, m, sp in ((30, 25, 6), (60, 45, 3), (40, 120, 9)):
+        seen = {tuple(sorted(rnd.sample(range(n), 2))) for _ in range(m)}
+        rows = [{"eid_a": f"e{a:02}", "eid_b": f"e{b:02}", "score": rnd.randrange(78, 83) / 100, "species": sorted(rnd.sample("abcdefghi"[:sp], rnd.randrange(2, 4)))} for a, b in seen]
+        for least, limit in ((2, 30), (4, 3)):
+            want = [(c[0], c[1], len(c[2]), len(c[0])) for c in greedy_clusters(rows, least, limit)]
+            assert clustered(spark, rows, least, limit) == want
+
+
+def test_cluster_lines(spark):  # F21, W12
+    edges = spark.createDataFrame([("a", "b", 0.9, ["x", "y"]), ("b", "c", 0.8, ["x", "y"])], "eid_a string, eid_b string, score double, species array<string>")
+    labels = tiers.components(edges)
+    names = spark.createDataFrame([(x, x * 2) for x in "abc"], "entity_id string, surface_form string")
+    shown = tiers.with_shown_members(tiers.tier2_clusters(edges, labels, 2), labels, names, 2)
+    assert [r.line for r in shown.select(context.tier2_line().alias("line")).collect()] == ["- aa, bb: 2 species, score 0.900"]
 
 
 def test_components_agree(spark):  # H4 membership

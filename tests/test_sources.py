@@ -5,6 +5,7 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 
+from .test_vectors_analysis import mmr_order
 from lodestrand.operators import chunking, vectors
 from lodestrand.plans import context, runs
 from lodestrand.sources import fetch, readers, terms, writers
@@ -131,7 +132,7 @@ def test_flat_retrieval_against_a_plain_version(spark):
     for name, query in asked.items():
         dist = lambda r, query=query: round(sum((a - b) ** 2 for a, b in zip(r[5], query)), 6)
         near = sorted((r for r in rows if r[1] == name), key=lambda r: (dist(r), r[0]))[:20]
-        chosen = [near[i] for i in vectors.mmr_order(query, [r[5] for r in near], 8)]
+        chosen = [near[i] for i in mmr_order(query, [r[5] for r in near], 8)]
         kept += [(name, dist(r), r) for r in sorted(chosen, key=lambda r: (dist(r), r[0]))[:5]]
     first = {}
     for name, x, r in sorted(kept, key=lambda k: (k[0], k[1], k[2][0])):

@@ -8,15 +8,51 @@ from lodestrand.streaming import incremental
 def test_similar_pairs(spark):  # V4
     v = {"p": [1.0, 0.0], "q": [1.0, 0.01], "z": [0.0, 0.0], "r": [1.0, 0.0]}
     rows = spark.createDataFrame([("p", v["p"], ["A", "B"]), ("q", v["q"], ["A"]), ("r", v["r"], ["B", "A"]), ("z", v["z"], ["C"])], "id string, vector array<double>, groups array<string>")
-    got = {(r.a, r.b) for r in vectors.similar_pairs(rows, 0.9, blocks=3).collect()}
+    got = {(r.a, r.b) for r in vectors.similar_pairs(rows, 0.9, cells=3).collect()}
     assert got == {("p", "q"), ("q", "r")}  # equal sets are left out, sets that overlap are not
     assert {(r.a, r.b) for r in vectors.similar_pairs(rows, 0.9, "overlap").collect()} == set()
 
 
-def test_mmr():  # V3
+def mmr_order(query, vectors, k, weight=0.5):
+    """V3 as a plain loop: indexes of k vectors."""
+    if not len(vectors):
+        return []
+
+    def unit(m):
+        n = np.linalg.norm(m, axis=-1, keepdims=True)
+        return m / np.where(n == 0, 1, n)
+
+    v = unit(np.asarray(vectors, np.float64))
+    to_query, worst, chosen = np.round(v @ unit(np.asarray(query, np.float64)), 9), np.full(len(v), -np.inf), []
+    for _ in range(min(k, len(v))):
+        value = np.round(weight * to_query - (1 - weight) * worst, 9) if chosen else to_query.copy()
+        value[chosen] = -np.inf
+        chosen.append(int(np.argmax(value)))
+        worst = np.maximum(worst, np.round(v @ v[chosen[-1]], 9))
+    return chosen
+
+
+def test_mmr(spark):  # V3
     d = np.array([[1, 0], [0.99, 0.1], [0, 1.0]])
-    assert vectors.mmr_order(np.array([1, 0.2]), d, 2) == [1, 2] and vectors.mmr_order(np.array([1, 0]), d, 9, 1.0) == [0, 1, 2]
-    assert vectors.mmr_order(np.array([1, 0]), np.zeros((0, 2)), 3) == []
+    assert mmr_order(np.array([1, 0.2]), d, 2) == [1, 2] and mmr_order(np.array([1, 0]), d, 9, 1.0) == [0, 1, 2]
+    rnd = np.random.default_rng(1)
+    rows, want = [], {}
+    for g, n in (("a", 30), ("b", 3), ("c", 12)):
+        v, q = rnd.normal(size=(n, 5)), rnd.normal(size=5)
+        v[n // 2] = v[0]
+        rows += [(g, 100 - k, float(k // 2), v[k].tolist(), q.tolist(), k) for k in range(n)]
+        order = sorted(range(n), key=lambda k: (k // 2, 100 - k))
+        want[g] = [order[i] for i in mmr_order(q, v[order], 8)]
+    df = spark.createDataFrame(rows, "specie string, id long, distance double, vector array<double>, query array<double>, left int").repartition(3)
+    got = {}
+    for r in vectors.mmr(df, "specie", 8).orderBy("specie", "place").collect():
+        got.setdefault(r.specie, []).append(r.left)
+    assert got == want
+    assert vectors.mmr(df.limit(0), "specie", 8).count() == 0
+    none = spark.createDataFrame([("a", k, float(k), v, [1.0, 0.0]) for k, v in enumerate([None, [0.0, 1.0], None, [1.0, 0.0]])], "specie string, id long, distance double, vector array<double>, query array<double>")
+    assert [r.id for r in vectors.mmr(none, "specie", 4).orderBy("place").collect()] == [3, 1, 0, 2]
+    plan = vectors.mmr(df, "specie", 8)._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan and "Python" not in plan
 
 
 def test_retrieval_steps(spark):  # D3, P11, W7, W8
