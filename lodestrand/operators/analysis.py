@@ -11,24 +11,27 @@ def trait_frequency(rows: DataFrame) -> DataFrame:
     return rows.groupBy("trait").agg(F.count_distinct("run").alias("n_runs")).orderBy(F.desc("n_runs"), F.lower("trait"))
 
 
-def jaccard(a: Column | str, b: Column | str) -> Column:
-    """F16: two empty sets are equal, one empty set shares nothing."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
-
-
 def citation_drift(rows: DataFrame) -> DataFrame:
-    """Per trait: runs, size of the union of citations, mean Jaccard of pairs of runs and against the union.
+    """Per trait: runs, size of the union of citations, mean Jaccard of pairs of runs and against the union.
 
     rows: (run, trait, source), source null for a run that cites nothing.
-    Traits that no run cites anything for are left out.
+    Traits that no run cites anything for are left out. Only runs that share a
+    source meet, by that source, and their overlap is what is counted; of all
+    other pairs it is known that two runs without citations are equal and the
+    rest share nothing, so they enter as numbers.
     """
-    sets = rows.groupBy("trait", "run").agg(F.collect_set("source").alias("cited"))
-    union = sets.groupBy("trait").agg(F.array_distinct(F.flatten(F.collect_list("cited"))).alias("u"), F.count(F.lit(1)).alias("runs_present")).where(F.size("u") > 0)
-    x, y = sets.alias("x"), sets.alias("y")
-    pairs = x.join(y, (F.col("x.trait") == F.col("y.trait")) & (F.col("x.run") < F.col("y.run"))).groupBy(F.col("x.trait").alias("trait")).agg(F.avg(jaccard("x.cited", "y.cited")).alias("p"))
-    whole = sets.join(union, "trait").groupBy("trait").agg(F.first("runs_present").alias("runs_present"), F.first(F.size("u")).cast("long").alias("citation_union_size"), F.avg(F.size("cited") / F.size("u")).alias("v"))
-    return whole.join(pairs, "trait", "left").select("trait", "runs_present", "citation_union_size", F.round(F.coalesce("p", F.lit(1.0)), 3).alias("mean_pairwise_jaccard"), F.round("v", 3).alias("mean_vs_union_jaccard"))
+    cites = rows.where("source is not null").select("trait", "run", "source").distinct()
+    sizes = cites.groupBy("trait", "run").agg(F.count(F.lit(1)).alias("n"))
+    union = cites.groupBy("trait").agg(F.count_distinct("source").alias("u"))
+    per = rows.select("trait", "run").distinct().join(sizes, ["trait", "run"], "left").groupBy("trait").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("n").isNull()).alias("empty"), F.sum("n").alias("cited"))
+    sized = cites.join(sizes, ["trait", "run"])
+    side = lambda k: sized.select("trait", "source", F.col("run").alias(f"r{k}"), F.col("n").alias(f"n{k}"))
+    met = side(1).join(side(2), ["trait", "source"]).where("r1 < r2").groupBy("trait", "r1", "r2", "n1", "n2").agg(F.count(F.lit(1)).alias("both"))
+    shared = met.groupBy("trait").agg(F.sum(F.col("both") / (F.col("n1") + F.col("n2") - F.col("both"))).alias("s"))
+    of_two = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    pairwise = F.when(F.col("runs") > 1, (F.coalesce("s", F.lit(0.0)) + of_two("empty")) / of_two("runs")).otherwise(1.0)
+    out = per.join(union, "trait").join(shared, "trait", "left")
+    return out.select("trait", F.col("runs").alias("runs_present"), F.col("u").cast("long").alias("citation_union_size"), F.round(pairwise, 3).alias("mean_pairwise_jaccard"), F.round(F.col("cited") / F.col("u") / F.col("runs"), 3).alias("mean_vs_union_jaccard"))
 
 
 def source_counts(rows: DataFrame) -> DataFrame:

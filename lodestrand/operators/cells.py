@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from .graph import settled
+from ..places import stored
 
 #: Rows of a block, and pivots at most.
 BLOCK, MOST_PIVOTS = 512, 4096
@@ -74,7 +74,7 @@ class PairPlan:
         kept = rows.where("vector is not null").select("id", "vector", F.array_sort("groups").alias("groups"))
         if threshold > 0:  # a zero vector is like none
             kept = kept.where(F.exists("vector", lambda x: x != 0))
-        self.rows = settled(kept)
+        self.rows = stored(kept)
         self.n = self.rows.count()
         if not self.n:
             return
@@ -86,7 +86,7 @@ class PairPlan:
                 at = d.argmin(axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pa.array(d[np.arange(len(at)), at])], names=[*b.schema.names, "home", "angle"])
 
-        homes = settled(self.rows.mapInArrow(home, T.StructType([*self.rows.schema.fields, T.StructField("home", T.IntegerType()), T.StructField("angle", T.DoubleType())])))
+        homes = stored(self.rows.mapInArrow(home, T.StructType([*self.rows.schema.fields, T.StructField("home", T.IntegerType()), T.StructField("angle", T.DoubleType())])))
         stats = {r.home: (r.r, r.n) for r in homes.groupBy("home").agg(F.max("angle").alias("r"), F.count(F.lit(1)).alias("n")).collect()}
         radius = np.array([stats[j][0] if j in stats else -np.inf for j in range(len(pivots))])
         limit, p = self.limit, len(pivots)
@@ -103,7 +103,7 @@ class PairPlan:
                 at = pa.StructArray.from_arrays([pa.array(j.astype(np.int32)), pa.array(d[i, j])], names=["cell", "angle"])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(bounds, at)], names=[*b.schema.names, "visits"])
 
-        self.placed = settled(homes.mapInArrow(visit, T.StructType([*homes.schema.fields, T.StructField("visits", T.ArrayType(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])))])))
+        self.placed = stored(homes.mapInArrow(visit, T.StructType([*homes.schema.fields, T.StructField("visits", T.ArrayType(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])))])))
         self.residents = {c: n for c, (_, n) in stats.items()}
         self.visitors = {r.cell: r.n for r in self.placed.select(F.explode("visits.cell").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
 
@@ -120,7 +120,7 @@ class PairPlan:
         sizes = _small(self.spark, [(c, kind, n, one[0][c]) for kind in (0, 1) for c, n in one[kind].items()], "cell int, kind int, blocks int, others int")
         rows = self.placed.select(F.inline(F.concat(F.array(F.struct(F.col("home").alias("cell"), F.lit(0).alias("kind"), "angle")), F.transform("visits", lambda v: F.struct(v["cell"].alias("cell"), F.lit(1).alias("kind"), v["angle"].alias("angle"))))), "id", "vector", "groups")
         rows = rows.join(sizes, ["cell", "kind"]).withColumn("k", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-        packed = settled(rows.groupBy("cell", "kind", "k", "others").agg(F.collect_list(F.struct("id", "vector", "groups", "angle")).alias("rows")))
+        packed = stored(rows.groupBy("cell", "kind", "k", "others").agg(F.collect_list(F.struct("id", "vector", "groups", "angle")).alias("rows")))
         # a block of a cell meets the blocks from itself on; one of visitors meets all
         left = packed.select("cell", (F.col("kind") == 1).alias("visiting"), "k", F.explode(F.sequence(F.when(F.col("kind") == 1, 0).otherwise(F.col("k")), F.col("others") - 1)).alias("t"), F.col("rows").alias("r1"))
         right = packed.where("kind = 0").select("cell", F.col("k").alias("t"), F.col("rows").alias("r2"))
@@ -223,7 +223,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = S.CANDIDATES, metric:
     spark = rows.sparkSession
     if by:
         return _ranked(_best(_by_value(q, r), k, metric, fields), k, metric)
-    r = settled(r)
+    r = stored(r)
     n = r.count()
     if not n:
         return _ranked(spark.createDataFrame([], T.StructType([*fields, T.StructField("score", T.DoubleType())])), k, metric)
@@ -248,7 +248,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = S.CANDIDATES, metric:
             at[none] = -1
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pa.array(np.where(none, np.inf, d[np.arange(len(at)), np.maximum(at, 0)]))], names=["id", "vector", "cell", "far"])
 
-    homes = settled(r.mapInArrow(home, T.StructType([*r.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])))
+    homes = stored(r.mapInArrow(home, T.StructType([*r.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])))
     stats = {x.cell: (x.r, x.n) for x in homes.groupBy("cell").agg(F.max("far").alias("r"), F.count(F.lit(1)).alias("n")).collect()}
     cells = sorted(stats)
     radius, held = np.array([stats[c][0] for c in cells]), np.array([stats[c][1] for c in cells])
@@ -289,7 +289,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = S.CANDIDATES, metric:
     asked = T.StructType([*q.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("bound", T.DoubleType())])
     blocks = {c: math.ceil(m / BLOCK) for c, m in zip(cells, held.tolist())}
     sizes = _small(spark, list(blocks.items()), "cell int, blocks int")
-    stored = settled(homes.join(sizes, "cell").withColumn("t", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")).groupBy("cell", "t").agg(F.collect_list(F.struct("id", "vector")).alias("rows")))
+    packed_rows = stored(homes.join(sizes, "cell").withColumn("t", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")).groupBy("cell", "t").agg(F.collect_list(F.struct("id", "vector")).alias("rows")))
 
     def meet(visits):
         """Blocks of queries with each block of the cells they visit."""
@@ -300,16 +300,16 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = S.CANDIDATES, metric:
         own = _small(spark, [(x.cell, math.ceil(x.n / BLOCK), blocks[x.cell]) for x in counted], "cell int, parts int, blocks int")
         packed = each.join(own, "cell").groupBy("cell", "blocks", F.pmod(F.xxhash64("query_id", F.lit(7)), F.col("parts")).alias("_k")).agg(F.collect_list(F.struct("query_id", "vector", "bound")).alias("queries"))
         left = packed.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"), "queries")
-        return _best(left.join(stored, ["cell", "t"]).select("queries", "rows"), k, metric, fields)
+        return _best(left.join(packed_rows, ["cell", "t"]).select("queries", "rows"), k, metric, fields)
 
-    one = settled(q.mapInArrow(first, asked))
+    one = stored(q.mapInArrow(first, asked))
     hits = meet(one)
     if hits is None:
         return _ranked(spark.createDataFrame([], T.StructType([*fields, T.StructField("score", T.DoubleType())])), k, metric)
-    near = settled(_ranked(hits, k, metric))
+    near = stored(_ranked(hits, k, metric))
     sign = F.lit(-1.0 if metric == "cosine" else 1.0)
     worst = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max(sign * F.col("score"))).alias("worst"))
-    two = settled(one.join(worst, "query_id").select("query_id", "vector", "cells", F.coalesce("worst", F.lit(float("inf"))).alias("worst")).mapInArrow(rest, asked))
+    two = stored(one.join(worst, "query_id").select("query_id", "vector", "cells", F.coalesce("worst", F.lit(float("inf"))).alias("worst")).mapInArrow(rest, asked))
     more = meet(two)
     found = near.select("query_id", "id", "score")
     return _ranked(found if more is None else found.unionByName(more), k, metric)

@@ -7,13 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as T
-from ..places import shared_dir
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once: its lineage is cut by checkpoint() into the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+from ..places import stored as settled
 
 
 def keep_latest(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
@@ -112,7 +106,11 @@ def transitive_closure(is_a: DataFrame) -> DataFrame:
 
 
 def fan_in(is_a: DataFrame) -> DataFrame:
-    """A2: distinct descendants of every term that has any."""
+    """A2: distinct descendants of every term that has any.
+
+    For edges that are flat, as flattened() lays them: nearly all pairs of the
+    closure are edges already. Deep hierarchies: reach.descendant_counts().
+    """
     return transitive_closure(is_a).where("child_id <> parent_id").groupBy(F.col("parent_id").alias("term_id")).agg(F.count_distinct("child_id").alias("fan_in"))
 
 

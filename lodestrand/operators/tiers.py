@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as T
-from .graph import closure_within, entity_species, settled
+from ..places import stored
+from .graph import closure_within, entity_species
 
 
 def default_min_species(n: Column | int) -> Column:
@@ -95,13 +96,13 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among neighbours, then that label's own.
     """
     e = edges.select("eid_a", "eid_b")
-    both = settled(e.union(e.select("eid_b", "eid_a")))
-    labels = settled(both.groupBy(F.col("eid_a").alias("entity_id")).agg(F.min("eid_b").alias("_m")).select("entity_id", F.least("entity_id", "_m").alias("label")))
+    both = stored(e.union(e.select("eid_b", "eid_a")))
+    labels = stored(both.groupBy(F.col("eid_a").alias("entity_id")).agg(F.min("eid_b").alias("_m")).select("entity_id", F.least("entity_id", "_m").alias("label")))
     while True:
         near = both.join(labels, F.col("eid_b") == F.col("entity_id")).groupBy("eid_a").agg(F.min("label").alias("near"))
-        step = settled(labels.join(near, F.col("entity_id") == F.col("eid_a")).select("entity_id", F.least("label", "near").alias("label"), F.col("label").alias("old")))
+        step = stored(labels.join(near, F.col("entity_id") == F.col("eid_a")).select("entity_id", F.least("label", "near").alias("label"), F.col("label").alias("old")))
         jump = step.select(F.col("entity_id").alias("_at"), F.col("label").alias("_to"))
-        after = settled(step.join(jump, F.col("label") == F.col("_at")).select("entity_id", F.col("_to").alias("label"), "old"))
+        after = stored(step.join(jump, F.col("label") == F.col("_at")).select("entity_id", F.col("_to").alias("label"), "old"))
         labels = after.select("entity_id", "label")
         if after.where("label <> old").isEmpty():
             return labels.withColumnRenamed("label", "component")
@@ -120,7 +121,7 @@ def tier2_clusters(edges: DataFrame, labels: DataFrame, min_species: int, limit:
     order = F.struct((-F.size("species")).alias("k"), (-F.col("score")).alias("s"), F.col("eid_a").alias("a"), F.col("eid_b").alias("b"))
     ends = edges.select(F.explode(F.array("eid_a", "eid_b")).alias("entity_id"), order.alias("place"), "species")
     first = ends.groupBy("entity_id").agg(F.min(F.struct("place", "species")).alias("x")).join(labels, "entity_id")
-    counted = settled(first.select("component", "x.place", "x.species").dropDuplicates(["place"]))
+    counted = stored(first.select("component", "x.place", "x.species").dropDuplicates(["place"]))
     pairs = counted.groupBy("component").agg(F.count(F.lit(1)).alias("n_pairs"), F.min("place").alias("_first"), F.max(-F.col("place.s")).alias("score"))
     species = counted.select("component", F.explode("species").alias("sp")).groupBy("component").agg(F.array_sort(F.collect_set("sp")).alias("species"))
     members = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n_members"))

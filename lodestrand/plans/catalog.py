@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analysis, chunking, extract, graph, mapping, tiers, vectors
+from ..operators import analysis, chunking, extract, graph, mapping, reach, tiers, vectors
 from ..sources import readers
 from ..streaming import incremental
 from . import bindings as B
@@ -107,6 +107,23 @@ def fan_in(spark, d):
     return graph.fan_in(edges.distinct())
 
 
+@query("""
+WITH RECURSIVE e(c, p) AS (
+  SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey > 1 UNION SELECT p_partkey, p_partkey // 3 + 1 FROM part WHERE p_partkey > 3
+  UNION SELECT p_partkey // 2, p_partkey FROM part WHERE p_partkey > 40 AND p_size = 7
+),
+closed(c, p) AS (SELECT c, p FROM e UNION SELECT closed.c, e.p FROM closed JOIN e ON closed.p = e.c)
+SELECT p AS term_id, count(DISTINCT c) AS fan_in FROM closed WHERE c <> p GROUP BY p
+""")
+def deep_fan_in(spark, d):
+    """A2, H3: every part lies under half its number and under one more than a third of it; some of those halves lie under the part again, so that cycles of many sizes come about."""
+    k = F.col("p_partkey").cast("long")
+    half, third = F.floor(k / 2), F.floor(k / 3) + 1
+    edge = lambda a, b: F.struct(a.alias("child_id"), b.alias("parent_id"))
+    edges = F.array(F.when(k > 1, edge(k, half)), F.when(k > 3, edge(k, third)), F.when((k > 40) & (F.col("p_size") == 7), edge(half, k)))
+    return reach.descendant_counts(B.load(spark, d, "part").select(F.explode(edges).alias("e")).where("e is not null").select("e.*"))
+
+
 @query("SELECT entity_id, species_norm, surface_form, entity_type, count(*) AS mention_count FROM mentions JOIN entities USING (entity_id) GROUP BY ALL", graph_tables=True)
 def mention_counts(spark, d):
     return graph.mention_counts(B.mentions(spark, d), B.chunks(spark, d), B.entities(spark, d))

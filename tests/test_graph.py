@@ -1,7 +1,7 @@
 import json
 import math
 
-from lodestrand.operators import extract, graph, mapping, tiers
+from lodestrand.operators import extract, graph, mapping, reach, tiers
 from lodestrand.plans import context
 
 
@@ -10,7 +10,7 @@ def df(spark, schema, *rows):
 
 
 def edges(spark, *pairs):
-    return df(spark, "child_id string, parent_id string", *pairs)
+    return df(spark, "child_id string, parent_id string", *(pairs or [("a", "b")]))
 
 
 def test_closure_with_cycle(spark):  # H3, A2
@@ -147,3 +147,32 @@ def test_mapping(spark):  # V6, U2, U3, H7
 
     bad = {r.raw_trait: (r.confidence, r.clean) for r in mapping.map_forms(forms, terms, embed, broken).collect()}
     assert bad["near"] == ("no_match", False) and bad["same"] == ("high", True)
+
+
+def test_fan_in_of_random_graphs(spark):  # A2, H3
+    import random
+
+    rnd = random.Random(5)
+    for n, m in ((25, 30), (40, 110)):
+        pairs = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)} | {(k, k - 1) for k in range(1, n // 2)}
+        below = {k: set() for k in range(n)}
+        for k in range(n):
+            todo = [k]
+            while todo:
+                at = todo.pop()
+                for c, p in pairs:
+                    if p == at and c not in below[k]:
+                        below[k].add(c)
+                        todo.append(c)
+        want = {f"t{k:02}": len(x - {k}) for k, x in below.items() if x - {k}}
+        got = reach.descendant_counts(edges(spark, *[(f"t{c:02}", f"t{p:02}") for c, p in pairs], (None, "t01"), ("t01", None)))
+        assert {r.term_id: r.fan_in for r in got.collect()} == want
+        plain = graph.transitive_closure(edges(spark, *[(f"t{c:02}", f"t{p:02}") for c, p in pairs])).where("child_id <> parent_id").groupBy("parent_id").count()
+        assert {r.parent_id: r["count"] for r in plain.collect()} == want
+    assert reach.descendant_counts(edges(spark).limit(0)).count() == 0
+
+
+def test_components_of_cycles(spark):  # H3
+    rows = df(spark, "c string, p string", ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("x", "a"), ("f", "g"))
+    got = {r.term: r.component for r in reach.cycle_components(rows).collect()}
+    assert {t: {u for u in got if got[u] == got[t]} for t in got} == {**dict.fromkeys("abc", {"a", "b", "c"}), **dict.fromkeys("de", {"d", "e"})}

@@ -74,6 +74,25 @@ def test_drift(spark):  # A11, F16
     assert {r.trait: r.n_runs for r in analysis.trait_frequency(rows).collect()} == {"t": 3, "none": 2, "one": 1}
 
 
+def test_drift_of_random_runs(spark):  # A11, J18
+    import itertools
+    import random
+
+    rnd = random.Random(2)
+    sets = {(t, r): {f"s{x}" for x in rnd.sample(range(6), rnd.choice([0, 0, 1, 2, 4]))} for t in "abcdefg" for r in range(rnd.randrange(1, 7))}
+    rows = [(r, t, s) for (t, r), x in sets.items() for s in (x or {None})] * 2
+    want = {}
+    for t in "abcdefg":
+        own = [x for (u, _), x in sets.items() if u == t]
+        every = set().union(*own)
+        if every:
+            like = lambda x, y: 1.0 if not x | y else len(x & y) / len(x | y)
+            pairs = [like(x, y) for x, y in itertools.combinations(own, 2)] or [1.0]
+            want[t] = (len(own), len(every), sum(pairs) / len(pairs), sum(len(x) / len(every) for x in own) / len(own))
+    got = {r.trait: tuple(r)[1:] for r in analysis.citation_drift(spark.createDataFrame(rows, "run int, trait string, source string")).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 6e-4 for t in got for a, b in zip(got[t], want[t]))
+
+
 def test_groups(spark):  # A12, U8
     g = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "b")], "group string, trait string")
     f = spark.createDataFrame([("a", 2), ("b", 3), ("c", 1)], "trait string, n int")
