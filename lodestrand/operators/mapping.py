@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..sources.snapshots import SnapshotTable
 from .extract import Embedder, Normalizer, Verifier, embedded, keep_as_is
 from .graph import keep_latest, settled
 from .vectors import nearest
@@ -112,6 +113,23 @@ def map_forms(forms: DataFrame, terms: DataFrame, embedder: Embedder, verifier:
     return out if done is None else out.unionByName(done)
 
 
+def map_with_memo(forms: DataFrame, terms: DataFrame, embedder: Embedder, verifier: Verifier, memo: SnapshotTable, normalizer: Normalizer = keep_as_is, model: str = "default", k: int = S.CANDIDATES) -> DataFrame:
+    """map_forms() with a memo that lasts from run to run; rows and `from_memo`, whether no call was needed.
+
+    memo: a table with the keys raw_trait and model, which is read first and
+    gets the clean results of what wasn't in it. Another model's answers don't
+    count. What failed isn't kept, so it is tried again.
+    """
+    known = memo.read().where(F.col("model") == model).drop("model") if memo.versions() else None
+    out = settled(map_forms(forms, terms, embedder, verifier, normalizer, known, k))
+    if known is None:
+        held = out.withColumn("from_memo", F.lit(False))
+    else:
+        held = out.join(known.select("raw_trait", F.lit(True).alias("from_memo")), "raw_trait", "left").withColumn("from_memo", F.coalesce("from_memo", F.lit(False)))
+    memo.upsert(held.where("clean and not from_memo").drop("clean", "from_memo").withColumn("model", F.lit(model)))
+    return held
+
+
 def cache_after(cache: DataFrame, mapped: DataFrame) -> DataFrame:
     """The cache with all clean results, the latest of each form."""
     return keep_latest(cache, mapped.where("clean").drop("clean"), ["raw_trait"])

@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import extract, graph, mapping, tiers, vectors
 from ..places import fresh_path
 from ..sources import fetch, readers, terms, writers
+from ..sources.snapshots import SnapshotTable
 from ..streaming import incremental
 from . import bindings as B
 from . import context, runs
@@ -220,7 +221,7 @@ def index_rows(spark, d):
     before = readers.index_is_fresh(spark, path)
     p = B.load(spark, d, "part")
     empty = F.array().cast("array<string>")
-    writers.replace_table(p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.lit("GO").alias("ontology"), empty.alias("synonyms"), F.lit("").alias("definition"), empty.alias("parents"), F.col("p_name").alias("rich_text"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding")), path)
+    p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.lit("GO").alias("ontology"), empty.alias("synonyms"), F.lit("").alias("definition"), empty.alias("parents"), F.col("p_name").alias("rich_text"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding")).write.parquet(path)
     return readers.term_index(spark, path).select(F.col("id").cast("long").alias("id"), F.lit(readers.index_is_fresh(spark, path)).alias("fresh"), F.lit(before).alias("fresh_before"))
 
 
@@ -296,8 +297,8 @@ def pushed_graph(spark, d):
     edges = li.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
     writers.push_graph({"term": nodes}, {"maps": edges}, root)
     writers.push_graph({"term": nodes.where("id % 3 = 0").withColumn("name", F.lit("new"))}, {"maps": edges.where("src % 2 = 0")}, root)
-    t = spark.read.parquet(f"{root}/nodes/term").select(F.lit("term").alias("kind"), F.col("id").cast("string").alias("a"), F.col("name").alias("b"))
-    return t.union(spark.read.parquet(f"{root}/edges/maps").select(F.lit("edge"), F.col("src").cast("string"), F.col("dst").cast("string")))
+    t = writers.read(spark, f"{root}/nodes/term").select(F.lit("term").alias("kind"), F.col("id").cast("string").alias("a"), F.col("name").alias("b"))
+    return t.union(writers.read(spark, f"{root}/edges/maps").select(F.lit("edge"), F.col("src").cast("string"), F.col("dst").cast("string")))
 
 
 @query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 3 THEN p_name ELSE 'new' END AS name FROM part WHERE p_partkey % 4 <> 3 OR p_partkey % 8 = 3")
@@ -313,9 +314,25 @@ def filled_names(spark, d):
 def cleared_run(spark, d):
     """K6: a stored table without the rows of a run."""
     path = fresh_path(spark, "tagged")
-    writers.replace_table(B.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("run_id")), path)
+    writers.upsert(B.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("run_id")), path, ["id"])
     writers.clear_run(spark, path, "1-URGENT")
-    return spark.read.parquet(path)
+    return writers.read(spark, path)
+
+
+@query("""
+SELECT 1 AS version, o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey % 5 <> 1
+UNION ALL SELECT 2, o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'late' ELSE o_orderstatus END FROM orders
+UNION ALL SELECT 3, o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'late' ELSE o_orderstatus END FROM orders WHERE NOT (o_orderkey % 5 = 2)
+""")
+def table_snapshots(spark, d):
+    """K2, K5, K6: all snapshots of a table: as first written, after an upsert, after a deletion."""
+    o = B.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    table = SnapshotTable(spark, fresh_path(spark, "snapshots"), ["id"])
+    table.upsert(o.where("id % 5 <> 1"))
+    table.upsert(o.where("id % 5 in (0, 1)").withColumn("status", F.lit("late")))
+    table.delete(F.col("id") % 5 == 2)
+    first, second, third = (table.read(k).select(F.lit(k).alias("version"), "id", "status") for k in table.versions())
+    return first.union(second).union(third)
 
 
 @query("""
@@ -802,3 +819,46 @@ def stage_stats(spark, d):
     rows, seen = runs.stage_stats(B.load(spark, d, "lineitem").select("l_returnflag"), "stage", F.col("l_returnflag") == "R")
     rows.write.format("noop").mode("overwrite").save()
     return spark.createDataFrame([(seen.get["seen"], seen.get["triggered"], seen.get["trigger_rate"])], "seen long, triggered long, trigger_rate double")
+
+
+def _letters(texts):
+    """How often each letter from a to z is in a text: a vector that SQL can state."""
+    return [[t.lower().count(chr(97 + k)) for k in range(26)] for t in texts]
+
+
+def _by_score(trait, candidates):
+    """A verifier by steps of the score; of parents, which have none, by the form's length."""
+    top = candidates[0]
+    s = top["cosine_score"]
+    if s is None or s != s:
+        return {"confidence": "medium" if len(trait) % 2 == 0 else "low", "term_id": top["id"]}
+    return {"confidence": "high" if s >= 0.85 else "medium" if s >= 0.78 else "low", "term_id": top["id"]}
+
+
+@query("""
+WITH forms AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS f, ascii(p_name) % 2 = 0 AS first FROM part),
+words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part),
+terms AS (SELECT DISTINCT 'HP:' || p_name AS id, p_name AS name, 'HP:~' || split_part(p_name, ' ', 1) AS parent FROM part UNION ALL SELECT 'HP:~' || w, w, NULL FROM words),
+fv AS (SELECT f, first, list_transform(range(26), lambda k: CAST(length(f) - length(replace(f, chr(CAST(97 + k AS INT)), '')) AS DOUBLE)) AS v FROM forms),
+tv AS (SELECT *, list_transform(range(26), lambda k: CAST(length(name) - length(replace(name, chr(CAST(97 + k AS INT)), '')) AS DOUBLE)) AS v FROM terms),
+top AS (SELECT * FROM (
+  SELECT f, first, id, parent, round(list_inner_product(fv.v, tv.v) / ((sqrt(list_inner_product(fv.v, fv.v)) + 1e-10) * (sqrt(list_inner_product(tv.v, tv.v)) + 1e-10)), 6) AS s,
+         row_number() OVER (PARTITION BY f ORDER BY round(list_inner_product(fv.v, tv.v) / ((sqrt(list_inner_product(fv.v, fv.v)) + 1e-10) * (sqrt(list_inner_product(tv.v, tv.v)) + 1e-10)), 6) DESC, id) AS r FROM fv, tv) WHERE r = 1),
+judged AS (
+  SELECT f, first, s, CASE WHEN s >= 0.78 THEN id WHEN s >= 0.5 AND parent IS NOT NULL AND length(f) % 2 = 0 THEN parent END AS term_id,
+         CASE WHEN s >= 0.85 THEN 'high' WHEN s >= 0.78 THEN 'medium' WHEN s >= 0.5 AND parent IS NOT NULL AND length(f) % 2 = 0 THEN 'medium' ELSE 'no_match' END AS confidence FROM top)
+SELECT run, f AS raw_trait, term_id, confidence, CASE WHEN s >= 0.78 THEN s END AS cosine_score, s < 0.78 AND term_id IS NOT NULL AS broadened, run = 2 AND first AS from_memo
+FROM judged, (SELECT unnest([1, 2]) AS run) WHERE run = 2 OR first
+""")
+def mapped_twice(spark, d):
+    """Forms mapped in two runs with one memo: the second needs calls only for forms that the first didn't have."""
+    p = B.load(spark, d, "part")
+    forms = p.select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("raw_trait"), (F.ascii("p_name") % 2 == 0).alias("first")).distinct()
+    words = F.split("p_name", " ")
+    of = lambda w: F.concat(F.lit("HP:~"), w)
+    named = p.select(F.concat(F.lit("HP:"), "p_name").alias("id"), F.col("p_name").alias("name"), F.transform(words, of).alias("parents")).distinct()
+    single = p.select(F.explode(words).alias("name")).distinct().select(of(F.col("name")).alias("id"), "name", F.array().cast("array<string>").alias("parents"))
+    terms = graph.settled(extract.embedded(named.union(single), "name", _letters, "embedding"))
+    memo = SnapshotTable(spark, fresh_path(spark, "memo"), ["raw_trait", "model"])
+    runs = [mapping.map_with_memo(f, terms, _letters, _by_score, memo).withColumn("run", F.lit(k)) for k, f in ((1, forms.where("first")), (2, forms))]
+    return runs[0].unionByName(runs[1]).select("run", "raw_trait", "term_id", "confidence", "cosine_score", "broadened", "from_memo")

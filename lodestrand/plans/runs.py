@@ -36,8 +36,8 @@ def planned_runs(n: int, root: str, at: datetime, skip_after_first: bool = True)
 
 def reused_traits(spark: SparkSession, path: str, make, reuse: bool = True) -> DataFrame:
     """I8: traits (specie, trait) of an earlier run's file if there is one and it may be used, else what make() gives, which is written there."""
-    if not (reuse and writers.exists(spark, path)):
-        writers.replace_table(make().select("specie", "trait"), path)
+    if not (reuse and writers.exists(spark, f"{path}/_SUCCESS")):  # written to its end
+        make().select("specie", "trait").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -26,13 +26,16 @@ class ChangedMeanwhile(RuntimeError):
 
 
 class SnapshotTable:
-    """The table at a path; buckets is kept from its first write on."""
+    """The table at a path. keys and buckets are kept from its first write on, so that only that needs them."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 16):
-        self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), keys, buckets
+    def __init__(self, spark: SparkSession, path: str, keys: list[str] | None = None, buckets: int = 16):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
         self._fs, self._jvm, self._conf = self._path().getFileSystem(conf), jvm, conf
+        self.keys = self.snapshot().get("keys") or keys
+        if not self.keys:
+            raise ValueError("a new table needs keys")
 
     # snapshots
     def versions(self) -> list[int]:
@@ -44,11 +47,11 @@ class SnapshotTable:
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
 
     def snapshot(self, version: int | None = None) -> dict:
-        """A snapshot: version, schema, buckets (how many), folders (of each bucket that has rows). Version 0 is the empty table."""
+        """A snapshot: version, schema, keys, buckets (how many), folders (of each bucket that has rows). Version 0 is the empty table."""
         if version is None:
             version = max(self.versions(), default=0)
         if not version:
-            return {"version": 0, "schema": None, "buckets": self.buckets, "folders": {}}
+            return {"version": 0, "schema": None, "keys": None, "buckets": self.buckets, "folders": {}}
         stream = self._fs.open(self._path("snapshots", f"{version:012d}.json"))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -56,7 +59,7 @@ class SnapshotTable:
             stream.close()
 
     def _commit(self, old: dict, schema: T.StructType, folders: dict[str, str]) -> int:
-        new = {"version": old["version"] + 1, "schema": schema.jsonValue(), "buckets": old["buckets"], "folders": folders}
+        new = {"version": old["version"] + 1, "schema": schema.jsonValue(), "keys": self.keys, "buckets": old["buckets"], "folders": folders}
         side = self._path("snapshots", f"_{uuid.uuid4().hex}")
         out = self._fs.create(side, False)
         out.write(bytearray(json.dumps(new).encode()))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import keep_latest, without_run
+from .snapshots import SnapshotTable
 
 
 def _fs(spark: SparkSession, path: str):
@@ -20,25 +18,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """K8: writes beside the table and then swaps the folders, so that a reader never sees half of one.
-
-    The swap is two renames; a reader between them finds no table, and after a
-    crash there the old one lies beside it under a name that ends in `.old`.
-    """
-    spark = df.sparkSession
-    side = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    w = df.write
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(side)
-    fs, p = _fs(spark, path)
-    old = f"{side}.old"
-    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    if fs.exists(p):
-        fs.rename(p, Path(old))
-    fs.rename(Path(side), p)
-    fs.delete(Path(old), True)
-
-
 def append(df: DataFrame, path: str) -> None:
     """K1: the store's retry is Spark's own retry of tasks."""
     df.write.mode("append").parquet(path)
@@ -46,8 +25,12 @@ def append(df: DataFrame, path: str) -> None:
 
 def upsert(new: DataFrame, path: str, keys: list[str]) -> None:
     """A table with the latest row of every key."""
-    spark = new.sparkSession
-    replace_table(keep_latest(spark.read.parquet(path), new, keys) if exists(spark, path) else keep_latest(new.limit(0), new, keys), path)
+    SnapshotTable(new.sparkSession, path, keys).upsert(new)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """What upsert() and clear_run() have made: the latest snapshot, whatever is written meanwhile."""
+    return SnapshotTable(spark, path).read()
 
 
 def push_graph(nodes: dict[str, DataFrame], edges: dict[str, DataFrame], root: str) -> None:
@@ -60,7 +43,7 @@ def push_graph(nodes: dict[str, DataFrame], edges: dict[str, DataFrame], root: s
 
 def clear_run(spark: SparkSession, path: str, run_id: str) -> None:
     """K6: all rows but those of a run."""
-    replace_table(without_run(spark.read.parquet(path), run_id), path)
+    SnapshotTable(spark, path).delete(F.col("run_id") == run_id)
 
 
 def json_lines(df: DataFrame, path: str) -> None:
@@ -90,7 +73,7 @@ def attr(c: str) -> Column:
 
 
 def graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """K7: a GraphML file, one part per partition between a head and a tail; of edges with equal ends the last by kind stays.
+    """K7: a GraphML file in one part, as the format asks for; of edges with equal ends the last by kind stays.
 
     nodes: (id, label); edges: (src, dst, kind).
     """

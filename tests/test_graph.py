@@ -176,3 +176,35 @@ def test_components_of_cycles(spark):  # H3
     rows = df(spark, "c string, p string", ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("x", "a"), ("f", "g"))
     got = {r.term: r.component for r in reach.cycle_components(rows).collect()}
     assert {t: {u for u in got if got[u] == got[t]} for t in got} == {**dict.fromkeys("abc", {"a", "b", "c"}), **dict.fromkeys("de", {"d", "e"})}
+
+
+def test_memo_spares_calls(spark, tmp_path):  # I4, K10
+    from lodestrand.sources.snapshots import SnapshotTable
+
+    terms = df(spark, "id string, name string, parents array<string>, embedding array<float>", ("HP:1", "term", [], [1.0, 0.0]))
+    embed = lambda texts: [[0.8, 0.6]] * len(texts)
+    memo = SnapshotTable(spark, str(tmp_path / "memo"), ["raw_trait", "model"])
+    forms = df(spark, "raw_trait string", ("a",), ("b",), ("b",), (None,))
+
+    def broken(trait, candidates):
+        if trait == "b":
+            raise RuntimeError("no server")
+        return {"confidence": "high", "term_id": "HP:1"}
+
+    got = lambda out: {r.raw_trait: (r.confidence, r.from_memo) for r in out.collect()}
+    assert got(mapping.map_with_memo(forms, terms, embed, broken, memo)) == {"a": ("high", False), "b": ("no_match", False)}
+
+    def once(trait, candidates):
+        if trait == "a":
+            raise RuntimeError("asked again")
+        return {"confidence": "medium", "term_id": "HP:1"}
+
+    # what failed is asked again, what is known isn't
+    assert got(mapping.map_with_memo(forms, terms, embed, once, memo)) == {"a": ("high", True), "b": ("medium", False)}
+
+    def none(trait, candidates):
+        raise RuntimeError("no calls")
+
+    assert got(mapping.map_with_memo(forms, terms, embed, none, memo)) == {"a": ("high", True), "b": ("medium", True)}
+    assert got(mapping.map_with_memo(forms, terms, embed, none, memo, model="other"))["a"] == ("no_match", False)
+    assert memo.read().count() == 2
