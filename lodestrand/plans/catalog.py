@@ -414,12 +414,12 @@ def entity_ids(spark, d):
 
 @query("""
 SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'doi:' || lower('10.1/' || upper(lang) || doc_id) WHEN doc_id % 4 = 1 THEN 'oa:W' || doc_id
-  WHEN doc_id % 4 = 2 THEN 'title:' || sha256(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) END AS canonical_id FROM documents
+  WHEN doc_id % 4 = 2 THEN 'title:' || sha256(regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) END AS canonical_id FROM documents
 """)
 def canonical_doc_id(spark, d):
     k = F.col("doc_id") % 4
     doi, oa = F.when(k == 0, F.concat(F.lit("10.1/"), F.upper("lang"), "doc_id")).otherwise(""), F.when(k == 1, F.concat(F.lit("W"), "doc_id"))
-    return B.documents(spark, d).select("doc_id", T.canonical_doc_id(doi, oa, F.when(k == 2, F.substring("text", 1, 60))).alias("canonical_id"))
+    return B.documents(spark, d).select("doc_id", T.canonical_doc_id(doi, oa, F.when(k == 2, F.col("text"))).alias("canonical_id"))
 
 
 @query("SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 200")
@@ -473,6 +473,55 @@ def chunk_cap(spark, d):
     return chunking.capped(rows, ["source"], 0.05).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
+_STRIPPED = """
+SELECT doc_id, regexp_replace(text, '(?is)\\n\\s*(References|Bibliography|Literature\\s+Cited|Works\\s+Cited|Acknowledgements?)\\s*\\n.*', '') AS t FROM documents
+"""
+
+
+def _split_sql(size: int = 1000, overlap: int = 200) -> str:
+    """F5 over base (doc_id, t): chunked (doc_id, place, n, content).
+
+    Texts are cut at the coarsest separator; pieces that are too long are the
+    next level's texts. Runs of short pieces are folded by their lengths.
+    """
+    seps = [r"chr(10) || chr(10)", "chr(10)", "' '"]
+    out = ["n0 AS (SELECT doc_id, [0] AS place, t, 0 AS finest FROM base WHERE t <> '')"]
+    for k in range(4):
+        which = " ".join(f"WHEN finest <= {i} AND contains(t, {s}) THEN {i}" for i, s in enumerate(seps))
+        cut = " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(seps))
+        out.append(f"w{k} AS (SELECT *, CASE {which} ELSE 3 END AS lvl FROM n{k}), c{k} AS (SELECT *, CASE lvl {cut} END AS sep FROM w{k} WHERE lvl < 3)")
+        out.append(f"u{k} AS (SELECT doc_id, place, lvl, sep, unnest(string_split(t, sep)) AS p, unnest(range(1, len(string_split(t, sep)) + 1)) AS i FROM c{k})")
+        out.append(f"p{k} AS (SELECT doc_id, place, lvl, i, CASE WHEN i = 1 THEN p ELSE sep || p END AS p FROM u{k} WHERE i > 1 OR p <> '')")
+        out.append(f"r{k} AS (SELECT *, count(*) FILTER (WHERE length(p) > {size}) OVER (PARTITION BY doc_id, place ORDER BY i) AS run FROM p{k})")
+        out.append(f"n{k + 1} AS (SELECT doc_id, list_append(place, i) AS place, p AS t, lvl + 1 AS finest FROM r{k} WHERE length(p) > {size})")
+    length = f"SELECT *, CAST(sum(length(p)) OVER (PARTITION BY doc_id, place, run ORDER BY i) AS BIGINT) AS c FROM r{{k}} WHERE length(p) <= {size}"
+    runs = " UNION ALL ".join(f"SELECT doc_id, list_append(place, min(i)) AS place, list(p ORDER BY i) AS ps, list(length(p) ORDER BY i) AS ls, list_prepend(CAST(0 AS BIGINT), list(c ORDER BY i)) AS cs FROM ({length.format(k=k)}) GROUP BY doc_id, place, run" for k in range(4))
+    chars = " UNION ALL ".join(f"SELECT doc_id, place, t FROM w{k} WHERE lvl = 3" for k in range(4))
+    out.append(f"runs AS MATERIALIZED ({runs})")
+    upto = lambda x: f"len(list_filter(cs, lambda v: v <= {x})) - 1"
+    keep = f"CASE WHEN ls[j + 1] < {size} THEN least({overlap}, {size} - ls[j + 1]) ELSE 0 END"
+    out.append(f"""fold AS (
+      SELECT doc_id, place, 1 AS n, CAST(0 AS BIGINT) AS i, CAST({upto(size)} AS BIGINT) AS j FROM runs
+      UNION ALL SELECT doc_id, place, n + 1, k, CAST({upto(f'cs[k + 1] + {size}')} AS BIGINT) FROM (
+        SELECT f.doc_id, f.place, n, cs, CAST(len(list_filter(cs, lambda v: v < cs[j + 1] - ({keep}))) AS BIGINT) AS k FROM fold f JOIN runs r ON f.doc_id = r.doc_id AND f.place = r.place WHERE j < len(ls)))""")
+    out.append(f"""chunked AS (
+      SELECT f.doc_id, f.place, n, array_to_string(ps[i + 1 : j], '') AS content FROM fold f JOIN runs r ON f.doc_id = r.doc_id AND f.place = r.place
+      UNION ALL SELECT doc_id, place, s + 1, substr(t, CAST(1 + s * {size - overlap} AS INT), {size}) FROM (
+        SELECT *, unnest(range(CAST(greatest(1, 1 + ceil((length(t) - {size}) / {size - overlap}.0)) AS BIGINT))) AS s FROM ({chars})))""")
+    return ", ".join(out)
+
+
+@query("WITH RECURSIVE base AS (" + _STRIPPED + "), " + _split_sql() + """
+, kept AS (SELECT doc_id, place, n, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS content FROM chunked WHERE length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) >= 80)
+SELECT lang AS species_norm, CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, n) - 1 AS INT) AS chunk_index, length(content) AS n_chars, md5(content) AS digest
+FROM kept JOIN documents USING (doc_id)
+""")
+def split_chunks(spark, d):
+    """Documents to numbered chunks, whole."""
+    out = chunking.chunk_documents(B.documents(spark, d), "lang", "source", "doc_id")
+    return out.select("species_norm", "doc_id", "chunk_index", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("digest"))
+
+
 @query()
 def splitter(spark, d):
     out = chunking.chunk_documents(B.documents(spark, d), "lang", "source", "doc_id", cap=0.4, drop_junk=True)

@@ -119,6 +119,22 @@ def test_splitter_against_a_plain_version():
         text = "".join(rnd.choice(["ab", " ", "\n", "\n\n", "c", "longword" * 3]) for _ in range(rnd.randint(0, 80)))
         assert chunking.split_text(text, 30, 8) == plain_split(text, 30, 8, chunking.SEPARATORS)
     assert len(chunking.split_text("x" * 300_000)) == 375
+    for size, overlap in ((1, 0), (3, 5), (7, 6)):
+        for _ in range(60):
+            text = "".join(rnd.choice(["a", "bc", " ", "\n", "\n\n"]) for _ in range(rnd.randint(0, 30)))
+            assert chunking.split_text(text, size, overlap) == plain_split(text, size, overlap, chunking.SEPARATORS)
+
+
+def test_long_text_is_split_in_little_memory():
+    """10 MB of short words: places of pieces are held, not the pieces."""
+    import tracemalloc
+
+    text = "word " * 2_000_000
+    tracemalloc.start()
+    n = sum(1 for _ in chunking.split_spans(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 12_500 and peak < 100 << 20
 
 
 def test_flat_retrieval_against_a_plain_version(spark):
