@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analysis, chunking, extract, graph, mapping, reach, tiers, vectors
+from ..places import fresh_path
 from ..sources import readers
 from ..streaming import incremental
 from . import bindings as B
@@ -708,6 +709,21 @@ def run_status(spark, d):
     return incremental.run_status(rows, rows.where("chunk_id % 5 = 0").select("chunk_id"))
 
 
+@query(f"""
+WITH j AS (SELECT doc_id, CAST(s1 AS INT) + CAST(s2 AS INT) + CAST(s3 AS INT) + CAST(s4 AS INT) + CAST(s5 AS INT) >= 2 AS junk FROM ({_JUNK})),
+r AS (SELECT junk, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents JOIN j USING (doc_id))
+SELECT CASE WHEN k > 1 THEN 'skipped' WHEN junk THEN 'junk' ELSE 'indexed' END AS status, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY 1
+""")
+def stream_status(spark, d):
+    """I1, A18 as a stream: chunks with equal texts have one id, so that copies are known when they come; the stream is started again on its checkpoint and finds nothing new."""
+    table, checkpoint = fresh_path(spark, "states"), fresh_path(spark, "checkpoint")
+    schema = B.load(spark, d, "documents").schema
+    for _ in range(2):
+        docs = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]")  # a pattern: the table may be one file
+        incremental.index_stream(docs.select(F.md5("text").alias("chunk_id"), F.col("text").alias("content")), table, checkpoint).awaitTermination()
+    return incremental.status_counts(spark.read.schema("chunk_id string, status string, n long").parquet(table))
+
+
 @query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1, 2")
 def json_props(spark, d):
     return B.load(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").alias("k")).groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"))

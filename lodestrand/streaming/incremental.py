@@ -6,11 +6,13 @@ match counts as known. Streams do the same with a checkpoint.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources import writers
 
 
 def not_indexed(chunks: DataFrame, indexed: DataFrame, force: bool = False) -> DataFrame:
@@ -36,17 +38,56 @@ def run_status(chunks: DataFrame, indexed: DataFrame, text: str = "content") ->
     return chunks.join(known, "chunk_id", "left").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def index_stream(chunks: DataFrame, table: str, checkpoint: str):
-    """I1 over a stream of chunks: every chunk_id once, across restarts and files that come twice."""
-
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        new = df.dropDuplicates(["chunk_id"])
-        if writers.exists(spark, table):
-            new = not_indexed(new, spark.read.parquet(table))
-        writers.append(new, table)
-
-    return chunks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def index_states(chunks: DataFrame, text: str = "content", call: Callable[[str], object] | None = None, attempts: int = 2) -> DataFrame:
+    """I1, I2, I3, A18 as a stateful stream: (chunk_id, status, n) for every change of a chunk's state.
+
+    chunks: a stream of (chunk_id, text). The first of a chunk_id is `junk`, or
+    `indexed` when the call on its text succeeds; what comes again, also in
+    later files or after a restart, is `skipped`. A call that fails is noted as
+    `retry` and made again when the chunk comes again; after so many attempts
+    the chunk is `failed` and not tried any more. State lies in the checkpoint,
+    a few bytes for each chunk. A null text is like an empty one, which is junk.
+    """
+
+    def step(key, frames, state):
+        done, tries = state.get if state.exists else (False, 0)
+        counts = {}
+
+        def add(status):
+            counts[status] = counts.get(status, 0) + 1
+
+        for f in frames:
+            for junk, whole in zip(f["junk"], f["text"]):
+                if done:
+                    add("skipped")
+                elif junk:
+                    done = True
+                    add("junk")
+                else:
+                    try:
+                        if call is not None:
+                            call(whole)
+                        done = True
+                        add("indexed")
+                    except Exception:  # noqa: BLE001  a call can fail in any way
+                        tries += 1
+                        done = tries >= attempts
+                        add("failed" if done else "retry")
+        state.update((done, tries))
+        yield pd.DataFrame([(key[0], s, n) for s, n in counts.items()], columns=["chunk_id", "status", "n"])
+
+    rows = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("junk", T.is_junk_chunk("text"))
+    return rows.groupBy("chunk_id").applyInPandasWithState(step, "chunk_id string, status string, n long", "done boolean, tries int", "append", "NoTimeout")
+
+
+def index_stream(chunks: DataFrame, table: str, checkpoint: str, **settings):
+    """I1 over a stream of chunks: index_states(), appended to a table by Spark's own sink, each change once across restarts and files that come twice. No batch reads what earlier ones wrote."""
+    return index_states(chunks, **settings).writeStream.format("parquet").outputMode("append").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def status_counts(states: DataFrame) -> DataFrame:
+    """How many chunks came to each status, from the table of index_stream()."""
+    return states.groupBy("status").agg(F.sum("n").alias("n"))
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -147,13 +147,40 @@ def test_sinks(spark, tmp_path):  # K2, K6, K7, K11
     assert len(doc.getElementsByTagName("edge")) == 1 and doc.getElementsByTagName("node")[0].getAttribute("id") == "n<1"
 
 
-def test_index_stream(spark, tmp_path):  # I1
+def test_index_stream(spark, tmp_path):  # I1, A18
     src, table, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
-    one = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "chunk_id string, content string")
-    for batch in (one, one.union(spark.createDataFrame([("c", "z")], one.schema))):
-        batch.write.mode("append").parquet(src)
-        incremental.index_stream(spark.readStream.schema(one.schema).parquet(src), table, ck).awaitTermination()
-    assert sorted(r.chunk_id for r in spark.read.parquet(table).collect()) == ["a", "b", "c"]
+    text = "A mole digs. It lives under the old garden wall, and it sleeps there all winter long! Then it wakes up? Yes, in spring it does."
+    one = spark.createDataFrame([("a", text), ("a", text), ("b", text), ("j", "Fig. 1"), ("n", None)], "chunk_id string, content string")
+
+    def run(**kw):
+        incremental.index_stream(spark.readStream.schema(one.schema).parquet(src), table, ck, **kw).awaitTermination()
+        return {r.status: r.n for r in incremental.status_counts(spark.read.parquet(table)).collect()}
+
+    one.coalesce(1).write.mode("append").parquet(src)
+    assert run() == {"indexed": 2, "skipped": 1, "junk": 2}
+    # a restart on its checkpoint knows what was indexed
+    one.union(spark.createDataFrame([("c", text)], one.schema)).coalesce(1).write.mode("append").parquet(src)
+    assert run() == {"indexed": 3, "skipped": 6, "junk": 2}
+    assert run() == {"indexed": 3, "skipped": 6, "junk": 2}
+
+
+def test_index_stream_tries_again(spark, tmp_path):  # I3
+    src, table, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    text = " A mole digs. It lives under the old garden wall, and it sleeps there all winter long! Then it wakes up? Yes, in spring it does."
+    rows = spark.createDataFrame([(k, k + text) for k in ("bad", "worse", "good")], "chunk_id string, content string")
+
+    def run(*bad):
+        def call(t):
+            if t.startswith(bad):
+                raise RuntimeError("no server")
+
+        rows.coalesce(1).write.mode("append").parquet(src)
+        incremental.index_stream(spark.readStream.schema(rows.schema).parquet(src), table, ck, call=call).awaitTermination()
+        return {(r.chunk_id, r.status): r.n for r in spark.read.parquet(table).groupBy("chunk_id", "status").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+
+    first = run("bad", "worse")
+    assert first == {("bad", "retry"): 1, ("worse", "retry"): 1, ("good", "indexed"): 1}
+    assert run("worse") == first | {("bad", "indexed"): 1, ("worse", "failed"): 1, ("good", "skipped"): 1}
 
 
 def test_flags(spark):  # I3
