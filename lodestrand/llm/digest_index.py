@@ -108,7 +108,7 @@ def keep_rows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
     The rows are found by (doc_id, digest), so that copies of one text don't
     meet in one task with their texts. Rows that repeat doc_id and text are
-    reduced to one; a row without a doc_id stays if no row with one has its
+    reduced to one, the first by its JSON; a row without a doc_id stays if no row with one has its
     text. Columns of any name pass through.
     """
     digests = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), _batch("doc_id", batches)), "digests")
@@ -120,7 +120,8 @@ def keep_rows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     held = held.withColumn("key", F.struct(F.coalesce("key.id", F.lit(-1)).alias("id"), F.col("key.id").isNull().alias("none"), F.col("key.digest").alias("digest")))
     held = held.join(keep, "key", "left_semi")
     if digests.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
-        held = held.groupBy("key").agg(F.first("row").alias("row"))
+        # the same one however often a task is done again
+        held = held.groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return held.select("row.*")
 
 
