@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analysis, chunking, extract, graph, mapping, reach, tiers, vectors
 from ..places import fresh_path
+from ..schemas import GENERIC_TERMS
 from ..sources import readers
 from ..streaming import incremental
 from . import bindings as B
@@ -76,6 +77,22 @@ def tier1_fallback_rank(spark, d):
     return tiers.tier1_fallback(_candidates(spark, d))
 
 
+@query(f"""
+, up AS (
+  SELECT DISTINCT term_id, term_id AS ancestor FROM mapped
+  UNION SELECT child_id, CASE parent_id WHEN 'ROOT' THEN 'HP:0000118' WHEN 'STANDARD' THEN 'GO:0008150' WHEN 'SMALL' THEN 'HP:0000119' ELSE parent_id END FROM is_a)
+SELECT ancestor AS term_id, count(DISTINCT s.species_norm) AS n_species, count(DISTINCT surface_form) AS n_forms
+FROM mapped JOIN up USING (term_id) JOIN species_of s USING (entity_id) JOIN entities USING (entity_id)
+WHERE ancestor NOT IN ({', '.join(f"'{t}'" for t in GENERIC_TERMS)}) GROUP BY ancestor HAVING count(DISTINCT s.species_norm) >= 12 AND count(DISTINCT surface_form) <= 200
+""", graph_tables=True)
+def tier1_without_roots(spark, d):
+    """Two of the hierarchy's ends have the ids of general roots and are left out; a third has an id beside theirs and stays."""
+    roots = F.create_map(*[F.lit(x) for pair in ((B.ROOT, "HP:0000118"), ("STANDARD", "GO:0008150"), ("SMALL", "HP:0000119")) for x in pair])
+    is_a = B.is_a(spark, d).select("child_id", F.coalesce(F.try_element_at(roots, F.col("parent_id")), F.col("parent_id")).alias("parent_id"))
+    rows = tiers.tier1_candidates(B.mentions(spark, d), B.chunks(spark, d), B.entities(spark, d), B.mapped(spark, d), is_a, _fan_in(spark, d), MIN_SPECIES)
+    return rows.select("term_id", "n_species", "n_forms")
+
+
 @query("""
 , up AS (SELECT DISTINCT term_id, term_id AS ancestor FROM mapped UNION SELECT child_id, parent_id FROM is_a),
 reach AS (SELECT DISTINCT entity_id, ancestor, surface_form FROM mapped JOIN up USING (term_id) JOIN entities USING (entity_id) WHERE ancestor <> 'ROOT')
