@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from lodestrand.llm import digest_index as di
 
 
@@ -34,7 +36,7 @@ def test_later_batches_meet_the_index(spark):
     """The anti-join drops what the index holds."""
     path_of = di.fresh_path(spark, "test-index")
     index = di.DigestIndex(spark, path_of, 4)
-    rows = spark.range(300).selectExpr("id as doc_id", "cast(id % 50 as string) as text").select("doc_id", di.text_digest().alias("digest"), di._batch("doc_id", 2))
+    rows = spark.range(300).selectExpr("id as doc_id", "cast(id % 50 as string) as text").select("doc_id", di.text_digest().alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("batch"))
     assert index.ingest(rows.where("batch = 0")).count() > 0 and index.ingest(rows.where("batch = 1")).count() < 50
     assert index.rows().count() == 50 and index.rows().where("group_size = 6").count() == 50
     index.close()
@@ -65,3 +67,23 @@ def test_persistent_index(spark, tmp_path):
     assert sorted((r.keep_id, r.group_size) for r in again.rows().collect()) == [(1, 1), (3, 2), (5, 2)]
     plan = again.rows()._jdf.queryExecution().executedPlan().toString()
     assert "bucket" in plan.lower()
+
+
+def test_the_anti_join_decides(spark, monkeypatch):
+    """Without it a digest of two batches has two rows; keep_id is that of the row that passed."""
+    rows = [(k, "abcdefgh"[k % 8]) for k in range(40)] + [(None, "a"), (None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.keep_id or -1, r.group_size) for r in di.exact_duplicates(df).collect()) == sorted([(-1, 1), *[(32, 6)] * 6, *[(32 + k, 5) for k in range(1, 8) for _ in range(5)]])
+    plain = type(df).join
+    monkeypatch.setattr(type(df), "join", lambda self, other, on=None, how=None: self if how == "left_anti" else plain(self, other, on, how))
+    assert di.exact_duplicates(df).count() > len(rows)
+
+
+def test_batches_fall(spark):
+    df = spark.createDataFrame([(k // 3,) for k in range(90)] + [(None,)] * 3, "doc_id long")
+    for batches in (1, 2, 5):
+        parts = [[r.doc_id for r in df.where(c).collect()] for c in di.falling(df, batches)]
+        assert len(parts) == batches and sum(map(len, parts)) == 93
+        known = [[i for i in p if i is not None] for p in parts]
+        assert all(min(a) > max(b) for a, b in zip(known, known[1:])) and None in parts[-1]
+    assert [c is not None for c in di.falling(df.limit(0), 2)] == [True]
