@@ -80,3 +80,56 @@ def test_query_against_enumeration(spark, tmp_path):
         score = float((mass / total * size).sum() / size.sum())
         r = got[k]
         assert abs(r.score - score) < 1e-6 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0)
+
+
+def odd_text(rng, n):
+    words = ["The", "mole", "mole", "$$", "x", "Y9", "é", "", ", ."]
+    return "".join(rng.choice(words) + rng.choice([" ", " ", "\n", "\t", "\r\n"]) for _ in range(n)).encode()
+
+
+def some_model(rng):
+    return lc.LineCrf(rng.normal(size=lc.FEATURES) * 0.1, rng.random(lc.FEATURES) + 0.5, rng.normal(size=lc.FEATURES) * 0.3, rng.normal(size=(2, 2)))
+
+
+def test_windows_equal_whole_texts():
+    """Windows may end anywhere, also in a line; a text's score is the same in windows, in a block and alone."""
+    rng = np.random.default_rng(5)
+    model = some_model(rng)
+    for _ in range(60):
+        texts = [odd_text(rng, int(n)) for n in rng.choice([0, 1, 3, 60], 4)]
+        f, size, bounds = lc.line_features(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        scores = model.scores(f, size, bounds)
+        for i, t in enumerate(texts):
+            b = np.frombuffer(t, np.uint8)
+            alone = model.scores(*lc.line_features(b, np.array([0, len(b)])))[0]
+            assert alone == scores[i]
+            for step in (1, 2, 7, 1000):
+                assert np.array_equal(np.concatenate([g for g, _ in lc.text_features(b, step)]), f[bounds[i] : bounds[i + 1]])
+                assert abs(model.text_score(b, step) - scores[i]) < 1e-9
+
+
+def test_memory_of_a_long_text():
+    """20 MB of short lines in one text: beyond the text, windows and twelve bytes for each line (and eight for each that is new)."""
+    import tracemalloc
+
+    model = some_model(np.random.default_rng(6))
+    for t in (b"ab cd ef\n" * 2_200_000, b"the mole digs " * 1_500_000, b"x" * 20_000_000):
+        b = np.frombuffer(t, np.uint8)
+        tracemalloc.start()
+        assert 0 <= model.text_score(b) <= 1
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 250 << 20
+
+
+def test_sample_of_lines(spark):
+    assert lc.level([1, 5, 9], 100) == 9 and lc.level([1, 5, 9], 11) == 5 and lc.level([1, 5, 9], 9) == 4 and lc.level([], 5) == 1
+    for n, most in ((5, 5), (100, 50), (100, 3), (10**7, 1000)):
+        parts = lc.chosen(n, most)
+        assert parts[0][0] == 0 and parts[-1][1] == (n if n <= most or most > 1 else 1) and sum(b - a for a, b in parts) <= max(most, n if n <= most else 0)
+        assert all(a[1] <= b[0] for a, b in zip(parts, parts[1:]))
+    good, bad = "The quick fox runs home, and it sleeps there.", "!!! $$$ ### !!! &&& %%%"
+    docs = spark.createDataFrame([(i, "\n".join([good if i % 2 else bad] * (1 + i % 40 * 20))) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    model = lc.train(docs, labels, max_lines=500)
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in lc.scored(docs, model).collect())
