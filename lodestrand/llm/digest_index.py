@@ -53,7 +53,9 @@ class DigestIndex:
         return self.spark.table(name)
 
     def _append(self, rows: DataFrame, name: str) -> None:
-        rows.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
+        # by the bucket's number, so that one task writes a bucket, however many partitions there are
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        rows.repartition(self.buckets, bucket).write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
 
     def rows(self) -> DataFrame:
         """(digest, keep_id, group_size) over all batches; the buckets spare a shuffle."""
