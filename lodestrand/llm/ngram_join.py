@@ -24,6 +24,10 @@ large groups of near copies with a number of pairs in proportion to their
 size; then all remaining candidates in different components are compared. Where
 many documents share a token, as copies of one text do that are not similar to
 each other, they meet by what sets them apart from one of them (around_pivots).
+Documents meet only if the bits of their sets, odd or even by SIGNATURE_WORDS
+words, differ in no more places than similar sets may differ in tokens
+(may_match). So a crowd without similar texts makes few pairs, though its
+members are still held against each other bit by bit.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ LEADER_ROUNDS = 2
 #: Documents that share a token above which they meet by their differences from one of them.
 LARGE_BUCKET = 8
 BLOCK_BYTES = 4 << 20
+#: 64-bit words of a set's signature. It tells sets of up to about a thousand tokens apart; sets of several thousands all pass.
+SIGNATURE_WORDS = 8
 #: Bits of the filter that tells which documents' sets are needed, for each of them and at most; others may pass it.
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 
@@ -79,6 +85,25 @@ def _list(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
 
 
+def signatures(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set SIGNATURE_WORDS numbers, of whose bits each says whether the set has an odd number of the tokens that fall on it."""
+    out = np.zeros((len(bounds) - 1, SIGNATURE_WORDS), np.int64)
+    if len(tokens):
+        h = mixed(tokens ^ U(0x2545F4914F6CDD1D))
+        word = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * SIGNATURE_WORDS + (h >> U(6) & U(0xFFFFFFFF)).astype(np.int64) % SIGNATURE_WORDS
+        by = np.argsort(word, kind="stable")
+        word, bit = word[by], (U(1) << (h & U(63)))[by]
+        start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        out.ravel()[word[start]] = np.bitwise_xor.reduceat(bit, start).view(np.int64)
+    return out
+
+
+def may_match(percent: int) -> Column:
+    """Whether sets of n_a and n_b tokens with signatures sig_a and sig_b can be similar: each bit that differs stands for a token, at least, that is in one of them only."""
+    bits = sum((F.bit_count(F.col(f"sig_a.s{k}").bitwiseXOR(F.col(f"sig_b.s{k}"))) for k in range(SIGNATURE_WORDS)), F.lit(0))
+    return bits * (100 + percent) <= (F.col("n_a").cast("long") + F.col("n_b")) * (100 - percent)
+
+
 def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     """How many first tokens of a set must hold one that a similar set shares."""
     return np.where(size > 0, size - (size * percent + 99) // 100 + 1, 0)
@@ -232,7 +257,7 @@ def prefixes(found: DataFrame, percent: int) -> DataFrame:
 
 
 def needed_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(doc_id, tokens) of the documents in ids.
+    """(doc_id, tokens, sig) of the documents in ids.
 
     A filter of bounded size spares most other documents' texts; those that
     pass it are dropped by the join with ids.
@@ -258,9 +283,12 @@ def needed_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 continue
             batch = batch.filter(pa.array(want))
             for i, j, b, offsets in _blocks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _list(*shingle_sets(b, offsets, n))], names=["doc_id", "tokens"])
+                sets = shingle_sets(b, offsets, n)
+                sig = pa.StructArray.from_arrays([pa.array(w) for w in signatures(*sets).T], names=words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _list(*sets), sig], names=["doc_id", "tokens", "sig"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").withColumn("bit", bit).mapInArrow(run, "doc_id long, tokens array<long>")
+    words = [f"s{k}" for k in range(SIGNATURE_WORDS)]
+    found = docs.select(F.col("doc_id").cast("long"), "text").withColumn("bit", bit).mapInArrow(run, f"doc_id long, tokens array<long>, sig struct<{','.join(w + ':long' for w in words)}>")
     return found.join(ids, "doc_id", "left_semi")
 
 
@@ -359,6 +387,8 @@ def _linked(docs: DataFrame, entries: DataFrame, n: int, percent: int) -> DataFr
     asked = staged(tokens.join(met, "token", "left_semi").select("doc_id").distinct(), "asked")
     sets = staged(needed_sets(docs, asked, n), "sets")
     removed(asked)
+    # a document that shares no token under the first order has no signature and is in no bucket
+    sigs = sets.select("doc_id", "sig")
 
     def merge(pairs: DataFrame) -> DataFrame:
         """Components after the links among the pairs."""
@@ -392,17 +422,17 @@ def _linked(docs: DataFrame, entries: DataFrame, n: int, percent: int) -> DataFr
     apart = staged(from_pivots(crowd, sets), "apart")
     close = F.col("nd") * (100 + percent) <= (F.col("n") + F.col("n_pivot")) * (100 - percent)
     comp = merge(apart.where(close & (F.col("pivot") != F.col("doc_id"))).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
-    rest = staged(tokens.join(open_.where(F.col("many") <= LARGE_BUCKET).select("token"), "token").join(comp, "doc_id"), "rest")
+    rest = staged(tokens.join(open_.where(F.col("many") <= LARGE_BUCKET).select("token"), "token").join(comp, "doc_id").join(sigs, "doc_id"), "rest")
     # a is the smaller set: as a similar one is no smaller, its own prefix is short
-    side = lambda x: [F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "comp")]]
+    side = lambda x: [F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "comp", "sig")]]
     x = rest.where(F.col("pos") <= F.col("n") - overlap("n", "n", percent)).select("token", *side("a"))
     y = rest.select("token", *side("b"))
     smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))
     near = _near_size("n_a", "n_b", percent) & _early("n_a", "pos_a", "n_b", "pos_b", percent)
-    few = x.join(y, "token").where(smaller & (F.col("comp_a") != F.col("comp_b")) & near).select("a", "b")
+    few = x.join(y, "token").where(smaller & (F.col("comp_a") != F.col("comp_b")) & near & may_match(percent)).select("a", "b")
     others = staged(differences(apart), "differences")
-    comp = merge(around_leaders(others, comp, percent).unionByName(few).distinct())
-    comp = merge(around_pivots(others, comp, percent).distinct())
+    comp = merge(around_leaders(others, comp, sigs, percent).unionByName(few).distinct())
+    comp = merge(around_pivots(others, comp, sigs, percent).distinct())
     removed(open_, crowd, apart, rest, others, sets)
     return comp.select(F.col("doc_id").alias("node"), F.col("comp").alias("label"))
 
@@ -430,7 +460,7 @@ def _met(rows: DataFrame, pairs: DataFrame, percent: int, on: list[str]) -> Data
     n, m, v, w = (F.col(c).cast("long") for c in ("n_a", "n_b", "nd_a", "nd_b"))
     o = F.greatest(F.lit(1), _needed(n, m, v, w, percent))
     near = _near_size("n_a", "n_b", percent) & (F.col("pos_a") <= F.col("nd_a") - o) & (F.col("pos_b") <= F.col("nd_b") - o)
-    return rows.join(pairs, on).where((F.col("comp_a") != F.col("comp_b")) & near)
+    return rows.join(pairs, on).where((F.col("comp_a") != F.col("comp_b")) & near & may_match(percent))
 
 
 def _needed(n: Column, m: Column, v: Column, w: Column, percent: int) -> Column:
@@ -439,19 +469,19 @@ def _needed(n: Column, m: Column, v: Column, w: Column, percent: int) -> Column:
 
 
 def _side(x: str) -> list[Column]:
-    return [F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "nd", "pos", "comp")]]
+    return [F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "nd", "pos", "comp", "sig")]]
 
 
-def around_leaders(others: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+def around_leaders(others: DataFrame, comp: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of documents with the first one that shares a token of their difference, one for each b."""
-    rows = others.join(comp, "doc_id")
-    first = rows.groupBy("pivot", "token").agg(F.min_by(F.struct("doc_id", "n", "nd", "pos", "comp"), F.struct(F.xxhash64("doc_id"), "doc_id")).alias("_l")).select("pivot", "token", "_l.*")
+    rows = others.join(comp, "doc_id").join(sigs, "doc_id")
+    first = rows.groupBy("pivot", "token").agg(F.min_by(F.struct("doc_id", "n", "nd", "pos", "comp", "sig"), F.struct(F.xxhash64("doc_id"), "doc_id")).alias("_l")).select("pivot", "token", "_l.*")
     met = _met(rows.select("pivot", "token", *_side("b")), first.select("pivot", "token", *_side("a")), percent, ["pivot", "token"])
     counts = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     return counts.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def around_pivots(others: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+def around_pivots(others: DataFrame, comp: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) among the documents of a pivot, in different components.
 
     Sets of x and y tokens are similar if at most s = (x + y) * (100 - percent)
@@ -463,7 +493,7 @@ def around_pivots(others: DataFrame, comp: DataFrame, percent: int) -> DataFrame
     w - o + 1. So documents that all share most of a text, but no more than
     that, do not meet: what counts is what they share beyond it.
     """
-    rows = others.join(comp, "doc_id")
+    rows = others.join(comp, "doc_id").join(sigs, "doc_id")
     # a has the smaller difference; the largest set that can be similar to one of n tokens has n * 100 / percent
     n, v = F.col("n").cast("long"), F.col("nd").cast("long")
     least = F.greatest(F.lit(1), _needed(n, F.floor(n * 100 / percent), v, v, percent))

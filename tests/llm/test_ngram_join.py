@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from lodestrand.llm import ngram_join as nj
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,3 +115,27 @@ def test_clashing_columns_and_long_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _c string, copies int")
     kept = nj.keep_one(df)
     assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2], rows[3]]
+
+
+def test_crowd_without_similar_texts_makes_few_pairs(spark, monkeypatch):
+    """The pipeline's near: texts that share most of a text and single edits, but are not similar, are told apart before they are paired."""
+    rnd, seen, in_all_orders = random.Random(3), [], nj.in_all_orders
+    monkeypatch.setattr(nj, "in_all_orders", lambda pairs, *rest: seen.append(pairs.count()) or in_all_orders(pairs, *rest))
+    rows = []
+    for i in range(150):
+        gone = set(rnd.sample(range(0, 200, 5), 8))
+        rows.append((i, " ".join(f"w{k}" for k in range(200) if k not in gone)))
+    check(spark, [*rows, (150, rows[7][1] + " z")], 5, 80)
+    assert sum(seen) < 5 * len(rows)
+
+
+def test_signatures_never_hide_similar_sets():
+    rnd = np.random.default_rng(2)
+    base = rnd.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: rnd.integers(1, 400)], rnd.integers(0, 1 << 63, rnd.integers(0, 60), dtype=np.uint64)])) for _ in range(40)] + [base[:0]]
+    sig = nj.signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)])).view(np.uint64)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            bits = int(np.bitwise_count(sig[i] ^ sig[j]).sum())
+            assert bits <= len(np.setxor1d(x, y)) and (i == j or len(x) + len(y) > 0)
+    assert not sig[-1].any() and sig[0].any()
