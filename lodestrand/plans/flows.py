@@ -6,6 +6,7 @@ table, into the shared folder.
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -21,10 +22,14 @@ from . import context, runs
 from .catalog import query
 
 
-def _file(df, name: str) -> str:
-    """df's one column as text in the shared folder."""
+#: Classes in one part of an OWL file, orders in one result file of a run, and rows of whose texts one task takes care; about so many.
+PART_CLASSES, FILE_ORDERS, TASK_TEXTS = 20_000, 40_000, 25_000
+
+
+def _file(df, name: str, rows: int = 0) -> str:
+    """df's one column as text in the shared folder, at most so many rows a file if that is given."""
     path = fresh_path(df.sparkSession, name)
-    df.write.text(path)
+    df.write.option("maxRecordsPerFile", rows).text(path)
     return path
 
 
@@ -208,8 +213,10 @@ def owl_terms(spark, d):
     other = F.concat(F.lit('<owl:Class rdf:about="'), iri(k), F.lit('"><rdfs:label>other</rdfs:label></owl:Class>'))
     # a file is one document
     head = '<rdf:RDF xmlns:rdf="r" xmlns:rdfs="s" xmlns:owl="o" xmlns:obo="b" xmlns:oboInOwl="i">'
-    whole = lambda c: p.agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list(c)), "\n"), F.lit("</rdf:RDF>")).alias("value"))
-    paths = [_file(whole(text), "first.owl"), fresh_path(spark, "missing.owl"), _file(whole(other), "second.owl")]
+    n = max(1, math.ceil(p.count() / PART_CLASSES))
+    part = F.pmod(F.xxhash64(k), F.lit(n)).alias("part")
+    whole = lambda c: p.groupBy(part).agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list(c)), "\n"), F.lit("</rdf:RDF>")).alias("value")).select("value")
+    paths = [_file(whole(text), "first.owl", 1), fresh_path(spark, "missing.owl"), _file(whole(other), "second.owl", 1)]
     out = terms.load_terms(spark, paths)
     return out.select("id", "ontology", "name", F.array_join("synonyms", "|").alias("synonyms"), "definition", F.array_join("parents", "|").alias("parents"), "rich_text")
 
