@@ -440,7 +440,9 @@ def validated_answers(spark, d):
     none = F.array().cast("array<struct<trait:string,sources:array<string>,confidence:string>>")
     full = F.to_json(F.struct(F.array(trait).alias("strict_common_traits"), none.alias("subgroup_common_traits"), none.alias("mechanism_hypotheses")))
     raw = F.when(F.col("p_partkey") % 4 == 0, F.to_json(F.struct(F.array(trait).alias("strict_common_traits")))).otherwise(F.concat(F.lit("```\n"), full, F.lit("```")))
-    out = p.select("p_partkey", readers.validated_synthesis(raw).alias("v"))
+    # a small table of keys makes many long texts
+    texts = p.repartition(max(1, math.ceil(p.count() / TASK_TEXTS))).select("p_partkey", raw.alias("raw"))
+    out = texts.select("p_partkey", readers.validated_synthesis("raw").alias("v"))
     traits = F.col("v.strict_common_traits")
     first = F.get(traits, F.lit(0))
     return out.select("p_partkey", F.when(F.col("v").isNotNull(), F.concat(F.coalesce(first["trait"], F.lit("")), F.lit("/"), F.coalesce(F.array_join(first["sources"], ","), F.lit("")))).alias("strict"), first["confidence"].alias("confidence"))
