@@ -211,7 +211,7 @@ def owl_terms(spark, d):
         F.when(k % 2 == 0, F.concat(F.lit('<obo:IAO_0000115 rdf:datatype="string">def &lt;'), k, F.lit("&gt;</obo:IAO_0000115>"))).otherwise(F.lit("")), F.lit("<rdfs:comment>comment</rdfs:comment><rdfs:label>"), "p_name", F.lit("</rdfs:label><rdfs:label>second</rdfs:label></owl:Class>"),
     )
     other = F.concat(F.lit('<owl:Class rdf:about="'), iri(k), F.lit('"><rdfs:label>other</rdfs:label></owl:Class>'))
-    # a file is one document
+    # each part of a file is a document of its own, so that no task holds a whole file
     head = '<rdf:RDF xmlns:rdf="r" xmlns:rdfs="s" xmlns:owl="o" xmlns:obo="b" xmlns:oboInOwl="i">'
     n = max(1, math.ceil(p.count() / PART_CLASSES))
     part = F.pmod(F.xxhash64(k), F.lit(n)).alias("part")
@@ -384,13 +384,14 @@ def _answers(spark, d):
     rows = B.lines(spark, d).join(B.load(spark, d, "part").select(F.col("p_partkey").alias("_k"), "p_name", "p_size"), F.col("l_partkey") == F.col("_k"))
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), F.col("p_size") % 8 + 1)
     name = F.when(F.col("p_size") % 11 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "p_name"))
-    item = F.struct("pos", F.struct(name.alias("text"), kind.alias("type")).alias("e"))
-    triple = F.struct("pos", F.struct((F.col("pos") - 1).cast("string").alias("subj_idx"), F.when(F.col("l_returnflag") == "A", "LIVES_IN").when(F.col("l_returnflag") == "N", "PART_OF").otherwise("EATS").alias("relation"), F.col("pos").cast("string").alias("obj_idx")).alias("t"))
-    one = rows.groupBy("l_orderkey", "species_norm").agg(F.array_sort(F.collect_list(item)).alias("e"), F.array_sort(F.collect_list(triple)).alias("t"))
-    body = F.to_json(F.struct(F.transform("e", lambda x: x["e"]).alias("entities"), F.transform("t", lambda x: x["t"]).alias("triples")))
+    item = F.struct(name.alias("text"), kind.alias("type")).alias("e")
+    triple = F.struct((F.col("pos") - 1).cast("string").alias("subj_idx"), F.when(F.col("l_returnflag") == "A", "LIVES_IN").when(F.col("l_returnflag") == "N", "PART_OF").otherwise("EATS").alias("relation"), F.col("pos").cast("string").alias("obj_idx")).alias("t")
+    # dealt by chunk once: the groups and all that is made of them stay where they are
+    one = rows.select(F.col("l_orderkey").cast("string").alias("chunk_id"), "l_orderkey", "species_norm", F.struct("pos", item, triple).alias("x")).repartition("chunk_id").groupBy("chunk_id", "l_orderkey", "species_norm").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    body = F.to_json(F.struct(F.col("x.e").alias("entities"), F.col("x.t").alias("triples")))
     k = F.col("l_orderkey")
     raw = F.when(k % 7 == 0, F.lit("no JSON {")).when(k % 3 == 0, F.concat(F.lit("<think>\n{}</think>```json\n"), body, F.lit("\n```"))).otherwise(body)
-    return extract.parsed(one.select(k.cast("string").alias("chunk_id"), "species_norm", raw.alias("raw")))
+    return extract.parsed(one.select("chunk_id", "species_norm", raw.alias("raw")))
 
 
 _ANSWERS = f"""
@@ -412,8 +413,7 @@ FROM a JOIN ok x ON x.chunk_id = a.chunk_id AND x.pos = a.pos JOIN ok y ON y.chu
 """, graph_tables=True)
 def valid_triples(spark, d):
     """Triples with a known relation whose text indexes point at entities that stayed."""
-    out = _answers(spark, d)
-    return extract.valid_triples(out, extract.valid_entities(out)).select("subj_id", "relation_type", "obj_id", "chunk_id")
+    return extract.valid_triples(_answers(spark, d)).select("subj_id", "relation_type", "obj_id", "chunk_id")
 
 
 @query(_ANSWERS + """
@@ -423,8 +423,7 @@ FROM a JOIN left_over x ON x.chunk_id = a.chunk_id AND x.i = a.pos JOIN left_ove
 """, graph_tables=True)
 def valid_triples_compat(spark, d):
     """P4, as it is done where indexes point into the list that is left."""
-    out = _answers(spark, d)
-    return extract.valid_triples(out, extract.valid_entities(out), "compat").select("subj_id", "relation_type", "obj_id", "chunk_id")
+    return extract.valid_triples(_answers(spark, d), index_mode="compat").select("subj_id", "relation_type", "obj_id", "chunk_id")
 
 
 @query("""
