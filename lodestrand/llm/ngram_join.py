@@ -47,6 +47,8 @@ ORDERS = 3
 #: Tokens that one task counts, on average.
 RANGE_TOKENS = 1 << 21
 LEADER_ROUNDS = 2
+#: Rounds of leaders around pivots, at most.
+PIVOT_ROUNDS = 4
 #: Documents that share a token above which they meet by their differences from one of them.
 LARGE_BUCKET = 8
 BLOCK_BYTES = 4 << 20
@@ -432,6 +434,12 @@ def _linked(docs: DataFrame, entries: DataFrame, n: int, percent: int) -> DataFr
     few = x.join(y, "token").where(smaller & (F.col("comp_a") != F.col("comp_b")) & near & may_match(percent)).select("a", "b")
     others = staged(differences(apart), "differences")
     comp = merge(around_leaders(others, comp, sigs, percent).unionByName(few).distinct())
+    # two groups of near copies have very many links but need one: other leaders find it with few pairs
+    for k in range(1, PIVOT_ROUNDS):
+        after = merge(around_leaders(others, comp, sigs, percent, k))
+        if after is comp:
+            break
+        comp = after
     comp = merge(around_pivots(others, comp, sigs, percent).distinct())
     removed(open_, crowd, apart, rest, others, sets)
     return comp.select(F.col("doc_id").alias("node"), F.col("comp").alias("label"))
@@ -472,13 +480,12 @@ def _side(x: str) -> list[Column]:
     return [F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "nd", "pos", "comp", "sig")]]
 
 
-def around_leaders(others: DataFrame, comp: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents with the first one that shares a token of their difference, one for each b."""
+def around_leaders(others: DataFrame, comp: DataFrame, sigs: DataFrame, percent: int, salt: int = 0) -> DataFrame:
+    """Pairs (a, b) of documents with the first one, in an order that goes by the salt, that shares a token of their difference: one at most for each place of a token."""
     rows = others.join(comp, "doc_id").join(sigs, "doc_id")
-    first = rows.groupBy("pivot", "token").agg(F.min_by(F.struct("doc_id", "n", "nd", "pos", "comp", "sig"), F.struct(F.xxhash64("doc_id"), "doc_id")).alias("_l")).select("pivot", "token", "_l.*")
+    first = rows.groupBy("pivot", "token").agg(F.min_by(F.struct("doc_id", "n", "nd", "pos", "comp", "sig"), F.struct(F.xxhash64("doc_id", F.lit(salt)), "doc_id")).alias("_l")).select("pivot", "token", "_l.*")
     met = _met(rows.select("pivot", "token", *_side("b")), first.select("pivot", "token", *_side("a")), percent, ["pivot", "token"])
-    counts = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    return counts.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+    return met.select("a", "b").distinct()
 
 
 def around_pivots(others: DataFrame, comp: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:

@@ -139,3 +139,15 @@ def test_signatures_never_hide_similar_sets():
             bits = int(np.bitwise_count(sig[i] ^ sig[j]).sum())
             assert bits <= len(np.setxor1d(x, y)) and (i == j or len(x) + len(y) > 0)
     assert not sig[-1].any() and sig[0].any()
+
+
+def test_rounds_around_pivots_have_other_leaders(spark):
+    sig = f"named_struct({', '.join(f'{chr(39)}s{k}{chr(39)}, 0L' for k in range(nj.SIGNATURE_WORDS))}) sig"
+    others = spark.range(40).selectExpr("100L pivot", "7L token", "id doc_id", "100 n", "30 nd", "0 pos")
+    comp, sigs = spark.range(40).selectExpr("id doc_id", "id % 2 comp"), spark.range(40).selectExpr("id doc_id", sig)
+    leaders = set()
+    for k in range(nj.PIVOT_ROUNDS):
+        rows = nj.around_leaders(others, comp, sigs, 80, k).collect()
+        assert len({r.a for r in rows}) == 1 and sorted(r.b for r in rows) == [b for b in range(40) if b % 2 != rows[0].a % 2]
+        leaders.add(rows[0].a)
+    assert len(leaders) > 1
