@@ -2,16 +2,20 @@
 
 Terms that reach each other are one component; components form a hierarchy
 without cycles, which is worked on from below. A component's descendants are
-bitmaps, one for each 32,768 terms in a row: its own terms' bits, and the union
-of what lies below it. Components with nothing below them have no bitmaps.
+words of 64 bits, one for each 64 terms in a row of which it has any: its own
+terms' bits, and the union of what lies below it. A component that is done hands
+its words on to its parents, where they wait by the parents' levels, so that a
+level reads only what is its own. Components with nothing below them have no words.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..places import stored
+from ..places import fresh_path, stored
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -35,8 +39,7 @@ def cycle_components(edges: DataFrame) -> DataFrame:
     trimmed and coloured anew.
     """
     edges = _trimmed(edges)
-    kind = edges.schema["c"].dataType.simpleString()
-    found = edges.sparkSession.createDataFrame([], f"term {kind}, component {kind}")
+    found = edges.select(F.col("c").alias("term"), F.col("p").alias("component")).where("false")
     while not edges.isEmpty():
         colour = stored(edges.select(F.col("c").alias("term")).union(edges.select("p")).distinct().withColumn("colour", F.col("term")))
         while True:
@@ -60,43 +63,44 @@ def cycle_components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def _levels(edges: DataFrame) -> DataFrame:
-    """(component, level) of all parents of an acyclic hierarchy: one more than the highest level below; ends without a child have 0 and no row."""
-    level, n = stored(edges.select(F.col("p").alias("component")).distinct().withColumn("level", F.lit(1))), 1
-    while True:
-        # a level's parents are one level up
-        higher = edges.join(level.where(F.col("level") == n), F.col("c") == F.col("component")).select(F.col("p").alias("component")).distinct().withColumn("higher", F.lit(n + 1))
-        after = stored(level.join(higher, "component", "left").select("component", F.coalesce("higher", "level").alias("level")))
-        if after.where(F.col("level") == n + 1).isEmpty():
-            return after
-        level, n = after, n + 1
+def _levels(edges: DataFrame) -> tuple[DataFrame | None, int]:
+    """(component, level) of all parents of an acyclic hierarchy, and the highest level: one more than the highest level below; ends without a child have 0 and no row."""
+    at, n, levels = stored(edges.select(F.col("p").alias("component")).distinct()), 0, None
+    # those with a path of n edges below them: each round holds only what goes on
+    while not at.isEmpty():
+        n += 1
+        here = at.withColumn("level", F.lit(n))
+        levels = here if levels is None else levels.union(here)
+        at = stored(edges.join(at, F.col("c") == F.col("component")).select(F.col("p").alias("component")).distinct())
+    return None if levels is None else stored(levels.groupBy("component").agg(F.max("level").alias("level"))), n
 
 
 def descendant_counts(is_a: DataFrame) -> DataFrame:
     """H3, A2: (term_id, fan_in): distinct other terms below every term that has any, over edges (child_id, parent_id) of any depth, cycles included. Edges with a null end count for nothing."""
+    spark = is_a.sparkSession
     edges = stored(is_a.select(F.col("child_id").alias("c"), F.col("parent_id").alias("p")).where("c is not null and p is not null and c <> p").distinct())
     on_cycles = cycle_components(edges)
-    # numbers in order of the terms: neighbours share bitmaps
+    # numbers in order of the terms: neighbours share words
     terms = edges.select(F.col("c").alias("term")).union(edges.select("p")).distinct().join(on_cycles, "term", "left")
     terms = stored(terms.sort("term").select("term", F.coalesce("component", "term").alias("component"), F.monotonically_increasing_id().alias("n")))
-    bits = terms.select("component", F.expr("bitmap_bucket_number(n)").alias("bucket"), F.expr("bitmap_bit_position(n)").alias("bit"))
+    bits = terms.select("component", F.shiftright("n", 6).alias("word"), F.expr("shiftleft(1L, cast(n & 63 as int))").alias("mask"))
     of = lambda k, name: terms.select(F.col("term").alias(k), F.col("component").alias(name))
     dag = stored(edges.join(of("c", "_c"), "c").join(of("p", "_p"), "p").where("_c <> _p").select(F.col("_c").alias("c"), F.col("_p").alias("p")).distinct())
-    levels = _levels(dag)
-    top = levels.agg(F.max("level")).first()[0] or 0
-    leaves = dag.join(levels.select(F.col("component").alias("c")), "c", "left_anti")
-    done = None
-    for n in range(1, top + 1):
-        here = levels.where(F.col("level") == n).select("component")
-        own = bits.join(here, "component", "left_semi")
-        below = leaves.join(here, F.col("p") == F.col("component")).select("c", "p").join(bits.withColumnRenamed("component", "c"), "c").select(F.col("p").alias("component"), "bucket", "bit")
-        maps = own.union(below).groupBy("component", "bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("map"))
-        if done is not None:
-            inner = dag.join(here, F.col("p") == F.col("component")).select("c", "p").join(done.withColumnRenamed("component", "c"), "c").select(F.col("p").alias("component"), "bucket", "map")
-            maps = maps.union(inner).groupBy("component", "bucket").agg(F.expr("bitmap_or_agg(map)").alias("map"))
-        maps = stored(maps)
-        done = maps if done is None else done.union(maps)
+    levels, top = _levels(dag)
     sizes = terms.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    if done is not None:
-        sizes = sizes.join(done.groupBy("component").agg(F.sum(F.expr("bitmap_count(map)")).alias("m")), "component", "left").select("component", F.coalesce("m", "n").alias("n"))
+    if top:
+        below = dag.join(levels.select(F.col("component").alias("p"), "level"), "p").join(levels.select(F.col("component").alias("c"), F.col("level").alias("child_level")), "c", "left")
+        below = stored(below.select("c", "p", "level", "child_level"))
+        leaves = below.where("child_level is null").join(bits.withColumnRenamed("component", "c"), "c").select(F.col("p").alias("component"), "word", "mask", "level")
+        start = bits.join(levels, "component").select("component", "word", "mask", "level").union(leaves).groupBy("component", "word", "level").agg(F.bit_or("mask").alias("mask"))
+        path, done = fresh_path(spark, "words"), []
+        start.write.partitionBy("level").parquet(path)
+        for n in range(1, top + 1):
+            waiting = spark.read.schema(start.select("component", "word", "mask", "level").schema).parquet(path).where(F.col("level") == n)
+            words = stored(waiting.groupBy("component", "word").agg(F.bit_or("mask").alias("mask")))
+            done.append(words)
+            if n < top:
+                up = below.where(F.col("child_level") == n).join(words, F.col("c") == F.col("component"))
+                up.select(F.col("p").alias("component"), "word", "mask", "level").write.mode("append").partitionBy("level").parquet(path)
+        sizes = sizes.join(reduce(DataFrame.union, done).groupBy("component").agg(F.sum(F.bit_count("mask")).alias("m")), "component", "left").select("component", F.coalesce("m", "n").alias("n"))
     return terms.join(sizes.where("n > 1").withColumnRenamed("n", "size"), "component").select(F.col("term").alias("term_id"), (F.col("size") - 1).alias("fan_in"))

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from lodestrand.operators import extract, graph
+from lodestrand.operators import extract, graph, reach
 from lodestrand.places import shared_dir
 from lodestrand.plans import catalog, flows
 
@@ -59,3 +59,15 @@ def test_triples_of_a_row_need_no_shuffle_of_entities(spark, mode):
     assert got == sorted(extract.valid_triples(out, extract.valid_entities(out), mode).collect())
     ids = {r.surface_form: r.entity_id for r in extract.valid_entities(out).collect()}
     assert {(r.subj_id, r.obj_id) for r in got} == {(ids["eye"], ids["cave"])}
+
+
+def test_descendants_take_words_and_a_level_holds_what_goes_on(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(reach, "stored", lambda df, own=reach.stored: kept.append(own(df)) or kept[-1])
+    # a chain of 12, and 130 terms under its lowest: words of 64 bits are full, part-filled and negative
+    pairs = [(k, k + 1) for k in range(12)] + [(1000 + k, 0) for k in range(130)] + [(12, 11)]
+    got = {r.term_id: r.fan_in for r in reach.descendant_counts(spark.createDataFrame(pairs, "child_id long, parent_id long")).collect()}
+    assert got == {0: 130, **{k: 130 + k for k in range(1, 11)}, 11: 142, 12: 142}
+    assert not [df for df in kept if "binary" in dict(df.dtypes).values()]
+    levels = [df.count() for df in kept if df.columns == ["component"]]
+    assert levels == list(range(12, -1, -1))
