@@ -7,7 +7,7 @@ import pytest
 
 from lodestrand.operators import extract, graph, reach
 from lodestrand.places import shared_dir
-from lodestrand.plans import catalog, flows
+from lodestrand.plans import catalog, flows, pipeline
 
 from .conftest import SMALL
 
@@ -71,3 +71,17 @@ def test_descendants_take_words_and_a_level_holds_what_goes_on(spark, monkeypatc
     assert not [df for df in kept if "binary" in dict(df.dtypes).values()]
     levels = [df.count() for df in kept if df.columns == ["component"]]
     assert levels == list(range(12, -1, -1))
+
+
+def test_whole_flow_cuts_texts_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(f"c{k}", "s", "p", k, "the eye", "The eye of the blind fish is small. " * 9) for k in range(5)], "chunk_id string, species_norm string, source_path string, chunk_index int, text_snippet string, content string")
+    tables = pipeline.index_chunks(rows.mapInArrow(counted, rows.schema), pipeline.Models(extract.dictionary_extractor({"eye": "Anatomy", "fish": "Habitat"})))
+    assert tables["doc_chunk"].count() == 5 and tables["mentions"].count() == 10 and tables["related_to"].count() > 0
+    assert made.value == 5
