@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from lodestrand.operators import extract, graph, reach
+from lodestrand.operators import cells, extract, graph, reach
 from lodestrand.places import shared_dir
 from lodestrand.plans import catalog, flows, pipeline
 
@@ -85,3 +85,14 @@ def test_whole_flow_cuts_texts_once(spark):
     tables = pipeline.index_chunks(rows.mapInArrow(counted, rows.schema), pipeline.Models(extract.dictionary_extractor({"eye": "Anatomy", "fish": "Habitat"})))
     assert tables["doc_chunk"].count() == 5 and tables["mentions"].count() == 10 and tables["related_to"].count() > 0
     assert made.value == 5
+
+
+def test_rows_meet_pivots_in_slices(spark, monkeypatch):
+    v = catalog.B.vectors(spark, SMALL).select("id", "vector")
+    asked = v.where("id % 9 = 0").select(catalog.F.col("id").alias("query_id"), "vector")
+    monkeypatch.setattr(cells, "BLOCK", 16)
+    want = [sorted(map(tuple, cells.nearest(asked, v, 5, m).collect())) for m in ("l2", "cosine")]
+    monkeypatch.setattr(cells, "HELD_DISTANCES", 40)
+    assert [sorted(map(tuple, cells.nearest(asked, v, 5, m).collect())) for m in ("l2", "cosine")] == want
+    batch = v.limit(10).toArrow().combine_chunks().to_batches()
+    assert [b.num_rows for b in cells._slices(iter(batch), 4)] == [4, 4, 2]
