@@ -57,7 +57,7 @@ def index_states(chunks: DataFrame, text: str = "content", call: Callable[[str],
             counts[status] = counts.get(status, 0) + 1
 
         for f in frames:
-            for junk, whole in zip(f["junk"], f["text"]):
+            for junk, whole in zip(f["junk"], f["text"] if call is not None else f["junk"]):
                 if done:
                     add("skipped")
                 elif junk:
@@ -77,6 +77,8 @@ def index_states(chunks: DataFrame, text: str = "content", call: Callable[[str],
         yield pd.DataFrame([(key[0], s, n) for s, n in counts.items()], columns=["chunk_id", "status", "n"])
 
     rows = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("junk", T.is_junk_chunk("text"))
+    if call is None:  # nobody reads the texts, so they stay where they are
+        rows = rows.drop("text")
     return rows.groupBy("chunk_id").applyInPandasWithState(step, "chunk_id string, status string, n long", "done boolean, tries int", "append", "NoTimeout")
 
 

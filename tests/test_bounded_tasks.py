@@ -8,6 +8,7 @@ import pytest
 from lodestrand.operators import cells, extract, graph, reach
 from lodestrand.places import shared_dir
 from lodestrand.plans import catalog, flows, pipeline
+from lodestrand.streaming import incremental
 
 from .conftest import SMALL
 
@@ -96,3 +97,10 @@ def test_rows_meet_pivots_in_slices(spark, monkeypatch):
     assert [sorted(map(tuple, cells.nearest(asked, v, 5, m).collect())) for m in ("l2", "cosine")] == want
     batch = v.limit(10).toArrow().combine_chunks().to_batches()
     assert [b.num_rows for b in cells._slices(iter(batch), 4)] == [4, 4, 2]
+
+
+def test_stream_without_a_call_sends_no_texts(spark):
+    rows = spark.readStream.schema(catalog.B.load(spark, SMALL, "documents").schema).parquet(f"{SMALL}/documents.parque[t]")
+    rows = rows.select(catalog.F.col("doc_id").alias("chunk_id"), catalog.F.col("text").alias("content"))
+    sent = lambda df: df._jdf.queryExecution().analyzed().children().head().output().toString()
+    assert "text" not in sent(incremental.index_states(rows)) and "text" in sent(incremental.index_states(rows, call=len))
