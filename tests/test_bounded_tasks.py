@@ -7,7 +7,7 @@ import pytest
 
 from lodestrand.operators import cells, extract, graph, reach
 from lodestrand.places import shared_dir
-from lodestrand.plans import catalog, flows, pipeline
+from lodestrand.plans import bindings, catalog, flows, pipeline
 from lodestrand.streaming import incremental
 
 from .conftest import SMALL
@@ -104,3 +104,27 @@ def test_stream_without_a_call_sends_no_texts(spark):
     rows = rows.select(catalog.F.col("doc_id").alias("chunk_id"), catalog.F.col("text").alias("content"))
     sent = lambda df: df._jdf.queryExecution().analyzed().children().head().output().toString()
     assert "text" not in sent(incremental.index_states(rows)) and "text" in sent(incremental.index_states(rows, call=len))
+
+
+@pytest.mark.parametrize("held", [0, 1 << 21])
+def test_lines_and_parts_go_by_their_number(spark, monkeypatch, held):
+    F = catalog.F
+    want = [sorted(map(str, catalog.QUERIES[q](spark, SMALL).collect())) for q in ("tier1_relational", "mention_counts", "entity_collapse")]
+    for name, n in (("TASK_ROWS", 100), ("HELD_ROWS", held)):
+        monkeypatch.setattr(bindings, name, n, raising=False)
+    most = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    n, lines = bindings.load(spark, SMALL, "lineitem").count(), bindings.lines(spark, SMALL, together=True)
+    assert n > 5000 and most(lines) < 250
+    places = lines.select("chunk_id", F.spark_partition_id().alias("at")).collect()
+    assert len({r.chunk_id for r in places}) == len({(r.chunk_id, r["at"]) for r in places})
+    assert most(bindings.parts(spark, SMALL)) < 250
+    assert [sorted(map(str, catalog.QUERIES[q](spark, SMALL).collect())) for q in ("tier1_relational", "mention_counts", "entity_collapse")] == want
+
+
+def test_tasks_first_stay_few_then_of_bounded_size():
+    class Table:
+        def __init__(self, n):
+            self.count = lambda: n
+
+    assert [bindings.tasks(Table(n)) for n in (0, 1, 1 << 17, (1 << 17) + 1, 36_000_000, 216_000_000, 1 << 30)] == [1, 1, 1, 2, 200, 200, 512]
+    assert bindings.tasks(Table(5), Table(1 << 20)) == 8
